@@ -86,6 +86,14 @@ class SqlOps:
     def pow(self, x, y):
         return self._f("power", x, y)
 
+    def expm1(self, x):
+        if self.dialect == "spark":
+            return self._f("expm1", x)
+        return Sx(f"(exp({_fmt(x)}) - 1)", self.dialect)
+
+    def least(self, a, b):
+        return self._f("least", a, b)
+
     def abs(self, x):
         return self._f("abs", x)
 
@@ -118,6 +126,14 @@ class NpOps:
     def pow(x, y):
         return np.power(x, y)
 
+    @staticmethod
+    def expm1(x):
+        return np.expm1(x)
+
+    @staticmethod
+    def least(a, b):
+        return np.minimum(a, b)
+
     @staticmethod
     def abs(x):
         return np.abs(x)

@@ -432,6 +432,455 @@ def q_coreset_ratio_l4(spark, sf):
     return coreset_ratio(des, K_SAMPLE, p=1.0).select("method", "p", "size", "n", "d")
 
 
+# ---------------------------------------------------------------- more designs
+
+def q_design_documents(spark, sf):
+    """A1 + join: documents joined to labels, scaled n_chars + one-hot language, y from quality."""
+    des = T.documents_design(spark, sf)
+    return des.wide(O.R6).select("id", "y", *[f"x_{j}" for j in range(des.d)])
+
+
+def sql_design_documents():
+    feats = [("n_chars", True)] + [(f"CASE WHEN lang = '{lg}' THEN 1.0 ELSE 0.0 END", False) for lg in T.LANGS]
+    src = "(SELECT d.doc_id, d.n_chars, d.lang, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
+    cte = O.design_cte("dl", src, "doc_id", "quality = 1", feats, intercept=False)
+    xs = ", ".join(f"round(x{j}, 6) AS x_{j}" for j in range(5))
+    return f"WITH {cte}\nSELECT id, y, {xs} FROM dl"
+
+
+def q_leverage_customer(spark, sf):
+    """C7/C16 on a rank-deficient design (one-hot + intercept): pseudo-inverse leverage, sum = rank."""
+    des = T.customer_design(spark, sf)
+    return S.leverage_scores(des.df, d=des.d).select("id", F.round("score", 8).alias("score"))
+
+
+# ---------------------------------------------------------------- streaming
+
+def _ev_stream(spark, sf):
+    from ..streaming import online as ST
+
+    return ST, ST.events_vectors(ST.event_stream(spark, sf))
+
+
+def q_online_leverage_stream_ev(spark, sf):
+    """Per-user online leverage over the events stream (x = (value, 1)), watermark 1 hour."""
+    ST, rows = _ev_stream(spark, sf)
+    out = ST.run_to_table(ST.online_leverage_stream(rows, 2), "s1")
+    return out.select(F.col("key").alias("user_id"), "id", F.round("score", 8).alias("score"))
+
+
+def sql_online_leverage_stream_ev():
+    return ("WITH r AS (SELECT user_id, event_id AS id, CAST(value AS DOUBLE) AS v, "
+            "count(*) OVER w AS c, sum(value) OVER w AS s1, sum(value * value) OVER w AS s2 FROM events "
+            "WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),\n"
+            "t AS (SELECT user_id, id, c * s2 - s1 * s1 AS det, c * v * v - 2 * s1 * v + s2 AS num, c, s2 FROM r)\n"
+            "SELECT user_id, id, round(greatest(0.0, least(1.0, CASE WHEN det > 1e-9 * (c * s2 + c) THEN num / det "
+            "ELSE 1.0 / c END)), 8) AS score FROM t")
+
+
+def q_countsketch_stream_ev(spark, sf):
+    """Streaming CountSketch of (value, 1) rows into 16 buckets (complete mode)."""
+    ST, rows = _ev_stream(spark, sf)
+    out = ST.run_to_table(ST.countsketch_stream(rows, 16, 2), "s4", mode="complete")
+    return out.select("bucket", "j", F.round("value", 6).alias("value"))
+
+
+def sql_countsketch_stream_ev():
+    b = f"CAST(floor({O.u('event_id', 0, 'cs:f')} * 16.0) AS BIGINT)"
+    sg = f"(CASE WHEN {O.u('event_id', 0, 'cs:g')} < 0.5 THEN -1.0 ELSE 1.0 END)"
+    return (f"WITH r AS (SELECT {b} AS bucket, {sg} AS sg, CAST(value AS DOUBLE) AS v FROM events)\n"
+            "SELECT bucket, 0 AS j, round(sum(sg * v), 6) AS value FROM r GROUP BY bucket\n"
+            "UNION ALL SELECT bucket, 1 AS j, round(sum(sg), 6) AS value FROM r GROUP BY bucket")
+
+
+def q_reservoir_stream_ev(spark, sf):
+    """Per-user Chao reservoir (k = 5, weight = value) over the events stream."""
+    ST, rows = _ev_stream(spark, sf)
+    rows = rows.withColumn("wt", F.col("x")[0])
+    return ST.run_to_table(ST.reservoir_stream(rows, 5, "wt"), "s2", mode="update")
+
+
+def q_sgd_stream_ev(spark, sf):
+    """S3: streaming mini-batch probit SGD (foreachBatch); final beta as rows."""
+    ST, rows = _ev_stream(spark, sf)
+    beta = ST.StreamingSGD(2).run(rows)
+    return spark.createDataFrame([(j, float(b)) for j, b in enumerate(beta)], "j INT, beta DOUBLE")
+
+
+# ---------------------------------------------------------------- one-pass samplers (batch)
+
+def q_reservoir_ev(spark, sf):
+    """Chao weighted reservoir per user (k = 5) in event order, weight = online leverage."""
+    des = T.events_design(spark, sf, key=True)
+    sc = S.online_leverage_scores(des.df, d=des.d, n=des.n, block_rows=5_000)
+    return SM.reservoir_sample(sc, 5, weight="score", key="user_id", d=des.d).select("user_id", "id", "y")
+
+
+def q_online_ridge_ev(spark, sf):
+    """Online ridge-leverage reservoir per user (k = 5, c = 1/n), weights 1."""
+    des = T.events_design(spark, sf, key=True)
+    return SM.online_ridge_sample(des.df, 5, c=1.0 / des.n, key="user_id", d=des.d).select("user_id", "id", "y", "w")
+
+
+# ---------------------------------------------------------------- models and baselines
+
+def q_sgd_epoch_l4(spark, sf):
+    """One random-order SGD epoch (per-partition SGD, averaged); beta rows."""
+    des = T.lineitem_design(spark, sf)
+    b = P.sgd_epoch(des.df, 2.0, des.d, seed=0)
+    return spark.createDataFrame([(j, float(v)) for j, v in enumerate(b)], "j INT, beta DOUBLE")
+
+
+def q_logistic_baseline_l4(spark, sf):
+    """Unpenalised logistic regression without intercept term vs p = 1 probit, normalised coefficients."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    des = T.lineitem_design(spark, sf).cache()
+    data = des.df.select(array_to_vector("x").alias("features"),
+                         F.when(F.col("y") == 1, 1.0).otherwise(0.0).alias("label"))
+    lr = LogisticRegression(regParam=0.0, fitIntercept=False, standardization=False, maxIter=100).fit(data)
+    a = np.asarray(lr.coefficients.toArray())
+    b = P.fit(des.df, 1.0, des.d, check=False).beta
+    rows = [(j, float(a[j] / np.linalg.norm(a)), float(b[j] / np.linalg.norm(b))) for j in range(des.d)]
+    return spark.createDataFrame(rows, "j INT, logistic DOUBLE, probit_p1 DOUBLE")
+
+
+def q_pca_samples_l4(spark, sf):
+    """Uniform vs leverage samples (k = 500) projected on two principal components."""
+    from ..operators import preprocess as PP
+
+    des = T.lineitem_design(spark, sf, intercept=False)
+    mu, V = PP.principal_axes(des.df, des.d, 2)
+    uni = SM.uniform_sample(des.df, K_SAMPLE, seed=0, n=des.n)
+    lev, _ = SM.leverage_coreset(des.df, K_SAMPLE, n=des.n, d=des.d)
+    return PP.project_2d(uni, mu, V, "uniform").unionByName(PP.project_2d(lev, mu, V, "leverage"))
+
+
+# ---------------------------------------------------------------- posterior
+
+def _trunc_stages_sql(dialect):
+    from ..operators.posterior import truncnorm_stages
+
+    return truncnorm_stages("m", "yd", "u", "z", dialect)
+
+
+def q_truncnorm_l4(spark, sf):
+    """F1: latent z ~ N(x.beta, 1) truncated by the label, one hash uniform per row."""
+    from ..functions import random as R
+    from ..operators.linalg import dot_expr
+    from ..operators.posterior import truncated_normal_column
+
+    des = T.lineitem_design(spark, sf)
+    u = R.uniform("id", 0, "gibbs:0")
+    z = truncated_normal_column(des.df, dot_expr(F.col("x"), BETA_FIXED), F.col("y"), u, "z")
+    return z.select("id", "y", F.round("z", 6).alias("z"))
+
+
+def _sql_trunc(select_tail: str) -> str:
+    dot = " + ".join(f"x{j} * {b!r}" for j, b in enumerate(BETA_FIXED))
+    ctes = [O.l4_cte(), f"t0 AS (SELECT l4.*, {dot} AS m, CAST(y AS DOUBLE) AS yd, {O.u('id', 0, 'gibbs:0')} AS u FROM l4)"]
+    prev = "t0"
+    for i, (name, sql) in enumerate(_trunc_stages_sql("duckdb")):
+        cur = f"t{i + 1}"
+        ctes.append(f"{cur} AS (SELECT * REPLACE ({sql} AS {name}) FROM {prev})" if name == "_tx" and i > 3
+                    else f"{cur} AS (SELECT *, {sql} AS {name} FROM {prev})")
+        prev = cur
+    return "WITH " + ",\n".join(ctes) + f"\n{select_tail.format(src=prev)}"
+
+
+def sql_truncnorm_l4():
+    return _sql_trunc("SELECT id, y, round(z, 6) AS z FROM {src}")
+
+
+def q_augmentation_step_l4(spark, sf):
+    """one data-augmentation step: latent draws, then X^T z / n (one aggregate)."""
+    from ..operators.posterior import augmentation_step
+
+    des = T.lineitem_design(spark, sf)
+    _, b = augmentation_step(des.df, BETA_FIXED, des.d, step=0, seed=0)
+    return spark.createDataFrame([(j, float(round(v / des.n, 6))) for j, v in enumerate(b)], "j INT, value DOUBLE")
+
+
+def sql_augmentation_step_l4():
+    parts = " UNION ALL ".join(f"SELECT {j} AS j, round(sum(x{j} * z) / max(n), 6) AS value FROM {{src}}"
+                               for j in range(5))
+    return _sql_trunc(parts)
+
+
+def _bayes(spark, sf, method):
+    from .sweep import bayes_sweep
+
+    des = T.lineitem_design(spark, sf)
+    return bayes_sweep(des, method, sizes=[200, 400], runs=[1, 2], num_samples=200, burn_in=50)
+
+
+def q_bayes_uniform_l4(spark, sf):
+    """H9/H10 + F3: uniform coresets -> Gibbs posterior draws per (run, size)."""
+    return _bayes(spark, sf, "uniform").drop("reduction_time_s", "total_time_s")
+
+
+def q_bayes_leverage_l4(spark, sf):
+    """H10 + F3: leverage coresets -> Gibbs posterior draws per (run, size)."""
+    return _bayes(spark, sf, "leverage").drop("reduction_time_s", "total_time_s")
+
+
+def q_posterior_distances_l4(spark, sf):
+    """Posterior-mean distance, covariance spectral norm and polynomial MMD
+    of each (run, size) posterior against the posterior of the largest coreset."""
+    from ..operators import distance as D
+    from ..operators.posterior import posterior_draws
+
+    dr = _bayes(spark, sf, "leverage").select("run", "size", F.array(*[F.col(f"beta_{j}") for j in range(5)]).alias("beta"))
+    dr = dr.persist()
+    ref = dr.filter(F.col("size") == 400)
+    small = dr.filter(F.col("size") == 200)
+    a = D.mean_distance_grouped(small, ref, ["run", "size"])
+    b = D.covariance_spectral_grouped(small, ref, ["run", "size"])
+    c = D.mmd_polynomial_grouped(small, ref, ["run", "size"], col="beta")
+    return a.join(b, ["run", "size"]).join(c, ["run", "size"])
+
+
+# ---------------------------------------------------------------- distances with oracles
+
+def _ev_vec():
+    return F.array((F.col("value") / 100.0).cast("double"), (F.minute("ts") / 60.0).cast("double"))
+
+
+def _ev_samples(spark, sf):
+    ev = T.table(spark, sf, "events").select("event_id", "event_type", _ev_vec().alias("x"))
+    return ev.filter(F.col("event_type") == "click"), ev.filter(F.col("event_type") == "view")
+
+
+def q_mmd_poly_ev(spark, sf):
+    """polynomial-kernel MMD between click and view event vectors (exact, via moments)."""
+    from ..operators import distance as D
+
+    a, b = _ev_samples(spark, sf)
+    return D.mmd_polynomial(a, b).select(F.round("mmd", 8).alias("mmd"))
+
+
+def _sql_ev_vec(t):
+    return f"(SELECT value / 100.0 AS a0, minute(ts) / 60.0 AS a1 FROM events WHERE event_type = '{t}')"
+
+
+def sql_mmd_poly_ev():
+    k = "power(1 + p.a0 * q.a0 + p.a1 * q.a1, 2)"
+    x, y = _sql_ev_vec("click"), _sql_ev_vec("view")
+    return (f"WITH kxx AS (SELECT avg({k}) AS v FROM {x} p, {x} q), kyy AS (SELECT avg({k}) AS v FROM {y} p, {y} q), "
+            f"kxy AS (SELECT avg({k}) AS v FROM {x} p, {y} q)\n"
+            "SELECT round(sqrt(greatest(kxx.v + kyy.v - 2 * kxy.v, 0.0)), 8) AS mmd FROM kxx, kyy, kxy")
+
+
+RFF_FEATURES = 128
+
+
+def q_mmd_rff_ev(spark, sf):
+    """Gaussian-kernel MMD by random Fourier features (linear time, mergeable)."""
+    from ..operators import distance as D
+
+    a, b = _ev_samples(spark, sf)
+    return D.mmd_gaussian_rff(a, b, features=RFF_FEATURES, seed=0).select(F.round("mmd", 8).alias("mmd"))
+
+
+def sql_mmd_rff_ev():
+    from ..operators.distance import rff_params
+
+    W, bb = rff_params(2, RFF_FEATURES, 0)
+    c = math.sqrt(2.0 / RFF_FEATURES)
+    feats = ", ".join(f"avg({c!r} * cos({float(bb[k])!r} + a0 * {float(W[k, 0])!r} + a1 * {float(W[k, 1])!r})) AS f{k}"
+                      for k in range(RFF_FEATURES))
+    diff = " + ".join(f"(x.f{k} - y.f{k}) * (x.f{k} - y.f{k})" for k in range(RFF_FEATURES))
+    return (f"WITH x AS (SELECT {feats} FROM {_sql_ev_vec('click')}), y AS (SELECT {feats} FROM {_sql_ev_vec('view')})\n"
+            f"SELECT round(sqrt(greatest({diff}, 0.0)), 8) AS mmd FROM x, y")
+
+
+def _emb(spark, sf):
+    return T.table(spark, sf, "embeddings").select(
+        "vec_id", "label", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+
+
+def q_mean_distance_emb(spark, sf):
+    """||mean(label group) - mean(all)||_2 over 64-d embeddings."""
+    from ..operators import distance as D
+
+    e = _emb(spark, sf)
+    return D.mean_distance_grouped(e, e, ["label"], col="x").select("label", F.round("norm", 6).alias("norm"))
+
+
+def sql_mean_distance_emb():
+    return ("WITH e AS (SELECT label, r.k AS k, CAST(embedding[r.k + 1] AS DOUBLE) AS v FROM embeddings "
+            "CROSS JOIN range(0, 64) AS r(k)),\n"
+            "g AS (SELECT label, k, avg(v) AS m FROM e GROUP BY label, k), a AS (SELECT k, avg(v) AS m FROM e GROUP BY k)\n"
+            "SELECT g.label, round(sqrt(sum((g.m - a.m) * (g.m - a.m))), 6) AS norm FROM g JOIN a ON g.k = a.k GROUP BY g.label")
+
+
+def q_mmd_poly_emb(spark, sf):
+    """polynomial MMD of each label group against all embeddings (moments, d = 64)."""
+    from ..operators import distance as D
+
+    e = _emb(spark, sf)
+    return D.mmd_polynomial_grouped(e, e, ["label"], col="x").select("label", F.round("mmd", 6).alias("mmd"))
+
+
+def sql_mmd_poly_emb():
+    dot = "list_dot_product(CAST(p.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
+    k = f"power(1 + {dot}, 2)"
+    return (f"WITH yy AS (SELECT avg({k}) AS v FROM embeddings p, embeddings q),\n"
+            f"xx AS (SELECT p.label, avg({k}) AS v FROM embeddings p JOIN embeddings q ON p.label = q.label GROUP BY p.label),\n"
+            f"xy AS (SELECT p.label, avg({k}) AS v FROM embeddings p, embeddings q GROUP BY p.label)\n"
+            "SELECT xx.label, round(sqrt(greatest(xx.v + yy.v - 2 * xy.v, 0.0)), 6) AS mmd "
+            "FROM xx JOIN xy ON xx.label = xy.label, yy")
+
+
+def q_cov_spectral_emb(spark, sf):
+    """F8: spectral norm of cov(label group) - cov(all) over 64-d embeddings."""
+    from ..operators import distance as D
+
+    e = _emb(spark, sf)
+    return D.covariance_spectral_grouped(e, e, ["label"], col="x").select(
+        "label", F.round("matrix_norm", 6).alias("matrix_norm"))
+
+
+def q_coef_stats_emb(spark, sf):
+    """mean and population variance of coordinate 0 per label (long form)."""
+    from ..operators import distance as D
+
+    e = _emb(spark, sf)
+    return D.coefficient_stats(e, ["label"], col="x", j=0).select("label", "statistic", F.round("value", 8).alias("value"))
+
+
+def sql_coef_stats_emb():
+    return ("WITH t AS (SELECT label, avg(CAST(embedding[1] AS DOUBLE)) AS mean, var_pop(CAST(embedding[1] AS DOUBLE)) AS variance "
+            "FROM embeddings GROUP BY label)\n"
+            "SELECT label, statistic, round(value, 8) AS value FROM (UNPIVOT t ON mean, variance INTO NAME statistic VALUE value)")
+
+
+# ---------------------------------------------------------------- summaries (G) with oracles
+
+def q_summary_lineitem(spark, sf):
+    """G1 (+G4 band): per line number median, sd, MAD, q75, q25 of discount, median tax."""
+    from ..operators import summary as G
+
+    li = T.table(spark, sf, "lineitem").select(F.col("l_linenumber").alias("size"),
+                                               F.col("l_discount").alias("ratio"), F.col("l_tax").alias("total_time_s"))
+    s = G.sweep_summary(li, ["size"], "ratio", "total_time_s")
+    return s.select("size", *[F.round(c, 8).alias(c) for c in ["median_ratio", "std", "mad", "q75", "q25",
+                                                                 "median_total_time_s"]],
+                    F.round(G.robust_band(F.col("q75"), F.col("median_ratio")), 8).alias("band_hi"))
+
+
+def sql_summary_lineitem():
+    return ("WITH m AS (SELECT l_linenumber AS size, quantile_cont(l_discount, 0.5) AS med FROM lineitem GROUP BY 1),\n"
+            "mad AS (SELECT l_linenumber AS size, quantile_cont(abs(l_discount - med), 0.5) AS mad FROM lineitem "
+            "JOIN m ON l_linenumber = m.size GROUP BY 1),\n"
+            "s AS (SELECT l_linenumber AS size, quantile_cont(l_discount, 0.5) AS median_ratio, stddev_samp(l_discount) AS std, "
+            "quantile_cont(l_discount, 0.75) AS q75, quantile_cont(l_discount, 0.25) AS q25, "
+            "quantile_cont(l_tax, 0.5) AS median_total_time_s FROM lineitem GROUP BY 1)\n"
+            "SELECT s.size, round(median_ratio, 8) AS median_ratio, round(std, 8) AS std, round(mad, 8) AS mad, "
+            "round(q75, 8) AS q75, round(q25, 8) AS q25, round(median_total_time_s, 8) AS median_total_time_s, "
+            "round((q75 - median_ratio) * 0.7413 + median_ratio, 8) AS band_hi FROM s JOIN mad ON s.size = mad.size")
+
+
+def q_five_number_orders(spark, sf):
+    """Box summary (min, q25, median, q75, max) of total price per order status."""
+    from ..operators import summary as G
+
+    o = T.table(spark, sf, "orders")
+    t = G.five_number(o, ["o_orderstatus"], "o_totalprice")
+    return t.select("o_orderstatus", *[F.round(c, 6).alias(c) for c in ["min", "q25", "median", "q75", "max"]])
+
+
+def sql_five_number_orders():
+    return ("SELECT o_orderstatus, round(min(o_totalprice), 6) AS min, round(quantile_cont(o_totalprice, 0.25), 6) AS q25, "
+            "round(quantile_cont(o_totalprice, 0.5), 6) AS median, round(quantile_cont(o_totalprice, 0.75), 6) AS q75, "
+            "round(max(o_totalprice), 6) AS max FROM orders GROUP BY 1")
+
+
+def q_melt_design_l4(spark, sf):
+    """Select, unpivot the wide design, coefficient index from the name, method tag."""
+    from ..operators import preprocess as PP
+
+    des = T.lineitem_design(spark, sf)
+    wide = des.wide(O.R6).select("id", *[f"x_{j}" for j in range(des.d)])
+    long = PP.melt(wide, ["id"], [f"x_{j}" for j in range(des.d)])
+    long = PP.tag(long.withColumn("j", PP.coefficient_index(F.col("variable"))), method="design")
+    return long.filter(F.col("j").isin([0, 1, 2]))
+
+
+def sql_melt_design_l4():
+    xs = ", ".join(f"round(x{j}, 6) AS x_{j}" for j in range(5))
+    return (f"WITH {O.l4_cte()},\nw AS (SELECT id, {xs} FROM l4),\n"
+            "u AS (UNPIVOT w ON x_0, x_1, x_2, x_3, x_4 INTO NAME variable VALUE value)\n"
+            "SELECT id, variable, value, CAST(split_part(variable, '_', 2) AS INTEGER) AS j, 'design' AS method "
+            "FROM u WHERE CAST(split_part(variable, '_', 2) AS INTEGER) IN (0, 1, 2)")
+
+
+# ---------------------------------------------------------------- sweeps (H)
+
+def _sweep(spark, sf, method, p=2.0, design="l4", **kw):
+    from .sweep import sweep
+
+    des = T.lineitem_design(spark, sf) if design == "l4" else T.orders_design(spark, sf)
+    return sweep(des, method, p=p, sizes=[200, 400], runs=[1, 2, 3], seed=0, **kw)
+
+
+def q_sweep_uniform_l4(spark, sf):
+    """H1-H3: uniform sweep (sizes 200, 400 x runs 1-3), p = 2."""
+    return _sweep(spark, sf, "uniform").select("run", "size", "ratio")
+
+
+def q_sweep_leverage_l4(spark, sf):
+    """H6: leverage sweep (fast sketch scores, augmented, rounded), p = 2."""
+    return _sweep(spark, sf, "leverage").select("run", "size", "ratio")
+
+
+def q_sweep_leverage_online_l4(spark, sf):
+    """H6 (online scores, computed once), p = 2."""
+    return _sweep(spark, sf, "leverage", online=True).select("run", "size", "ratio")
+
+
+def q_sweep_lewis_o1(spark, sf):
+    """H4: Lewis sweep (fast), p = 1, on orders."""
+    return _sweep(spark, sf, "lewis", p=1.0, design="o1").select("run", "size", "ratio")
+
+
+def q_sweep_logit_l4(spark, sf):
+    """H7: root-leverage sweep, p = 1."""
+    return _sweep(spark, sf, "logit", p=1.0).select("run", "size", "ratio")
+
+
+def q_sweep_sgd_l4(spark, sf):
+    """H5: SGD 'sweep' (one epoch per run, no reduction)."""
+    from .sweep import sgd_sweep
+
+    des = T.lineitem_design(spark, sf)
+    return sgd_sweep(des, 2.0, runs=[1, 2], seed=0).select("run", "size", "ratio")
+
+
+def q_sweep_summary_l4(spark, sf):
+    """H11 + G1/G3/G6/G9-G11: three-method sweep, per (method, size) summary sorted by time."""
+    from ..operators import summary as G
+    from .sweep import run_methods
+
+    des = T.lineitem_design(spark, sf)
+    res = run_methods(des, 2.0, sizes=[200, 400], runs=[1, 2, 3]).persist()
+    summ = G.sweep_summary(res, ["method", "size"], "ratio", "total_time_s")
+    inv = G.run_inventory(res.withColumn("p", F.lit(2.0)).withColumn("dataset", F.lit("lineitem")))
+    return G.sort_by(summ.join(inv.select("method", "max_run"), "method"), "median_total_time_s") \
+        .select("method", "size", "median_ratio", "q25", "q75", "mad", "std", "max_run")
+
+
+def q_size_search_l4(spark, sf):
+    """H12 + G8: bisection for a coreset size with eps in [0.05, 0.1] per run, p = 2."""
+    from ..operators import summary as G
+    from .sweep import size_search
+
+    des = T.lineitem_design(spark, sf)
+    res = size_search(des, 2.0, runs=[1, 2], lo=10, hi=2000, max_rounds=8)
+    return res.join(G.smallest_size_in_band(res, group="p", size="k", eps="eps"), "p", "left")
+
+
 # ---------------------------------------------------------------- registry
 
 def queries():

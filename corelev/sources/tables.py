@@ -22,8 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def lineitem_design(spark, sf_dir, features=None, intercept=True) -> Design:
     """L4: standardised lineitem measures + intercept, y = +1 iff returnflag 'R'."""
     feats = list(features or L4_FEATURES)
-    df = table(spark, sf_dir, "lineitem")
-    spec = DesignSpec(id=LINEITEM_ID, features={f: f for f in feats},
+    df = table(spark, sf_dir, "lineitem").withColumn(
+        "_ord", F.col("l_orderkey") * F.lit(8) + F.col("l_linenumber"))
+    spec = DesignSpec(id=LINEITEM_ID, features={f: f for f in feats}, order="_ord",
                       label=F.col("l_returnflag") == "R", intercept=intercept)
     return build_design(df, spec)
 
