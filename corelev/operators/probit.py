@@ -42,7 +42,17 @@ def loss_columns(df: DataFrame, beta, p: float, tail: str = "exact", margin: Col
 
 
 def _native_eval(df, beta, p, d, tail, want_hess=True):
-    t = loss_columns(df, beta, p, tail, with_hess=want_hess)
+    # beta travels as a broadcast one-row table joined on a constant key, not as
+    # literals: the generated code is then identical for every Newton step and
+    # whole-stage codegen reuses the compiled class.
+    spark = df.sparkSession
+    bdf = spark.createDataFrame([(0, [float(b) for b in beta])], "_bk INT, _beta ARRAY<DOUBLE>")
+    j = df.withColumn("_bk", F.lit(0)).join(F.broadcast(bdf), "_bk")
+    z = None
+    for k in range(d):
+        t = F.col("x")[k] * F.col("_beta")[k]
+        z = t if z is None else z + t
+    t = loss_columns(j, None, p, tail, margin=-F.col("y").cast("double") * z, with_hess=want_hess)
     x, w, y = F.col("x"), F.col("w"), F.col("y").cast("double")
     aggs = [F.sum(w * F.col("_g")).alias("f"), F.count(F.lit(1)).alias("n")]
     aggs += [F.sum(-w * F.col("_gp") * y * x[j]).alias(f"g{j}") for j in range(d)]
@@ -56,7 +66,7 @@ def _native_eval(df, beta, p, d, tail, want_hess=True):
         H = np.zeros((d, d))
         for i, j in _triu(d):
             H[i, j] = H[j, i] = r[f"h{i}_{j}"] or 0.0
-    return f, g, H, int(r["n"])
+    return f, g, H, int(r["n"] or 0)
 
 
 def _arrow_eval(df, beta, p, d, tail, want_hess=True):
@@ -124,6 +134,15 @@ class FitResult:
         return f"FitResult(beta={self.beta}, f={self.f}, iters={self.iterations}, converged={self.converged})"
 
 
+def _backtrack(alpha, f0, f1, slope):
+    """Safeguarded quadratic-interpolation backtracking step in [0.1, 0.5] * alpha."""
+    if not np.isfinite(f1):
+        return 0.1 * alpha
+    denom = 2.0 * (f1 - f0 - slope * alpha)
+    a = -slope * alpha * alpha / denom if denom > 0 else 0.5 * alpha
+    return float(min(0.5 * alpha, max(0.1 * alpha, a)))
+
+
 def newton(evalf, d, max_iter=100, gtol=1e-9, warn=True):
     """Damped Newton with Armijo backtracking; ``evalf(beta) -> (f, g, H, n)``."""
     beta = np.zeros(d)
@@ -150,7 +169,7 @@ def newton(evalf, d, max_iter=100, gtol=1e-9, warn=True):
             if np.isfinite(f2) and f2 <= f + 1e-4 * alpha * slope:
                 accepted = True
                 break
-            alpha *= 0.5
+            alpha = _backtrack(alpha, f, f2, slope)
         if not accepted:
             break
         rel = abs(f - f2) / max(1.0, abs(f))
@@ -472,7 +491,7 @@ def fit_lockstep(stacked: DataFrame, key_cols, p: float, d: int, tail: str = "ex
                 if rel < 1e-15 and np.max(np.abs(g2)) / s["n"] < 1e-5:
                     s["done"], s["conv"] = True, True
             else:
-                s["alpha"] *= 0.5
+                s["alpha"] = _backtrack(s["alpha"], s["f"], f2, slope)
                 if s["alpha"] < 1e-18:
                     s["done"], s["conv"] = True, bool(np.max(np.abs(s["g"])) / s["n"] < 1e-5)
     rows = [tuple(list(k) + [list(map(float, s["beta"])) if s["valid"] else None, bool(s["conv"]), int(s["it"])])
