@@ -350,20 +350,21 @@ def sgd_partition_kernel(p: float, d: int, eta0: float = 0.1, power_t: float = 0
     """Sequential SGD over one partition's rows in (shuffled) order; yields (beta, count)."""
 
     def part(batches):
-        beta = np.zeros(d)
+        gfun = PN.scalar_grad(p)
+        beta = [0.0] * d
         t = 0
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            X = _batch_matrix(batch, "x", d)
-            y = batch.column(1).to_numpy(zero_copy_only=False)
-            for i in range(len(y)):
+            X = _batch_matrix(batch, "x", d).tolist()
+            y = batch.column(1).to_numpy(zero_copy_only=False).tolist()
+            for xi, yi in zip(X, y):
                 t += 1
-                zv = -y[i] * X[i]
-                _, gp, _ = PN.np_loss_grad_hess(np.array([zv @ beta]), p, tail)
-                beta -= (eta0 / t ** power_t) * (zv * gp[0])
+                m = -yi * sum(b * v for b, v in zip(beta, xi))
+                step = (eta0 / t ** power_t) * gfun(m) * (-yi)
+                beta = [b - step * v for b, v in zip(beta, xi)]
         if t:
-            yield pa.RecordBatch.from_arrays([pa.array([beta.tolist()], type=pa.list_(pa.float64())),
+            yield pa.RecordBatch.from_arrays([pa.array([beta], type=pa.list_(pa.float64())),
                                               pa.array([t], type=pa.int64())], names=["beta", "cnt"])
 
     return part

@@ -6,8 +6,9 @@ sampling (``choice(replace=False, p=p)``), is one pass, and is mergeable.
 
 Scale: ``orderBy(key).limit(k)`` alone would move k rows from EVERY partition into
 one task. We first find a threshold tau with count(key <= tau) >= k from a
-log-bucket histogram of the keys (one partial aggregate, <= 1,000 groups), and
-only the ~1.02 k rows below tau reach the final top-k.
+log-bucket histogram of the keys (one partial aggregate over a few thousand
+buckets, which also yields sum(w), so weights never need a separate
+normalisation pass), and only the ~1.02 k rows below tau reach the final top-k.
 """
 
 from __future__ import annotations
@@ -22,51 +23,60 @@ from ..functions import random as R
 from . import scores as S
 
 HIST_BASE = 1.02
-HIST_BUCKETS = 1200
+HIST_LIMIT = 40_000   # |log_1.02(key)| above this is clipped (covers every finite double)
 
 
-def race_key(prob: Column, seed: int, stream) -> Column:
-    return R.exponential("id", seed, stream) / prob
+def race_key(weight: Column, seed: int, stream) -> Column:
+    """E / w with E = -ln u(id): ordering by it is the same for w and for w / sum(w)."""
+    return R.exponential("id", seed, stream) / weight
 
 
-def _threshold(df: DataFrame, key: Column, k: int, group: str | None = None):
-    """Smallest histogram edge tau with count(key <= tau) >= k (per group)."""
-    scale = float(max(k, 1))
-    b = F.greatest(F.lit(0), F.least(F.lit(HIST_BUCKETS),
-                                     F.ceil(F.log(key / F.lit(scale)) / F.lit(math.log(HIST_BASE))))).cast("int")
+def _histogram(df: DataFrame, key: Column, weight: Column, group: str | None = None):
+    """ONE aggregate: per group, counts of keys by log-bucket, total weight and row count."""
+    b = F.greatest(F.lit(-HIST_LIMIT), F.least(F.lit(HIST_LIMIT),
+                                               F.ceil(F.log(key) / F.lit(math.log(HIST_BASE))))).cast("int")
     gcols = [group] if group else []
-    hist = df.select(*gcols, b.alias("b")).groupBy(*gcols, "b").count().collect()
+    rows = (df.select(*gcols, b.alias("b"), weight.alias("_w")).groupBy(*gcols, "b")
+            .agg(F.count(F.lit(1)).alias("c"), F.sum("_w").alias("sw")).collect())
     per = {}
-    for r in hist:
+    for r in rows:
         g = r[group] if group else None
-        per.setdefault(g, []).append((r["b"], r["count"]))
-    out = {}
-    for g, rows in per.items():
-        rows.sort()
-        tot, tau, total = 0, None, sum(c for _, c in rows)
-        if total < k:
-            raise ValueError("Sample size can't be greater than the number of rows with positive probability!")
-        for bb, c in rows:
-            tot += c
-            if tot >= k:
-                tau = None if bb >= HIST_BUCKETS else scale * HIST_BASE ** bb
-                break
-        out[g] = tau
-    return out
-
-
-def weighted_sample(df: DataFrame, k: int, prob: str = "p", seed: int = 0, stream: str = "race",
-                    key_out: str | None = None) -> DataFrame:
-    """K rows without replacement, P(first pick = i) = p_i (successive sampling law)."""
+        per.setdefault(g, []).append((r["b"], r["c"], r["sw"]))
+    return per
+
+
+def _threshold_from(hist_rows, k: int):
+    """(tau, total weight): smallest bucket edge with count(key <= tau) >= k (None = no filter)."""
+    hist_rows = sorted(hist_rows)
+    total = sum(c for _, c, _ in hist_rows)
+    wsum = float(sum(sw for _, _, sw in hist_rows))
+    if total < k:
+        raise ValueError("Sample size can't be greater than the number of rows with positive probability!")
+    cum = 0
+    for b, c, _ in hist_rows:
+        cum += c
+        if cum >= k:
+            return (None if b >= HIST_LIMIT else HIST_BASE ** b), wsum
+    return None, wsum
+
+
+def weighted_sample(df: DataFrame, k: int, weight: str = "p", seed: int = 0, stream: str = "race",
+                    key_out: str | None = None, prob_out: str = "p") -> DataFrame:
+    """K rows without replacement with P(first pick = i) = w_i / sum(w) (successive sampling).
+
+    Two passes over the rows: (1) one aggregate with the log-bucket histogram of
+    the race keys and sum(w); (2) the rows under the threshold (about 1.02 k)
+    go to the final top-k. ``prob_out`` = w / sum(w) is added to the sample.
+    """
     if k <= 0:
         raise ValueError("Sample size must be greater than zero!")
-    pos = df.filter(F.col(prob) > 0)
-    key = race_key(F.col(prob), seed, stream)
-    tau = _threshold(pos, key, k)[None]
+    pos = df.filter(F.col(weight) > 0)
+    key = race_key(F.col(weight), seed, stream)
+    tau, wsum = _threshold_from(_histogram(pos, key, F.col(weight))[None], k)
     cand = pos.withColumn("_key", key)
     if tau is not None:
         cand = cand.filter(F.col("_key") <= F.lit(tau))
-    out = cand.orderBy("_key", "id").limit(k)
+    out = cand.orderBy("_key", "id").limit(k).withColumn(prob_out, F.col(weight) / F.lit(wsum))
     return out.withColumnRenamed("_key", key_out) if key_out else out.drop("_key")
 
 
@@ -79,7 +89,7 @@ def uniform_sample(df: DataFrame, k: int, seed: int = 0, n: int | None = None,
     if k <= 0:
         raise ValueError("Sample size must be greater than zero!")
     tmp = df.withColumn("_p", F.lit(1.0 / n))
-    return weighted_sample(tmp, k, "_p", seed, stream).drop("_p").withColumn("w", F.lit(1.0))
+    return weighted_sample(tmp, k, "_p", seed, stream, prob_out="_p").drop("_p").withColumn("w", F.lit(1.0))
 
 
 def leverage_coreset(df: DataFrame, k: int, augmented: bool = True, round_up: bool = True,
@@ -88,7 +98,8 @@ def leverage_coreset(df: DataFrame, k: int, augmented: bool = True, round_up: bo
                      d: int | None = None, persist: bool = True):
     """D3: scores -> augment -> round up -> probabilities -> weights 1/(p k) -> race sample.
 
-    Returns (coreset, scored) where scored carries ``score`` and ``p`` for reuse (C22).
+    Returns (coreset, scored) where scored carries the final ``score`` for reuse (C22);
+    the coreset carries p = score / sum(score) and w.
     """
     n = int(df.count()) if n is None else n
     if k > n:
@@ -107,10 +118,9 @@ def leverage_coreset(df: DataFrame, k: int, augmented: bool = True, round_up: bo
     if round_up:
         s = S.round_up(s)
     scored = scored.withColumn("score", s)
-    scored = S.probabilities(scored, "score", "p")
     if persist:
         scored = scored.persist()
-    core = weighted_sample(scored, k, "p", seed, "lev").withColumn("w", S.importance_weight(F.col("p"), k))
+    core = weighted_sample(scored, k, "score", seed, "lev").withColumn("w", S.importance_weight(F.col("p"), k))
     return core, scored
 
 
@@ -120,8 +130,8 @@ def lewis_coreset(df: DataFrame, k: int, fast: bool = True, precomputed: str | N
     n = int(df.count()) if n is None else n
     scored = df.withColumnRenamed(precomputed, "score") if precomputed else \
         S.lewis_weights(df, fast=fast, d=d, n=n, seed=seed)
-    scored = S.probabilities(scored, "score", "p").persist()
-    core = weighted_sample(scored, k, "p", seed, "lewis").withColumn("w", S.importance_weight(F.col("p"), k))
+    scored = scored.persist()
+    core = weighted_sample(scored, k, "score", seed, "lewis").withColumn("w", S.importance_weight(F.col("p"), k))
     return core, scored
 
 
@@ -129,34 +139,37 @@ def root_leverage_coreset(df: DataFrame, k: int, seed: int = 0, n: int | None =
                           d: int | None = None):
     """Root-leverage (sketched) scores -> probabilities -> weights -> race sample."""
     n = int(df.count()) if n is None else n
-    scored = S.probabilities(S.root_leverage_scores(df, d=d, n=n, seed=seed), "score", "p").persist()
-    core = weighted_sample(scored, k, "p", seed, "logit").withColumn("w", S.importance_weight(F.col("p"), k))
+    scored = S.root_leverage_scores(df, d=d, n=n, seed=seed).persist()
+    core = weighted_sample(scored, k, "score", seed, "logit").withColumn("w", S.importance_weight(F.col("p"), k))
     return core, scored
 
 
-def multi_sample(df: DataFrame, sizes, runs, prob: str = "p", seed: int = 0, stream: str = "sweep",
-                 weight: str = "importance") -> DataFrame:
+def multi_sample(df: DataFrame, sizes, runs, weight: str = "p", seed: int = 0, stream: str = "sweep",
+                 prob_out: str = "p") -> DataFrame:
     """One race sample per run; the sample of size k in run r is its k smallest keys.
 
     Each (size, run) config has the exact law of D2; samples of different sizes
     in one run are nested (share keys), samples of different runs are independent.
-    Rows: run, rank, id, ... with rank <= max(sizes); a config (size, run) is
-    ``rank <= size``. weight='importance' -> w = 1/(p size) is left to the consumer.
+    Rows: run, rank, id, ..., ``prob_out`` = w / sum(w), rank <= max(sizes); a config
+    (size, run) is ``rank <= size``. Two passes: one histogram aggregate (which
+    also yields sum(w)) and one window over ~runs x max(size) candidate rows.
     """
     sizes = sorted(int(s) for s in sizes)
     kmax = sizes[-1]
     runs = [int(r) for r in runs]
-    pos = df.filter(F.col(prob) > 0)
+    pos = df.filter(F.col(weight) > 0)
     ex = pos.withColumn("run", F.explode(F.array(*[F.lit(r) for r in runs])))
-    key = race_key(F.col(prob), seed, F.concat(F.lit(stream + ":"), F.col("run").cast("string")))
-    taus = _threshold(ex, key, kmax, group="run")
-    cond = None
-    for r, t in taus.items():
+    key = race_key(F.col(weight), seed, F.concat(F.lit(stream + ":"), F.col("run").cast("string")))
+    hist = _histogram(ex, key, F.col(weight), group="run")
+    cond, wsum = None, None
+    for r, rows in hist.items():
+        t, wsum = _threshold_from(rows, kmax)
         c = (F.col("run") == r) & (F.lit(True) if t is None else (F.col("_key") <= F.lit(t)))
         cond = c if cond is None else (cond | c)
     cand = ex.withColumn("_key", key).filter(cond)
     w = Window.partitionBy("run").orderBy("_key", "id")
-    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= kmax).drop("_key")
+    out = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= kmax).drop("_key")
+    return out.withColumn(prob_out, F.col(weight) / F.lit(float(wsum)))
 
 
 def expand_configs(ranked: DataFrame, sizes, prob: str = "p", weight: str = "importance") -> DataFrame:

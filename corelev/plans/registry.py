@@ -301,8 +301,8 @@ def sql_leverage_sample_l4():
 def q_multi_sample_l4(spark, sf):
     """Uniform samples for sizes (100, 200, 300) x runs (1, 2, 3), nested per run."""
     des = T.lineitem_design(spark, sf)
-    df = des.df.withColumn("p", F.lit(1.0 / des.n))
-    ranked = SM.multi_sample(df, [100, 200, 300], [1, 2, 3], "p", seed=0, stream="sweep")
+    df = des.df.withColumn("wt", F.lit(1.0))
+    ranked = SM.multi_sample(df, [100, 200, 300], [1, 2, 3], "wt", seed=0, stream="sweep")
     return SM.expand_configs(ranked, [100, 200, 300], "p", weight="none").select(
         "run", "size", "id", F.col("rank").cast("int").alias("rank"))
 

@@ -44,10 +44,10 @@ def config_grid(spark, min_size: int, max_size: int, step: int, num_runs: int) -
 
 def score_design(design, method: str, p: float = 2.0, fast: bool = True, seed: int = 0,
                  online: bool = False) -> DataFrame:
-    """Per-row sampling probabilities ``p`` for a method (computed once per sweep)."""
+    """Per-row (unnormalised) sampling weights ``score`` for a method."""
     df, n, d = design.df, design.n, design.d
     if method == "uniform":
-        return df.withColumn("p", F.lit(1.0 / n))
+        return df.withColumn("score", F.lit(1.0))
     if method == "leverage":
         if online:
             sc = S.online_leverage_scores(df, d=d, n=n)
@@ -60,7 +60,7 @@ def score_design(design, method: str, p: float = 2.0, fast: bool = True, seed: i
         sc = S.root_leverage_scores(df, d=d, n=n, seed=seed)
     else:
         raise ValueError(f"unknown method {method}")
-    return S.probabilities(sc, "score", "p")
+    return sc
 
 
 def sweep(design, method: str = "leverage", p: float = 2.0, sizes=(500,), runs=(1, 2, 3), seed: int = 0,
@@ -79,7 +79,7 @@ def sweep(design, method: str = "leverage", p: float = 2.0, sizes=(500,), runs=(
         raise ValueError("Sample size can't be greater than total number of samples!")
     t0 = time.perf_counter()
     scored = score_design(design, method, p, fast, seed, online).persist()
-    ranked = SM.multi_sample(scored, sizes, runs, "p", seed, stream=f"sweep:{method}")
+    ranked = SM.multi_sample(scored, sizes, runs, "score", seed, stream=f"sweep:{method}")
     if method == "uniform":
         ranked = ranked.drop("p")
     ranked = ranked.persist()
@@ -158,7 +158,7 @@ def bayes_sweep(design, method: str = "uniform", sizes=(500,), runs=(1,), seed:
     sizes = sorted(int(s) for s in sizes)
     t0 = time.perf_counter()
     scored = score_design(design, method, 2.0, True, seed, online).persist()
-    ranked = SM.multi_sample(scored, sizes, runs, "p", seed, stream=f"bayes:{method}").persist()
+    ranked = SM.multi_sample(scored, sizes, runs, "score", seed, stream=f"bayes:{method}").persist()
     ranked.count()
     t1 = time.perf_counter()
     draws = PO.posterior_draws(ranked, ["run"], design.d, prior_mean, prior_cov, num_samples, 1, burn_in,
@@ -195,7 +195,7 @@ def size_search(design, p: float = 2.0, runs=(1,), lo: int = 100, hi: int | None
         if not active:
             break
         ks = sorted(set(active.values()))
-        ranked = SM.multi_sample(scored, ks, list(active), "p", seed, stream="search").persist()
+        ranked = SM.multi_sample(scored, ks, list(active), "score", seed, stream="search").persist()
         stacked = SM.expand_configs(ranked, ks, "p").filter(
             F.struct("run", "size").isin([F.struct(F.lit(r), F.lit(k)) for r, k in active.items()]))
         fits = P.fit_groups(stacked, ["run", "size"], p, d).persist()

@@ -25,6 +25,10 @@ _DEFAULTS = {
     "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
 }
 
+# The p-normal kernels compile to large generated methods; without this flag the
+# JVM leaves methods above 8,000 bytecode bytes to its interpreter.
+_JVM_FLAGS = "-XX:-DontCompileHugeMethods"
+
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "corelev") -> SparkSession:
@@ -37,6 +41,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = builder.config("spark.driver.memory", os.environ.get("CORELEV_DRIVER_MEMORY", "16g"))
+    builder = builder.config("spark.driver.extraJavaOptions", _JVM_FLAGS)
+    builder = builder.config("spark.executor.extraJavaOptions", _JVM_FLAGS)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)

@@ -61,8 +61,17 @@ class Design:
     def names(self) -> list:
         return list(self.features) + (["intercept"] if self.intercept else [])
 
-    def cache(self) -> "Design":
-        self.df = self.df.persist()
+    def cache(self, min_partitions: int | None = None) -> "Design":
+        """Persist the design (every score / fit pass re-reads it).
+
+        A small input read as fewer splits than the cluster has cores is spread
+        over all cores once before caching; large inputs keep their scan splits.
+        """
+        df = self.df
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < target:
+            df = df.repartition(target)
+        self.df = df.persist()
         return self
 
     def wide(self, decimals: int | None = None) -> DataFrame:
