@@ -58,17 +58,40 @@ def grouped_moments(df: DataFrame, group_cols, d: int, col: str = "x") -> DataFr
         s2 = [F.col(f"b{min(i, j)}_{max(i, j)}") for i in range(d) for j in range(d)]
         return t.select(*g, "cnt", F.array(*[F.col(f"a{i}") for i in range(d)]).alias("s1"),
                         F.array(*s2).alias("s2"))
-    # large d: outer products summed per (group, position); partial aggregation keeps
-    # the shuffle at (#partitions x #groups x d^2) values
-    outer = F.flatten(F.transform(x, lambda a: F.transform(x, lambda b: a * b)))
-    vec = F.concat(x, outer)
-    long = (df.select(*g, F.posexplode(vec).alias("k", "v"))
-            .groupBy(*g, "k").agg(F.sum("v").alias("v")))
-    cnt = df.groupBy(*g).agg(F.count(F.lit(1)).alias("cnt"))
+    # large d: each Arrow batch adds X^T X per group with numpy; partials are
+    # summed by (group, position) on the executors and packed back per group
+    import pandas as pd
+
+    key_types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+
+    def part(it):
+        acc = {}
+        for pdf in it:
+            if pdf.empty:
+                continue
+            X = np.stack(pdf[col].to_numpy()).astype(float).reshape(-1, d)
+            keys = pdf[g].astype(object).apply(tuple, axis=1) if g else pd.Series([()] * len(pdf))
+            codes, uniq = pd.factorize(keys)
+            for gi, kv in enumerate(uniq):
+                Xg = X[codes == gi]
+                a = acc.setdefault(kv, [0, np.zeros(d), np.zeros((d, d))])
+                a[0] += len(Xg)
+                a[1] += Xg.sum(0)
+                a[2] += Xg.T @ Xg
+        rows = []
+        for kv, (c, s1, s2) in acc.items():
+            vals = np.concatenate([[float(c)], s1, s2.ravel()])
+            rows.append(pd.DataFrame({**{gc: [kv[i]] * len(vals) for i, gc in enumerate(g)},
+                                      "k": np.arange(len(vals), dtype=np.int32), "v": vals}))
+        yield pd.concat(rows, ignore_index=True) if rows else pd.DataFrame(
+            {**{gc: [] for gc in g}, "k": np.array([], dtype=np.int32), "v": np.array([], dtype=float)})
+
+    schema = ", ".join([f"{c} {key_types[c]}" for c in g] + ["k INT", "v DOUBLE"])
+    long = df.select(*g, col).mapInPandas(part, schema).groupBy(*g, "k").agg(F.sum("v").alias("v"))
     packed = long.groupBy(*g).agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("kv"))
     vals = F.transform("kv", lambda s: s["v"])
-    return (packed.join(cnt, g).select(*g, "cnt", F.slice(vals, 1, d).alias("s1"),
-                                          F.slice(vals, d + 1, d * d).alias("s2")))
+    return packed.select(*g, vals[0].cast("long").alias("cnt"), F.slice(vals, 2, d).alias("s1"),
+                         F.slice(vals, d + 2, d * d).alias("s2"))
 
 
 def _moment_stats(m: DataFrame) -> DataFrame:
