@@ -80,6 +80,22 @@ def weighted_sample(df: DataFrame, k: int, weight: str = "p", seed: int = 0, str
     return out.withColumnRenamed("_key", key_out) if key_out else out.drop("_key")
 
 
+def keyed_weighted_sample(df: DataFrame, k: int, weight: str, key: str, seed: int = 0,
+                          stream: str = "race") -> DataFrame:
+    """D2 per key: k rows without replacement per group, mergeable and skew-safe.
+
+    ``row_number() <= k`` over (key order by race key) is planned with
+    WindowGroupLimit on both sides of the shuffle, so even a key holding a third
+    of all rows sends at most k rows per partition to its final task.
+    """
+    if k <= 0:
+        raise ValueError("Sample size must be greater than zero!")
+    pos = df.filter(F.col(weight) > 0).withColumn("_key", race_key(F.col(weight), seed, stream))
+    w = Window.partitionBy(key).orderBy("_key", "id")
+    return (pos.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= k)
+            .drop("_key", "_rank"))
+
+
 def uniform_sample(df: DataFrame, k: int, seed: int = 0, n: int | None = None,
                    stream: str = "uniform") -> DataFrame:
     """Exactly k rows uniformly without replacement, weight 1."""

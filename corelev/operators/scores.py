@@ -152,27 +152,6 @@ def lewis_weights(df: DataFrame, T: int = 20, fast: bool = False, d: int | None
 
 # -- online (ordered) leverage -------------------------------------------------
 
-def _online_block_kernel(d: int, method: str):
-    """pandas kernel: rows of one block in order, starting from the prefix Gram."""
-    import pandas as pd
-
-    def kernel(pdf: "pd.DataFrame") -> "pd.DataFrame":
-        pdf = pdf.sort_values(["ord", "id"], kind="mergesort")
-        X = np.stack(pdf["x"].to_numpy()).astype(float).reshape(-1, d)
-        P = np.asarray(pdf["prefix"].iloc[0], dtype=float).reshape(d, d)
-        out = np.empty(len(X))
-        chunk = max(1, min(4096, int(2_000_000 // max(1, d * d))))
-        for s0 in range(0, len(X), chunk):
-            Xc = X[s0:s0 + chunk]
-            outer = np.einsum("ni,nj->nij", Xc, Xc)
-            Ms = P[None, :, :] + np.cumsum(outer, axis=0)
-            P = Ms[-1]
-            out[s0:s0 + len(Xc)] = _online_scores(Ms, Xc, method)
-        return pd.DataFrame({"id": pdf["id"].to_numpy(), "score": out})
-
-    return kernel
-
-
 def _online_scores(Ms: np.ndarray, X: np.ndarray, method: str) -> np.ndarray:
     """x_i^T M_i^+ x_i for a stack of prefix Grams."""
     scale = np.maximum(np.abs(Ms).max(axis=(1, 2)), 1e-300)
@@ -188,61 +167,76 @@ def _online_scores(Ms: np.ndarray, X: np.ndarray, method: str) -> np.ndarray:
 
 
 def online_leverage_scores(df: DataFrame, d: int | None = None, method: str = "pinv",
-                           block_rows: int = 50_000, out: str = "score",
+                           block_rows: int | None = None, out: str = "score",
                            n: int | None = None) -> DataFrame:
-    """tau_i = x_i^T (sum_{j<=i} x_j x_j^T)^+ x_i in the order of ``ord``.
-
-    Two passes instead of n sequential steps: (1) blocks are ranges of ``ord``
-    (boundaries from ``percentile_approx``); one aggregate gives each block's
-    Gram; the exclusive prefix sum over blocks is a window over B rows;
-    (2) each block (bounded size) is scored in one ``applyInPandas`` task from
-    its prefix Gram, vectorised by cumulative sums.
+    """tau_i = x_i^T (sum_{j<=i} x_j x_j^T)^+ x_i in the order of (``ord``, ``id``).
+
+    Two passes instead of n sequential steps. The rows are range-partitioned on
+    (ord, id) - ties in ``ord`` are split by id, so no block exceeds its share -
+    and each partition is one block. Pass 1: one Gram per partition (Arrow,
+    streaming); the driver forms the exclusive prefix over the B blocks
+    (B x d^2 numbers). Pass 2: every partition streams its sorted rows through
+    cumulative sums starting from its prefix; memory is one Arrow batch.
     """
     if method not in ("pinv", "solve"):
         raise ValueError("Method must be either pinv or solve!")
-    from pyspark.ml.feature import Bucketizer
-    from pyspark.sql import Window
+    import pandas as pd
 
     d = array_width(df) if d is None else d
     n = _n(df, n)
+    spark = df.sparkSession
+    if block_rows is None:
+        block_rows = max(200_000, int(math.ceil(n / 100_000)))
     nblocks = max(1, int(math.ceil(n / block_rows)))
     base = df.select("id", "ord", "x")
-    if nblocks > 1:
-        probs = [i / nblocks for i in range(1, nblocks)]
-        acc = max(10_000, 20 * nblocks)
-        qs = base.agg(F.percentile_approx(F.col("ord").cast("double"), probs, acc).alias("q")).collect()[0]["q"]
-        splits = sorted(set(float(v) for v in qs))
-        splits = [-float("inf")] + splits + [float("inf")]
-        bk = Bucketizer(splits=splits, inputCol="_ordd", outputCol="_blk", handleInvalid="keep")
-        blocked = bk.transform(base.withColumn("_ordd", F.col("ord").cast("double"))) \
-            .withColumn("block", F.col("_blk").cast("int")).drop("_ordd", "_blk")
-    else:
-        blocked = base.withColumn("block", F.lit(0))
-    x = F.col("x")
-    # pass 1: one Gram per block, flattened row-major
-    flat = [F.sum(x[i] * x[j]).alias(f"g{i}_{j}") for i in range(d) for j in range(d)]
-    if d <= NATIVE_MAX_D:
-        bg = blocked.groupBy("block").agg(*flat)
-        gcols = [F.col(f"g{i}_{j}") for i in range(d) for j in range(d)]
-        bg = bg.select("block", F.array(*gcols).alias("g"))
-    else:
-        outer = F.flatten(F.transform(x, lambda a: F.transform(x, lambda b: a * b)))
-        bg = (blocked.select("block", F.posexplode(outer).alias("k", "v"))
-              .groupBy("block", "k").agg(F.sum("v").alias("v"))
-              .groupBy("block").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("kv"))
-              .select("block", F.transform("kv", lambda s: s["v"]).alias("g")))
-    # exclusive prefix over B block rows (B = n / block_rows, not n)
-    zero = F.array(*[F.lit(0.0)] * (d * d))
-    w = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    pref = bg.select("block", *[F.col("g")[k].alias(f"e{k}") for k in range(d * d)])
-    pref = pref.select("block", *[F.coalesce(F.sum(f"e{k}").over(w), F.lit(0.0)).alias(f"e{k}")
-                                  for k in range(d * d)])
-    pref = pref.select("block", F.array(*[F.col(f"e{k}") for k in range(d * d)]).alias("prefix"))
-    joined = blocked.join(F.broadcast(pref) if nblocks * d * d <= 4_000_000 else pref, "block")
-    scored = joined.groupBy("block").applyInPandas(
-        _online_block_kernel(d, method), "id " + _id_type(df) + ", score DOUBLE")
-    res = df.join(scored.withColumnRenamed("score", out), "id")
-    return res
+    blocked = (base.repartitionByRange(nblocks, "ord", "id").sortWithinPartitions("ord", "id")
+               .withColumn("block", F.spark_partition_id()))
+    from pyspark import StorageLevel
+
+    blocked = blocked.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def gram_part(batches):
+        G = np.zeros((d, d))
+        blk = None
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            X = _batch_matrix(b, "x", d)
+            G += X.T @ X
+            blk = int(b.column(b.schema.get_field_index("block"))[0].as_py())
+        if blk is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([blk], pa.int32()),
+                                              pa.array([G.ravel().tolist()], pa.list_(pa.float64()))],
+                                             names=["block", "g"])
+
+    grams = {r["block"]: np.asarray(r["g"]).reshape(d, d)
+             for r in blocked.select("x", "block").mapInArrow(gram_part, "block INT, g ARRAY<DOUBLE>").collect()}
+    prefix, acc = {}, np.zeros((d, d))
+    for blk in sorted(grams):
+        prefix[blk] = acc.copy()
+        acc = acc + grams[blk]
+    bprefix = spark.sparkContext.broadcast(prefix)
+    id_type = _id_type(df)
+
+    def score_part(it):
+        P = None
+        for pdf in it:
+            if pdf.empty:
+                continue
+            if P is None:
+                P = bprefix.value.get(int(pdf["block"].iloc[0]), np.zeros((d, d))).copy()
+            X = np.stack(pdf["x"].to_numpy()).astype(float).reshape(-1, d)
+            res = np.empty(len(X))
+            chunk = max(1, min(4096, int(2_000_000 // max(1, d * d))))
+            for s0 in range(0, len(X), chunk):
+                Xc = X[s0:s0 + chunk]
+                Ms = P[None, :, :] + np.cumsum(np.einsum("ni,nj->nij", Xc, Xc), axis=0)
+                P = Ms[-1]
+                res[s0:s0 + len(Xc)] = _online_scores(Ms, Xc, method)
+            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "score": res})
+
+    scored = blocked.mapInPandas(score_part, f"id {id_type}, score DOUBLE")
+    return df.join(scored.withColumnRenamed("score", out), "id")
 
 
 def _id_type(df: DataFrame) -> str:

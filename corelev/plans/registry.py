@@ -516,6 +516,19 @@ def q_reservoir_ev(spark, sf):
     return SM.reservoir_sample(sc, 5, weight="score", key="user_id", d=des.d).select("user_id", "id", "y")
 
 
+def q_keyed_sample_ev(spark, sf):
+    """D2 per key: 3 events per user without replacement, probability proportional to value."""
+    ev = T.table(spark, sf, "events").select(F.col("event_id").alias("id"), "user_id", "value")
+    return SM.keyed_weighted_sample(ev, 3, "value", "user_id", seed=0, stream="user").select("user_id", "id")
+
+
+def sql_keyed_sample_ev():
+    key = f"-ln({O.u('event_id', 0, 'user')}) / value"
+    return ("SELECT user_id, id FROM (SELECT user_id, event_id AS id, "
+            f"row_number() OVER (PARTITION BY user_id ORDER BY {key}, event_id) AS rk FROM events WHERE value > 0) "
+            "WHERE rk <= 3")
+
+
 def q_online_ridge_ev(spark, sf):
     """Online ridge-leverage reservoir per user (k = 5, c = 1/n), weights 1."""
     des = T.events_design(spark, sf, key=True)
