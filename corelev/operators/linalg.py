@@ -45,8 +45,14 @@ def pinv_sym(G: np.ndarray, rtol: float = 1e-12) -> np.ndarray:
 
 
 def r_factor(sketch: np.ndarray) -> np.ndarray:
-    """C4: R of a sketch (mode='r')."""
-    return np.linalg.qr(sketch, mode="r")
+    """C4: R of a sketch (mode='r'), rows signed so the diagonal is non-negative.
+
+    QR is unique only up to row signs of R; fixing them makes R equal to the
+    Cholesky factor of S^T S, so results do not depend on the LAPACK build.
+    """
+    R = np.linalg.qr(sketch, mode="r")
+    sg = np.where(np.diag(R) < 0, -1.0, 1.0)
+    return sg[:, None] * R
 
 
 def r_inverse(R: np.ndarray) -> np.ndarray:

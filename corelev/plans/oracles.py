@@ -117,13 +117,45 @@ def u(id_sql="id", seed=0, stream="u", stream_sql=None) -> str:
     return uniform_sql(id_sql, seed, stream, "duckdb", stream_sql)
 
 
-def loss_select(p: float, beta, d: int, src: str) -> str:
+def loss_select(p: float, beta, d: int, src: str, tail: str = "exact") -> str:
     """CTE body with z, s, lc, g, gp for fixed beta over design ``src``."""
     dot = " + ".join(f"x{j} * {float(b)!r}" for j, b in enumerate(beta))
     s = PN.sql_s("z", p, "duckdb")
     lc = PN.sql_ln_cdf_neg("z", "s", p, "duckdb")
-    g, gp = PN.sql_from_lcdf("z", "s", "lc", p, "duckdb")
+    g, gp = PN.sql_from_lcdf("z", "s", "lc", p, "duckdb", tail=tail)
     return (f"lz AS (SELECT {src}.*, -y * ({dot}) AS z FROM {src}),\n"
             f"ls AS (SELECT *, {s} AS s FROM lz),\n"
             f"lc AS (SELECT *, {lc} AS lc FROM ls),\n"
             f"lg AS (SELECT *, {g} AS g, {gp} AS gp FROM lc)")
+
+
+def cholesky_inverse_ctes(prefix: str, gram: str, d: int) -> tuple[str, str]:
+    """CTEs giving li{i}_{j} = (L^-1)_{ij} for G = L L^T (lower L), from g{i}_{j} columns."""
+    ctes = []
+    prev = gram
+    for j in range(d):
+        cols = []
+        acc = " + ".join(f"l{j}_{k} * l{j}_{k}" for k in range(j)) or "0"
+        cols.append(f"sqrt(g{j}_{j} - ({acc})) AS l{j}_{j}")
+        ctes.append(f"{prefix}d{j} AS (SELECT *, {cols[0]} FROM {prev})")
+        prev = f"{prefix}d{j}"
+        offs = []
+        for i in range(j + 1, d):
+            acc = " + ".join(f"l{i}_{k} * l{j}_{k}" for k in range(j)) or "0"
+            offs.append(f"(g{i}_{j} - ({acc})) / l{j}_{j} AS l{i}_{j}")
+        if offs:
+            ctes.append(f"{prefix}o{j} AS (SELECT *, {', '.join(offs)} FROM {prev})")
+            prev = f"{prefix}o{j}"
+    for i in range(d):
+        cols = [f"1.0 / l{i}_{i} AS li{i}_{i}"]
+        for j in range(i):
+            acc = " + ".join(f"l{i}_{k} * li{k}_{j}" for k in range(j, i))
+            cols.append(f"-({acc}) / l{i}_{i} AS li{i}_{j}")
+        ctes.append(f"{prefix}i{i} AS (SELECT *, {', '.join(cols)} FROM {prev})")
+        prev = f"{prefix}i{i}"
+    return ",\n".join(ctes), prev
+
+
+def q_of_x_sql(d: int, inv: str) -> list:
+    """q_k = (L^-1 x)_k as SQL terms over x0..x{d-1}."""
+    return ["(" + " + ".join(f"{inv}.li{k}_{j} * x{j}" for j in range(k + 1)) + ")" for k in range(d)]

@@ -134,7 +134,17 @@ def sql_leverage_l4():
 def q_leverage_p1_l4(spark, sf):
     """C7 with p = 1: ||Q_i||_1 of the QR basis (Cholesky R of the Gram)."""
     des = T.lineitem_design(spark, sf)
-    return S.leverage_scores(des.df, p=1.0, d=des.d).select("id", F.round(F.col("score"), 6).alias("score"))
+    return S.leverage_scores(des.df, p=1.0, d=des.d).select(
+        "id", F.round(F.col("score") * math.sqrt(des.n), 6).alias("score_rn"))
+
+
+def sql_leverage_p1_l4():
+    g = O.gram_cte("lg", "l4", 5)
+    ch, fin = O.cholesky_inverse_ctes("lc", "lg", 5)
+    q = O.q_of_x_sql(5, fin)
+    score = " + ".join(f"abs({t})" for t in q)
+    return (f"WITH {O.l4_cte()},\n{g},\n{ch}\n"
+            f"SELECT id, round(({score}) * sqrt(n), 6) AS score_rn FROM l4, {fin}")
 
 
 def q_ridge_leverage_l4(spark, sf):
@@ -259,6 +269,35 @@ def q_fast_leverage_l4(spark, sf):
         "id", F.round(F.col("score") * des.n, 6).alias("score_n"))
 
 
+def _sql_sketch_scores(root: bool):
+    from ..operators.scores import JL_DIM
+
+    s = 25
+    fac = "(CASE WHEN {ug} < 0.5 THEN -1.0 ELSE 1.0 END)".format(ug=O.u("id", 0, "cs:g"))
+    sums = ", ".join(f"sum(fac * x{j}) AS v{j}" for j in range(5))
+    gcols = ", ".join(f"sum(v{i} * v{j}) AS g{i}_{j}" for i in range(5) for j in range(5))
+    ch, fin = O.cholesky_inverse_ctes("sc", "sg", 5)
+    q = O.q_of_x_sql(5, fin)
+    rng = np.random.default_rng([0, 7919])
+    G = rng.normal(loc=0.0, scale=1.0 / np.sqrt(JL_DIM), size=(5, JL_DIM))
+    cols = [" + ".join(f"{t} * {float(G[k, c])!r}" for k, t in enumerate(q)) for c in range(JL_DIM)]
+    sq = " + ".join(f"power({c}, 2)" for c in cols)
+    val = f"(sqrt({sq}) + 1.0 / n) * sqrt(n)" if root else f"({sq}) * n"
+    name = "score_rn" if root else "score_n"
+    return (f"WITH {O.l4_cte()},\nr AS (SELECT x0, x1, x2, x3, x4, "
+            f"CAST(floor({O.u('id', 0, 'cs:f')} * {float(s)!r}) AS BIGINT) AS bucket, {fac} AS fac FROM l4),\n"
+            f"sk AS (SELECT bucket, {sums} FROM r GROUP BY bucket),\nsg AS (SELECT {gcols} FROM sk),\n{ch}\n"
+            f"SELECT id, round({val}, 6) AS {name} FROM l4, {fin}")
+
+
+def sql_fast_leverage_l4():
+    return _sql_sketch_scores(False)
+
+
+def sql_root_leverage_l4():
+    return _sql_sketch_scores(True)
+
+
 def q_root_leverage_l4(spark, sf):
     """Root-leverage score ||Q_i||_2 + 1/n (sketched)."""
     des = T.lineitem_design(spark, sf)
@@ -318,9 +357,9 @@ def sql_multi_sample_l4():
 
 # ---------------------------------------------------------------- probit loss
 
-def _loss_query(spark, sf, p):
+def _loss_query(spark, sf, p, beta=BETA_FIXED, tail="exact"):
     des = T.lineitem_design(spark, sf)
-    t = P.loss_columns(des.df, BETA_FIXED, p, with_hess=False)
+    t = P.loss_columns(des.df, beta, p, tail=tail, with_hess=False)
     x, y, w = F.col("x"), F.col("y").cast("double"), F.col("w")
     n = des.n
     aggs = [F.round(F.sum(w * F.col("_g")) / n, 8).alias("f_n")]
@@ -328,9 +367,9 @@ def _loss_query(spark, sf, p):
     return t.agg(*aggs)
 
 
-def _sql_loss(p):
+def _sql_loss(p, beta=BETA_FIXED, tail="exact"):
     gs = ", ".join(f"round(sum(-gp * y * x{j}) / max(n), 8) AS g{j}_n" for j in range(5))
-    return (f"WITH {O.l4_cte()},\n{O.loss_select(p, BETA_FIXED, 5, 'l4')}\n"
+    return (f"WITH {O.l4_cte()},\n{O.loss_select(p, beta, 5, 'l4', tail)}\n"
             f"SELECT round(sum(g) / max(n), 8) AS f_n, {gs} FROM lg")
 
 
@@ -361,6 +400,18 @@ def sql_loss_p3_l4():
     return _sql_loss(3.0)
 
 
+BETA_WIDE = [5 * b for b in BETA_FIXED]  # margins reach past the p = 5 cut-off
+
+
+def q_loss_p5_reftail_l4(spark, sf):
+    """p = 5 loss/gradient with the reference's polynomial tail above the cut-off z > 5."""
+    return _loss_query(spark, sf, 5.0, BETA_WIDE, tail="reference")
+
+
+def sql_loss_p5_reftail_l4():
+    return _sql_loss(5.0, BETA_WIDE, tail="reference")
+
+
 def q_misclassified_l4(spark, sf):
     """Margin x.beta and normalised residual of misclassified rows."""
     des = T.lineitem_design(spark, sf)
