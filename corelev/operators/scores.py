@@ -176,21 +176,19 @@ def online_leverage_scores(df: DataFrame, d: int | None = None, method: str = "p
     and each partition is one block. Pass 1: one Gram per partition (Arrow,
     streaming); the driver forms the exclusive prefix over the B blocks
     (B x d^2 numbers). Pass 2: every partition streams its sorted rows through
-    cumulative sums starting from its prefix; memory is one Arrow batch.
+    cumulative sums starting from its prefix and appends the score to the rows
+    it passes through (no join back); memory is one Arrow batch.
     """
     if method not in ("pinv", "solve"):
         raise ValueError("Method must be either pinv or solve!")
-    import pandas as pd
-
     d = array_width(df) if d is None else d
     n = _n(df, n)
     spark = df.sparkSession
     if block_rows is None:
         block_rows = max(200_000, int(math.ceil(n / 100_000)))
     nblocks = max(1, int(math.ceil(n / block_rows)))
-    base = df.select("id", "ord", "x")
-    blocked = (base.repartitionByRange(nblocks, "ord", "id").sortWithinPartitions("ord", "id")
-               .withColumn("block", F.spark_partition_id()))
+    blocked = (df.repartitionByRange(nblocks, "ord", "id").sortWithinPartitions("ord", "id")
+               .withColumn("_blk", F.spark_partition_id()))
     from pyspark import StorageLevel
 
     blocked = blocked.persist(StorageLevel.MEMORY_AND_DISK)
@@ -203,29 +201,34 @@ def online_leverage_scores(df: DataFrame, d: int | None = None, method: str = "p
                 continue
             X = _batch_matrix(b, "x", d)
             G += X.T @ X
-            blk = int(b.column(b.schema.get_field_index("block"))[0].as_py())
+            blk = int(b.column(b.schema.get_field_index("_blk"))[0].as_py())
         if blk is not None:
             yield pa.RecordBatch.from_arrays([pa.array([blk], pa.int32()),
                                               pa.array([G.ravel().tolist()], pa.list_(pa.float64()))],
                                              names=["block", "g"])
 
     grams = {r["block"]: np.asarray(r["g"]).reshape(d, d)
-             for r in blocked.select("x", "block").mapInArrow(gram_part, "block INT, g ARRAY<DOUBLE>").collect()}
+             for r in blocked.select("x", "_blk").mapInArrow(gram_part, "block INT, g ARRAY<DOUBLE>").collect()}
     prefix, acc = {}, np.zeros((d, d))
     for blk in sorted(grams):
         prefix[blk] = acc.copy()
         acc = acc + grams[blk]
     bprefix = spark.sparkContext.broadcast(prefix)
-    id_type = _id_type(df)
+    src = blocked.drop("_blk").withColumn("_blk", F.spark_partition_id())
+    keep = [c for c in df.columns]
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    out_schema = StructType([df.schema[c] for c in keep] + [StructField(out, DoubleType())])
 
-    def score_part(it):
+    def score_part(batches):
         P = None
-        for pdf in it:
-            if pdf.empty:
+        for b in batches:
+            if b.num_rows == 0:
                 continue
             if P is None:
-                P = bprefix.value.get(int(pdf["block"].iloc[0]), np.zeros((d, d))).copy()
-            X = np.stack(pdf["x"].to_numpy()).astype(float).reshape(-1, d)
+                blk = int(b.column(b.schema.get_field_index("_blk"))[0].as_py())
+                P = bprefix.value.get(blk, np.zeros((d, d))).copy()
+            X = _batch_matrix(b, "x", d)
             res = np.empty(len(X))
             chunk = max(1, min(4096, int(2_000_000 // max(1, d * d))))
             for s0 in range(0, len(X), chunk):
@@ -233,10 +236,11 @@ def online_leverage_scores(df: DataFrame, d: int | None = None, method: str = "p
                 Ms = P[None, :, :] + np.cumsum(np.einsum("ni,nj->nij", Xc, Xc), axis=0)
                 P = Ms[-1]
                 res[s0:s0 + len(Xc)] = _online_scores(Ms, Xc, method)
-            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "score": res})
+            cols = [b.column(b.schema.get_field_index(c)) for c in keep] + [pa.array(res, pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(
+                [b.schema.field(b.schema.get_field_index(c)) for c in keep] + [pa.field(out, pa.float64())]))
 
-    scored = blocked.mapInPandas(score_part, f"id {id_type}, score DOUBLE")
-    return df.join(scored.withColumnRenamed("score", out), "id")
+    return src.mapInArrow(score_part, out_schema)
 
 
 def _id_type(df: DataFrame) -> str:
