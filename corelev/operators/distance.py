@@ -206,6 +206,27 @@ def mmd_gaussian_rff(x: DataFrame, y: DataFrame, features: int = 256, seed: int
     return diff.agg(F.sqrt(F.greatest(F.sum(F.col("dm") * F.col("dm")), F.lit(0.0))).alias("mmd"))
 
 
+def mmd_feature_map(x: DataFrame, y: DataFrame, phi, col: str = "x") -> DataFrame:
+    """F6 with a user kernel k(a, b) = phi(a) . phi(b) given as a feature map
+    ``phi: Column(array) -> Column(array)`` (G12 hook): MMD = ||E phi(x) - E phi(y)||,
+    one aggregate per sample, no pairs."""
+    tagged = x.select(phi(F.col(col)).alias("f"), F.lit(0).alias("_tag")).unionByName(
+        y.select(phi(F.col(col)).alias("f"), F.lit(1).alias("_tag")))
+    means = tagged.select("_tag", F.posexplode("f").alias("pos", "v")).groupBy("_tag", "pos") \
+        .agg(F.avg("v").alias("m"))
+    diff = means.groupBy("pos").agg((F.sum(F.when(F.col("_tag") == 0, F.col("m")).otherwise(0.0))
+                                     - F.sum(F.when(F.col("_tag") == 1, F.col("m")).otherwise(0.0))).alias("dm"))
+    return diff.agg(F.sqrt(F.greatest(F.sum(F.col("dm") * F.col("dm")), F.lit(0.0))).alias("mmd"))
+
+
+def polynomial_features(a: Column, d: int) -> Column:
+    """Explicit features of (1 + a.b)^2: [1, sqrt2 a_i, a_i a_j] with k(a, b) = phi(a).phi(b)."""
+    r2 = math.sqrt(2.0)
+    feats = [F.lit(1.0)] + [a[i] * F.lit(r2) for i in range(d)]
+    feats += [a[i] * a[j] for i in range(d) for j in range(d)]
+    return F.array(*feats)
+
+
 def mean_distance_grouped(samples: DataFrame, reference: DataFrame, group_cols, col: str = "beta") -> DataFrame:
     """||mean(group) - mean(reference)||_2 per group."""
     d = array_width(reference, col)

@@ -140,12 +140,32 @@ def leverage_coreset(df: DataFrame, k: int, augmented: bool = True, round_up: bo
     return core, scored
 
 
-def lewis_coreset(df: DataFrame, k: int, fast: bool = True, precomputed: str | None = None,
-                  seed: int = 0, n: int | None = None, d: int | None = None):
-    """Lewis weights -> probabilities -> race sample; returns probabilities (and w)."""
+def coreset_size(size, n: int, max_fraction: float = 1.0) -> int:
+    """An int size (capped at n) or a fraction of n in (0, max_fraction]."""
+    if isinstance(size, bool):
+        raise ValueError("size must be an int or a float")
+    if isinstance(size, int):
+        if size <= 0:
+            raise ValueError(f"If the size is an int, it must be positive, but {size} was passed")
+        return min(size, n)
+    if isinstance(size, float):
+        if size <= 0.0 or size > max_fraction:
+            raise ValueError(f"A fractional size must be in (0, {max_fraction}], but {size} was passed")
+        return max(1, int(n * size + 0.5))
+    raise ValueError("size must be an int or a float")
+
+
+def lewis_coreset(df: DataFrame, k, fast: bool = True, precomputed: str | None = None,
+                  seed: int = 0, n: int | None = None, d: int | None = None, basis: str | None = None,
+                  jl_dim: int = S.JL_DIM):
+    """Lewis weights (basis exact / sketch / gauss) -> probabilities -> race sample.
+
+    ``k`` may be an int or a fraction of n. Returns (coreset with p and w, scored).
+    """
     n = int(df.count()) if n is None else n
+    k = coreset_size(k, n)
     scored = df.withColumnRenamed(precomputed, "score") if precomputed else \
-        S.lewis_weights(df, fast=fast, d=d, n=n, seed=seed)
+        S.lewis_weights(df, fast=fast, d=d, n=n, seed=seed, basis=basis, jl_dim=jl_dim)
     scored = scored.persist()
     core = weighted_sample(scored, k, "score", seed, "lewis").withColumn("w", S.importance_weight(F.col("p"), k))
     return core, scored

@@ -101,14 +101,14 @@ def countsketch(df: DataFrame, s: int, d: int, p: float = 2.0, seed: int = 0,
 
 
 def fast_basis(df: DataFrame, p: float = 2.0, d: int | None = None, seed: int = 0,
-               n: int | None = None, jl_dim: int = JL_DIM, stream: str = "cs",
+               n: int | None = None, jl_dim: int | None = JL_DIM, stream: str = "cs",
                scale: Column | None = None) -> np.ndarray:
-    """R^{-1} (p != 2) or R^{-1} G with G ~ N(0, 1/k) of width k (p = 2)."""
+    """R^{-1} (p != 2, or jl_dim=None) or R^{-1} G with G ~ N(0, 1/k), k = jl_dim (p = 2)."""
     d = array_width(df) if d is None else d
     s = sketch_size(_n(df, n) if p > 2 else 0, d, p)
     S = countsketch(df, s, d, p, seed, stream, scale)
     Rinv = r_inverse(r_factor(S))
-    if p == 2.0:
+    if p == 2.0 and jl_dim:
         rng = np.random.default_rng([int(seed), 7919])
         G = rng.normal(loc=0.0, scale=1.0 / np.sqrt(jl_dim), size=(Rinv.shape[1], jl_dim))
         return Rinv @ G
@@ -126,26 +126,38 @@ def root_leverage_scores(df: DataFrame, d: int | None = None, n: int | None = No
 
 # -- Lewis weights -----------------------------------------------------------
 
+LEWIS_BASES = ("exact", "sketch", "gauss")
+
+
 def lewis_weights(df: DataFrame, T: int = 20, fast: bool = False, d: int | None = None,
-                  n: int | None = None, seed: int = 0, out: str = "score") -> DataFrame:
-    """l1 Lewis weights by T rounds of w <- sqrt(w * lev(W^-1/2 X)), then + 1/n.
+                  n: int | None = None, seed: int = 0, out: str = "score", basis: str | None = None,
+                  jl_dim: int = JL_DIM) -> DataFrame:
+    """l1 Lewis weights by T rounds of w <- sqrt(w * lev(W^-1/2 X)), then + 1/n.
+
+    basis: 'exact' (pseudo-inverse of the weighted Gram; equals a full QR basis),
+    'sketch' (CountSketch R only) or 'gauss' (CountSketch R and a Gaussian JL
+    projection of width ``jl_dim``); ``fast=True`` is 'gauss' with k = 20.
 
     Since lev_i(W^-1/2 X) = x_i^T (X^T W^-1 X)^+ x_i / w_i, round t's weight is
     ||x_i^T M_t|| for a d x r literal M_t: each round is ONE aggregate over the
     base rows and the lineage never grows. Zero rows keep weight 0 and are
     skipped in the next Gram.
     """
+    basis = basis or ("gauss" if fast else "exact")
+    if basis not in LEWIS_BASES:
+        raise ValueError(f"basis must be one of {LEWIS_BASES}")
     d = array_width(df) if d is None else d
     n = _n(df, n)
     wcol = "__lw"
     cur = df.withColumn(wcol, F.lit(1.0))
     for t in range(T):
         inv_w = F.when(F.col(wcol) > 0, F.lit(1.0) / F.col(wcol)).otherwise(F.lit(0.0))
-        if not fast:
+        if basis == "exact":
             M = basis_from_gram(gram(cur, d, weight=inv_w), prefer="eigh")
         else:
             scale = F.when(F.col(wcol) > 0, F.lit(1.0) / F.sqrt(F.col(wcol))).otherwise(F.lit(0.0))
-            M = fast_basis(cur, 2.0, d, seed, n, stream=f"lw{t}", scale=scale)
+            M = fast_basis(cur, 2.0, d, seed, n, stream=f"lw{t}", scale=scale,
+                           jl_dim=jl_dim if basis == "gauss" else None)
         cur = with_row_norm(df, M, wcol, p=2.0, power=False)
     return cur.withColumn(out, F.col(wcol) + F.lit(1.0 / n)).drop(wcol)
 

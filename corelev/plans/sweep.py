@@ -44,8 +44,17 @@ def config_grid(spark, min_size: int, max_size: int, step: int, num_runs: int) -
 
 def score_design(design, method: str, p: float = 2.0, fast: bool = True, seed: int = 0,
                  online: bool = False) -> DataFrame:
-    """Per-row (unnormalised) sampling weights ``score`` for a method."""
+    """Per-row (unnormalised) sampling weights ``score`` for a method.
+
+    ``method`` may also be a callable ``design -> DataFrame`` returning the design
+    rows with a non-negative ``score`` column (G12 user hook).
+    """
     df, n, d = design.df, design.n, design.d
+    if callable(method):
+        out = method(design)
+        if "score" not in out.columns:
+            raise ValueError("a sampler hook must return a 'score' column")
+        return out
     if method == "uniform":
         return df.withColumn("score", F.lit(1.0))
     if method == "leverage":
@@ -79,7 +88,8 @@ def sweep(design, method: str = "leverage", p: float = 2.0, sizes=(500,), runs=(
         raise ValueError("Sample size can't be greater than total number of samples!")
     t0 = time.perf_counter()
     scored = score_design(design, method, p, fast, seed, online).persist()
-    ranked = SM.multi_sample(scored, sizes, runs, "score", seed, stream=f"sweep:{method}")
+    tag = method if isinstance(method, str) else getattr(method, "__name__", "custom")
+    ranked = SM.multi_sample(scored, sizes, runs, "score", seed, stream=f"sweep:{tag}")
     if method == "uniform":
         ranked = ranked.drop("p")
     ranked = ranked.persist()
@@ -158,7 +168,8 @@ def bayes_sweep(design, method: str = "uniform", sizes=(500,), runs=(1,), seed:
     sizes = sorted(int(s) for s in sizes)
     t0 = time.perf_counter()
     scored = score_design(design, method, 2.0, True, seed, online).persist()
-    ranked = SM.multi_sample(scored, sizes, runs, "score", seed, stream=f"bayes:{method}").persist()
+    tag = method if isinstance(method, str) else getattr(method, "__name__", "custom")
+    ranked = SM.multi_sample(scored, sizes, runs, "score", seed, stream=f"bayes:{tag}").persist()
     ranked.count()
     t1 = time.perf_counter()
     draws = PO.posterior_draws(ranked, ["run"], design.d, prior_mean, prior_cov, num_samples, 1, burn_in,

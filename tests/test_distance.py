@@ -49,3 +49,11 @@ def test_grouped_distances(spark):
         np.testing.assert_allclose(mn[k], np.linalg.norm(np.cov(part, rowvar=False) - np.cov(ref, rowvar=False), 2),
                                    rtol=1e-8)
         np.testing.assert_allclose(mm[k], D.mmd_exact_numpy(part, ref, "polynomial"), rtol=1e-6)
+
+
+def test_feature_map_hook_equals_polynomial(spark):
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(0, 1, (300, 3)), rng.normal(0.3, 1.2, (200, 3))
+    A, B = _df(spark, a), _df(spark, b)
+    got = D.mmd_feature_map(A, B, lambda c: D.polynomial_features(c, 3)).collect()[0]["mmd"]
+    np.testing.assert_allclose(got, D.mmd_exact_numpy(a, b, "polynomial"), rtol=1e-8)
