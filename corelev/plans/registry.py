@@ -305,6 +305,45 @@ def q_root_leverage_l4(spark, sf):
         "id", F.round(F.col("score") * math.sqrt(des.n), 6).alias("score_rn"))
 
 
+def q_lewis_sketch_o1(spark, sf):
+    """Lewis weights with a CountSketch basis (no JL projection), T = 20."""
+    des = T.orders_design(spark, sf)
+    sc = S.lewis_weights(des.df, T=20, d=des.d, n=des.n, basis="sketch")
+    return sc.select("id", F.round(F.col("score") * des.n, 6).alias("score_n"))
+
+
+def _sql_lewis_sketched(jl: bool, T_=20):
+    ctes = [O.o1_cte(), "w0 AS (SELECT id, x0, x1, n, CAST(1.0 AS DOUBLE) AS w FROM o1)"]
+    G = None
+    if jl:
+        rng = np.random.default_rng([0, 7919])
+        G = rng.normal(loc=0.0, scale=1.0 / np.sqrt(S.JL_DIM), size=(2, S.JL_DIM))
+    for t in range(T_):
+        b = f"CAST(floor({O.u('id', 0, f'lw{t}:f')} * 4.0) AS BIGINT)"
+        sg = f"(CASE WHEN {O.u('id', 0, f'lw{t}:g')} < 0.5 THEN -1.0 ELSE 1.0 END)"
+        ctes.append(f"sk{t} AS (SELECT {b} AS bk, sum({sg} * x0 / sqrt(w)) AS v0, sum({sg} * x1 / sqrt(w)) AS v1 "
+                    f"FROM w{t} WHERE w > 0 GROUP BY 1)")
+        ctes.append(f"c{t} AS (SELECT sqrt(sum(v0 * v0)) AS l00, sum(v0 * v1) / sqrt(sum(v0 * v0)) AS l10, "
+                    f"sqrt(sum(v1 * v1) - sum(v0 * v1) * sum(v0 * v1) / sum(v0 * v0)) AS l11 FROM sk{t})")
+        q0 = "(x0 / l00)"
+        q1 = "(-l10 / (l00 * l11) * x0 + x1 / l11)"
+        if G is None:
+            norm = f"{q0} * {q0} + {q1} * {q1}"
+        else:
+            norm = " + ".join(f"power({q0} * {float(G[0, c])!r} + {q1} * {float(G[1, c])!r}, 2)"
+                              for c in range(S.JL_DIM))
+        ctes.append(f"w{t + 1} AS (SELECT id, x0, x1, n, sqrt({norm}) AS w FROM w{t}, c{t})")
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT id, round((w + 1.0 / n) * n, 6) AS score_n FROM w{T_}"
+
+
+def sql_lewis_sketch_o1():
+    return _sql_lewis_sketched(False)
+
+
+def sql_lewis_fast_o1():
+    return _sql_lewis_sketched(True)
+
+
 def q_lewis_fast_o1(spark, sf):
     """Sketched Lewis weights (T = 20)."""
     des = T.orders_design(spark, sf)
