@@ -169,12 +169,14 @@ def _lev_post(spark, sf, k=K_SAMPLE):
 
 
 def q_coreset_probs_l4(spark, sf):
-    """Augment, round up, normalise, weight."""
+    """Augment, round up, normalise, weight, and back to probability."""
     des, sc = _lev_post(spark, sf)
     n = des.n
+    back = S.probability_from_weight(F.col("w"), K_SAMPLE)
     return sc.select("id", F.round(F.col("aug") * n, 6).alias("aug_n"),
                      F.round(F.col("rounded") * n, 6).alias("rounded_n"),
-                     F.round(F.col("p") * n, 6).alias("p_n"), F.round("w", 6).alias("w"))
+                     F.round(F.col("p") * n, 6).alias("p_n"), F.round("w", 6).alias("w"),
+                     F.round(back * n, 6).alias("p_back_n"))
 
 
 def _sql_lev_post(k=K_SAMPLE):
@@ -187,7 +189,7 @@ def _sql_lev_post(k=K_SAMPLE):
 
 def sql_coreset_probs_l4():
     return (_sql_lev_post() + "SELECT id, round(aug * n, 6) AS aug_n, round(rounded * n, 6) AS rounded_n, "
-            "round(p * n, 6) AS p_n, round(w, 6) AS w FROM prob")
+            f"round(p * n, 6) AS p_n, round(w, 6) AS w, round(1.0 / (w * {K_SAMPLE}) * n, 6) AS p_back_n FROM prob")
 
 
 def q_online_leverage_ev(spark, sf):
@@ -207,6 +209,17 @@ def sql_online_leverage_ev():
             "ELSE 1.0 / c END)), 8) AS score FROM t")
 
 
+def q_online_leverage_solve_ev(spark, sf):
+    """Online leverage with the 'solve' method (clipped above only)."""
+    des = T.events_design(spark, sf)
+    sc = S.online_leverage_scores(des.df, d=des.d, n=des.n, method="solve", block_rows=3_000)
+    return sc.select("id", F.round("score", 8).alias("score"))
+
+
+def sql_online_leverage_solve_ev():
+    return sql_online_leverage_ev().replace("greatest(0.0, least(1.0, ", "(least(1.0, ")
+
+
 def q_lewis_o1(spark, sf):
     """C17: exact l1 Lewis weights, T = 20, + 1/n (orders, d = 2)."""
     des = T.orders_design(spark, sf)
@@ -755,6 +768,22 @@ def _ev_samples(spark, sf):
     return ev.filter(F.col("event_type") == "click"), ev.filter(F.col("event_type") == "view")
 
 
+def q_bayes_summary_l4(spark, sf):
+    """F7 + G2/G3/G7: posterior-mean distance of each (run, size) to the largest coreset's
+    posterior, summarised per size (median, quartiles, count), and draws per second."""
+    from ..operators import distance as D
+    from ..operators import summary as G
+
+    out = _bayes(spark, sf, "uniform").persist()
+    dr = out.select("run", "size", F.array(*[F.col(f"beta_{j}") for j in range(5)]).alias("beta"))
+    ref = dr.filter(F.col("size") == 400)
+    dist = D.mean_distance_grouped(dr.filter(F.col("size") == 200), ref, ["run", "size"])
+    summ = G.metric_summary(dist, ["size"], "norm")
+    med = G.medians(dist, ["size"], ["norm"]).withColumnRenamed("norm", "median_norm")
+    rate = G.draws_per_second(out.select("run", "total_time_s", "reduction_time_s").distinct(), 50, 200)
+    return summ.join(med, "size").withColumn("_k", F.lit(0)).join(rate.withColumn("_k", F.lit(0)), "_k").drop("_k")
+
+
 def q_mmd_poly_ev(spark, sf):
     """polynomial-kernel MMD between click and view event vectors (exact, via moments)."""
     from ..operators import distance as D

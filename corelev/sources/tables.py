@@ -79,13 +79,15 @@ LANGS = ["de", "en", "es", "fr"]
 
 
 def documents_design(spark, sf_dir) -> Design:
-    """DL: documents joined to labels; n_chars (scaled) + one-hot lang; y = +1 iff quality 1."""
+    """DL: documents joined to labels; n_chars (scaled) + one-hot lang; y = 2 quality - 1."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     df = docs.join(labels, "doc_id")
     feats = {"n_chars": "n_chars"}
     for lg in LANGS:
         feats[f"lang_{lg}"] = (F.col("lang") == lg).cast("double")
-    spec = DesignSpec(id="doc_id", features=feats, label=F.col("quality") == 1,
-                      standardize=["n_chars"], intercept=False)
+    from .design import label_from01
+
+    spec = DesignSpec(id="doc_id", features=feats, label=label_from01(F.col("quality")),
+                      label_is_condition=False, standardize=["n_chars"], intercept=False)
     return build_design(df, spec)
