@@ -198,7 +198,9 @@ def online_leverage_scores(df: DataFrame, d: int | None = None, method: str = "p
     spark = df.sparkSession
     if block_rows is None:
         block_rows = max(200_000, int(math.ceil(n / 100_000)))
-    nblocks = max(1, int(math.ceil(n / block_rows)))
+    # the prefix table (B x d^2 doubles) is broadcast: keep it under ~10 M doubles
+    max_blocks = max(1, int(10_000_000 // (d * d)))
+    nblocks = min(max(1, int(math.ceil(n / block_rows))), max_blocks)
     blocked = (df.repartitionByRange(nblocks, "ord", "id").sortWithinPartitions("ord", "id")
                .withColumn("_blk", F.spark_partition_id()))
     from pyspark import StorageLevel

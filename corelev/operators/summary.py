@@ -38,7 +38,8 @@ def sweep_summary(df: DataFrame, group_cols=("size",), value: str = "ratio",
         df, g = df.withColumn("_all", F.lit(0)), ["_all"]
     exact = _exact_ok(df, g)
     med = df.groupBy(*g).agg(_pct(value, 0.5, exact).alias("_med"))
-    with_med = df.join(F.broadcast(med), g)
+    # one row per group: AQE broadcasts it when it is small, shuffles it otherwise
+    with_med = df.join(med, g)
     mad = with_med.groupBy(*g).agg(_pct_expr(F.abs(F.col(value) - F.col("_med")), 0.5, exact).alias("mad"))
     aggs = [_pct(value, 0.5, exact).alias(f"median_{value}"), F.stddev_samp(value).alias("std"),
             _pct(value, 0.75, exact).alias("q75"), _pct(value, 0.25, exact).alias("q25")]
