@@ -45,8 +45,13 @@ def main():
         q[name] = round(time.perf_counter() - t0, 4)
         return out
 
-    # warm-up (JVM / Python worker start) on a tiny design, not timed
-    T.orders_design(spark, sf_dir).df.limit(10).count()
+    # warm-up, not timed: JVM, Python workers and first-use code generation of the
+    # sampler / fit / kernel paths, run once on the small orders table
+    from corelev.plans.coreset import coreset_ratio
+
+    warm = T.orders_design(spark, sf_dir)
+    coreset_ratio(warm, 200, p=1.0).collect()
+    coreset_ratio(warm, 200, p=2.0).collect()
 
     des = timed("design_build", lambda: T.lineitem_design(spark, sf_dir).cache())
     des.df.count()
@@ -82,7 +87,7 @@ def main():
         core = core.select("id", "x", "y", "w").withColumn("cfg", F.lit(0)).persist()
         core.count()
         t1 = time.perf_counter()
-        fits = P.fit_groups(core, ["cfg"], 1.0, d).persist()
+        fits = P.fit_groups(core, ["cfg"], 1.0, d, known_max_rows=k).persist()
         fits.count()
         t2 = time.perf_counter()
         r = P.approximation_ratio(df, fits.select("cfg", "beta"), ["cfg"], beta_opt_p1, 1.0, d, f_opt=f_opt_p1).collect()
@@ -107,6 +112,10 @@ def main():
     timed("mmd_poly_by_label_d64", lambda: D.mmd_polynomial_grouped(emb, emb, ["label"]).collect())
     timed("gram_d64", lambda: __import__("corelev.operators.moments", fromlist=["gram"]).gram(emb, 64))
 
+    ev = T.events_design(spark, sf_dir, key=True)
+    timed("online_ridge_reservoir_per_user_k5",
+          lambda: SM.online_ridge_sample(ev.df, 5, c=1.0 / ev.n, key="user_id", d=ev.d).count())
+
     rows = ST.events_vectors(ST.event_stream(spark, sf_dir))
     timed("stream_online_leverage_per_user", lambda: ST.run_to_table(ST.online_leverage_stream(rows, 2), "b1").count())
 

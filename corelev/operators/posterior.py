@@ -64,6 +64,28 @@ def np_truncated_normal(mean: np.ndarray, y: np.ndarray, u: np.ndarray) -> np.nd
     return mean - y * np_norm_ppf_log(lt)
 
 
+def np_truncated_normal_interval(a, b, mean, std, u) -> np.ndarray:
+    """F1 (general form): N(mean, std^2) restricted to [a, b] by inverse CDF in log space.
+
+    With alpha, beta the standardised bounds, intervals in the upper half are mirrored
+    to the lower half; there x = Phi^-1(Phi(alpha) + u (Phi(beta) - Phi(alpha))) is
+    evaluated as ln Phi(beta) + ln(u + (1 - u) exp(ln Phi(alpha) - ln Phi(beta))), so
+    far tails (e.g. [10, 11] under N(0, 1)) stay exact. Infinite bounds are allowed.
+    """
+    a, b, mean, std, u = np.broadcast_arrays(*(np.asarray(v, dtype=float) for v in (a, b, mean, std, u)))
+    alpha, beta = (a - mean) / std, (b - mean) / std
+    flip = (alpha + beta) > 0            # interval mostly above the mean: mirror it
+    lo = np.where(flip, -beta, alpha)
+    hi = np.where(flip, -alpha, beta)
+    with np.errstate(all="ignore"):
+        l_lo = np.where(np.isneginf(lo), -np.inf, PN.ln_cdf_neg(-lo, 2.0))
+        l_hi = np.where(np.isposinf(hi), 0.0, PN.ln_cdf_neg(-hi, 2.0))
+        lt = l_hi + np.log(u + (1.0 - u) * np.exp(l_lo - l_hi))
+        x = np_norm_ppf_log(np.minimum(lt, 0.0))
+    x = np.clip(x, lo, hi)
+    return mean + std * np.where(flip, -x, x)
+
+
 def truncnorm_stages(mean_col: str, y_col: str, u_col: str, out: str, dialect: str = "spark"):
     """F1 as a list of (column, SQL) stages: out ~ N(mean, 1) restricted to sign(out) = y.
 

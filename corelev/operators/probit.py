@@ -218,18 +218,25 @@ def np_fit(X, y, w, p, tail="exact", max_iter=100, warn=False):
 
 
 def fit_groups(df: DataFrame, group_cols, p: float, d: int, tail: str = "exact",
-               max_group_rows: int = 2_000_000, size_col: str | None = None, sizes=None) -> DataFrame:
+               max_group_rows: int = 2_000_000, size_col: str | None = None, sizes=None,
+               known_max_rows: int | None = None) -> DataFrame:
     """Fit one model per group (coreset) inside one task each.
 
     Output: group cols (+ size), beta ARRAY<DOUBLE> (null if the group has one class),
     converged, iterations. With ``sizes``, each group holds ranked rows (``rank``)
-    and one fit is made per size on ``rank <= size`` with the weights in ``w_<size>``
+    and one fit is made per size on ``rank <= size`` with the weights
     computed as 1/(p size) from column ``p`` (or 1 when ``p`` is absent).
+    Groups above ``max_group_rows`` are refused (use ``fit_lockstep``); callers that
+    know the largest group (a coreset of size k) pass ``known_max_rows`` to skip the check.
     """
     import pandas as pd
 
     gcols = list(group_cols)
-    mx = df.groupBy(*gcols).count().agg(F.max("count")).collect()[0][0]
+    mx = known_max_rows
+    if mx is None and sizes is not None:
+        mx = max(int(v) for v in sizes)
+    if mx is None:
+        mx = df.groupBy(*gcols).count().agg(F.max("count")).collect()[0][0]
     if mx is not None and mx > max_group_rows:
         raise ValueError(f"a coreset group holds {mx} rows; fit it with fit() (distributed)")
     has_p = "p" in df.columns

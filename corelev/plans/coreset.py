@@ -37,7 +37,7 @@ def coreset_ratio(design, k: int, p: float = 1.0, method: str = "leverage", seed
     core = core.persist()
     core.count()
     t1 = time.perf_counter()
-    fits = P.fit_groups(core, ["cfg"], p, d).persist()
+    fits = P.fit_groups(core, ["cfg"], p, d, known_max_rows=k).persist()
     fits.count()
     t2 = time.perf_counter()
     if beta_opt is None:
