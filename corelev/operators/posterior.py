@@ -12,7 +12,6 @@ import math
 import zlib
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 

@@ -9,7 +9,6 @@ fitted inside one task each with the same Newton method in numpy.
 
 from __future__ import annotations
 
-import math
 import warnings
 
 import numpy as np

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import random as R
-from .linalg import basis_from_gram, r_factor, r_inverse, with_row_norm, pinv_sym
+from .linalg import basis_from_gram, r_factor, r_inverse, with_row_norm
 from .moments import NATIVE_MAX_D, _batch_matrix, array_width, gram
 
 JL_DIM = 20

@@ -9,8 +9,6 @@ everywhere (pandas ``median`` semantics).
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 

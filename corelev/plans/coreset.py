@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import time
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 

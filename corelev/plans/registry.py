@@ -10,7 +10,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pnormal as PN
@@ -745,7 +744,6 @@ def q_posterior_distances_l4(spark, sf):
     """Posterior-mean distance, covariance spectral norm and polynomial MMD
     of each (run, size) posterior against the posterior of the largest coreset."""
     from ..operators import distance as D
-    from ..operators.posterior import posterior_draws
 
     dr = _bayes(spark, sf, "leverage").select("run", "size", F.array(*[F.col(f"beta_{j}") for j in range(5)]).alias("beta"))
     dr = dr.persist()
