@@ -97,6 +97,9 @@ def sweep(design, method: str = "leverage", p: float = 2.0, sizes=(500,), runs=(
     fits = fit_configs(ranked, sizes, p, d, tail).persist()
     fits.count()
     t2 = time.perf_counter()
+    # the n-row scored table and the candidates are no longer needed once fits exist
+    ranked.unpersist()
+    scored.unpersist()
     if beta_opt is None:
         beta_opt = P.fit(df, p, d, check=False, tail=tail).beta
     ratios = P.approximation_ratio(df, fits.select("run", "size", "beta"), ["run", "size"], beta_opt, p, d,
@@ -175,6 +178,8 @@ def bayes_sweep(design, method: str = "uniform", sizes=(500,), runs=(1,), seed:
                                seed, prob_col="p", sizes=sizes).persist()
     draws.count()
     t2 = time.perf_counter()
+    ranked.unpersist()
+    scored.unpersist()
     m = len(sizes) * len(list(runs))
     out = PO.draws_wide(draws, design.d).withColumn("reduction_time_s", F.lit((t1 - t0) / m)) \
         .withColumn("total_time_s", F.lit((t2 - t0) / m))
