@@ -261,15 +261,127 @@ def _chao_kernel(k: int, d: int, seed: int, ridge: bool, lam: float, c: float |
 
 
 def reservoir_sample(df: DataFrame, k: int, weight: str = "score", key: str | None = None,
-                     seed: int = 0, d: int | None = None) -> DataFrame:
+                     seed: int = 0, d: int | None = None, block_rows: int | None = None) -> DataFrame:
     """Chao's weighted reservoir over ``ord`` (first k kept, then accept with
-    prob k w / sum w and replace a uniform slot), one reservoir per ``key`` group.
-
-    With key=None the whole order is one group, as in the reference; that is a
-    sequential algorithm and is refused above ``max_group_rows`` — use
-    ``weighted_sample`` (exact, mergeable) for a global sample at scale.
+    prob k w / sum w and replace a uniform slot), one reservoir per ``key`` group
+    (key=None: the whole order is one reservoir, as in the reference).
+
+    Exact and parallel. Once a row knows its 0-based position r_i in its key's
+    (ord, id) order and the inclusive weight sum W_i, its decision needs no other
+    row: it writes slot r_i if r_i < k, else slot floor(u2 k) if u1 < k w_i / W_i,
+    and every slot ends up holding its LAST writer. So: rows are range-partitioned
+    on (key, ord, id) - a hot key spreads over many partitions, ties are split by
+    id - one pass gives per-partition key totals (only a partition's first key can
+    continue from earlier partitions, so the carry table has at most B rows), one
+    streaming pass computes r_i, W_i and the decision and emits only the writers
+    (about k (1 + ln(n_key / k)) per key), and a grouped ``max_by`` per
+    (key, slot) keeps the last writer. No group is ever gathered in one task.
+    Equal to the sequential scan up to the summation order of W_i.
     """
-    return _reservoir(df, k, weight, key, seed, d, ridge=False, lam=0.0, c=None)
+    if k < 1:
+        raise ValueError("k must be positive")
+    kcol = key if key else "_g"
+    cols = list(df.columns)
+    src = df if key else df.withColumn("_g", F.lit(0))
+    src = src.withColumn("_w", F.col(weight).cast("double")) \
+        .withColumn("_u1", R.uniform("id", seed, "res1")).withColumn("_u2", R.uniform("id", seed, "res2"))
+    writers = _ordered_writers(src, k, kcol, block_rows)
+    payload = F.struct(*[F.col(c) for c in cols])
+    last = (writers.groupBy(kcol, "_slot")
+            .agg(F.max_by(payload, F.struct("ord", "id")).alias("_row")))
+    return last.select("_row.*")
+
+
+MAX_CARRY_BLOCKS = 100_000
+
+
+def _ordered_writers(src: DataFrame, k: int, kcol: str, block_rows: int | None) -> DataFrame:
+    """Rows of ``src`` (with _w, _u1, _u2) that write a reservoir slot, plus ``_slot``."""
+    import pandas as pd
+    from pyspark import StorageLevel
+    from pyspark.sql.types import IntegerType, StructField, StructType
+
+    n = src.count()
+    if block_rows is None:
+        block_rows = max(200_000, int(math.ceil(n / MAX_CARRY_BLOCKS)))
+    nblocks = min(MAX_CARRY_BLOCKS, max(1, int(math.ceil(n / block_rows))))
+    blocked = (src.repartitionByRange(nblocks, kcol, "ord", "id").sortWithinPartitions(kcol, "ord", "id")
+               .withColumn("_blk", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK))
+
+    def summary(batches):
+        first = last = None
+        lc, lw, blk, single = 0, 0.0, None, True
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            blk = int(pdf["_blk"].iat[0])
+            keys, w = pdf[kcol], pdf["_w"].to_numpy()
+            if first is None:
+                first = keys.iat[0]
+            for kv, c, sw in zip(*_segments(keys, w)):
+                if last is not None and kv == last:
+                    lc, lw = lc + c, lw + sw
+                else:
+                    if last is not None:
+                        single = False
+                    last, lc, lw = kv, c, sw
+        if blk is not None:
+            yield pd.DataFrame({"blk": [blk], "first": [first], "last": [last], "lc": [lc], "lw": [lw],
+                                "single": [single]})
+
+    ktype = src.schema[kcol].dataType.simpleString()
+    summ = sorted(blocked.select(kcol, "_w", "_blk").mapInPandas(
+        summary, f"blk INT, first {ktype}, last {ktype}, lc BIGINT, lw DOUBLE, single BOOLEAN").collect(),
+        key=lambda r: r["blk"])
+    carry, open_key, oc, ow = {}, None, 0, 0.0
+    for r in summ:
+        base = (oc, ow) if open_key is not None and r["first"] == open_key else (0, 0.0)
+        carry[r["blk"]] = base
+        if r["single"]:
+            open_key, oc, ow = r["first"], base[0] + r["lc"], base[1] + r["lw"]
+        else:
+            open_key, oc, ow = r["last"], r["lc"], r["lw"]
+    bcarry = src.sparkSession.sparkContext.broadcast(carry)
+    out_schema = StructType(list(blocked.schema.fields) + [StructField("_slot", IntegerType())])
+
+    def decide(batches):
+        cur, cc, cw = None, 0, 0.0
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            pdf = pdf.reset_index(drop=True)
+            if cur is None:
+                cur = pdf[kcol].iat[0]
+                cc, cw = bcarry.value.get(int(pdf["_blk"].iat[0]), (0, 0.0))
+            keys, w = pdf[kcol], pdf["_w"].to_numpy()
+            cont = keys.iat[0] == cur
+            seg = np.cumsum(np.r_[0, (keys.iloc[1:].to_numpy() != keys.iloc[:-1].to_numpy()).astype(np.int64)])
+            first_seg = seg == 0
+            base_c = np.where(first_seg & cont, cc, 0)
+            base_w = np.where(first_seg & cont, cw, 0.0)
+            r = pd.Series(np.ones(len(w), dtype=np.int64)).groupby(seg).cumsum().to_numpy() - 1 + base_c
+            W = pd.Series(w).groupby(seg).cumsum().to_numpy() + base_w
+            with np.errstate(divide="ignore", invalid="ignore"):
+                acc = (W > 0) & (pdf["_u1"].to_numpy() < k * w / np.where(W > 0, W, 1.0))
+            slot = np.where(r < k, r, np.floor(pdf["_u2"].to_numpy() * k).astype(np.int64) % k)
+            take = (r < k) | acc
+            cur, cc, cw = keys.iat[-1], int(r[-1] + 1), float(W[-1])
+            if take.any():
+                sel = pdf[take].copy()
+                sel["_slot"] = slot[take].astype(np.int32)
+                yield sel
+
+    return blocked.mapInPandas(decide, out_schema)
+
+
+def _segments(keys, w):
+    """(key, count, weight sum) per run of equal consecutive keys."""
+    kv = keys.to_numpy()
+    brk = np.r_[True, kv[1:] != kv[:-1]]
+    starts = np.flatnonzero(brk)
+    counts = np.diff(np.r_[starts, len(kv)])
+    sums = np.add.reduceat(w, starts) if len(w) else np.array([])
+    return kv[starts], counts, sums
 
 
 def online_ridge_sample(df: DataFrame, k: int, c: float | None = None, lam: float = 1e-6,

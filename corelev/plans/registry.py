@@ -618,6 +618,27 @@ def q_reservoir_ev(spark, sf):
     return SM.reservoir_sample(sc, 5, weight="score", key="user_id", d=des.d).select("user_id", "id", "y")
 
 
+def q_reservoir_value_ev(spark, sf):
+    """Chao weighted reservoir per user (k = 5) in (ts, event_id) order, weight = value."""
+    ev = T.table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("ord"),
+                                            "user_id", "value")
+    return SM.reservoir_sample(ev, 5, weight="value", key="user_id", seed=0).select("user_id", "id")
+
+
+def sql_reservoir_value_ev():
+    return ("WITH r AS (SELECT user_id, event_id AS id, ts, value AS w,\n"
+            "  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS r,\n"
+            "  sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id\n"
+            "                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sw,\n"
+            f"  {O.u('event_id', 0, 'res1')} AS u1, {O.u('event_id', 0, 'res2')} AS u2 FROM events),\n"
+            "wr AS (SELECT user_id, id, ts,\n"
+            "  CASE WHEN r < 5 THEN r ELSE CAST(floor(u2 * 5) AS BIGINT) % 5 END AS slot\n"
+            "  FROM r WHERE r < 5 OR (sw > 0 AND u1 < 5 * w / sw))\n"
+            "SELECT user_id, id FROM (SELECT user_id, id,\n"
+            "  row_number() OVER (PARTITION BY user_id, slot ORDER BY ts DESC, id DESC) AS q FROM wr)\n"
+            "WHERE q = 1")
+
+
 def q_keyed_sample_ev(spark, sf):
     """D2 per key: 3 events per user without replacement, probability proportional to value."""
     ev = T.table(spark, sf, "events").select(F.col("event_id").alias("id"), "user_id", "value")

@@ -84,3 +84,36 @@ def test_online_ridge_shapes(spark, iris):
     df = from_arrays(spark, iris[0], np.ones(150))
     out = SM.online_ridge_sample(df, 20, c=1 / 150, d=4).collect()
     assert len(out) == 20 and all(r["w"] == 1.0 for r in out)
+
+
+def _sequential_reservoir(df, k, weight, key, seed):
+    """Brute force: the sequential Chao scan over each key's (ord, id) order."""
+    src = df.withColumn("_w", F.col(weight).cast("double")) \
+        .withColumn("_u1", R.uniform("id", seed, "res1")).withColumn("_u2", R.uniform("id", seed, "res2"))
+    pdf = src.toPandas()
+    kern = SM._chao_kernel(k, 1, seed, False, 0.0, None)
+    out = set()
+    groups = pdf.groupby(key) if key else [(0, pdf)]
+    for _, g in groups:
+        out |= {(row[key] if key else 0, row["id"]) for _, row in kern(g).iterrows()}
+    return out
+
+
+@pytest.mark.parametrize("block_rows", [None, 7, 40])
+def test_parallel_reservoir_equals_sequential(spark, block_rows):
+    rng = np.random.default_rng(5)
+    n = 400
+    # one hot key with most rows, a few small keys, ties in ord
+    keys = np.where(rng.random(n) < 0.7, 0, rng.integers(1, 6, n))
+    rows = [(i, int(keys[i]), int(rng.integers(0, 50)), float(rng.exponential()) * (i % 9 != 0)) for i in range(n)]
+    df = spark.createDataFrame(rows, "id BIGINT, user_id INT, ord INT, wt DOUBLE").repartition(5)
+    for k, key in [(5, "user_id"), (1, "user_id"), (12, None)]:
+        got = SM.reservoir_sample(df, k, weight="wt", key=key, seed=3, block_rows=block_rows)
+        got = {(r["user_id"] if key else 0, r["id"]) for r in got.collect()}
+        assert got == _sequential_reservoir(df, k, "wt", key, 3)
+
+
+def test_parallel_reservoir_keeps_columns(spark, iris):
+    df = from_arrays(spark, iris[0], np.ones(150)).withColumn("score", F.col("id") + 1.0)
+    out = SM.reservoir_sample(df, 10, d=4, block_rows=30)
+    assert out.columns == df.columns and out.count() == 10
