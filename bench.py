@@ -113,6 +113,10 @@ def main():
     timed("gram_d64", lambda: __import__("corelev.operators.moments", fromlist=["gram"]).gram(emb, 64))
 
     ev = T.events_design(spark, sf_dir, key=True)
+    evt = T.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("ord"),
+                                                 "user_id", "value")
+    timed("chao_reservoir_per_user_k5", lambda: SM.reservoir_sample(evt, 5, "value", key="user_id").count())
+    timed("chao_reservoir_global_k500", lambda: SM.reservoir_sample(evt, 500, "value").count())
     timed("online_ridge_reservoir_per_user_k5",
           lambda: SM.online_ridge_sample(ev.df, 5, c=1.0 / ev.n, key="user_id", d=ev.d).count())
 

@@ -425,7 +425,7 @@ class ProbitSGD:
 # -- many large coresets at once (lockstep Newton) ---------------------------------
 
 def fit_lockstep(stacked: DataFrame, key_cols, p: float, d: int, tail: str = "exact",
-                 max_iter: int = 100, gtol: float = 1e-9) -> DataFrame:
+                 max_iter: int = 100, gtol: float = 1e-9, max_configs: int = 100_000) -> DataFrame:
     """Fit one model per config on stacked coresets of any size.
 
     Every Newton round is ONE grouped aggregate (f, gradient, Hessian per config)
@@ -436,7 +436,10 @@ def fit_lockstep(stacked: DataFrame, key_cols, p: float, d: int, tail: str = "ex
     keys = list(key_cols)
     spark = stacked.sparkSession
     data = stacked.select(*keys, "x", F.col("y").cast("double").alias("y"), F.col("w").cast("double").alias("w"))
-    labels = data.groupBy(*keys).agg(F.countDistinct("y").alias("_k")).collect()
+    labels = data.groupBy(*keys).agg(F.countDistinct("y").alias("_k")).limit(max_configs + 1).collect()
+    if len(labels) > max_configs:
+        # the per-config beta table is broadcast every round and the state lives on the driver
+        raise ValueError(f"more than {max_configs} configs; fit them in batches of configs")
     state = {}
     for r in labels:
         k = tuple(r[c] for c in keys)
