@@ -281,7 +281,7 @@ def q_fast_leverage_l4(spark, sf):
         "id", F.round(F.col("score") * des.n, 6).alias("score_n"))
 
 
-def _sql_sketch_scores(root: bool):
+def _sql_sketch_scores(root: bool, sample_k: int | None = None):
     from ..operators.scores import JL_DIM
 
     s = 25
@@ -299,7 +299,11 @@ def _sql_sketch_scores(root: bool):
     return (f"WITH {O.l4_cte()},\nr AS (SELECT x0, x1, x2, x3, x4, "
             f"CAST(floor({O.u('id', 0, 'cs:f')} * {float(s)!r}) AS BIGINT) AS bucket, {fac} AS fac FROM l4),\n"
             f"sk AS (SELECT bucket, {sums} FROM r GROUP BY bucket),\nsg AS (SELECT {gcols} FROM sk),\n{ch}\n"
-            f"SELECT id, round({val}, 6) AS {name} FROM l4, {fin}")
+            + (f"SELECT id, round({val}, 6) AS {name} FROM l4, {fin}" if sample_k is None else
+               f", sc2 AS (SELECT id, sqrt({sq}) + 1.0 / n AS score FROM l4, {fin}),\n"
+               "prob AS (SELECT id, score, score / sum(score) OVER () AS p FROM sc2)\n"
+               f"SELECT id, round(1.0 / (p * {sample_k}), 6) AS w FROM prob "
+               f"ORDER BY -ln({O.u('id', 0, 'logit')}) / score, id LIMIT {sample_k}"))
 
 
 def sql_fast_leverage_l4():
@@ -317,6 +321,33 @@ def q_root_leverage_l4(spark, sf):
         "id", F.round(F.col("score") * math.sqrt(des.n), 6).alias("score_rn"))
 
 
+def q_root_sample_l4(spark, sf):
+    """D5 (C15 + C19 + C20 + D2): root-leverage coreset of k = 500 with importance weights."""
+    des = T.lineitem_design(spark, sf)
+    core, _ = SM.root_leverage_coreset(des.df, K_SAMPLE, seed=0, n=des.n, d=des.d)
+    return core.select("id", F.round("w", 6).alias("w"))
+
+
+def sql_root_sample_l4():
+    return _sql_sketch_scores(True, sample_k=K_SAMPLE)
+
+
+def q_lewis_sample_o1(spark, sf):
+    """D4 (C17 + C19 + C20 + D2): exact l1 Lewis coreset of k = 500 on orders with importance weights."""
+    des = T.orders_design(spark, sf)
+    core, _ = SM.lewis_coreset(des.df, K_SAMPLE, fast=False, seed=0, n=des.n, d=des.d)
+    return core.select("id", F.round("w", 6).alias("w"))
+
+
+def sql_lewis_sample_o1():
+    body = sql_lewis_o1()
+    body = body[:body.rindex("\nSELECT")]
+    return (body + ",\nsc AS (SELECT id, w + 1.0 / n AS score FROM w20),\n"
+            "prob AS (SELECT id, score, score / sum(score) OVER () AS p FROM sc)\n"
+            f"SELECT id, round(1.0 / (p * {K_SAMPLE}), 6) AS w FROM prob "
+            f"ORDER BY -ln({O.u('id', 0, 'lewis')}) / score, id LIMIT {K_SAMPLE}")
+
+
 def q_lewis_sketch_o1(spark, sf):
     """Lewis weights with a CountSketch basis (no JL projection), T = 20."""
     des = T.orders_design(spark, sf)
