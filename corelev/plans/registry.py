@@ -1063,6 +1063,35 @@ def q_size_search_l4(spark, sf):
     return res.join(G.smallest_size_in_band(res, group="p", size="k", eps="eps"), "p", "left")
 
 
+# ---------------------------------------------------------------- files
+
+def q_files_orders(spark, sf):
+    """Orders (run = priority digit) materialised as parquet, written as
+    per-run CSV folders, appended again with the run offset, read back as CSV with the run
+    parsed from each file path; per-run row counts and price sums."""
+    from ..session import scratch_path
+    from ..sources import files as FS
+
+    base = scratch_path(spark, "files")
+    od = T.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"), F.substring("o_orderpriority", 1, 1).cast("int").alias("run"),
+        "o_totalprice")
+    od = FS.materialize(od, base + "/orders")
+    FS.write_runs(od, base + "/runs", fmt="csv")
+    FS.append_with_run_offset(od, base + "/runs", fmt="csv")
+    back = FS.read_run_files(spark, base + "/runs/run=*/*.csv", schema="id BIGINT, o_totalprice DOUBLE")
+    run = "run" if "file_run" not in back.columns else "file_run"
+    return back.groupBy(F.col(run).alias("run")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+def sql_files_orders():
+    return ("WITH o AS (SELECT CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS run, o_totalprice FROM orders),\n"
+            "a AS (SELECT run, o_totalprice FROM o UNION ALL\n"
+            "      SELECT run + (SELECT max(run) FROM o), o_totalprice FROM o)\n"
+            "SELECT run, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM a GROUP BY run")
+
+
 # ---------------------------------------------------------------- registry
 
 def queries():

@@ -61,6 +61,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder name below the session's (shared) checkpoint folder."""
+    import uuid
+
+    return os.path.join(ensure_checkpoint_dir(spark), "scratch", f"{name}-{uuid.uuid4().hex[:8]}")
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the library's SQL defaults to an existing session (runtime confs only)."""
     for k, v in _DEFAULTS.items():

@@ -23,7 +23,8 @@ def read_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
 def read_run_files(spark: SparkSession, pattern: str, schema=None) -> DataFrame:
     """A4: many ``..._run_<k>.csv`` files; the run number is parsed from each file name."""
     df = read_csv(spark, pattern, schema)
-    run = F.regexp_extract(F.input_file_name(), r"run_(\d+)", 1).cast("int")
+    # "..._run_7.csv" (one file per run) or Spark's "run=7/" partition folders
+    run = F.regexp_extract(F.input_file_name(), r"run[_=](\d+)", 1).cast("int")
     return df.withColumn("run", run) if "run" not in df.columns else df.withColumn("file_run", run)
 
 
@@ -76,22 +77,26 @@ def load_beta(spark: SparkSession, path: str, dataset: str, p: float):
     return out
 
 
-def max_run(spark: SparkSession, path: str) -> int:
+def max_run(spark: SparkSession, path: str, fmt: str = "parquet") -> int:
     try:
-        v = spark.read.parquet(path).agg(F.max("run")).collect()[0][0]
+        r = spark.read.option("header", "true") if fmt == "csv" else spark.read
+        v = r.format(fmt).load(path).agg(F.max("run")).collect()[0][0]
     except Exception:  # noqa: BLE001 - missing table
         return 0
     return int(v or 0)
 
 
-def append_with_run_offset(df: DataFrame, path: str) -> DataFrame:
-    """Run += max(existing run), then append (partitioned by run)."""
-    m = max_run(df.sparkSession, path)
+def append_with_run_offset(df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
+    """Run += max(existing run), then append (partitioned by run; parquet or csv with header)."""
+    m = max_run(df.sparkSession, path, fmt)
     out = df.withColumn("run", (F.col("run") + F.lit(m)).cast("int"))
-    out.write.mode("append").partitionBy("run").parquet(path)
+    w = out.write.mode("append").partitionBy("run")
+    if fmt == "csv":
+        w = w.option("header", "true")
+    w.format(fmt).save(path)
     return out
 
 
-def write_runs(df: DataFrame, path: str) -> DataFrame:
+def write_runs(df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
     """One folder per run, the next run numbers after the ones present."""
-    return append_with_run_offset(df, path)
+    return append_with_run_offset(df, path, fmt)
