@@ -61,6 +61,97 @@ def sql_design_customer():
     return f"WITH {cte}\nSELECT id, y, {xs} FROM c1"
 
 
+# Stand-in inputs for the dataset recipes: lineitem / part columns renamed into the
+# recipe's schema by a fixed rule (the recipes themselves do all the work).
+_LI_SOURCES = [
+    ("l_extendedprice", "l_extendedprice"), ("l_quantity", "l_quantity"), ("l_discount", "l_discount"),
+    ("l_tax", "l_tax"), ("l_linenumber", "l_linenumber"), ("l_partkey", "l_partkey"),
+    ("l_suppkey", "l_suppkey"), ("dayofyear(l_shipdate)", "dayofyear(l_shipdate)"),
+    ("month(l_shipdate)", "month(l_shipdate)"), ("year(l_shipdate)", "year(l_shipdate)"),
+    ("l_orderkey", "l_orderkey"), ("dayofmonth(l_shipdate)", "dayofmonth(l_shipdate)"),
+]
+_CT_BINARY = [("Wilderness_Area1", "l_linestatus = 'O'"), ("Soil_Type1", "l_discount = 0"),
+              ("Soil_Type2", "l_tax = 0")]
+
+
+def _covertype_standin(spark, sf):
+    from ..sources.recipes import COVERTYPE_CONTINUOUS
+
+    li = T.table(spark, sf, "lineitem")
+    cols = [(F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id")]
+    cols += [F.expr(src).alias(name) for name, (src, _) in zip(COVERTYPE_CONTINUOUS, _LI_SOURCES)]
+    cols += [F.expr(cond).cast("int").alias(name) for name, cond in _CT_BINARY]
+    cols.append(F.expr("CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 2 ELSE 3 END").alias("Cover_Type"))
+    return li.select(*cols)
+
+
+def q_design_covertype_li(spark, sf):
+    """A11 (B1, B4, B5): cover type recipe on a lineitem stand-in: 10 scaled continuous
+    columns, binary columns kept, y = +1 iff Cover_Type 2, intercept."""
+    from ..sources.recipes import covertype_design
+
+    des = covertype_design(_covertype_standin(spark, sf), "id")
+    return des.wide(O.R6).select("id", "y", *[f"x_{j}" for j in range(des.d)])
+
+
+def sql_design_covertype_li():
+    feats = [(src, True) for _, src in _LI_SOURCES[:10]]
+    feats += [(f"CASE WHEN {cond} THEN 1.0 ELSE 0.0 END", False) for _, cond in _CT_BINARY]
+    cte = O.design_cte("ct", "lineitem", "l_orderkey * 8 + l_linenumber", "l_returnflag = 'R'", feats)
+    xs = ", ".join(f"round(x{j}, 6) AS x_{j}" for j in range(len(feats) + 1))
+    return f"WITH {cte}\nSELECT id, y, {xs} FROM ct"
+
+
+def _kdd_source(i):
+    src = _LI_SOURCES[i % len(_LI_SOURCES)][1]
+    return f"({src}) * {1 + i // len(_LI_SOURCES)}"
+
+
+def q_design_kddcup_li(spark, sf):
+    """A12 (B2, B4, B6): intrusion recipe on a lineitem stand-in: the 34 listed continuous
+    columns, num_outbound_cmds dropped, the rest scaled, y = -1 iff label 'normal.'."""
+    from ..sources.recipes import KDD_CONTINUOUS, kddcup_design
+
+    li = T.table(spark, sf, "lineitem")
+    cols = [(F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id")]
+    cols += [F.expr(_kdd_source(i)).alias(name) for i, name in enumerate(KDD_CONTINUOUS)]
+    cols.append(F.expr("CASE WHEN l_returnflag = 'N' THEN 'normal.' ELSE 'attack.' END").alias("labels"))
+    des = kddcup_design(li.select(*cols), "id")
+    return des.wide(O.R6).select("id", "y", *[f"x_{j}" for j in range(des.d)])
+
+
+def sql_design_kddcup_li():
+    from ..sources.recipes import KDD_CONTINUOUS, KDD_DROP
+
+    feats = [(_kdd_source(i), True) for i, name in enumerate(KDD_CONTINUOUS) if name not in KDD_DROP]
+    cte = O.design_cte("kd", "lineitem", "l_orderkey * 8 + l_linenumber", "l_returnflag <> 'N'", feats)
+    xs = ", ".join(f"round(x{j}, 6) AS x_{j}" for j in range(len(feats) + 1))
+    return f"WITH {cte}\nSELECT id, y, {xs} FROM kd"
+
+
+_WS_FEATURES = [("p_size", "p_size"), ("p_retailprice", "p_retailprice"),
+                ("name_len", "length(p_name)"), ("type_len", "length(p_type)")]
+
+
+def q_design_webspam_part(spark, sf):
+    """A13 (B4, B7, B8): web spam recipe on a part stand-in (numeric columns + LABEL):
+    constant and single-non-zero columns dropped, all kept columns scaled, intercept."""
+    from ..sources.recipes import webspam_design
+
+    pt = T.table(spark, sf, "part")
+    cols = [F.col("p_partkey").alias("id")] + [F.expr(src).alias(name) for name, src in _WS_FEATURES]
+    cols.append(F.expr("CASE WHEN p_brand LIKE 'Brand#1%' THEN 1 ELSE -1 END").alias("LABEL"))
+    des = webspam_design(pt.select(*cols), "id")
+    return des.wide(O.R6).select("id", "y", *[f"x_{j}" for j in range(des.d)])
+
+
+def sql_design_webspam_part():
+    feats = [(src, True) for _, src in _WS_FEATURES]
+    cte = O.design_cte("ws", "part", "p_partkey", "p_brand LIKE 'Brand#1%'", feats)
+    xs = ", ".join(f"round(x{j}, 6) AS x_{j}" for j in range(len(feats) + 1))
+    return f"WITH {cte}\nSELECT id, y, {xs} FROM ws"
+
+
 def q_validate_l4(spark, sf):
     """One validation aggregate (n, d, label counts)."""
     des = T.lineitem_design(spark, sf)
