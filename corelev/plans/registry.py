@@ -605,6 +605,22 @@ def sql_misclassified_l4():
             "FROM m WHERE margin * y < 0")
 
 
+def q_boundary_lines_l2(spark, sf):
+    """B12 + B13: decision boundaries y = -b0/b1 x - b2/b1 of p = 1 and p = 2 probit fits
+    on the two-feature lineitem design (quantity, discount, intercept), 50 points over the
+    range of the first feature; rows of the listed methods kept."""
+    from ..operators import preprocess as PP
+
+    des = T.lineitem_design(spark, sf, features=["l_quantity", "l_discount"])
+    rng = des.df.agg(F.min(F.col("x")[0]).alias("lo"), F.max(F.col("x")[0]).alias("hi")).collect()[0]
+    rows = [(m, [float(b) for b in P.fit(des.df, pv, des.d, check=False).beta])
+            for m, pv in (("p1", 1.0), ("p2", 2.0))]
+    betas = spark.createDataFrame(rows, "method STRING, beta ARRAY<DOUBLE>")
+    lines = PP.boundary_lines(betas, float(rng["lo"]), float(rng["hi"]), steps=50)
+    return PP.filter_values(lines, "method", ["p1", "p2"]).select(
+        "method", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
 def q_pnormal_grid(spark, sf):
     """Density, CDF, loss and derivative on the grid of distinct scaled quantities."""
     from ..functions.exprs import SqlOps
@@ -1145,7 +1161,8 @@ def q_sweep_summary_l4(spark, sf):
 
 
 def q_size_search_l4(spark, sf):
-    """H12 + G8: bisection for a coreset size with eps in [0.05, 0.1] per run, p = 2."""
+    """H12 + E14 + G8: bisection for a coreset size with eps in [0.05, 0.1] per run, p = 2,
+    with the l2 / l_inf distance of the coreset beta to the full-data beta."""
     from ..operators import summary as G
     from .sweep import size_search
 
