@@ -366,7 +366,8 @@ def sql_lp_sketch_l4():
 
 
 def q_fast_leverage_l4(spark, sf):
-    """Sketched leverage (CountSketch -> R -> JL(20)), p = 2."""
+    """C8 (C2 -> C4 -> C5/C6): sketched leverage: CountSketch, R factor of the sketch,
+    basis rows X R^-1 projected by a Gaussian JL(20) matrix, p = 2."""
     des = T.lineitem_design(spark, sf)
     return S.leverage_scores(des.df, d=des.d, fast=True, n=des.n).select(
         "id", F.round(F.col("score") * des.n, 6).alias("score_n"))
@@ -1125,7 +1126,7 @@ def q_sweep_leverage_l4(spark, sf):
 
 
 def q_sweep_leverage_online_l4(spark, sf):
-    """H6 (online scores, computed once), p = 2."""
+    """H6 + C22 (online scores computed once and reused for every config), p = 2."""
     return _sweep(spark, sf, "leverage", online=True).select("run", "size", "ratio")
 
 
@@ -1200,6 +1201,20 @@ def sql_files_orders():
             "SELECT run, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM a GROUP BY run")
 
 
+def q_beta_store_o1(spark, sf):
+    """Full-data beta_opt of the orders design (p = 2) stored as (dataset, p, j, beta) rows
+    in a parquet folder and read back for that dataset and p."""
+    from ..session import scratch_path
+    from ..sources import files as FS
+
+    des = T.orders_design(spark, sf)
+    path = scratch_path(spark, "beta")
+    FS.save_beta(spark, path, "orders", 2.0, P.fit(des.df, 2.0, des.d, check=False).beta)
+    b = FS.load_beta(spark, path, "orders", 2.0)
+    return spark.createDataFrame([("orders", 2.0, j, float(round(v, 6))) for j, v in enumerate(b)],
+                                 "dataset STRING, p DOUBLE, j INT, beta DOUBLE")
+
+
 # ---------------------------------------------------------------- registry
 
 def queries():

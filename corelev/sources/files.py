@@ -6,8 +6,6 @@ run, and appends never rewrite existing files.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,9 +61,11 @@ def save_beta(spark: SparkSession, path: str, dataset: str, p: float, beta) -> N
 
 def load_beta(spark: SparkSession, path: str, dataset: str, p: float):
     """The stored beta_opt (latest write wins per j is not needed: one write per key)."""
-    if not os.path.exists(path) and not path.startswith(("s3", "hdfs", "gs", "abfs")):
+    try:
+        stored = spark.read.parquet(path)
+    except Exception:  # noqa: BLE001 - nothing stored yet (any file system / URI scheme)
         return None
-    rows = (spark.read.parquet(path).filter((F.col("dataset") == dataset) & (F.col("p") == float(p)))
+    rows = (stored.filter((F.col("dataset") == dataset) & (F.col("p") == float(p)))
             .select("j", "beta").collect())
     if not rows:
         return None
