@@ -1,30 +1,108 @@
 """Grouped summaries of sweep and posterior tables.
 
-Exact percentiles (``percentile``, linear interpolation = numpy / pandas default)
-hold a group's values in one task, so they are used only when the largest group
-is bounded (sweep tables have ``runs`` rows per size); above that the operators
-switch to ``percentile_approx`` with a high accuracy. Nulls are ignored
-everywhere (pandas ``median`` semantics).
+All quantiles are exact (linear interpolation between order statistics, the numpy /
+pandas default). Spark's ``percentile`` holds a group's values in one task, so it is
+used only when the largest group is bounded (sweep tables have ``runs`` rows per
+size); above that ``select_quantile`` finds the same order statistics in two passes
+without gathering any group. Nulls are ignored everywhere (pandas ``median``
+semantics).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EXACT_GROUP_LIMIT = 5_000_000
 APPROX_ACCURACY = 1_000_000
 
 
+MAX_BRACKET_GROUPS = 100_000
+
+
 def _exact_ok(df: DataFrame, group_cols) -> bool:
     mx = df.groupBy(*group_cols).count().agg(F.max("count")).collect()[0][0]
     return mx is None or mx <= EXACT_GROUP_LIMIT
 
 
-def _pct(c: str, q, exact: bool) -> Column:
-    if exact:
-        return F.percentile(F.col(c), q)
-    return F.percentile_approx(F.col(c), q, APPROX_ACCURACY)
+def select_quantile(df: DataFrame, group_cols, value, q: float, out: str = "_q",
+                    margins=(4.0, 64.0, None)) -> DataFrame:
+    """Exact q-quantile of ``value`` per group without holding a group in one task.
+
+    Pass 1 (mergeable sketches): n and approximate quantiles at q -/+ margin/accuracy
+    per group - a bracket that holds the order statistics floor(q(n-1)) and
+    ceil(q(n-1)). Pass 2, over the rows inside a bracket only: the count below it and
+    (value, count) pairs inside it, so ties collapse (about 2 margin n / accuracy
+    pairs per group). A running count over the pairs picks both order statistics.
+    Groups whose bracket missed (not expected) are redone with a wider margin; the
+    last margin (None) brackets [min, max]. One row per group is broadcast, and
+    only up to MAX_BRACKET_GROUPS groups.
+    """
+    g = list(group_cols)
+    v = (F.col(value) if isinstance(value, str) else value).cast("double")
+    base = df.select(*g, v.alias("_v")).filter(F.col("_v").isNotNull())
+    if q <= 0.0 or q >= 1.0:
+        agg = F.min("_v") if q <= 0.0 else F.max("_v")
+        return base.groupBy(*g).agg(agg.alias(out))
+    ngroups = base.select(*g).distinct().count()
+    if ngroups > MAX_BRACKET_GROUPS:
+        raise ValueError(f"{ngroups} groups: too many brackets to broadcast")
+    done = None
+    for m in margins:
+        if m is None:
+            lo_hi = [F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+        else:
+            dq = m / APPROX_ACCURACY
+            b = F.percentile_approx("_v", [max(0.0, q - dq), min(1.0, q + dq)], APPROX_ACCURACY)
+            lo_hi = [b[0].alias("_lo"), b[1].alias("_hi")]
+        todo = base if done is None else base.join(done.select(*g), g, "left_anti")
+        st = todo.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"), *lo_hi).persist(StorageLevel.MEMORY_AND_DISK)
+        nst = st.count()
+        if nst == 0:
+            break
+        j = todo.join(F.broadcast(st), g)
+        below = F.col("_v") < F.col("_lo")
+        inside = (~below) & (F.col("_v") <= F.col("_hi"))
+        pairs = (j.filter(below | inside)
+                 .groupBy(*g, "_n", F.when(inside, F.col("_v")).alias("_k"))
+                 .agg(F.count(F.lit(1)).alias("_c")))
+        nbelow = pairs.filter(F.col("_k").isNull()).select(*g, F.col("_c").alias("_below"))
+        inner = pairs.filter(F.col("_k").isNotNull()).join(nbelow, g, "left") \
+            .withColumn("_below", F.coalesce("_below", F.lit(0)))
+        w = Window.partitionBy(*g).orderBy("_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        pos = F.lit(q) * (F.col("_n") - 1)
+        t = (inner.withColumn("_cum", F.col("_below") + F.sum("_c").over(w))
+             .withColumn("_rlo", F.floor(pos)).withColumn("_rhi", F.ceil(pos))
+             .withColumn("_frac", pos - F.floor(pos)))
+
+        def hit(r):
+            return (F.col("_cum") - F.col("_c") <= F.col(r)) & (F.col(r) < F.col("_cum"))
+
+        vlo = t.filter(hit("_rlo")).select(*g, F.col("_k").alias("_vlo"), "_frac")
+        vhi = t.filter(hit("_rhi")).select(*g, F.col("_k").alias("_vhi"))
+        res = vlo.join(vhi, g).select(
+            *g, (F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))).alias(out)) \
+            .persist(StorageLevel.MEMORY_AND_DISK)
+        nres = res.count()
+        done = res if done is None else done.unionByName(res)
+        if nres == nst:
+            break
+    return done
+
+
+def quantile_stats(df: DataFrame, group_cols, specs, extra=()) -> DataFrame:
+    """Per group: exact quantiles ``specs`` = [(alias, column name or Column, q)] plus
+    ``extra`` aggregate Columns. One aggregate when the largest group is bounded,
+    else ``select_quantile`` per spec joined on the group keys."""
+    g = list(group_cols)
+    if _exact_ok(df, g):
+        cols = [F.percentile(F.col(c) if isinstance(c, str) else c, q).alias(a) for a, c, q in specs]
+        return df.groupBy(*g).agg(*cols, *extra)
+    out = df.groupBy(*g).agg(*extra) if extra else df.select(*g).distinct()
+    for a, c, q in specs:
+        out = out.join(select_quantile(df, g, c, q, a), g, "left")
+    return out
 
 
 def sweep_summary(df: DataFrame, group_cols=("size",), value: str = "ratio",
@@ -34,38 +112,29 @@ def sweep_summary(df: DataFrame, group_cols=("size",), value: str = "ratio",
     g = list(group_cols)
     if not g:
         df, g = df.withColumn("_all", F.lit(0)), ["_all"]
-    exact = _exact_ok(df, g)
-    med = df.groupBy(*g).agg(_pct(value, 0.5, exact).alias("_med"))
+    med = quantile_stats(df, g, [("_med", value, 0.5)])
     # one row per group: AQE broadcasts it when it is small, shuffles it otherwise
     with_med = df.join(med, g)
-    mad = with_med.groupBy(*g).agg(_pct_expr(F.abs(F.col(value) - F.col("_med")), 0.5, exact).alias("mad"))
-    aggs = [_pct(value, 0.5, exact).alias(f"median_{value}"), F.stddev_samp(value).alias("std"),
-            _pct(value, 0.75, exact).alias("q75"), _pct(value, 0.25, exact).alias("q25")]
+    mad = quantile_stats(with_med, g, [("mad", F.abs(F.col(value) - F.col("_med")), 0.5)])
+    specs = [(f"median_{value}", value, 0.5), ("q75", value, 0.75), ("q25", value, 0.25)]
     if time_col:
-        aggs.append(_pct(time_col, 0.5, exact).alias(f"median_{time_col}"))
-    out = df.groupBy(*g).agg(*aggs).join(mad, g)
+        specs.append((f"median_{time_col}", time_col, 0.5))
+    out = quantile_stats(df, g, specs, [F.stddev_samp(value).alias("std")]).join(mad, g)
     if method is not None:
         out = out.withColumn("method", F.lit(method))
     return out
 
 
-def _pct_expr(e: Column, q, exact: bool) -> Column:
-    return F.percentile(e, q) if exact else F.percentile_approx(e, q, APPROX_ACCURACY)
-
-
 def metric_summary(df: DataFrame, group_cols=("size",), value: str = "mmd") -> DataFrame:
     """Per group median, q25, q75 and count of a posterior metric."""
     g = list(group_cols)
-    exact = _exact_ok(df, g)
-    return df.groupBy(*g).agg(_pct(value, 0.5, exact).alias("median"), _pct(value, 0.25, exact).alias("q25"),
-                              _pct(value, 0.75, exact).alias("q75"), F.count(value).alias("count"))
+    return quantile_stats(df, g, [("median", value, 0.5), ("q25", value, 0.25), ("q75", value, 0.75)],
+                          [F.count(value).alias("count")])
 
 
 def medians(df: DataFrame, group_cols, value_cols) -> DataFrame:
     """Median of each value column per group."""
-    g = list(group_cols)
-    exact = _exact_ok(df, g)
-    return df.groupBy(*g).agg(*[_pct(c, 0.5, exact).alias(c) for c in value_cols])
+    return quantile_stats(df, list(group_cols), [(c, c, 0.5) for c in value_cols])
 
 
 def robust_band(q: Column, median: Column, factor: float = 0.7413) -> Column:
@@ -76,11 +145,9 @@ def robust_band(q: Column, median: Column, factor: float = 0.7413) -> Column:
 def five_number(df: DataFrame, group_cols, value: str) -> DataFrame:
     """Min, q25, median, q75, max per group (box summary)."""
     g = list(group_cols)
-    exact = _exact_ok(df, g)
-    qs = _pct(value, [0.0, 0.25, 0.5, 0.75, 1.0], exact).alias("_q")
-    t = df.groupBy(*g).agg(qs)
-    names = ["min", "q25", "median", "q75", "max"]
-    return t.select(*g, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    t = quantile_stats(df, g, [("q25", value, 0.25), ("median", value, 0.5), ("q75", value, 0.75)],
+                       [F.min(value).cast("double").alias("min"), F.max(value).cast("double").alias("max")])
+    return t.select(*g, "min", "q25", "median", "q75", "max")
 
 
 def run_inventory(df: DataFrame, group_cols=("p", "dataset", "method"), run: str = "run") -> DataFrame:

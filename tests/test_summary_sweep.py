@@ -1,3 +1,4 @@
+import pytest
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -56,3 +57,39 @@ def test_bayes_sweep_shape(spark, iris):
     assert out.count() == 400
     cols = set(out.columns)
     assert {"run", "size", "reduction_time_s", "total_time_s", "beta_0", "beta_4"} <= cols
+
+
+@pytest.mark.parametrize("q", [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0])
+def test_select_quantile_equals_numpy(spark, q):
+    from corelev.operators import summary as G
+
+    rng = np.random.default_rng(11)
+    n = 3000
+    grp = rng.integers(0, 3, n)
+    # heavy ties in group 0, continuous values elsewhere, some nulls
+    val = np.where(grp == 0, rng.integers(0, 5, n).astype(float), rng.normal(size=n))
+    rows = [(int(g), None if i % 97 == 0 else float(v)) for i, (g, v) in enumerate(zip(grp, val))]
+    df = spark.createDataFrame(rows, "g INT, v DOUBLE").repartition(4)
+    got = {r["g"]: r["_q"] for r in G.select_quantile(df, ["g"], "v", q).collect()}
+    for k in range(3):
+        vals = np.array([v for g, v in rows if g == k and v is not None])
+        assert got[k] == pytest.approx(float(np.quantile(vals, q)), rel=1e-12, abs=1e-12)
+
+
+def test_summaries_large_group_path(spark, monkeypatch):
+    from corelev.operators import summary as G
+
+    rng = np.random.default_rng(3)
+    rows = [(int(s), float(v), float(t)) for s, v, t in zip(rng.integers(0, 2, 500), rng.normal(size=500),
+                                                            rng.random(500))]
+    df = spark.createDataFrame(rows, "size INT, ratio DOUBLE, total_time_s DOUBLE")
+    exact = {r["size"]: r.asDict() for r in G.sweep_summary(df).collect()}
+    five = {r["size"]: r.asDict() for r in G.five_number(df, ["size"], "ratio").collect()}
+    monkeypatch.setattr(G, "EXACT_GROUP_LIMIT", 0)
+    sel = {r["size"]: r.asDict() for r in G.sweep_summary(df).collect()}
+    five_sel = {r["size"]: r.asDict() for r in G.five_number(df, ["size"], "ratio").collect()}
+    for k in exact:
+        for c in exact[k]:
+            assert sel[k][c] == pytest.approx(exact[k][c], rel=1e-12, abs=1e-12)
+        for c in five[k]:
+            assert five_sel[k][c] == pytest.approx(five[k][c], rel=1e-12, abs=1e-12)
