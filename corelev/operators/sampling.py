@@ -72,14 +72,65 @@ def weighted_sample(df: DataFrame, k: int, weight: str = "p", seed: int = 0, str
         raise ValueError("Sample size must be greater than zero!")
     pos = df.filter(F.col(weight) > 0)
     key = race_key(F.col(weight), seed, stream)
-    tau, wsum = _threshold_from(_histogram(pos, key, F.col(weight))[None], k)
+    hist = _histogram(pos, key, F.col(weight))[None]
+    tau, wsum = _threshold_from(hist, k)
     cand = pos.withColumn("_key", key)
     if tau is not None:
         cand = cand.filter(F.col("_key") <= F.lit(tau))
-    out = cand.orderBy("_key", "id").limit(k).withColumn(prob_out, F.col(weight) / F.lit(wsum))
+    if k <= TOPK_MAX:
+        out = cand.orderBy("_key", "id").limit(k)
+    else:
+        out = _smallest_keys(cand, k, hist)
+    out = out.withColumn(prob_out, F.col(weight) / F.lit(wsum))
     return out.withColumnRenamed("_key", key_out) if key_out else out.drop("_key")
 
 
+TOPK_MAX = 200_000      # rows allowed into the one final top-k task
+SUB_BUCKETS = 4096
+
+
+def _bucket(key: Column) -> Column:
+    """The log-bucket of ``_histogram`` (bucket b holds keys in (base^(b-1), base^b])."""
+    return F.greatest(F.lit(-HIST_LIMIT), F.least(F.lit(HIST_LIMIT),
+                                                  F.ceil(F.log(key) / F.lit(math.log(HIST_BASE))))).cast("int")
+
+
+def _smallest_keys(cand: DataFrame, k: int, hist, max_rounds: int = 8) -> DataFrame:
+    """The k rows of smallest (``_key``, id) for large k without one big top-k task.
+
+    Rows in log-buckets below the boundary bucket are taken by a filter. The
+    boundary bucket is split into linear sub-buckets by one more aggregate until
+    it holds at most TOPK_MAX rows; only those go to a top-k for the remaining m.
+    Same rows as ``orderBy(_key, id).limit(k)``.
+    """
+    key = F.col("_key")
+    cum, bstar, nb = 0, None, 0
+    for b, c, _ in sorted(hist):
+        if cum + c >= k:
+            bstar, nb = b, c
+            break
+        cum += c
+    inside = _bucket(key) < F.lit(bstar)
+    bnd = _bucket(key) == F.lit(bstar)
+    lo, hi = HIST_BASE ** (bstar - 1), HIST_BASE ** bstar
+    rounds = 0
+    while nb > TOPK_MAX and rounds < max_rounds and abs(bstar) < HIST_LIMIT:
+        rounds += 1
+        width = (hi - lo) / SUB_BUCKETS
+        sub = F.least(F.lit(SUB_BUCKETS - 1), F.greatest(F.lit(0), F.floor((key - F.lit(lo)) / F.lit(width)))).cast("int")
+        rows = sorted((r["s"], r["c"]) for r in cand.filter(bnd).groupBy(sub.alias("s"))
+                      .agg(F.count(F.lit(1)).alias("c")).collect())
+        for j, c in rows:
+            if cum + c >= k:
+                inside = inside | (bnd & (sub < F.lit(j)))
+                bnd = bnd & (sub == F.lit(j))
+                lo, hi, nb = lo + j * width, lo + (j + 1) * width, c
+                break
+            cum += c
+    m = k - cum
+    return cand.filter(inside).unionByName(cand.filter(bnd).orderBy("_key", "id").limit(m))
+
+
 def keyed_weighted_sample(df: DataFrame, k: int, weight: str, key: str, seed: int = 0,
                           stream: str = "race") -> DataFrame:
     """D2 per key: k rows without replacement per group, mergeable and skew-safe.

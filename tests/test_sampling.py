@@ -117,3 +117,15 @@ def test_parallel_reservoir_keeps_columns(spark, iris):
     df = from_arrays(spark, iris[0], np.ones(150)).withColumn("score", F.col("id") + 1.0)
     out = SM.reservoir_sample(df, 10, d=4, block_rows=30)
     assert out.columns == df.columns and out.count() == 10
+
+
+@pytest.mark.parametrize("topk_max,subs", [(1, 2), (10, 4), (60, 4)])
+def test_large_k_selection_equals_top_k(spark, monkeypatch, topk_max, subs):
+    # 3000 rows, k = 900: the boundary log-bucket holds far more than topk_max rows,
+    # so the sub-bucket refinement runs (several rounds for the small settings)
+    df = spark.range(3000).withColumn("p", (F.col("id") % 7 + 1).cast("double"))
+    want = _ids(SM.weighted_sample(df, 900, "p", seed=5))
+    monkeypatch.setattr(SM, "TOPK_MAX", topk_max)
+    monkeypatch.setattr(SM, "SUB_BUCKETS", subs)
+    got = SM.weighted_sample(df.repartition(3), 900, "p", seed=5)
+    assert _ids(got) == want and got.count() == 900
