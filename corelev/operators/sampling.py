@@ -254,8 +254,13 @@ def multi_sample(df: DataFrame, sizes, runs, weight: str = "p", seed: int = 0, s
         c = (F.col("run") == r) & (F.lit(True) if t is None else (F.col("_key") <= F.lit(t)))
         cond = c if cond is None else (cond | c)
     cand = ex.withColumn("_key", key).filter(cond)
-    w = Window.partitionBy("run").orderBy("_key", "id")
-    out = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= kmax).drop("_key")
+    if kmax <= TOPK_MAX:
+        w = Window.partitionBy("run").orderBy("_key", "id")
+        ranked = cand.withColumn("rank", F.row_number().over(w))
+    else:
+        # ~1.02 kmax candidates per run: number them across range blocks, not in one task per run
+        ranked = ordered_rank(cand, "run", ("_key", "id"))
+    out = ranked.filter(F.col("rank") <= kmax).drop("_key")
     return out.withColumn(prob_out, F.col(weight) / F.lit(float(wsum)))
 
 
@@ -346,17 +351,21 @@ def reservoir_sample(df: DataFrame, k: int, weight: str = "score", key: str | No
 MAX_CARRY_BLOCKS = 100_000
 
 
-def _ordered_writers(src: DataFrame, k: int, kcol: str, block_rows: int | None) -> DataFrame:
-    """Rows of ``src`` (with _w, _u1, _u2) that write a reservoir slot, plus ``_slot``."""
+def _range_blocks(src: DataFrame, kcol: str, order, wcol: str | None, block_rows: int | None):
+    """Range-partition ``src`` on (kcol, *order) and sort each partition (a hot key spreads
+    over many partitions; ties are split by the last order column). Returns the cached
+    blocked frame (with ``_blk``) and a broadcast {block: (rows, weight) of its first key
+    in earlier blocks}: only a block's first key can continue from earlier blocks, so the
+    carry table has at most B entries."""
     import pandas as pd
     from pyspark import StorageLevel
-    from pyspark.sql.types import IntegerType, StructField, StructType
 
+    order = list(order)
     n = src.count()
     if block_rows is None:
         block_rows = max(200_000, int(math.ceil(n / MAX_CARRY_BLOCKS)))
     nblocks = min(MAX_CARRY_BLOCKS, max(1, int(math.ceil(n / block_rows))))
-    blocked = (src.repartitionByRange(nblocks, kcol, "ord", "id").sortWithinPartitions(kcol, "ord", "id")
+    blocked = (src.repartitionByRange(nblocks, kcol, *order).sortWithinPartitions(kcol, *order)
                .withColumn("_blk", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK))
 
     def summary(batches):
@@ -366,7 +375,8 @@ def _ordered_writers(src: DataFrame, k: int, kcol: str, block_rows: int | None)
             if len(pdf) == 0:
                 continue
             blk = int(pdf["_blk"].iat[0])
-            keys, w = pdf[kcol], pdf["_w"].to_numpy()
+            keys = pdf[kcol]
+            w = pdf["_w"].to_numpy() if wcol else np.zeros(len(pdf))
             if first is None:
                 first = keys.iat[0]
             for kv, c, sw in zip(*_segments(keys, w)):
@@ -381,7 +391,8 @@ def _ordered_writers(src: DataFrame, k: int, kcol: str, block_rows: int | None)
                                 "single": [single]})
 
     ktype = src.schema[kcol].dataType.simpleString()
-    summ = sorted(blocked.select(kcol, "_w", "_blk").mapInPandas(
+    cols = [kcol, "_blk"] + (["_w"] if wcol else [])
+    summ = sorted(blocked.select(*cols).mapInPandas(
         summary, f"blk INT, first {ktype}, last {ktype}, lc BIGINT, lw DOUBLE, single BOOLEAN").collect(),
         key=lambda r: r["blk"])
     carry, open_key, oc, ow = {}, None, 0, 0.0
@@ -392,7 +403,57 @@ def _ordered_writers(src: DataFrame, k: int, kcol: str, block_rows: int | None)
             open_key, oc, ow = r["first"], base[0] + r["lc"], base[1] + r["lw"]
         else:
             open_key, oc, ow = r["last"], r["lc"], r["lw"]
-    bcarry = src.sparkSession.sparkContext.broadcast(carry)
+    return blocked, src.sparkSession.sparkContext.broadcast(carry)
+
+
+def _positions(pdf, kcol, cur, cc, cw, w):
+    """0-based position and inclusive weight sum within the key for one sorted batch,
+    continuing (cur, cc, cw) from the previous batch."""
+    import pandas as pd
+
+    keys = pdf[kcol]
+    cont = keys.iat[0] == cur
+    seg = np.cumsum(np.r_[0, (keys.iloc[1:].to_numpy() != keys.iloc[:-1].to_numpy()).astype(np.int64)])
+    first_seg = seg == 0
+    base_c = np.where(first_seg & cont, cc, 0)
+    base_w = np.where(first_seg & cont, cw, 0.0)
+    r = pd.Series(np.ones(len(w), dtype=np.int64)).groupby(seg).cumsum().to_numpy() - 1 + base_c
+    W = pd.Series(w).groupby(seg).cumsum().to_numpy() + base_w
+    return r, W, keys.iat[-1]
+
+
+def ordered_rank(df: DataFrame, key: str, order=("_key", "id"), out: str = "rank",
+                 block_rows: int | None = None) -> DataFrame:
+    """1-based position of every row within its ``key`` group in ``order`` - the same
+    numbers as ``row_number() over (partition by key order by ...)`` - without gathering
+    a group in one task: range blocks, at most B carries, one streaming numbering pass."""
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    blocked, bcarry = _range_blocks(df, key, order, None, block_rows)
+    out_schema = StructType(list(blocked.schema.fields) + [StructField(out, LongType())])
+
+    def number(batches):
+        cur, cc = None, 0
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            pdf = pdf.reset_index(drop=True)
+            if cur is None:
+                cur = pdf[key].iat[0]
+                cc = bcarry.value.get(int(pdf["_blk"].iat[0]), (0, 0.0))[0]
+            r, _, last = _positions(pdf, key, cur, cc, 0.0, np.zeros(len(pdf)))
+            cur, cc = last, int(r[-1] + 1)
+            pdf[out] = r + 1
+            yield pdf
+
+    return blocked.mapInPandas(number, out_schema).drop("_blk")
+
+
+def _ordered_writers(src: DataFrame, k: int, kcol: str, block_rows: int | None) -> DataFrame:
+    """Rows of ``src`` (with _w, _u1, _u2) that write a reservoir slot, plus ``_slot``."""
+    from pyspark.sql.types import IntegerType, StructField, StructType
+
+    blocked, bcarry = _range_blocks(src, kcol, ("ord", "id"), "_w", block_rows)
     out_schema = StructType(list(blocked.schema.fields) + [StructField("_slot", IntegerType())])
 
     def decide(batches):
@@ -404,19 +465,13 @@ def _ordered_writers(src: DataFrame, k: int, kcol: str, block_rows: int | None)
             if cur is None:
                 cur = pdf[kcol].iat[0]
                 cc, cw = bcarry.value.get(int(pdf["_blk"].iat[0]), (0, 0.0))
-            keys, w = pdf[kcol], pdf["_w"].to_numpy()
-            cont = keys.iat[0] == cur
-            seg = np.cumsum(np.r_[0, (keys.iloc[1:].to_numpy() != keys.iloc[:-1].to_numpy()).astype(np.int64)])
-            first_seg = seg == 0
-            base_c = np.where(first_seg & cont, cc, 0)
-            base_w = np.where(first_seg & cont, cw, 0.0)
-            r = pd.Series(np.ones(len(w), dtype=np.int64)).groupby(seg).cumsum().to_numpy() - 1 + base_c
-            W = pd.Series(w).groupby(seg).cumsum().to_numpy() + base_w
+            w = pdf["_w"].to_numpy()
+            r, W, last = _positions(pdf, kcol, cur, cc, cw, w)
             with np.errstate(divide="ignore", invalid="ignore"):
                 acc = (W > 0) & (pdf["_u1"].to_numpy() < k * w / np.where(W > 0, W, 1.0))
             slot = np.where(r < k, r, np.floor(pdf["_u2"].to_numpy() * k).astype(np.int64) % k)
             take = (r < k) | acc
-            cur, cc, cw = keys.iat[-1], int(r[-1] + 1), float(W[-1])
+            cur, cc, cw = last, int(r[-1] + 1), float(W[-1])
             if take.any():
                 sel = pdf[take].copy()
                 sel["_slot"] = slot[take].astype(np.int32)

@@ -129,3 +129,24 @@ def test_large_k_selection_equals_top_k(spark, monkeypatch, topk_max, subs):
     monkeypatch.setattr(SM, "SUB_BUCKETS", subs)
     got = SM.weighted_sample(df.repartition(3), 900, "p", seed=5)
     assert _ids(got) == want and got.count() == 900
+
+
+def test_ordered_rank_equals_row_number(spark):
+    from pyspark.sql import Window
+
+    rng = np.random.default_rng(2)
+    rows = [(i, int(g), float(v)) for i, (g, v) in enumerate(zip(np.where(rng.random(500) < 0.8, 1, rng.integers(2, 5, 500)),
+                                                                  rng.integers(0, 40, 500)))]
+    df = spark.createDataFrame(rows, "id BIGINT, run INT, _key DOUBLE").repartition(4)
+    want = {r["id"]: r["rank"] for r in df.withColumn(
+        "rank", F.row_number().over(Window.partitionBy("run").orderBy("_key", "id"))).collect()}
+    got = {r["id"]: r["rank"] for r in SM.ordered_rank(df, "run", block_rows=17).collect()}
+    assert got == want
+
+
+def test_multi_sample_large_kmax_path(spark, monkeypatch):
+    df = spark.range(2000).withColumn("p", (F.col("id") % 5 + 1).cast("double"))
+    want = sorted((r["run"], r["rank"], r["id"]) for r in SM.multi_sample(df, [50, 300], [1, 2], "p").collect())
+    monkeypatch.setattr(SM, "TOPK_MAX", 10)
+    got = sorted((r["run"], r["rank"], r["id"]) for r in SM.multi_sample(df, [50, 300], [1, 2], "p").collect())
+    assert got == want
