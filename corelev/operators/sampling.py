@@ -72,19 +72,47 @@ def weighted_sample(df: DataFrame, k: int, weight: str = "p", seed: int = 0, str
         raise ValueError("Sample size must be greater than zero!")
     pos = df.filter(F.col(weight) > 0)
     key = race_key(F.col(weight), seed, stream)
-    hist = _histogram(pos, key, F.col(weight))[None]
-    tau, wsum = _threshold_from(hist, k)
     cand = pos.withColumn("_key", key)
-    if tau is not None:
-        cand = cand.filter(F.col("_key") <= F.lit(tau))
     if k <= TOPK_MAX:
-        out = cand.orderBy("_key", "id").limit(k)
+        out, wsum = _small_k_candidates(pos, cand, k, weight, key)
+        out = out.orderBy("_key", "id").limit(k)
     else:
+        hist = _histogram(pos, key, F.col(weight))[None]
+        tau, wsum = _threshold_from(hist, k)
+        if tau is not None:
+            cand = cand.filter(F.col("_key") <= F.lit(tau))
         out = _smallest_keys(cand, k, hist)
     out = out.withColumn(prob_out, F.col(weight) / F.lit(wsum))
     return out.withColumnRenamed("_key", key_out) if key_out else out.drop("_key")
 
 
+OVERSAMPLE = 3.0
+
+
+def _small_k_candidates(pos: DataFrame, cand: DataFrame, k: int, weight: str, key: Column):
+    """(candidates holding the k smallest keys, sum(w)) with ONE hashing pass.
+
+    sum(w) comes from a plain aggregate (no hashing). Since P(E / w_i <= t) =
+    1 - exp(-t w_i) <= t w_i, the rows with key <= 3 k / sum(w) number at most 3 k
+    in expectation for any weights; when fewer than k pass (weight concentrated on
+    fewer than k rows) the log-bucket histogram threshold is used instead.
+    """
+    from pyspark import StorageLevel
+
+    tot = pos.agg(F.count(F.lit(1)).alias("c"), F.sum(F.col(weight).cast("double")).alias("sw")).collect()[0]
+    if tot["c"] < k:
+        raise ValueError("Sample size can't be greater than the number of rows with positive probability!")
+    wsum = float(tot["sw"])
+    if tot["c"] <= OVERSAMPLE * k:
+        return cand, wsum
+    sel = cand.filter(F.col("_key") <= F.lit(OVERSAMPLE * k / wsum)).persist(StorageLevel.MEMORY_AND_DISK)
+    if sel.count() >= k:
+        return sel, wsum
+    sel.unpersist()
+    tau, _ = _threshold_from(_histogram(pos, key, F.col(weight))[None], k)
+    return (cand if tau is None else cand.filter(F.col("_key") <= F.lit(tau))), wsum
+
+
 TOPK_MAX = 200_000      # rows allowed into the one final top-k task
 SUB_BUCKETS = 4096
 

@@ -150,3 +150,16 @@ def test_multi_sample_large_kmax_path(spark, monkeypatch):
     monkeypatch.setattr(SM, "TOPK_MAX", 10)
     got = sorted((r["run"], r["rank"], r["id"]) for r in SM.multi_sample(df, [50, 300], [1, 2], "p").collect())
     assert got == want
+
+
+def test_small_k_fallback_concentrated_weights(spark):
+    # one row holds nearly all the weight: fewer than k rows pass 3k / sum(w),
+    # so the histogram threshold is used; the sample must still be the k smallest keys
+    df = spark.range(400).withColumn("p", F.when(F.col("id") == 7, F.lit(1e9)).otherwise(F.lit(1.0)))
+    keys = df.select("id", (R.exponential("id", 2, "race") / F.col("p")).alias("k")).collect()
+    brute = sorted(r["id"] for r in sorted(keys, key=lambda r: (r["k"], r["id"]))[:50])
+    assert _ids(SM.weighted_sample(df, 50, "p", seed=2)) == brute
+    spread = spark.range(400).withColumn("p", (F.col("id") % 3 + 1).cast("double"))
+    keys = spread.select("id", (R.exponential("id", 2, "race") / F.col("p")).alias("k")).collect()
+    brute = sorted(r["id"] for r in sorted(keys, key=lambda r: (r["k"], r["id"]))[:50])
+    assert _ids(SM.weighted_sample(spread.repartition(5), 50, "p", seed=2)) == brute
