@@ -528,6 +528,13 @@ MAX_GROUP_ROWS = 5_000_000
 
 
 def _reservoir(df, k, weight, key, seed, d, ridge, lam, c):
+    """Sequential reservoir per key (the online-ridge form, D7): rows are hash-partitioned
+    by key and sorted by (key, ord, id); each task streams its Arrow batches keeping only
+    the current key's state (k slots, sum of weights, the d x d matrix), so memory does
+    not grow with the group. A group is still one task (each acceptance changes the next
+    score), hence the MAX_GROUP_ROWS refusal."""
+    import pandas as pd
+
     from .moments import array_width
 
     d = array_width(df) if d is None else d
@@ -540,8 +547,57 @@ def _reservoir(df, k, weight, key, seed, d, ridge, lam, c):
     src = src.withColumn("_u1", R.uniform("id", seed, "res1")).withColumn("_u2", R.uniform("id", seed, "res2"))
     if not ridge:
         src = src.withColumn("_w", F.col(weight).cast("double"))
-    schema = src.drop("_u1", "_u2")
-    if not ridge:
-        schema = schema.drop("_w")
-    out = src.groupBy(gcol).applyInPandas(_chao_kernel(k, d, seed, ridge, lam, c), schema.schema)
+    out_cols = [cn for cn in src.columns if cn not in ("_u1", "_u2", "_w")]
+    out_schema = src.select(*out_cols).schema
+    parted = src.repartition(gcol).sortWithinPartitions(gcol, "ord", "id")
+
+    def run(batches):
+        cur, slots, count, wsum, A = None, None, 0, 0.0, None
+
+        def flush():
+            rows = [r for r in slots if r is not None]
+            return pd.DataFrame(rows, columns=out_cols) if rows else None
+
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            keys = pdf[gcol].to_numpy()
+            u1 = pdf["_u1"].to_numpy()
+            u2 = pdf["_u2"].to_numpy()
+            X = np.stack(pdf["x"].to_numpy()).astype(float).reshape(-1, d) if ridge else None
+            wts = None if ridge else pdf["_w"].to_numpy()
+            recs = pdf[out_cols].to_dict("records")
+            for i in range(len(pdf)):
+                if cur is None or keys[i] != cur:
+                    if cur is not None:
+                        res = flush()
+                        if res is not None:
+                            yield res
+                    cur, slots, count, wsum = keys[i], [None] * k, 0, 0.0
+                    A = lam * np.eye(d) if ridge else None
+                if ridge:
+                    xi = X[i]
+                    wt = min(float(xi @ np.linalg.solve(A, xi)), 1.0)
+                    if c is not None:
+                        wt += c
+                else:
+                    wt = float(wts[i])
+                wsum += wt
+                taken = False
+                if count < k:
+                    slots[count] = recs[i]
+                    taken = True
+                elif wsum > 0 and u1[i] < k * wt / wsum:
+                    slots[int(u2[i] * k) % k] = recs[i]
+                    taken = True
+                if taken:
+                    count += 1
+                    if ridge:
+                        A += np.outer(xi, xi)
+        if cur is not None:
+            res = flush()
+            if res is not None:
+                yield res
+
+    out = parted.mapInPandas(run, out_schema)
     return out if key else out.drop("_g")
