@@ -505,7 +505,14 @@ def _ordered_writers(src: DataFrame, k: int, kcol: str, block_rows: int | None)
                 sel["_slot"] = slot[take].astype(np.int32)
                 yield sel
 
-    return blocked.mapInPandas(decide, out_schema)
+    from pyspark import StorageLevel
+
+    # the writers are few (about k (1 + ln(n_key / k)) per key): keep them and release
+    # the n-row blocked cache before returning
+    writers = blocked.mapInPandas(decide, out_schema).persist(StorageLevel.MEMORY_AND_DISK)
+    writers.count()
+    blocked.unpersist()
+    return writers
 
 
 def _segments(keys, w):
