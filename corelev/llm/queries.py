@@ -1,10 +1,11 @@
 """The queries of this package for the driver: one for each operator, and the SQL where it can express them."""
 
-from corelev.llm import chat, decontam, line_dedup, packing, sharding
+from corelev.llm import chat, decontam, line_dedup, packing, sharding, tokens
 
 QUERIES = {
     "op5_decontamination": decontam.op5_decontamination,
     "op6_chat_formatting": chat.op6_chat_formatting,
+    "op7_token_output": tokens.op7_token_output,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_sharding": sharding.op9_sharding,
     "op10_line_dedup": line_dedup.op10_line_dedup,
