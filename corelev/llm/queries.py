@@ -1,8 +1,10 @@
 """The queries of this package for the driver: one for each operator, and the SQL where it can express them."""
 
-from corelev.llm import chat, decontam, line_dedup, packing, sharding, tokens
+from corelev.llm import ann, chat, decontam, line_dedup, packing, sharding, tokens, toxicity
 
 QUERIES = {
+    "op1_ann": ann.op1_ann,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op5_decontamination": decontam.op5_decontamination,
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_token_output": tokens.op7_token_output,
