@@ -147,15 +147,15 @@ def fit_chain(index: dict, ids: list, n_words: np.ndarray, y: dict[str, np.ndarr
     return chain
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, max_rows: int = 20_000, per_category: int = 3000, min_docs: int = 4,
+def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, max_rows: int = 20_000, per_category: int = 400, min_docs: int = 2,
         folds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> Chain:
     """Fit the chain on the labelled documents, at most ``max_rows`` of them (those with the least id hash).
 
     Labels with a null id or a null in a category's column don't count; several labels of an id
     count as yes if one says yes. Of several texts with one id the least is taken, null texts as
     empty. Feature counts by category are made by Spark over the whole training rows; the
-    ``per_category`` features with the largest chi-square that at least ``min_docs`` rows hold are
-    kept, so what reaches the driver is bounded by ``max_rows`` and ``per_category``.
+    ``per_category`` features with the largest chi-square that speak for a category and that at
+    least ``min_docs`` rows hold are kept, so what reaches the driver is bounded by ``max_rows`` and ``per_category``.
     """
     spark, cats = docs.sparkSession, list(categories)
     whole = F.lit(True)
@@ -198,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, max_rows: int
             continue
         cross = p * (total - big - n + p) - (big - p) * (n - p)
         chi = cross * cross / (n * F.greatest(total - n, F.lit(0.5)))
-        for r in counts.orderBy(chi.desc(), "f").limit(per_category).select("f").collect():
+        for r in counts.where(p * total > big * n).orderBy(chi.desc(), "f").limit(per_category).select("f").collect():
             index.setdefault(r["f"], len(index))
     counts.unpersist()
     sent = spark.sparkContext.broadcast(index)
