@@ -20,7 +20,7 @@ from corelev.llm.common import WordHash, sliced, table, utf8, written
 #: A-Z to a-z; every other ASCII byte that is no letter or digit to a blank.
 _FOLD = bytes((c + 32) if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
-INDEX = ("doc_ids array<long>, rows array<long>, n_words binary, terms binary, starts binary, positions binary")
+INDEX = ("doc_ids array<long>, rows array<long>, keys array<long>, n_words binary, terms binary, starts binary, positions binary")
 
 
 def words(text: bytes) -> list[bytes]:
@@ -34,7 +34,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Documents lie one after another in the block's positions, at least ``gap`` apart, so a window of
     up to ``gap`` words can't reach from one into the next.
     """
-    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.monotonically_increasing_id().alias("r"), F.col(f"`{text_col}`").alias("t"))
+    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.monotonically_increasing_id().alias("r"), F.col(f"`{text_col}`").alias("t"),
+                      F.xxhash64(F.col(f"`{text_col}`")).alias("h"))
 
     def blocks(batches):
         hashes = WordHash()
@@ -49,8 +50,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             terms, starts = np.unique(ids[order], return_index=True)
             yield pa.RecordBatch.from_arrays([
                 pa.array([b.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([b.column(1).to_pylist()], pa.list_(pa.int64())),
-                pa.array([n.tobytes()]), pa.array([terms.tobytes()]), pa.array([np.append(starts, len(ids)).astype(np.int32).tobytes()]),
-                pa.array([at[order].astype(np.int32).tobytes()])], ["doc_ids", "rows", "n_words", "terms", "starts", "positions"])
+                pa.array([b.column(3).to_pylist()], pa.list_(pa.int64())), pa.array([n.tobytes()]), pa.array([terms.tobytes()]), pa.array([np.append(starts, len(ids)).astype(np.int32).tobytes()]),
+                pa.array([at[order].astype(np.int32).tobytes()])], ["doc_ids", "rows", "keys", "n_words", "terms", "starts", "positions"])
 
     return src.mapInArrow(blocks, INDEX)
 
@@ -59,7 +60,7 @@ class Block:
     """An index row, read for searching."""
 
     def __init__(self, row: dict, gap: int):
-        self.doc_ids, self.rows = row["doc_ids"], row["rows"]
+        self.doc_ids, self.rows, self.keys = row["doc_ids"], row["rows"], row["keys"]
         self.n = np.frombuffer(row["n_words"], np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.n + gap)[:-1]])
         self.terms = np.frombuffer(row["terms"], np.uint64)
@@ -120,7 +121,7 @@ def parts_of(rows, width: int, windows: int):
 
 
 def search(index: DataFrame, part: list, width: int, within: int | None = None) -> DataFrame:
-    """Hits of one part of the windows: row (of the index), doc_id, n_words, hits (start, end runs), items.
+    """Hits of one part of the windows: row (of the index), doc_id, text_key, n_words, hits (start, end runs), items.
 
     Exact phrases, or with ``within`` proximity matches: all words of the window within that many
     words of the rarest one, which then is the hit. Documents without hits come too.
@@ -180,11 +181,11 @@ def search(index: DataFrame, part: list, width: int, within: int | None = None)
                 for k, s, e in zip(d.tolist(), (a - x.first[d]).tolist(), (z - x.first[d]).tolist()):
                     runs.setdefault(k, []).append({"s": s, "e": e})
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(x.rows, pa.int64()), pa.array(x.doc_ids, pa.int64()), pa.array(x.n),
+                    pa.array(x.rows, pa.int64()), pa.array(x.doc_ids, pa.int64()), pa.array(x.keys, pa.int64()), pa.array(x.n),
                     pa.array([runs.get(k, []) for k in range(len(x.n))], pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))),
-                    pa.array([sorted(at.get(k, ())) for k in range(len(x.n))], pa.list_(pa.string()))], ["row", "doc_id", "n_words", "hits", "items"])
+                    pa.array([sorted(at.get(k, ())) for k in range(len(x.n))], pa.list_(pa.string()))], ["row", "doc_id", "text_key", "n_words", "hits", "items"])
 
-    return index.mapInArrow(look, "row long, doc_id long, n_words long, hits array<struct<s:long,e:long>>, items array<string>")
+    return index.mapInArrow(look, "row long, doc_id long, text_key long, n_words long, hits array<struct<s:long,e:long>>, items array<string>")
 
 
 def _union(runs: list, items: list):
@@ -200,7 +201,7 @@ def _union(runs: list, items: list):
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, within: int | None = None, id_col: str = "doc_id",
                   text_col: str = "text", item_col: str = "item_id", item_text: str = "text", part_windows: int = 200_000) -> DataFrame:
-    """Per row of ``docs``: row, doc_id, n_words, hits (runs of hit words, end exclusive), items (sorted ids as strings).
+    """Per row of ``docs``: row, doc_id, text_key (hash of the text), n_words, hits (runs of hit words, end exclusive), items (sorted ids as strings).
 
     The index over all words of all documents is written once; the benchmark's windows are searched
     in parts of ``part_windows`` (about 40 MB sent to each task), as many as it takes, and the hits
@@ -217,16 +218,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, within
     all_hits = found[0]
     for x in found[1:]:
         all_hits = all_hits.unionByName(x)
-    one = all_hits.groupBy("row", "doc_id", "n_words").agg(F.collect_list("hits").alias("hits"), F.collect_list("items").alias("items"))
+    one = all_hits.groupBy("row", "doc_id", "text_key", "n_words").agg(F.collect_list("hits").alias("hits"), F.collect_list("items").alias("items"))
 
     def unite(batches):
         for b in batches:
-            out = [_union(h, i) for h, i in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2),
+            out = [_union(h, i) for h, i in zip(b.column(4).to_pylist(), b.column(5).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4],
                                               pa.array([x[0] for x in out], pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))),
-                                              pa.array([x[1] for x in out], pa.list_(pa.string()))], ["row", "doc_id", "n_words", "hits", "items"])
+                                              pa.array([x[1] for x in out], pa.list_(pa.string()))], ["row", "doc_id", "text_key", "n_words", "hits", "items"])
 
-    return one.mapInArrow(unite, "row long, doc_id long, n_words long, hits array<struct<s:long,e:long>>, items array<string>")
+    return one.mapInArrow(unite, "row long, doc_id long, text_key long, n_words long, hits array<struct<s:long,e:long>>, items array<string>")
 
 
 def digest(items: list[str]) -> str:

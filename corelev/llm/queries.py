@@ -1,11 +1,12 @@
 """The queries of this package for the driver: one for each operator, and the SQL where it can express them."""
 
-from corelev.llm import ann, chat, decontam, line_dedup, ngram_join, packing, sharding, tokens, toxicity
+from corelev.llm import ann, chat, decontam, line_dedup, lm, ngram_join, packing, sharding, tokens, toxicity
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_lm_scoring": lm.op4_lm_scoring,
     "op5_decontamination": decontam.op5_decontamination,
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_token_output": tokens.op7_token_output,

@@ -217,13 +217,15 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, max_rows: int
                      np.arange(len(keys)) % folds)
 
 
-def score(docs: DataFrame, chain: Chain, reject: str = "toxic", threshold: float = 0.2, text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, chain: Chain, reject: str = "toxic", threshold: float = 0.2, text_col: str = "text", prefix: str = "") -> DataFrame:
     """``docs`` with a probability ``p_<category>`` for each category and ``rejected``; columns of these names are replaced.
 
+    ``prefix`` goes before the new names, so that a caller can keep columns that have them.
+
     Whole texts are read; null and empty texts have no features. Rows stay as they are, repeated ones too.
     """
-    names = [f"p_{c}" for c in chain.weights]
-    kept = [c for c in docs.columns if c not in (*names, "rejected")]
+    names, verdict = [f"{prefix}p_{c}" for c in chain.weights], f"{prefix}rejected"
+    kept = [c for c in docs.columns if c not in (*names, verdict)]
     sent = docs.sparkSession.sparkContext.broadcast(chain)
     at = kept.index(text_col)
 
@@ -232,7 +234,7 @@ def score(docs: DataFrame, chain: Chain, reject: str = "toxic", threshold: float
         for b in sliced(batches, 2000):
             got = [known.of(t) for t in utf8(b.column(at))]
             p = sent.value.predict([g[0] for g in got], np.array([g[1] for g in got], np.float64))
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(p[c]) for c in p], pa.array(p[reject] >= threshold)], [*b.schema.names, *names, "rejected"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(p[c]) for c in p], pa.array(p[reject] >= threshold)], [*b.schema.names, *names, verdict])
 
     from pyspark.sql.types import BooleanType, DoubleType, StructType
 
@@ -240,7 +242,7 @@ def score(docs: DataFrame, chain: Chain, reject: str = "toxic", threshold: float
     schema = StructType(list(base.schema.fields))
     for n in names:
         schema = schema.add(n, DoubleType())
-    return base.mapInArrow(run, schema.add("rejected", BooleanType()))
+    return base.mapInArrow(run, schema.add(verdict, BooleanType()))
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
