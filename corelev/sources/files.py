@@ -6,10 +6,17 @@ run, and appends never rewrite existing files.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def missing_path(error: Exception) -> bool:
+    """Whether Spark says that a path doesn't exist (any file system); other errors are not swallowed."""
+    cond = getattr(error, "getCondition", getattr(error, "getErrorClass", lambda: ""))() or ""
+    return "PATH_NOT_FOUND" in cond or "UNABLE_TO_INFER_SCHEMA" in cond
+
+
 def read_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """A3: CSV with header; pass a schema in production (no inference pass)."""
     r = spark.read.option("header", "true")
@@ -22,7 +29,8 @@ def read_run_files(spark: SparkSession, pattern: str, schema=None) -> DataFrame:
     """A4: many ``..._run_<k>.csv`` files; the run number is parsed from each file name."""
     df = read_csv(spark, pattern, schema)
     # "..._run_7.csv" (one file per run) or Spark's "run=7/" partition folders
-    run = F.regexp_extract(F.input_file_name(), r"run[_=](\d+)", 1).cast("int")
+    parts = [F.regexp_extract(F.input_file_name(), e, 1) for e in (r"/run=(\d+)/[^/]*$", r"run_(\d+)\.[^/]*$")]
+    run = F.coalesce(*[F.when(c != "", c.cast("int")) for c in parts])
     return df.withColumn("run", run) if "run" not in df.columns else df.withColumn("file_run", run)
 
 
@@ -36,8 +44,18 @@ def read_libsvm(spark: SparkSession, path: str, num_features: int | None = None,
         r = r.option("numFeatures", str(num_features))
     df = r.load(path)
     y = F.when(F.col("label") > 0, F.lit(1)).otherwise(F.lit(-1)) if label_map is None else label_map(F.col("label"))
-    return df.select(F.monotonically_increasing_id().alias("id"), y.cast("int").alias("y"),
-                     F.lit(1.0).alias("w"), vector_to_array("features").alias("x"))
+    rows = df.select(y.cast("int").alias("y"), F.lit(1.0).alias("w"), vector_to_array("features").alias("x"),
+                     F.xxhash64("label", vector_to_array("features")).alias("_h"))
+    # ids come from the rows, so they don't depend on how the file is split; equal rows are numbered
+    same = Window.partitionBy("_h").orderBy("_h")
+    return rows.select(F.xxhash64("_h", F.row_number().over(same)).alias("id"), "y", "w", "x")
+
+
+def write_libsvm(df: DataFrame, path: str) -> None:
+    """(y, x) rows as svmlight text: the label, then ``index:value`` (from 1) of every non-zero entry."""
+    pairs = F.filter(F.transform("x", lambda v, i: F.when(v != 0, F.concat((i + 1).cast("string"), F.lit(":"), v.cast("string")))),
+                     lambda v: v.isNotNull())
+    df.select(F.concat_ws(" ", F.col("y").cast("string"), F.array_join(pairs, " ")).alias("value")).write.text(path)
 
 
 def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -63,7 +81,9 @@ def load_beta(spark: SparkSession, path: str, dataset: str, p: float):
     """The stored beta_opt (latest write wins per j is not needed: one write per key)."""
     try:
         stored = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - nothing stored yet (any file system / URI scheme)
+    except AnalysisException as e:
+        if not missing_path(e):
+            raise
         return None
     rows = (stored.filter((F.col("dataset") == dataset) & (F.col("p") == float(p)))
             .select("j", "beta").collect())
@@ -81,7 +101,9 @@ def max_run(spark: SparkSession, path: str, fmt: str = "parquet") -> int:
     try:
         r = spark.read.option("header", "true") if fmt == "csv" else spark.read
         v = r.format(fmt).load(path).agg(F.max("run")).collect()[0][0]
-    except Exception:  # noqa: BLE001 - missing table
+    except AnalysisException as e:
+        if not missing_path(e):
+            raise
         return 0
     return int(v or 0)
 

@@ -2,13 +2,17 @@
 
 S1  online leverage per key: state = (prefix Gram, count); rows of a key inside a
     micro-batch are scored in (ord, id) order, vectorised by cumulative sums.
-S2  Chao weighted reservoir per key: state = k slots (ids, labels, rows), sum of weights.
-S3  probit SGD: one gradient aggregate per micro-batch (``foreachBatch``); beta and
-    step count are written to a parquet table after every batch, so a restarted
-    query resumes from the last committed step.
+S2  Chao weighted reservoir per key: state = k slots with the rows' columns, the sum of
+    weights and the rows seen.
+S3  probit SGD: one gradient aggregate per micro-batch (``foreachBatch``); beta, step and
+    batch number go to a parquet table after every batch, beside a checkpoint of the
+    same name, so a restarted query goes on with the next batch and a replayed batch
+    isn't applied again.
 S4  CountSketch: a plain streaming ``groupBy(bucket).agg(sum)`` (linear, mergeable).
 
-Late rows (older than the watermark) are dropped before the stateful operators.
+S1 and S2 run under an event-time timeout, so rows older than the watermark are dropped
+before they reach the state; with ``idle`` a key's state ends when the watermark is that
+far past its last row. Results are written by batch into a table of files (``run_to_table``).
 """
 
 from __future__ import annotations
@@ -17,9 +21,11 @@ import os
 import uuid
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import random as R
 from ..operators.scores import _online_scores
@@ -51,13 +57,34 @@ def events_vectors(stream: DataFrame, watermark: str | None = "1 hour") -> DataF
                     F.array(F.col("value").cast("double"), F.lit(1.0)).alias("x"))
 
 
+def _watermark(rows: DataFrame):
+    """The column with a watermark, or None."""
+    for f in rows.schema.fields:
+        if "spark.watermarkDelayMs" in (f.metadata or {}):
+            return f.name
+    return None
+
+
+def _timeout(rows: DataFrame):
+    return GroupStateTimeout.EventTimeTimeout if _watermark(rows) else GroupStateTimeout.NoTimeout
+
+
+def _keep_until(state, idle_ms: int | None):
+    """Let the state end ``idle_ms`` after the watermark of this batch (None: never)."""
+    if idle_ms is not None:
+        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + idle_ms)
+
+
 # -- S1 ----------------------------------------------------------------------
 
-def online_leverage_stream(rows: DataFrame, d: int, method: str = "pinv") -> DataFrame:
+def online_leverage_stream(rows: DataFrame, d: int, method: str = "pinv", idle_ms: int | None = None) -> DataFrame:
     """Per-key online leverage; output (key, id, score) rows in append mode."""
     import pandas as pd
 
     def fn(key, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         if state.exists:
             G, cnt = state.get
             P = np.asarray(G, dtype=float).reshape(d, d)
@@ -68,54 +95,69 @@ def online_leverage_stream(rows: DataFrame, d: int, method: str = "pinv") -> Dat
             return
         pdf = pd.concat(parts, ignore_index=True).sort_values(["ord", "id"], kind="mergesort")
         X = np.stack(pdf["x"].to_numpy()).astype(float).reshape(-1, d)
-        outer = np.einsum("ni,nj->nij", X, X)
-        Ms = P[None] + np.cumsum(outer, axis=0)
-        sc = _online_scores(Ms, X, method)
-        state.update((Ms[-1].ravel().tolist(), int(cnt + len(X))))
-        yield pd.DataFrame({"key": np.full(len(X), key[0]), "id": pdf["id"].to_numpy(), "score": sc})
+        score = np.empty(len(X))
+        step = max(1, 2_000_000 // (d * d))
+        for a in range(0, len(X), step):  # the prefix Grams of a piece at a time
+            Xa = X[a:a + step]
+            Ms = P[None] + np.cumsum(np.einsum("ni,nj->nij", Xa, Xa), axis=0)
+            score[a:a + step] = _online_scores(Ms, Xa, method)
+            P = Ms[-1]
+        state.update((P.ravel().tolist(), int(cnt + len(X))))
+        _keep_until(state, idle_ms)
+        yield pd.DataFrame({"key": np.full(len(X), key[0]), "id": pdf["id"].to_numpy(), "score": score})
 
     key_t = dict((f.name, f.dataType.simpleString()) for f in rows.schema.fields)
     out_schema = f"key {key_t['key']}, id {key_t['id']}, score DOUBLE"
     return rows.groupBy("key").applyInPandasWithState(
-        fn, out_schema, "gram ARRAY<DOUBLE>, cnt BIGINT", "append", GroupStateTimeout.NoTimeout)
+        fn, out_schema, "gram ARRAY<DOUBLE>, cnt BIGINT", "append", _timeout(rows))
 
 
 # -- S2 ----------------------------------------------------------------------
 
-def reservoir_stream(rows: DataFrame, k: int, weight: str, seed: int = 0) -> DataFrame:
-    """Chao reservoir per key; emits the current reservoir of every updated key (update mode)."""
+def reservoir_stream(rows: DataFrame, k: int, weight: str, seed: int = 0, columns=("id", "y"),
+                     idle_ms: int | None = None) -> DataFrame:
+    """Chao reservoir per key; emits the whole reservoir (key, slot, ``columns``) of every updated key.
+
+    In update mode: of each (key, slot) the last batch's row holds (``run_to_table`` with
+    ``keys``). Decisions are those of the batch operator: from a row's position in its key, the
+    weight sum up to it and its hash uniforms; a slot keeps its last writer.
+    """
     import pandas as pd
 
-    src = rows.withColumn("_u1", R.uniform("id", seed, "res1")).withColumn("_u2", R.uniform("id", seed, "res2")) \
-        .withColumn("_w", F.col(weight).cast("double"))
+    held = F.to_json(F.struct(*columns))
+    src = (rows.withColumn("_u1", R.uniform("id", seed, "res1")).withColumn("_u2", R.uniform("id", seed, "res2"))
+           .withColumn("_w", F.col(weight).cast("double")).withColumn("_row", held))
 
     def fn(key, pdfs, state):
-        if state.exists:
-            ids, ys, wsum, count = state.get
-            ids, ys = list(ids), list(ys)
-        else:
-            ids, ys, wsum, count = [None] * k, [0] * k, 0.0, 0
+        if state.hasTimedOut:
+            state.remove()
+            return
+        slots, before, seen = state.get if state.exists else ([], 0.0, 0)
+        slots = list(slots)
         parts = list(pdfs)
         if parts:
             pdf = pd.concat(parts, ignore_index=True).sort_values(["ord", "id"], kind="mergesort")
-            for rid, yv, wv, u1, u2 in zip(pdf["id"], pdf["y"], pdf["_w"], pdf["_u1"], pdf["_u2"]):
-                wsum += float(wv)
-                if count < k:
-                    ids[count], ys[count] = int(rid), int(yv)
-                    count += 1
-                elif u1 < k * float(wv) / wsum:
-                    slot = int(u2 * k) % k
-                    ids[slot], ys[slot] = int(rid), int(yv)
-                    count += 1
-        state.update((ids, ys, float(wsum), int(count)))
-        filled = [(i, s, y) for s, (i, y) in enumerate(zip(ids, ys)) if i is not None]
-        yield pd.DataFrame({"key": [key[0]] * len(filled), "slot": [s for _, s, _ in filled],
-                            "id": [i for i, _, _ in filled], "y": [y for _, _, y in filled]})
+            w = pdf["_w"].to_numpy(float)
+            upto = before + np.cumsum(w)
+            at = seen + np.arange(len(w))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                chosen = (upto > 0) & (pdf["_u1"].to_numpy() < k * w / np.where(upto > 0, upto, 1.0))
+            slot = np.where(at < k, at, (pdf["_u2"].to_numpy() * k).astype(np.int64) % k)
+            slots += [None] * (min(k, seen + len(w)) - len(slots))
+            writers = np.flatnonzero((at < k) | chosen)
+            for s, row in zip(slot[writers].tolist(), pdf["_row"].to_numpy()[writers].tolist()):
+                slots[s] = row
+            before, seen = float(upto[-1]), int(seen + len(w))
+        state.update((slots, float(before), int(seen)))
+        _keep_until(state, idle_ms)
+        yield pd.DataFrame({"key": [key[0]] * len(slots), "slot": range(len(slots)), "_row": slots})
 
     kt = dict((f.name, f.dataType.simpleString()) for f in rows.schema.fields)
-    return src.groupBy("key").applyInPandasWithState(
-        fn, f"key {kt['key']}, slot INT, id BIGINT, y INT",
-        "ids ARRAY<BIGINT>, ys ARRAY<INT>, wsum DOUBLE, cnt BIGINT", "update", GroupStateTimeout.NoTimeout)
+    out = src.groupBy("key").applyInPandasWithState(
+        fn, f"key {kt['key']}, slot INT, _row STRING",
+        "slots ARRAY<STRING>, before DOUBLE, seen BIGINT", "update", _timeout(rows))
+    parsed = F.from_json("_row", ", ".join(f"`{c}` {kt[c]}" for c in columns))
+    return out.select("key", "slot", parsed.alias("_r")).select("key", "slot", "_r.*")
 
 
 # -- S4 ----------------------------------------------------------------------
@@ -131,54 +173,90 @@ def countsketch_stream(rows: DataFrame, s: int, d: int, seed: int = 0, stream: s
 # -- S3 ----------------------------------------------------------------------
 
 class StreamingSGD:
-    """S3: mini-batch probit SGD over a stream with a durable parameter table."""
+    """S3: mini-batch probit SGD over a stream with a durable parameter table.
+
+    With ``state_path`` the table and the query's checkpoint (``<state_path>_checkpoint``) stay
+    between runs: a new process goes on where the last one committed.
+    """
 
     def __init__(self, d: int, p: float = 2.0, eta0: float = 0.1, power_t: float = 0.5,
                  state_path: str | None = None):
         self.d, self.p, self.eta0, self.power_t = d, p, eta0, power_t
         self.state_path = state_path
         self.beta = np.zeros(d)
-        self.t = 0
+        self.t, self.last_batch = 0, -1
 
     def _restore(self, spark):
-        if not self.state_path:
-            return
+        from ..sources.files import missing_path
+
         try:
-            last = spark.read.parquet(self.state_path).orderBy(F.col("t").desc()).limit(1).collect()
-        except Exception:  # noqa: BLE001 - first run
+            last = spark.read.parquet(self.state_path).orderBy(F.col("batch").desc()).limit(1).collect()
+        except AnalysisException as e:
+            if not missing_path(e):
+                raise
             return
         if last:
-            self.t, self.beta = int(last[0]["t"]), np.asarray(last[0]["beta"], dtype=float)
+            self.t, self.last_batch = int(last[0]["t"]), int(last[0]["batch"])
+            self.beta = np.asarray(last[0]["beta"], dtype=float)
 
     def process(self, batch: DataFrame, batch_id: int):
         from ..operators.probit import evaluate
 
-        if self.t == 0:
+        if self.state_path and self.last_batch < 0:
             self._restore(batch.sparkSession)
-        f, g, _, n = evaluate(batch, self.beta, self.p, self.d, want_hess=False)
-        if n == 0:
+        if batch_id <= self.last_batch:  # replayed after a failure; its step is in the table
             return
-        self.t += 1
-        self.beta = self.beta - self.eta0 / self.t ** self.power_t * (g / n)
+        f, g, _, n = evaluate(batch, self.beta, self.p, self.d, want_hess=False)
+        if n:
+            self.t += 1
+            self.beta = self.beta - self.eta0 / self.t ** self.power_t * (g / n)
         if self.state_path:
             batch.sparkSession.createDataFrame([(int(self.t), int(batch_id), list(map(float, self.beta)))],
                                                "t BIGINT, batch BIGINT, beta ARRAY<DOUBLE>") \
                 .write.mode("append").parquet(self.state_path)
+        self.last_batch = batch_id
 
     def run(self, rows: DataFrame, name: str = "sgd"):
         spark = rows.sparkSession
+        if self.state_path:
+            self._restore(spark)
+        where = f"{self.state_path}_checkpoint" if self.state_path else _ckpt(spark, name)
         q = (rows.select("x", "y", F.lit(1.0).alias("w")).writeStream
-             .foreachBatch(self.process).option("checkpointLocation", _ckpt(spark, name))
+             .foreachBatch(self.process).option("checkpointLocation", where)
              .trigger(availableNow=True).start())
         q.awaitTermination()
         return self.beta
 
 
-def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a streaming query over all available input (availableNow) into a memory table."""
+def run_to_table(df: DataFrame, name: str, mode: str = "append", keys=None, path: str | None = None) -> DataFrame:
+    """Run a streaming query over all available input into a table of files, one folder a batch.
+
+    The table is ``path`` (its checkpoint beside it, so a second call goes on where the first
+    ended), or a new folder below the session's checkpoint folder. A replayed batch writes its
+    own folder anew. ``keys`` (update mode): of each key the last batch's row. Complete mode: the last batch.
+    """
     spark = df.sparkSession
-    qname = f"{name}_{uuid.uuid4().hex[:8]}"
-    q = (df.writeStream.format("memory").queryName(qname).outputMode(mode)
-         .option("checkpointLocation", _ckpt(spark, name)).trigger(availableNow=True).start())
+    path = path or _ckpt(spark, f"{name}-table")
+    cols = df.columns
+
+    def put(batch: DataFrame, batch_id: int):
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    q = (df.writeStream.foreachBatch(put).outputMode(mode)
+         .option("checkpointLocation", f"{path}_checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(qname)
+    from ..sources.files import missing_path
+
+    try:
+        out = spark.read.schema(StructType([*df.schema.fields, StructField("batch", LongType())])).parquet(path)
+    except AnalysisException as e:
+        if not missing_path(e):
+            raise
+        return spark.createDataFrame([], df.schema)
+    if mode == "complete":
+        last = out.agg(F.max("batch")).first()[0]
+        return out.where(F.col("batch") == F.lit(last)).drop("batch")
+    if keys:
+        row = F.max_by(F.struct(*cols), "batch").alias("_r")
+        return out.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)]).agg(row).select("_r.*")
+    return out.drop("batch")
