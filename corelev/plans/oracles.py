@@ -41,7 +41,8 @@ def design_cte(name: str, table: str, id_sql: str, label_sql: str, feats, interc
 
 
 L4_ID = "concat_ws(':', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), " \
-        "CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR))"
+        "CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), CAST(epoch_us(l_shipdate) AS VARCHAR), " \
+        "CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR))"
 
 
 def l4_cte(name="l4") -> str:

@@ -78,7 +78,7 @@ def _covertype_standin(spark, sf):
     from ..sources.recipes import COVERTYPE_CONTINUOUS
 
     li = T.table(spark, sf, "lineitem")
-    cols = [(F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id")]
+    cols = [T.lineitem_id().alias("id")]
     cols += [F.expr(src).alias(name) for name, (src, _) in zip(COVERTYPE_CONTINUOUS, _LI_SOURCES)]
     cols += [F.expr(cond).cast("int").alias(name) for name, cond in _CT_BINARY]
     cols.append(F.expr("CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 2 ELSE 3 END").alias("Cover_Type"))
@@ -97,7 +97,7 @@ def q_design_covertype_li(spark, sf):
 def sql_design_covertype_li():
     feats = [(src, True) for _, src in _LI_SOURCES[:10]]
     feats += [(f"CASE WHEN {cond} THEN 1.0 ELSE 0.0 END", False) for _, cond in _CT_BINARY]
-    cte = O.design_cte("ct", "lineitem", "l_orderkey * 8 + l_linenumber", "l_returnflag = 'R'", feats)
+    cte = O.design_cte("ct", "lineitem", O.L4_ID, "l_returnflag = 'R'", feats)
     xs = ", ".join(f"round(x{j}, 6) AS x_{j}" for j in range(len(feats) + 1))
     return f"WITH {cte}\nSELECT id, y, {xs} FROM ct"
 
@@ -113,7 +113,7 @@ def q_design_kddcup_li(spark, sf):
     from ..sources.recipes import KDD_CONTINUOUS, kddcup_design
 
     li = T.table(spark, sf, "lineitem")
-    cols = [(F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id")]
+    cols = [T.lineitem_id().alias("id")]
     cols += [F.expr(_kdd_source(i)).alias(name) for i, name in enumerate(KDD_CONTINUOUS)]
     cols.append(F.expr("CASE WHEN l_returnflag = 'N' THEN 'normal.' ELSE 'attack.' END").alias("labels"))
     des = kddcup_design(li.select(*cols), "id")
@@ -124,7 +124,7 @@ def sql_design_kddcup_li():
     from ..sources.recipes import KDD_CONTINUOUS, KDD_DROP
 
     feats = [(_kdd_source(i), True) for i, name in enumerate(KDD_CONTINUOUS) if name not in KDD_DROP]
-    cte = O.design_cte("kd", "lineitem", "l_orderkey * 8 + l_linenumber", "l_returnflag <> 'N'", feats)
+    cte = O.design_cte("kd", "lineitem", O.L4_ID, "l_returnflag <> 'N'", feats)
     xs = ", ".join(f"round(x{j}, 6) AS x_{j}" for j in range(len(feats) + 1))
     return f"WITH {cte}\nSELECT id, y, {xs} FROM kd"
 
@@ -738,14 +738,32 @@ def q_reservoir_stream_ev(spark, sf):
     """Per-user Chao reservoir (k = 5, weight = value) over the events stream."""
     ST, rows = _ev_stream(spark, sf)
     rows = rows.withColumn("wt", F.col("x")[0])
-    return ST.run_to_table(ST.reservoir_stream(rows, 5, "wt"), "s2", mode="update")
+    return ST.run_to_table(ST.reservoir_stream(rows, 5, "wt"), "s2", mode="update", keys=["key", "slot"])
+
+
+def sql_reservoir_stream_ev():
+    return ("WITH r AS (SELECT user_id AS key, event_id AS id, CASE WHEN event_type = 'error' THEN 1 ELSE -1 END AS y,\n"
+            "  CAST(value AS DOUBLE) AS w, row_number() OVER o - 1 AS r, sum(CAST(value AS DOUBLE)) OVER o AS sw,\n"
+            f"  {O.u('event_id', 0, 'res1')} AS u1, {O.u('event_id', 0, 'res2')} AS u2 FROM events\n"
+            "  WINDOW o AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),\n"
+            "wr AS (SELECT key, id, y, CASE WHEN r < 5 THEN r ELSE CAST(floor(u2 * 5) AS BIGINT) % 5 END AS slot\n"
+            "  FROM r WHERE r < 5 OR (sw > 0 AND u1 < 5 * w / sw))\n"
+            "SELECT key, CAST(slot AS INTEGER) AS slot, id, y FROM (SELECT *,\n"
+            "  row_number() OVER (PARTITION BY key, slot ORDER BY id DESC) AS q FROM wr) WHERE q = 1")
 
 
 def q_sgd_stream_ev(spark, sf):
     """S3: streaming mini-batch probit SGD (foreachBatch); final beta as rows."""
     ST, rows = _ev_stream(spark, sf)
     beta = ST.StreamingSGD(2).run(rows)
-    return spark.createDataFrame([(j, float(b)) for j, b in enumerate(beta)], "j INT, beta DOUBLE")
+    return spark.createDataFrame([(j, round(float(b), 8)) for j, b in enumerate(beta)], "j INT, beta DOUBLE")
+
+
+def sql_sgd_stream_ev():
+    # one file is one batch: a single step of rate 0.1 from beta = 0, where g'(0) = 2 phi(0)
+    g = "-(CASE WHEN event_type = 'error' THEN 1 ELSE -1 END) * 2 / sqrt(2 * pi())"
+    return (f"SELECT 0 AS j, round(-0.1 * avg({g} * CAST(value AS DOUBLE)), 8) AS beta FROM events\n"
+            f"UNION ALL SELECT 1 AS j, round(-0.1 * avg({g}), 8) AS beta FROM events")
 
 
 # ---------------------------------------------------------------- one-pass samplers (batch)
@@ -1168,7 +1186,7 @@ def q_size_search_l4(spark, sf):
     from .sweep import size_search
 
     des = T.lineitem_design(spark, sf)
-    res = size_search(des, 2.0, runs=[1, 2], lo=10, hi=2000, max_rounds=8)
+    res = size_search(des, 2.0, runs=[1, 2], lo=10, hi=2000)
     return res.join(G.smallest_size_in_band(res, group="p", size="k", eps="eps"), "p", "left")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .design import Design, DesignSpec, build_design
 
-LINEITEM_ID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+LINEITEM_ID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "_ship", "_price"]  # unique together only
 L4_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
@@ -19,10 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def lineitem_keys(df: DataFrame) -> DataFrame:
+    """The ship time in microseconds and the price in cents, which the row id takes with four keys."""
+    return df.withColumn("_ship", F.unix_micros(F.col("l_shipdate").cast("timestamp"))).withColumn(
+        "_price", F.round(F.col("l_extendedprice") * 100).cast("long"))
+
+
+def lineitem_id():
+    """The row id as one string column over ``lineitem``."""
+    parts = [F.col(c) for c in LINEITEM_ID[:4]]
+    parts += [F.unix_micros(F.col("l_shipdate").cast("timestamp")), F.round(F.col("l_extendedprice") * 100).cast("long")]
+    return F.concat_ws(":", *[c.cast("string") for c in parts])
+
+
 def lineitem_design(spark, sf_dir, features=None, intercept=True) -> Design:
     """L4: standardised lineitem measures + intercept, y = +1 iff returnflag 'R'."""
     feats = list(features or L4_FEATURES)
-    df = table(spark, sf_dir, "lineitem").withColumn(
+    df = lineitem_keys(table(spark, sf_dir, "lineitem")).withColumn(
         "_ord", F.col("l_orderkey") * F.lit(8) + F.col("l_linenumber"))
     spec = DesignSpec(id=LINEITEM_ID, features={f: f for f in feats}, order="_ord",
                       label=F.col("l_returnflag") == "R", intercept=intercept)
