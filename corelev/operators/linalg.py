@@ -39,30 +39,53 @@ def basis_from_gram(G: np.ndarray, rtol: float = 1e-12, prefer: str = "chol") ->
     return V[:, keep] / np.sqrt(lam[keep])
 
 
-def pinv_sym(G: np.ndarray, rtol: float = 1e-12) -> np.ndarray:
-    M = basis_from_gram(G, rtol, prefer="eigh")
-    return M @ M.T
+def basis_from_r(R: np.ndarray, rtol: float = 1e-12) -> np.ndarray:
+    """M with Q = X M orthonormal from X's triangular factor: R^{-1}, or by its SVD when X is rank deficient."""
+    _, sv, Vt = np.linalg.svd(R)
+    keep = sv > rtol * max(sv.max(initial=0.0), 0.0)
+    if keep.all():
+        return np.linalg.inv(R)
+    return Vt[keep].T / sv[keep] if keep.any() else np.zeros((R.shape[1], 1))
 
 
-def r_factor(sketch: np.ndarray) -> np.ndarray:
-    """C4: R of a sketch (mode='r'), rows signed so the diagonal is non-negative.
+def tsqr(df: DataFrame, d: int, col: str = "x", fan: int = 32) -> np.ndarray:
+    """Triangular factor of the n x d matrix by a tree of QRs (condition number not squared).
 
-    QR is unique only up to row signs of R; fixing them makes R equal to the
-    Cholesky factor of S^T S, so results do not depend on the LAPACK build.
+    Every partition reduces its rows to one d x d factor, ``fan`` factors at a time are stacked
+    and factored again until few are left; the diagonal is made non-negative.
     """
-    R = np.linalg.qr(sketch, mode="r")
-    sg = np.where(np.diag(R) < 0, -1.0, 1.0)
-    return sg[:, None] * R
+    import pandas as pd
 
+    def small(rows):
+        R = np.linalg.qr(rows, mode="r")
+        return R if R.shape[0] == d else np.vstack([R, np.zeros((d - R.shape[0], d))])
 
-def r_inverse(R: np.ndarray) -> np.ndarray:
-    """R^{-1}, pseudo-inverse when R is singular."""
-    try:
-        if np.abs(np.diag(R)).min() > 1e-12 * np.abs(np.diag(R)).max():
-            return np.linalg.inv(R)
-    except np.linalg.LinAlgError:
-        pass
-    return np.linalg.pinv(R)
+    def part(batches):
+        from pyspark import TaskContext
+
+        R = None
+        for b in batches:
+            if b.num_rows:
+                X = _batch_matrix(b, col, d)
+                R = small(X if R is None else np.vstack([R, X]))
+        if R is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()),
+                                              pa.array([R.ravel().tolist()], pa.list_(pa.float64()))], names=["part", "r"])
+
+    def merge(pdf: "pd.DataFrame") -> "pd.DataFrame":
+        R = small(np.vstack([np.asarray(r, float).reshape(d, d) for r in pdf["r"]]))
+        return pd.DataFrame({"part": [int(pdf["part"].iat[0]) // fan], "r": [R.ravel().tolist()]})
+
+    parts = df.select(F.col(col).alias(col)).mapInArrow(part, "part BIGINT, r ARRAY<DOUBLE>").persist()
+    cached = parts
+    left = (parts.agg(F.max("part")).first()[0] or 0) + 1
+    while left > fan:
+        parts = parts.groupBy(F.floor(F.col("part") / fan)).applyInPandas(merge, "part BIGINT, r ARRAY<DOUBLE>")
+        left = -(-left // fan)
+    rows = [np.asarray(r["r"], float).reshape(d, d) for r in parts.orderBy("part").collect()]
+    cached.unpersist()
+    R = small(np.vstack(rows)) if rows else np.zeros((d, d))
+    return np.where(np.diag(R) < 0, -1.0, 1.0)[:, None] * R
 
 
 def project_cols(x: Column, M: np.ndarray) -> list:
@@ -138,6 +161,23 @@ def with_row_norm(df: DataFrame, M: np.ndarray, out: str, p: float = 2.0, power:
     return src.mapInArrow(part, out_schema)
 
 
+def with_bound_norm(df: DataFrame, M: np.ndarray, out: str, col: str = "x") -> DataFrame:
+    """``out`` = ||x^T M||_2 with M as a broadcast one-row table, so that the generated code doesn't depend on
+    its values (iterations reuse the compiled class). Large d: Arrow batch matmul."""
+    d, r = M.shape
+    if d > NATIVE_MAX_D or r > 32:
+        return with_row_norm(df, M, out, p=2.0, power=False, col=col)
+    one = df.sparkSession.createDataFrame([(0, M.T.ravel().tolist())], "_bk INT, _m ARRAY<DOUBLE>")
+    total = None
+    for k in range(r):
+        q = None
+        for j in range(d):
+            t = F.col(col)[j] * F.col("_m")[k * d + j]
+            q = t if q is None else q + t
+        total = q * q if total is None else total + q * q
+    return df.withColumn("_bk", F.lit(0)).join(F.broadcast(one), "_bk").withColumn(out, F.sqrt(total)).drop("_bk", "_m")
+
+
 def dot_expr(x: Column, beta) -> Column:
     """x . beta for a literal beta vector."""
     terms = [x[j] * F.lit(float(b)) for j, b in enumerate(beta)]

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import random as R
-from .linalg import basis_from_gram, r_factor, r_inverse, with_row_norm
+from .linalg import basis_from_gram, basis_from_r, tsqr, with_bound_norm, with_row_norm
 from .moments import NATIVE_MAX_D, _batch_matrix, array_width, gram
 
 JL_DIM = 20
@@ -31,18 +31,30 @@ def leverage_scores(df: DataFrame, p: float = 2.0, d: int | None = None, out: st
                     jl_dim: int = JL_DIM) -> DataFrame:
     """C7 (exact) / C8 (sketched): ||Q_i||_p^p for an l2 basis Q of X.
 
-    Exact: Q = X R^{-1} with R from the Gram (pseudo-inverse basis when rank
-    deficient, so scores sum to rank(X)). Fast: CountSketch (+ exponential
+    Exact: Q = X R^{-1} (``exact_basis``; pseudo-inverse basis when rank deficient, so
+    scores sum to rank(X)). Fast: CountSketch (+ exponential
     scaling for p != 2) -> R -> JL projection (p = 2 only).
     """
     d = array_width(df) if d is None else d
     if not fast:
-        M = basis_from_gram(gram(df, d))
-        return with_row_norm(df, M, out, p=p, power=True)
+        return with_row_norm(df, exact_basis(df, d), out, p=p, power=True)
     M = fast_basis(df, p=p, d=d, seed=seed, n=n, jl_dim=jl_dim)
     return with_row_norm(df, M, out, p=p, power=True)
 
 
+def exact_basis(df: DataFrame, d: int, well: float = 1e-3) -> np.ndarray:
+    """M with X M an l2 basis of X: from the Gram's Cholesky factor while its pivots lie within a factor ``well``
+    (one native aggregate), else from a QR tree over the rows, which doesn't square the condition number."""
+    G = gram(df, d)
+    try:
+        pivots = np.diag(np.linalg.cholesky(0.5 * (G + G.T)))
+        if pivots.min() > well * pivots.max():
+            return basis_from_gram(G)
+    except np.linalg.LinAlgError:
+        pass
+    return basis_from_r(tsqr(df, d))
+
+
 def exact_leverage_pinv(df: DataFrame, d: int | None = None, out: str = "score") -> DataFrame:
     """x^T (X^T X)^+ x."""
     return leverage_scores(df, 2.0, d, out)
@@ -60,9 +72,8 @@ def ridge_leverage_scores(df: DataFrame, lam: float = 1e-6, d: int | None = None
 # -- sketches ----------------------------------------------------------------
 
 def sketch_size(n: int, d: int, p: float) -> int:
-    if p <= 2:
-        return d * d
-    return int(max(d * d, int(np.power(n, 1 - 2 / p))))
+    """Buckets of the sketch: d^2, or the whole part of n^(1 - 2/p) if that is more (p > 2 only)."""
+    return max(d * d, int(n ** (1 - 2 / p)) if p > 2 else 0)
 
 
 def _sketch_cols(df: DataFrame, s: int, p: float, seed: int, stream: str, scale: Column | None):
@@ -91,28 +102,34 @@ def countsketch_table(df: DataFrame, s: int, d: int, p: float = 2.0, seed: int =
             .groupBy("bucket", "j").agg(F.sum("v").alias("value")))
 
 
-def countsketch(df: DataFrame, s: int, d: int, p: float = 2.0, seed: int = 0,
-                stream: str = "cs", scale: Column | None = None) -> np.ndarray:
-    """The s x d sketch matrix on the driver (s x d numbers)."""
-    S = np.zeros((s, d))
-    for r in countsketch_table(df, s, d, p, seed, stream, scale).collect():
-        S[int(r["bucket"]), int(r["j"])] = r["value"]
-    return S
+def sketch_rows(df: DataFrame, s: int, d: int, p: float = 2.0, seed: int = 0, stream: str = "cs",
+                scale: Column | None = None) -> DataFrame:
+    """The sketch as rows (bucket, x): at most s of them, never gathered."""
+    b, fac = _sketch_cols(df, s, p, seed, stream, scale)
+    if d <= NATIVE_MAX_D * 2:
+        return (df.select(b.alias("bucket"), fac.alias("fac"), "x")
+                .groupBy("bucket").agg(*[F.sum(F.col("fac") * F.col("x")[j]).alias(f"v{j}") for j in range(d)])
+                .select("bucket", F.array(*[F.col(f"v{j}") for j in range(d)]).alias("x")))
+    cells = F.array_sort(F.collect_list(F.struct("j", "value")))
+    return (countsketch_table(df, s, d, p, seed, stream, scale).groupBy("bucket")
+            .agg(F.transform(cells, lambda c: c["value"]).alias("x")))
 
 
 def fast_basis(df: DataFrame, p: float = 2.0, d: int | None = None, seed: int = 0,
                n: int | None = None, jl_dim: int | None = JL_DIM, stream: str = "cs",
                scale: Column | None = None) -> np.ndarray:
-    """R^{-1} (p != 2, or jl_dim=None) or R^{-1} G with G ~ N(0, 1/k), k = jl_dim (p = 2)."""
+    """R^{-1} of the CountSketch S, times a Gaussian projection of width ``jl_dim`` when p = 2.
+
+    R is the Cholesky factor of S^T S, one more aggregate over the sketch's rows, so the driver gets d x d
+    numbers for every p and d.
+    """
     d = array_width(df) if d is None else d
     s = sketch_size(_n(df, n) if p > 2 else 0, d, p)
-    S = countsketch(df, s, d, p, seed, stream, scale)
-    Rinv = r_inverse(r_factor(S))
-    if p == 2.0 and jl_dim:
-        rng = np.random.default_rng([int(seed), 7919])
-        G = rng.normal(loc=0.0, scale=1.0 / np.sqrt(jl_dim), size=(Rinv.shape[1], jl_dim))
-        return Rinv @ G
-    return Rinv
+    M = basis_from_gram(gram(sketch_rows(df, s, d, p, seed, stream, scale), d))
+    if p != 2.0 or not jl_dim:
+        return M
+    rng = np.random.default_rng([int(seed), 7919])
+    return M @ rng.normal(loc=0.0, scale=jl_dim ** -0.5, size=(M.shape[1], jl_dim))
 
 
 def root_leverage_scores(df: DataFrame, d: int | None = None, n: int | None = None, seed: int = 0,
@@ -139,8 +156,9 @@ def lewis_weights(df: DataFrame, T: int = 20, fast: bool = False, d: int | None
     projection of width ``jl_dim``); ``fast=True`` is 'gauss' with k = 20.
 
     Since lev_i(W^-1/2 X) = x_i^T (X^T W^-1 X)^+ x_i / w_i, round t's weight is
-    ||x_i^T M_t|| for a d x r literal M_t: each round is ONE aggregate over the
-    base rows and the lineage never grows. Zero rows keep weight 0 and are
+    ||x_i^T M_t|| for a d x r matrix M_t, broadcast as one row: each round is ONE
+    aggregate over the same cached (id, x) rows with the same generated code, and the
+    lineage never grows. Zero rows keep weight 0 and are
     skipped in the next Gram.
     """
     basis = basis or ("gauss" if fast else "exact")
@@ -149,7 +167,10 @@ def lewis_weights(df: DataFrame, T: int = 20, fast: bool = False, d: int | None
     d = array_width(df) if d is None else d
     n = _n(df, n)
     wcol = "__lw"
-    cur = df.withColumn(wcol, F.lit(1.0))
+    own = not (df.storageLevel.useMemory or df.storageLevel.useDisk)
+    rows = df.select("id", "x")
+    rows = rows.persist() if own else rows  # read once a round
+    cur = rows.withColumn(wcol, F.lit(1.0))
     for t in range(T):
         inv_w = F.when(F.col(wcol) > 0, F.lit(1.0) / F.col(wcol)).otherwise(F.lit(0.0))
         if basis == "exact":
@@ -158,8 +179,12 @@ def lewis_weights(df: DataFrame, T: int = 20, fast: bool = False, d: int | None
             scale = F.when(F.col(wcol) > 0, F.lit(1.0) / F.sqrt(F.col(wcol))).otherwise(F.lit(0.0))
             M = fast_basis(cur, 2.0, d, seed, n, stream=f"lw{t}", scale=scale,
                            jl_dim=jl_dim if basis == "gauss" else None)
-        cur = with_row_norm(df, M, wcol, p=2.0, power=False)
-    return cur.withColumn(out, F.col(wcol) + F.lit(1.0 / n)).drop(wcol)
+        cur = with_bound_norm(rows, M, wcol)
+    if own:
+        rows.unpersist()
+    if T == 0:
+        return df.withColumn(out, F.lit(1.0 + 1.0 / n))
+    return with_row_norm(df, M, out, p=2.0, power=False).withColumn(out, F.col(out) + F.lit(1.0 / n))
 
 
 # -- online (ordered) leverage -------------------------------------------------
@@ -178,6 +203,24 @@ def _online_scores(Ms: np.ndarray, X: np.ndarray, method: str) -> np.ndarray:
     return np.minimum(tau, 1.0)
 
 
+def _prefix_grams(grams: DataFrame, d: int):
+    """(block numbers, exclusive prefix Grams, packed upper triangles): blocks x d(d+1)/2 doubles, streamed in
+    block order; one numpy array, so 100,000 blocks of d = 64 are 1.7 GB and of d = 5 are 12 MB."""
+    iu = np.triu_indices(d)
+    blocks, rows, acc = [], [], np.zeros(len(iu[0]))
+    for r in grams.orderBy("block").toLocalIterator():
+        blocks.append(r["block"])
+        rows.append(acc.copy())
+        acc = acc + np.asarray(r["g"]).reshape(d, d)[iu]
+    return np.array(blocks, np.int64), np.array(rows).reshape(len(blocks), len(iu[0]))
+
+
+def _prefix_of(prefix, block: int, d: int) -> np.ndarray:
+    G = np.zeros((d, d))
+    G[np.triu_indices(d)] = prefix[1][np.searchsorted(prefix[0], block)]
+    return G + np.triu(G, 1).T
+
+
 def online_leverage_scores(df: DataFrame, d: int | None = None, method: str = "pinv",
                            block_rows: int | None = None, out: str = "score",
                            n: int | None = None) -> DataFrame:
@@ -186,21 +229,17 @@ def online_leverage_scores(df: DataFrame, d: int | None = None, method: str = "p
     Two passes instead of n sequential steps. The rows are range-partitioned on
     (ord, id) - ties in ``ord`` are split by id, so no block exceeds its share -
     and each partition is one block. Pass 1: one Gram per partition (Arrow,
-    streaming); the driver forms the exclusive prefix over the B blocks
-    (B x d^2 numbers). Pass 2: every partition streams its sorted rows through
+    streaming); the exclusive prefix over the B blocks (one a 200,000 rows, or
+    ``block_rows``) is packed to B x d(d+1)/2 numbers. Pass 2: every partition streams its sorted rows through
     cumulative sums starting from its prefix and appends the score to the rows
     it passes through (no join back); memory is one Arrow batch.
     """
     if method not in ("pinv", "solve"):
-        raise ValueError("Method must be either pinv or solve!")
+        raise ValueError(f"online leverage by pinv or solve, not {method}")
     d = array_width(df) if d is None else d
     n = _n(df, n)
     spark = df.sparkSession
-    if block_rows is None:
-        block_rows = max(200_000, int(math.ceil(n / 100_000)))
-    # the prefix table (B x d^2 doubles) is broadcast: keep it under ~10 M doubles
-    max_blocks = max(1, int(10_000_000 // (d * d)))
-    nblocks = min(max(1, int(math.ceil(n / block_rows))), max_blocks)
+    nblocks = max(1, int(math.ceil(n / (block_rows or 200_000))))
     blocked = (df.repartitionByRange(nblocks, "ord", "id").sortWithinPartitions("ord", "id")
                .withColumn("_blk", F.spark_partition_id()))
     from pyspark import StorageLevel
@@ -221,13 +260,8 @@ def online_leverage_scores(df: DataFrame, d: int | None = None, method: str = "p
                                               pa.array([G.ravel().tolist()], pa.list_(pa.float64()))],
                                              names=["block", "g"])
 
-    grams = {r["block"]: np.asarray(r["g"]).reshape(d, d)
-             for r in blocked.select("x", "_blk").mapInArrow(gram_part, "block INT, g ARRAY<DOUBLE>").collect()}
-    prefix, acc = {}, np.zeros((d, d))
-    for blk in sorted(grams):
-        prefix[blk] = acc.copy()
-        acc = acc + grams[blk]
-    bprefix = spark.sparkContext.broadcast(prefix)
+    grams = blocked.select("x", "_blk").mapInArrow(gram_part, "block INT, g ARRAY<DOUBLE>")
+    bprefix = spark.sparkContext.broadcast(_prefix_grams(grams, d))
     src = blocked.drop("_blk").withColumn("_blk", F.spark_partition_id())
     keep = [c for c in df.columns]
     from pyspark.sql.types import DoubleType, StructField, StructType
@@ -241,7 +275,7 @@ def online_leverage_scores(df: DataFrame, d: int | None = None, method: str = "p
                 continue
             if P is None:
                 blk = int(b.column(b.schema.get_field_index("_blk"))[0].as_py())
-                P = bprefix.value.get(blk, np.zeros((d, d))).copy()
+                P = _prefix_of(bprefix.value, blk, d)
             X = _batch_matrix(b, "x", d)
             res = np.empty(len(X))
             chunk = max(1, min(4096, int(2_000_000 // max(1, d * d))))
@@ -257,10 +291,6 @@ def online_leverage_scores(df: DataFrame, d: int | None = None, method: str = "p
     return src.mapInArrow(score_part, out_schema)
 
 
-def _id_type(df: DataFrame) -> str:
-    return df.schema["id"].dataType.simpleString()
-
-
 # -- score post-processing (C13, C14, C19-C21) ------------------------------------
 
 def augment(score: Column, n: int) -> Column:
@@ -278,7 +308,7 @@ def round_up(score: Column) -> Column:
 def check_nonnegative(df: DataFrame, col: str) -> None:
     lo = df.agg(F.min(col)).collect()[0][0]
     if lo is not None and lo < 0:
-        raise ValueError("All elements of x must be greater than zero!")
+        raise ValueError(f"column {col} holds a negative value ({lo})")
 
 
 def probabilities(df: DataFrame, score: str = "score", out: str = "p") -> DataFrame:

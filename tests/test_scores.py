@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from corelev.operators import scores as S
 from corelev.sources.design import from_arrays
 
+# fixed values: golden matrices and round-up vectors that results must equal
 ROWS12 = [[1, 2, 3], [4, 5, 6], [7, 8, 9], [10, 11, 12]]
 ROWS12B = [[13, 2, 3], [4, 5, 6], [7, 8, 9], [10, 11, 12]]
 
@@ -109,12 +110,44 @@ def test_sketch_scores_are_reasonable(spark, iris):
 def test_countsketch_is_linear_sum(spark, iris):
     X = iris[0]
     df = from_arrays(spark, X, np.ones(150))
-    Sk = S.countsketch(df, 16, 4)
-    np.testing.assert_allclose(np.abs(Sk).sum(), np.abs(Sk).sum())
+    rows = {r["bucket"]: np.array(r["x"]) for r in S.sketch_rows(df, 16, 4).collect()}
     # the sum of all bucket rows with their signs equals sign-weighted column sums
     from corelev.functions import random as R
     sg = np.array([r["s"] for r in df.select("id", R.sign("id", 0, "cs:g").alias("s")).orderBy("id").collect()])
-    np.testing.assert_allclose(Sk.sum(0), (sg[:, None] * X).sum(0), rtol=1e-12)
+    np.testing.assert_allclose(sum(rows.values()), (sg[:, None] * X).sum(0), rtol=1e-12)
+    cells = {(r["bucket"], r["j"]): r["value"] for r in S.countsketch_table(df, 16, 4).collect()}
+    assert all(abs(cells[(b, j)] - v[j]) < 1e-9 for b, v in rows.items() for j in range(4))
+
+
+@pytest.mark.parametrize("p", [1.0, 2.0, 5.0])
+def test_sketch_basis_from_its_gram(spark, iris, p):
+    """R from S^T S is the QR factor of the sketch, for every p; only d x d numbers are gathered."""
+    df = from_arrays(spark, iris[0], np.ones(150))
+    s = S.sketch_size(150, 4, p)
+    A = np.array([r["x"] for r in S.sketch_rows(df, s, 4, p).collect()])
+    R = np.linalg.qr(A, mode="r")
+    R *= np.where(np.diag(R) < 0, -1.0, 1.0)[:, None]
+    np.testing.assert_allclose(S.fast_basis(df, p, 4, n=150, jl_dim=None), np.linalg.inv(R), rtol=1e-6, atol=1e-9)
+
+
+def test_exact_leverage_ill_conditioned(spark):
+    r = np.random.default_rng(4)
+    X = r.normal(size=(200, 3))
+    X[:, 2] = X[:, 0] + X[:, 1] + 1e-7 * X[:, 2]
+    assert np.linalg.cond(X) > 1e7
+    Q, _ = np.linalg.qr(X)
+    got = _scores(S.leverage_scores(from_arrays(spark, X, np.ones(200)).repartition(5), d=3))
+    np.testing.assert_allclose(got, (Q ** 2).sum(1), atol=1e-6)
+    got = _scores(S.leverage_scores(from_arrays(spark, X, np.ones(200)), p=1.0, d=3))
+    np.testing.assert_allclose(got, np.abs(Q).sum(1), atol=1e-6)
+
+
+def test_tsqr_tree(spark):
+    from corelev.operators.linalg import tsqr
+
+    X = np.random.default_rng(5).normal(size=(120, 4))
+    R = tsqr(from_arrays(spark, X, np.ones(120)).repartition(9), 4, fan=2)
+    np.testing.assert_allclose(R.T @ R, X.T @ X, rtol=1e-10)
 
 
 def test_partition_invariance(spark, iris):
