@@ -143,12 +143,42 @@ def loss_hess(z, gp, p: float, ops=NP):
 
 # -- numpy conveniences -------------------------------------------------------
 
+def _np_ln_q(a: float, s: np.ndarray) -> np.ndarray:
+    """``ln_q`` for numpy arrays: each element takes only its own branch."""
+    if a == 1.0:
+        return -s
+    out = np.empty_like(s)
+    low = s < a + 1.0
+    for mask, branch in ((low, s[low]), (~low, s[~low])):
+        if branch.size:
+            with np.errstate(all="ignore"):
+                out[mask] = ln_q(a, branch)
+    return out
+
+
+def np_ln_cdf_neg(z: np.ndarray, p: float) -> np.ndarray:
+    lq = _np_ln_q(1.0 / p, _s_of(z, p, NP))
+    with np.errstate(all="ignore"):
+        return np.where(z >= 0, lq - math.log(2.0), np.log1p(-0.5 * np.exp(lq)))
+
+
+def np_loss(z: np.ndarray, p: float, tail: str = "exact") -> np.ndarray:
+    """g(z) alone (no gradient or curvature), for evaluations of many parameters."""
+    p = _check_p(p)
+    z = np.asarray(z, dtype=float)
+    g = -np_ln_cdf_neg(z, p)
+    if tail == "reference":
+        c, diff, _ = _tail_consts(p)
+        g = np.where(z > c, diff + np.abs(z) ** p / p, g)
+    return g
+
+
 def np_loss_grad_hess(z: np.ndarray, p: float, tail: str = "exact"):
     """(g, g', g'') on a numpy array."""
     z = np.asarray(z, dtype=float)
     with np.errstate(all="ignore"):
         s = _s_of(z, p, NP)
-        lc = ln_cdf_neg(z, p, NP, s)
+        lc = np_ln_cdf_neg(z, _check_p(p))
         g = -lc
         gp = np.exp(ln_pdf_const(p) - s - lc)
         if tail == "reference":

@@ -108,7 +108,7 @@ def evaluate(df: DataFrame, beta, p: float, d: int | None = None, tail: str = "e
     """(f, grad, Hessian, n) of sum w g(-y x.beta) in one pass."""
     d = len(beta) if d is None else d
     if len(beta) != d:
-        raise ValueError(f"Parameter vector has invalid shape of ({len(beta)},)")
+        raise ValueError(f"beta has {len(beta)} entries, the design has {d} columns")
     if d <= NATIVE_MAX_D:
         return _native_eval(df, beta, p, d, tail, want_hess)
     return _arrow_eval(df, beta, p, d, tail, want_hess)
@@ -181,7 +181,7 @@ def newton(evalf, d, max_iter=100, gtol=1e-9, warn=True):
     if not converged and np.max(np.abs(g)) / n < 1e-5:
         converged = True
     if warn and not converged:
-        warnings.warn("The solver didn't converge!")
+        warnings.warn("Newton stopped before the gradient was small")
     return FitResult(beta, f, g, it, converged, n)
 
 
@@ -212,7 +212,7 @@ def np_fit(X, y, w, p, tail="exact", max_iter=100, warn=False):
     y = np.asarray(y, dtype=float)
     w = np.ones(len(y)) if w is None else np.asarray(w, dtype=float)
     if not set(np.unique(y.astype(int))) == {-1, 1}:
-        raise ValueError("Elements of y must be 1 or -1 and can't be all the same!")
+        raise ValueError("labels must be -1 and 1, and both must occur")
     return newton(lambda b: np_evaluate(X, y, w, b, p, tail), X.shape[1], max_iter, warn=warn)
 
 
@@ -225,8 +225,10 @@ def fit_groups(df: DataFrame, group_cols, p: float, d: int, tail: str = "exact",
     converged, iterations. With ``sizes``, each group holds ranked rows (``rank``)
     and one fit is made per size on ``rank <= size`` with the weights
     computed as 1/(p size) from column ``p`` (or 1 when ``p`` is absent).
-    Groups above ``max_group_rows`` are refused (use ``fit_lockstep``); callers that
-    know the largest group (a coreset of size k) pass ``known_max_rows`` to skip the check.
+    A size above a group's rows gives a row with a null beta. When a group is above
+    ``max_group_rows`` (what one task should hold) all are fitted by ``fit_lockstep``
+    instead, to the same optimum; callers that know the largest group (a coreset of
+    size k) pass ``known_max_rows`` to skip the count.
     """
     import pandas as pd
 
@@ -236,10 +238,20 @@ def fit_groups(df: DataFrame, group_cols, p: float, d: int, tail: str = "exact",
         mx = max(int(v) for v in sizes)
     if mx is None:
         mx = df.groupBy(*gcols).count().agg(F.max("count")).collect()[0][0]
-    if mx is not None and mx > max_group_rows:
-        raise ValueError(f"a coreset group holds {mx} rows; fit it with fit() (distributed)")
     has_p = "p" in df.columns
     size_list = sorted(int(s) for s in sizes) if sizes is not None else None
+    if mx is not None and mx > max_group_rows:
+        if size_list is None:
+            return fit_lockstep(df, gcols, p, d, tail)
+        every = df.withColumn("size", F.explode(F.array(*[F.lit(s) for s in size_list])))
+        full = every.groupBy(*gcols, "size").agg((F.count(F.lit(1)) >= F.col("size")).alias("_full"))
+        rows = every.filter(F.col("rank") <= F.col("size"))
+        rows = rows.withColumn("w", F.lit(1.0) / (F.col("p") * F.col("size")) if has_p else F.col("w"))
+        fits = fit_lockstep(rows, [*gcols, "size"], p, d, tail)
+        return (full.join(fits, [*gcols, "size"], "left")
+                .select(*gcols, "size", F.when(F.col("_full"), F.col("beta")).alias("beta"),
+                        F.coalesce(F.col("_full") & F.col("converged"), F.lit(False)).alias("converged"),
+                        F.when(F.col("_full"), F.col("iterations")).otherwise(0).alias("iterations")))
     sel = gcols + ["x", "y", "w"] + (["p"] if has_p else []) + (["rank"] if size_list else [])
 
     def one(X, y, w):
@@ -264,6 +276,7 @@ def fit_groups(df: DataFrame, group_cols, p: float, d: int, tail: str = "exact",
             wfix = pdf["w"].to_numpy()[order].astype(float)
             for s in size_list:
                 if s > len(y):
+                    rows.append({**key, "size": s, "beta": None, "converged": False, "iterations": 0})
                     continue
                 w = 1.0 / (pr[:s] * s) if has_p else wfix[:s]
                 b, c, it = one(X[:s], y[:s], w)
@@ -281,28 +294,41 @@ def fit_groups(df: DataFrame, group_cols, p: float, d: int, tail: str = "exact",
 # -- evaluation of many betas on the full data (E13, E14) ---------------------
 
 def losses_for_betas(df: DataFrame, betas: DataFrame, key_cols, p: float, d: int,
-                     tail: str = "exact", max_configs: int = 100_000) -> DataFrame:
-    """sum w g(-y x.beta) on the FULL data for every row of ``betas`` (key cols, beta) in one job.
+                     tail: str = "exact", block_configs: int = 20_000) -> DataFrame:
+    """sum w g(-y x.beta) on the FULL data for every row of ``betas`` (key cols, beta).
 
-    The beta table (configs x d doubles, bounded by ``max_configs``) is shipped to
-    the tasks; each Arrow batch computes Z = X B^T for all configs at once in
+    The betas are broadcast in blocks of ``block_configs`` (blocks x d doubles, one pass
+    over the data each); every Arrow batch computes Z = X B^T for the block's configs in
     numpy and emits one partial loss per config, so no (row, config) pairs are
-    ever materialised and the data side is never shuffled.
+    materialised and the data side is never shuffled.
     """
     keys = list(key_cols)
-    brows = betas.filter(F.col("beta").isNotNull()).select(*keys, "beta").collect()
-    if len(brows) > max_configs:
-        raise ValueError(f"{len(brows)} configs exceed max_configs={max_configs}")
     schema = betas.select(*keys).schema
-    if not brows:
-        return df.sparkSession.createDataFrame([], schema.add("loss", "double"))
+    out, block = None, []
+
+    def flush(rows, out):
+        one = _block_losses(df, rows, keys, schema, p, d, tail)
+        return one if out is None else out.unionByName(one)
+
+    for r in betas.filter(F.col("beta").isNotNull()).select(*keys, "beta").toLocalIterator():
+        block.append(r)
+        if len(block) == block_configs:
+            out, block = flush(block, out), []
+    if block:
+        out = flush(block, out)
+    return df.sparkSession.createDataFrame([], schema.add("loss", "double")) if out is None else out
+
+
+def _block_losses(df, brows, keys, schema, p, d, tail):
     B = np.array([list(r["beta"]) for r in brows], dtype=float)
     if B.shape[1] != d:
-        raise ValueError(f"Parameter vector has invalid shape of ({B.shape[1]},)")
+        raise ValueError(f"beta has {B.shape[1]} entries, the design has {d} columns")
     C = len(brows)
+    sent = df.sparkSession.sparkContext.broadcast(B)
     sel = df.select("x", F.col("y").cast("double").alias("y"), F.col("w").cast("double").alias("w"))
 
     def part(batches):
+        B = sent.value
         acc = np.zeros(C)
         for batch in batches:
             if batch.num_rows == 0:
@@ -313,8 +339,7 @@ def losses_for_betas(df: DataFrame, betas: DataFrame, key_cols, p: float, d: int
             step = max(1, 4_000_000 // max(C, 1))
             for s0 in range(0, len(y), step):
                 Z = -(y[s0:s0 + step, None]) * (X[s0:s0 + step] @ B.T)
-                g, _, _ = PN.np_loss_grad_hess(Z.ravel(), p, tail)
-                acc += w[s0:s0 + step] @ g.reshape(Z.shape)
+                acc += w[s0:s0 + step] @ PN.np_loss(Z.ravel(), p, tail).reshape(Z.shape)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(C, dtype=np.int64)), pa.array(acc)],
                                          names=["_cix", "loss"])
 
@@ -353,44 +378,51 @@ def beta_distances(betas: DataFrame, beta_opt, key_cols) -> DataFrame:
 # -- SGD (E10-E12) ----------------------------------------------------------------
 
 def sgd_partition_kernel(p: float, d: int, eta0: float = 0.1, power_t: float = 0.5, tail: str = "exact"):
-    """Sequential SGD over one partition's rows in (shuffled) order; yields (beta, count)."""
+    """Sequential SGD over each shard of a partition's rows (x, y, shard), in their order; yields (beta, count) per shard."""
 
     def part(batches):
         gfun = PN.scalar_grad(p)
-        beta = [0.0] * d
-        t = 0
+        beta, t, shard = [0.0] * d, 0, None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             X = _batch_matrix(batch, "x", d).tolist()
             y = batch.column(1).to_numpy(zero_copy_only=False).tolist()
-            for xi, yi in zip(X, y):
+            for xi, yi, si in zip(X, y, batch.column(2).to_pylist()):
+                if si != shard:
+                    if t:
+                        yield done(beta, t)
+                    shard, beta, t = si, [0.0] * d, 0
                 t += 1
                 m = -yi * sum(b * v for b, v in zip(beta, xi))
                 step = (eta0 / t ** power_t) * gfun(m) * (-yi)
                 beta = [b - step * v for b, v in zip(beta, xi)]
         if t:
-            yield pa.RecordBatch.from_arrays([pa.array([beta], type=pa.list_(pa.float64())),
-                                              pa.array([t], type=pa.int64())], names=["beta", "cnt"])
+            yield done(beta, t)
+
+    def done(beta, t):
+        return pa.RecordBatch.from_arrays([pa.array([beta], type=pa.list_(pa.float64())),
+                                           pa.array([t], type=pa.int64())], names=["beta", "cnt"])
 
     return part
 
 
 def sgd_epoch(df: DataFrame, p: float = 2.0, d: int | None = None, seed: int = 0, eta0: float = 0.1,
-              power_t: float = 0.5, partitions: int | None = None) -> np.ndarray:
-    """One random-order epoch; per-partition SGD, parameters averaged by row count.
+              power_t: float = 0.5, shards: int = 8) -> np.ndarray:
+    """One random-order epoch over ``shards`` shards; their parameters averaged by row count.
 
-    Random order = hash of (id, seed); rows are spread over partitions by that
-    hash and sorted by it inside each partition (no global sort).
+    Random order = hash of (id, seed); a row's shard is its hash times ``shards``, and each
+    shard is read in hash order by one task. The result depends on ``shards``, not on cores
+    or partitions: more shards are more parallel and average shorter runs.
     """
     from ..functions import random as R
 
     d = array_width(df) if d is None else d
-    nparts = partitions or df.sparkSession.sparkContext.defaultParallelism
     keyed = df.select("x", F.col("y").cast("double").alias("y"), R.uniform("id", seed, "sgd").alias("_o"))
-    shuffled = keyed.repartition(nparts, F.floor(F.col("_o") * nparts)).sortWithinPartitions("_o")
-    parts = shuffled.select("x", "y").mapInArrow(sgd_partition_kernel(p, d, eta0, power_t),
-                                                 "beta ARRAY<DOUBLE>, cnt BIGINT")
+    keyed = keyed.withColumn("_s", F.floor(F.col("_o") * shards))
+    shuffled = keyed.repartitionByRange(shards, "_s").sortWithinPartitions("_s", "_o")
+    parts = shuffled.select("x", "y", "_s").mapInArrow(sgd_partition_kernel(p, d, eta0, power_t),
+                                                       "beta ARRAY<DOUBLE>, cnt BIGINT")
     agg = parts.select(F.posexplode("beta").alias("j", "b"), "cnt") \
         .groupBy("j").agg((F.sum(F.col("b") * F.col("cnt")) / F.sum("cnt")).alias("b")).collect()
     beta = np.zeros(d)
@@ -399,33 +431,10 @@ def sgd_epoch(df: DataFrame, p: float = 2.0, d: int | None = None, seed: int = 0
     return beta
 
 
-class ProbitSGD:
-    """Streaming-style SGD state (one step per new row)."""
-
-    def __init__(self, p: float = 2.0, initial_learning_rate: float = 0.1, power_t: float = 0.5):
-        self.p, self.eta0, self.power_t = p, initial_learning_rate, power_t
-        self.cur_iteration = 0
-        self._params = None
-
-    def new_sample(self, x, y):
-        x = np.asarray(x, dtype=float).ravel()
-        self.cur_iteration += 1
-        if self._params is None:
-            self._params = np.zeros(x.shape[0])
-        z = -y * x
-        _, gp, _ = PN.np_loss_grad_hess(np.array([z @ self._params]), self.p)
-        self._params = self._params - self.eta0 / self.cur_iteration ** self.power_t * (z * gp[0])
-
-    def get_params(self):
-        if self._params is None:
-            raise AttributeError("Model must be fitted to get params!")
-        return self._params
-
-
 # -- many large coresets at once (lockstep Newton) ---------------------------------
 
 def fit_lockstep(stacked: DataFrame, key_cols, p: float, d: int, tail: str = "exact",
-                 max_iter: int = 100, gtol: float = 1e-9, max_configs: int = 100_000) -> DataFrame:
+                 max_iter: int = 100, gtol: float = 1e-9, block_configs: int = 20_000) -> DataFrame:
     """Fit one model per config on stacked coresets of any size.
 
     Every Newton round is ONE grouped aggregate (f, gradient, Hessian per config)
@@ -436,10 +445,16 @@ def fit_lockstep(stacked: DataFrame, key_cols, p: float, d: int, tail: str = "ex
     keys = list(key_cols)
     spark = stacked.sparkSession
     data = stacked.select(*keys, "x", F.col("y").cast("double").alias("y"), F.col("w").cast("double").alias("w"))
-    labels = data.groupBy(*keys).agg(F.countDistinct("y").alias("_k")).limit(max_configs + 1).collect()
-    if len(labels) > max_configs:
-        # the per-config beta table is broadcast every round and the state lives on the driver
-        raise ValueError(f"more than {max_configs} configs; fit them in batches of configs")
+    labels = data.groupBy(*keys).agg(F.countDistinct("y").alias("_k"))
+    blocks = -(-labels.count() // block_configs)
+    if blocks > 1:
+        own = F.pmod(F.xxhash64(*keys), F.lit(2 * blocks))
+        out = None
+        for b in range(2 * blocks):
+            one = fit_lockstep(stacked.where(own == b), keys, p, d, tail, max_iter, gtol, 1 << 62)
+            out = one if out is None else out.unionByName(one)
+        return out
+    labels = labels.collect()
     state = {}
     for r in labels:
         k = tuple(r[c] for c in keys)

@@ -50,8 +50,7 @@ def _threshold_from(hist_rows, k: int):
     hist_rows = sorted(hist_rows)
     total = sum(c for _, c, _ in hist_rows)
     wsum = float(sum(sw for _, _, sw in hist_rows))
-    if total < k:
-        raise ValueError("Sample size can't be greater than the number of rows with positive probability!")
+    _check_size(k, total)
     cum = 0
     for b, c, _ in hist_rows:
         cum += c
@@ -60,6 +59,22 @@ def _threshold_from(hist_rows, k: int):
     return None, wsum
 
 
+def _weight_totals(df: DataFrame, weight: str):
+    """(rows with positive weight, sum of weights); a negative weight is an error."""
+    w = F.col(weight).cast("double")
+    t = df.agg(F.count(F.when(w > 0, 1)).alias("c"), F.sum(F.when(w > 0, w)).alias("sw"), F.min(w).alias("lo")).collect()[0]
+    if t["lo"] is not None and t["lo"] < 0:
+        raise ValueError(f"column {weight} holds a negative weight ({t['lo']})")
+    return int(t["c"]), float(t["sw"] or 0.0)
+
+
+def _check_size(k: int, n: int | None = None):
+    if k <= 0:
+        raise ValueError(f"a sample needs at least one row, not {k}")
+    if n is not None and k > n:
+        raise ValueError(f"{k} rows asked for, {n} can be drawn")
+
+
 def weighted_sample(df: DataFrame, k: int, weight: str = "p", seed: int = 0, stream: str = "race",
                     key_out: str | None = None, prob_out: str = "p") -> DataFrame:
     """K rows without replacement with P(first pick = i) = w_i / sum(w) (successive sampling).
@@ -68,17 +83,18 @@ def weighted_sample(df: DataFrame, k: int, weight: str = "p", seed: int = 0, str
     the race keys and sum(w); (2) the rows under the threshold (about 1.02 k)
     go to the final top-k. ``prob_out`` = w / sum(w) is added to the sample.
     """
-    if k <= 0:
-        raise ValueError("Sample size must be greater than zero!")
+    _check_size(k)
+    count, wsum = _weight_totals(df, weight)
+    _check_size(k, count)
     pos = df.filter(F.col(weight) > 0)
     key = race_key(F.col(weight), seed, stream)
     cand = pos.withColumn("_key", key)
     if k <= TOPK_MAX:
-        out, wsum = _small_k_candidates(pos, cand, k, weight, key)
+        out = _small_k_candidates(pos, cand, k, weight, key, count, wsum)
         out = out.orderBy("_key", "id").limit(k)
     else:
         hist = _histogram(pos, key, F.col(weight))[None]
-        tau, wsum = _threshold_from(hist, k)
+        tau, _ = _threshold_from(hist, k)
         if tau is not None:
             cand = cand.filter(F.col("_key") <= F.lit(tau))
         out = _smallest_keys(cand, k, hist)
@@ -89,31 +105,28 @@ def weighted_sample(df: DataFrame, k: int, weight: str = "p", seed: int = 0, str
 OVERSAMPLE = 3.0
 
 
-def _small_k_candidates(pos: DataFrame, cand: DataFrame, k: int, weight: str, key: Column):
-    """(candidates holding the k smallest keys, sum(w)) with ONE hashing pass.
+def _small_k_candidates(pos: DataFrame, cand: DataFrame, k: int, weight: str, key: Column, count: int, wsum: float):
+    """Candidates holding the k smallest keys, with ONE hashing pass.
 
-    sum(w) comes from a plain aggregate (no hashing). Since P(E / w_i <= t) =
-    1 - exp(-t w_i) <= t w_i, the rows with key <= 3 k / sum(w) number at most 3 k
-    in expectation for any weights; when fewer than k pass (weight concentrated on
-    fewer than k rows) the log-bucket histogram threshold is used instead.
+    Since P(E / w_i <= t) = 1 - exp(-t w_i) <= t w_i, the rows with key <= 3 k / sum(w)
+    number at most 3 k in expectation for any weights; when fewer than k pass (weight
+    concentrated on fewer than k rows) the log-bucket histogram threshold is used instead.
     """
     from pyspark import StorageLevel
 
-    tot = pos.agg(F.count(F.lit(1)).alias("c"), F.sum(F.col(weight).cast("double")).alias("sw")).collect()[0]
-    if tot["c"] < k:
-        raise ValueError("Sample size can't be greater than the number of rows with positive probability!")
-    wsum = float(tot["sw"])
-    if tot["c"] <= OVERSAMPLE * k:
-        return cand, wsum
+    if count <= OVERSAMPLE * k:
+        return cand
     sel = cand.filter(F.col("_key") <= F.lit(OVERSAMPLE * k / wsum)).persist(StorageLevel.MEMORY_AND_DISK)
     if sel.count() >= k:
-        return sel, wsum
+        return sel
     sel.unpersist()
     tau, _ = _threshold_from(_histogram(pos, key, F.col(weight))[None], k)
-    return (cand if tau is None else cand.filter(F.col("_key") <= F.lit(tau))), wsum
+    return cand if tau is None else cand.filter(F.col("_key") <= F.lit(tau))
 
 
-TOPK_MAX = 200_000      # rows allowed into the one final top-k task
+#: Rows allowed into the one final top-k task. The sample is the same either way; beyond it the
+#: boundary is refined by aggregates first.
+TOPK_MAX = 200_000
 SUB_BUCKETS = 4096
 
 
@@ -167,8 +180,7 @@ def keyed_weighted_sample(df: DataFrame, k: int, weight: str, key: str, seed: in
     WindowGroupLimit on both sides of the shuffle, so even a key holding a third
     of all rows sends at most k rows per partition to its final task.
     """
-    if k <= 0:
-        raise ValueError("Sample size must be greater than zero!")
+    _check_size(k)
     pos = df.filter(F.col(weight) > 0).withColumn("_key", race_key(F.col(weight), seed, stream))
     w = Window.partitionBy(key).orderBy("_key", "id")
     return (pos.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= k)
@@ -179,10 +191,7 @@ def uniform_sample(df: DataFrame, k: int, seed: int = 0, n: int | None = None,
                    stream: str = "uniform") -> DataFrame:
     """Exactly k rows uniformly without replacement, weight 1."""
     n = int(df.count()) if n is None else n
-    if k > n:
-        raise ValueError("Sample size can't be greater than total number of samples!")
-    if k <= 0:
-        raise ValueError("Sample size must be greater than zero!")
+    _check_size(k, n)
     tmp = df.withColumn("_p", F.lit(1.0 / n))
     return weighted_sample(tmp, k, "_p", seed, stream, prob_out="_p").drop("_p").withColumn("w", F.lit(1.0))
 
@@ -197,10 +206,7 @@ def leverage_coreset(df: DataFrame, k: int, augmented: bool = True, round_up: bo
     the coreset carries p = score / sum(score) and w.
     """
     n = int(df.count()) if n is None else n
-    if k > n:
-        raise ValueError("Sample size can't be greater than total number of samples!")
-    if k <= 0:
-        raise ValueError("Sample size must be greater than zero!")
+    _check_size(k, n)
     if precomputed:
         scored = df.withColumnRenamed(precomputed, "score") if precomputed != "score" else df
     elif online:
@@ -220,18 +226,14 @@ def leverage_coreset(df: DataFrame, k: int, augmented: bool = True, round_up: bo
 
 
 def coreset_size(size, n: int, max_fraction: float = 1.0) -> int:
-    """An int size (capped at n) or a fraction of n in (0, max_fraction]."""
-    if isinstance(size, bool):
-        raise ValueError("size must be an int or a float")
-    if isinstance(size, int):
-        if size <= 0:
-            raise ValueError(f"If the size is an int, it must be positive, but {size} was passed")
-        return min(size, n)
-    if isinstance(size, float):
-        if size <= 0.0 or size > max_fraction:
-            raise ValueError(f"A fractional size must be in (0, {max_fraction}], but {size} was passed")
-        return max(1, int(n * size + 0.5))
-    raise ValueError("size must be an int or a float")
+    """Rows to draw from n: a positive count (at most n), or a fraction in (0, max_fraction] of n, rounded, at least 1."""
+    import numbers
+
+    whole = isinstance(size, numbers.Integral) and not isinstance(size, bool)
+    top = float("inf") if whole else max_fraction
+    if not (whole or isinstance(size, numbers.Real)) or isinstance(size, bool) or not 0 < size <= top:
+        raise ValueError(f"size: a positive count or a fraction up to {max_fraction}, not {size!r}")
+    return min(int(size), n) if whole else max(1, math.floor(n * size + 0.5))
 
 
 def lewis_coreset(df: DataFrame, k, fast: bool = True, precomputed: str | None = None,
@@ -266,22 +268,29 @@ def multi_sample(df: DataFrame, sizes, runs, weight: str = "p", seed: int = 0, s
     Each (size, run) config has the exact law of D2; samples of different sizes
     in one run are nested (share keys), samples of different runs are independent.
     Rows: run, rank, id, ..., ``prob_out`` = w / sum(w), rank <= max(sizes); a config
-    (size, run) is ``rank <= size``. Two passes: one histogram aggregate (which
-    also yields sum(w)) and one window over ~runs x max(size) candidate rows.
+    (size, run) is ``rank <= size``. One plain aggregate for sum(w), one hashing pass that keeps
+    about 3 x runs x max(size) candidates (a histogram of the keys where that is too few or
+    max(size) is above ``TOPK_MAX``), and one window over them.
     """
     sizes = sorted(int(s) for s in sizes)
     kmax = sizes[-1]
     runs = [int(r) for r in runs]
+    count, wsum = _weight_totals(df, weight)
+    _check_size(kmax, count)
     pos = df.filter(F.col(weight) > 0)
-    ex = pos.withColumn("run", F.explode(F.array(*[F.lit(r) for r in runs])))
-    key = race_key(F.col(weight), seed, F.concat(F.lit(stream + ":"), F.col("run").cast("string")))
-    hist = _histogram(ex, key, F.col(weight), group="run")
-    cond, wsum = None, None
-    for r, rows in hist.items():
-        t, wsum = _threshold_from(rows, kmax)
-        c = (F.col("run") == r) & (F.lit(True) if t is None else (F.col("_key") <= F.lit(t)))
-        cond = c if cond is None else (cond | c)
-    cand = ex.withColumn("_key", key).filter(cond)
+    cand = None
+    if kmax <= TOPK_MAX and count > OVERSAMPLE * kmax:
+        cand = _run_candidates(pos, kmax, runs, weight, seed, stream, OVERSAMPLE * kmax / wsum)
+    if cand is None:
+        ex = pos.withColumn("run", F.explode(F.array(*[F.lit(r) for r in runs])))
+        key = race_key(F.col(weight), seed, F.concat(F.lit(stream + ":"), F.col("run").cast("string")))
+        hist = _histogram(ex, key, F.col(weight), group="run")
+        cond = None
+        for r, rows in hist.items():
+            t, _ = _threshold_from(rows, kmax)
+            c = (F.col("run") == r) & (F.lit(True) if t is None else (F.col("_key") <= F.lit(t)))
+            cond = c if cond is None else (cond | c)
+        cand = ex.withColumn("_key", key).filter(cond)
     if kmax <= TOPK_MAX:
         w = Window.partitionBy("run").orderBy("_key", "id")
         ranked = cand.withColumn("rank", F.row_number().over(w))
@@ -292,6 +301,22 @@ def multi_sample(df: DataFrame, sizes, runs, weight: str = "p", seed: int = 0, s
     return out.withColumn(prob_out, F.col(weight) / F.lit(float(wsum)))
 
 
+def _run_candidates(pos: DataFrame, kmax: int, runs, weight: str, seed: int, stream: str, cut: float):
+    """Rows (run, _key) with race key <= cut, hashed once: a row's keys of all runs are one array, filtered before it
+    is exploded. None if a run has fewer than kmax (weight concentrated on few rows)."""
+    from pyspark import StorageLevel
+
+    keys = F.array(*[F.struct(F.lit(r).alias("run"), race_key(F.col(weight), seed, F.lit(f"{stream}:{r}")).alias("_key"))
+                     for r in runs])
+    few = pos.withColumn("_rk", F.explode(F.filter(keys, lambda k: k["_key"] <= F.lit(cut))))
+    few = few.select(*pos.columns, "_rk.run", "_rk._key").persist(StorageLevel.MEMORY_AND_DISK)
+    got = {r["run"]: r["count"] for r in few.groupBy("run").count().collect()}
+    if all(got.get(r, 0) >= kmax for r in runs):
+        return few
+    few.unpersist()
+    return None
+
+
 def expand_configs(ranked: DataFrame, sizes, prob: str = "p", weight: str = "importance") -> DataFrame:
     """(run, rank) rows -> (size, run) coreset rows with w."""
     sizes = sorted(int(s) for s in sizes)
@@ -304,46 +329,6 @@ def expand_configs(ranked: DataFrame, sizes, prob: str = "p", weight: str = "imp
 
 # -- reservoirs (one pass over an order) ---------------------------------------
 
-def _chao_kernel(k: int, d: int, seed: int, ridge: bool, lam: float, c: float | None):
-    import pandas as pd
-
-    def kernel(pdf: "pd.DataFrame") -> "pd.DataFrame":
-        pdf = pdf.sort_values(["ord", "id"], kind="mergesort").reset_index(drop=True)
-        n = len(pdf)
-        u1 = pdf["_u1"].to_numpy()
-        u2 = pdf["_u2"].to_numpy()
-        X = np.stack(pdf["x"].to_numpy()).astype(float).reshape(-1, d) if ridge else None
-        slots = np.full(k, -1, dtype=np.int64)
-        wsum, count = 0.0, 0
-        A = lam * np.eye(d) if ridge else None
-        wts = pdf["_w"].to_numpy() if not ridge else None
-        for i in range(n):
-            if ridge:
-                xi = X[i]
-                wt = min(float(xi @ np.linalg.solve(A, xi)), 1.0)
-                if c is not None:
-                    wt += c
-            else:
-                wt = float(wts[i])
-            wsum += wt
-            taken = False
-            if count < k:
-                slots[count] = i
-                count += 1
-                taken = True
-            elif u1[i] < k * wt / wsum:
-                slots[int(u2[i] * k) % k] = i
-                count += 1
-                taken = True
-            if ridge and taken:
-                A += np.outer(xi, xi)
-        idx = slots[slots >= 0]
-        res = pdf.iloc[idx].drop(columns=["_u1", "_u2"] + ([] if ridge else ["_w"]))
-        return res
-
-    return kernel
-
-
 def reservoir_sample(df: DataFrame, k: int, weight: str = "score", key: str | None = None,
                      seed: int = 0, d: int | None = None, block_rows: int | None = None) -> DataFrame:
     """Chao's weighted reservoir over ``ord`` (first k kept, then accept with
@@ -527,19 +512,13 @@ def _segments(keys, w):
 
 def online_ridge_sample(df: DataFrame, k: int, c: float | None = None, lam: float = 1e-6,
                         key: str | None = None, seed: int = 0, d: int | None = None) -> DataFrame:
-    """Reservoir with weight min(x^T A^-1 x, 1) + c; accepted rows enter A; w = 1."""
-    return _reservoir(df, k, None, key, seed, d, ridge=True, lam=lam, c=c).withColumn("w", F.lit(1.0))
-
-
-MAX_GROUP_ROWS = 5_000_000
-
+    """Reservoir with weight min(x^T A^-1 x, 1) + c; accepted rows enter A; w = 1.
 
-def _reservoir(df, k, weight, key, seed, d, ridge, lam, c):
-    """Sequential reservoir per key (the online-ridge form, D7): rows are hash-partitioned
-    by key and sorted by (key, ord, id); each task streams its Arrow batches keeping only
-    the current key's state (k slots, sum of weights, the d x d matrix), so memory does
-    not grow with the group. A group is still one task (each acceptance changes the next
-    score), hence the MAX_GROUP_ROWS refusal."""
+    Each acceptance changes the matrix that the next score uses, so a key's rows are read in
+    (ord, id) order by one task. Rows are hash-partitioned by key and sorted; a task streams
+    its Arrow batches and keeps the current key's state only (k slots, the weight sum, A and
+    its inverse, renewed when a row is accepted), so memory doesn't grow with the group.
+    """
     import pandas as pd
 
     from .moments import array_width
@@ -547,64 +526,35 @@ def _reservoir(df, k, weight, key, seed, d, ridge, lam, c):
     d = array_width(df) if d is None else d
     gcol = key if key else "_g"
     src = df if key else df.withColumn("_g", F.lit(0))
-    sizes = src.groupBy(gcol).count().agg(F.max("count")).collect()[0][0]
-    if sizes is not None and sizes > MAX_GROUP_ROWS:
-        raise ValueError(f"a reservoir group holds {sizes} rows (> {MAX_GROUP_ROWS}); "
-                         "use a key or weighted_sample for a global sample")
     src = src.withColumn("_u1", R.uniform("id", seed, "res1")).withColumn("_u2", R.uniform("id", seed, "res2"))
-    if not ridge:
-        src = src.withColumn("_w", F.col(weight).cast("double"))
-    out_cols = [cn for cn in src.columns if cn not in ("_u1", "_u2", "_w")]
-    out_schema = src.select(*out_cols).schema
+    cols = [c_ for c_ in src.columns if c_ not in ("_u1", "_u2")]
     parted = src.repartition(gcol).sortWithinPartitions(gcol, "ord", "id")
+    extra = 0.0 if c is None else c
 
     def run(batches):
-        cur, slots, count, wsum, A = None, None, 0, 0.0, None
-
-        def flush():
-            rows = [r for r in slots if r is not None]
-            return pd.DataFrame(rows, columns=out_cols) if rows else None
-
+        group, state = None, None
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            keys = pdf[gcol].to_numpy()
-            u1 = pdf["_u1"].to_numpy()
-            u2 = pdf["_u2"].to_numpy()
-            X = np.stack(pdf["x"].to_numpy()).astype(float).reshape(-1, d) if ridge else None
-            wts = None if ridge else pdf["_w"].to_numpy()
-            recs = pdf[out_cols].to_dict("records")
-            for i in range(len(pdf)):
-                if cur is None or keys[i] != cur:
-                    if cur is not None:
-                        res = flush()
-                        if res is not None:
-                            yield res
-                    cur, slots, count, wsum = keys[i], [None] * k, 0, 0.0
-                    A = lam * np.eye(d) if ridge else None
-                if ridge:
-                    xi = X[i]
-                    wt = min(float(xi @ np.linalg.solve(A, xi)), 1.0)
-                    if c is not None:
-                        wt += c
-                else:
-                    wt = float(wts[i])
-                wsum += wt
-                taken = False
-                if count < k:
-                    slots[count] = recs[i]
-                    taken = True
-                elif wsum > 0 and u1[i] < k * wt / wsum:
-                    slots[int(u2[i] * k) % k] = recs[i]
-                    taken = True
-                if taken:
-                    count += 1
-                    if ridge:
-                        A += np.outer(xi, xi)
-        if cur is not None:
-            res = flush()
-            if res is not None:
-                yield res
-
-    out = parted.mapInPandas(run, out_schema)
+            for g, rows in pdf.groupby((pdf[gcol] != pdf[gcol].shift()).cumsum(), sort=False):
+                if state is None or rows[gcol].iat[0] != group:
+                    if state is not None:
+                        yield pd.DataFrame(list(state["held"].values()), columns=cols)
+                    group, state = rows[gcol].iat[0], {"held": {}, "sum": 0.0, "A": lam * np.eye(d), "inv": np.eye(d) / lam, "seen": 0}
+                X = np.stack(rows["x"].to_numpy()).astype(float).reshape(-1, d)
+                for x, u1, u2, rec in zip(X, rows["_u1"], rows["_u2"], rows[cols].itertuples(index=False, name=None)):
+                    ax = state["inv"] @ x
+                    weight = min(float(x @ ax), 1.0) + extra
+                    state["sum"] += weight
+                    slot = state["seen"]
+                    state["seen"] += 1
+                    if slot >= k:
+                        if not (state["sum"] > 0 and u1 * state["sum"] < k * weight):
+                            continue
+                        slot = int(u2 * k) % k
+                    state["held"][slot] = rec
+                    state["A"] = state["A"] + np.outer(x, x)
+                    state["inv"] = np.linalg.inv(state["A"])
+        if state is not None:
+            yield pd.DataFrame(list(state["held"].values()), columns=cols)
+
+    out = parted.mapInPandas(run, src.select(*cols).schema).withColumn("w", F.lit(1.0))
     return out if key else out.drop("_g")

@@ -6,9 +6,8 @@ one job per config:
 1. scores -> probabilities on the design (once, persisted; C22);
 2. one race-key sample per run, sizes nested inside a run (D8) - one histogram
    aggregate plus one window over ~runs x max(size) candidate rows;
-3. all fits: one ``applyInPandas`` task per run fits every size on its prefix
-   (bounded k), or the lockstep distributed Newton for coresets above the task
-   limit;
+3. all fits: one ``applyInPandas`` group per (run, size) (bounded k), or the
+   lockstep distributed Newton for coresets above the task limit;
 4. ONE evaluation job for all configs on the full data (E13);
 5. append to the results table with a run offset (A8).
 """
@@ -73,18 +72,22 @@ def score_design(design, method: str, p: float = 2.0, fast: bool = True, seed: i
 
 def sweep(design, method: str = "leverage", p: float = 2.0, sizes=(500,), runs=(1, 2, 3), seed: int = 0,
           fast: bool = True, online: bool = False, beta_opt=None, f_opt=None, results_path: str | None = None,
-          tail: str = "exact") -> DataFrame:
+          tail: str = "exact", grid: DataFrame | None = None) -> DataFrame:
     """(run, size, ratio, sampling_time_s, total_time_s) for every config.
 
     Weights: uniform 1; importance methods 1 / (p size). Wall times are the batch
     times divided by the number of configs (every config is processed together).
+    ``grid`` (run, size; e.g. ``config_grid``) names the configs instead of ``sizes`` x ``runs``.
     """
+    if grid is not None:
+        chosen = grid.select("run", "size").distinct().collect()  # the configs of one sweep
+        sizes, runs = {r["size"] for r in chosen}, sorted({r["run"] for r in chosen})
     sizes = sorted(int(s) for s in sizes)
     runs = [int(r) for r in runs]
     df = design.df.persist()
     n, d = design.n, design.d
     if sizes[-1] > n:
-        raise ValueError("Sample size can't be greater than total number of samples!")
+        raise ValueError(f"the largest size, {sizes[-1]}, is above the design's {n} rows")
     t0 = time.perf_counter()
     scored = score_design(design, method, p, fast, seed, online).persist()
     tag = method if isinstance(method, str) else getattr(method, "__name__", "custom")
@@ -105,26 +108,29 @@ def sweep(design, method: str = "leverage", p: float = 2.0, sizes=(500,), runs=(
     ratios = P.approximation_ratio(df, fits.select("run", "size", "beta"), ["run", "size"], beta_opt, p, d,
                                    tail=tail, f_opt=f_opt)
     m = len(sizes) * len(runs)
+    if grid is not None:
+        ratios = ratios.join(grid.select("run", "size").distinct(), ["run", "size"], "left_semi")
     out = ratios.select(F.col("run").cast("int"), F.col("size").cast("int"), "ratio",
                         F.lit((t1 - t0) / m).alias("sampling_time_s"), F.lit((t2 - t0) / m).alias("total_time_s"))
     if results_path:
         from ..sources.files import append_with_run_offset
 
+        out = out.persist()  # one row a config; written and returned
         append_with_run_offset(out, results_path)
     return out
 
 
 def fit_configs(ranked: DataFrame, sizes, p: float, d: int, tail: str = "exact") -> DataFrame:
-    """(run, size, beta) for nested coresets; in-task when bounded, lockstep otherwise."""
-    if max(sizes) <= TASK_FIT_LIMIT:
-        return P.fit_groups(ranked, ["run"], p, d, tail=tail, sizes=sizes, max_group_rows=TASK_FIT_LIMIT)
+    """(run, size, beta) for nested coresets: one task per (run, size) when bounded, lockstep otherwise."""
     stacked = SM.expand_configs(ranked, sizes, "p", "importance" if "p" in ranked.columns else "none")
-    return P.fit_lockstep(stacked, ["run", "size"], p, d, tail)
+    stacked = stacked.drop("p") if "p" in stacked.columns else stacked
+    return P.fit_groups(stacked, ["run", "size"], p, d, tail=tail, max_group_rows=TASK_FIT_LIMIT,
+                        known_max_rows=max(sizes))
 
 
 def sgd_sweep(design, p: float = 2.0, runs=(1,), seed: int = 0, beta_opt=None) -> DataFrame:
     """H5: one random-order SGD epoch per run (no reduction; size = 1 placeholder)."""
-    df = design.df.persist()
+    df = design.df
     rows = []
     for r in runs:
         t0 = time.perf_counter()
@@ -138,31 +144,6 @@ def sgd_sweep(design, p: float = 2.0, runs=(1,), seed: int = 0, beta_opt=None) -
     return ratios.join(betas.select("run", "total_time_s"), "run").withColumn("sampling_time_s", F.lit(0.0))
 
 
-def ridge_sweep(design, p: float = 2.0, sizes=(500,), runs=(1,), seed: int = 0, lam: float = 1e-6,
-                beta_opt=None) -> DataFrame:
-    """H8: online ridge leverage reservoir (D7, c = 1/n), weights 1."""
-    df = design.df.persist()
-    rows = []
-    n, d = design.n, design.d
-    fits_all = None
-    t0 = time.perf_counter()
-    for r in runs:
-        for s in sizes:
-            core = SM.online_ridge_sample(df, int(s), c=1.0 / n, lam=lam, seed=seed + int(r) * 100003 + int(s), d=d)
-            core = core.withColumn("run", F.lit(int(r))).withColumn("size", F.lit(int(s)))
-            f = P.fit_groups(core, ["run", "size"], p, d)
-            fits_all = f if fits_all is None else fits_all.unionByName(f)
-    fits_all = fits_all.persist()
-    fits_all.count()
-    t1 = time.perf_counter()
-    if beta_opt is None:
-        beta_opt = P.fit(df, p, d, check=False).beta
-    m = len(sizes) * len(runs)
-    ratios = P.approximation_ratio(df, fits_all.select("run", "size", "beta"), ["run", "size"], beta_opt, p, d)
-    return ratios.select("run", "size", "ratio", F.lit((t1 - t0) / m).alias("sampling_time_s"),
-                         F.lit((t1 - t0) / m).alias("total_time_s"))
-
-
 def bayes_sweep(design, method: str = "uniform", sizes=(500,), runs=(1,), seed: int = 0,
                 num_samples: int = 1000, burn_in: int = 100, prior_mean=None, prior_cov=None,
                 online: bool = False, results_path: str | None = None) -> DataFrame:
@@ -190,46 +171,59 @@ def bayes_sweep(design, method: str = "uniform", sizes=(500,), runs=(1,), seed:
     return out
 
 
-def size_search(design, p: float = 2.0, runs=(1,), lo: int = 100, hi: int | None = None,
-                band=(0.05, 0.1), max_rounds: int = 12, seed: int = 0) -> DataFrame:
-    """Bisection per run for a coreset size with eps = ratio - 1 in ``band``.
+def size_search(design, p=2.0, runs=(1,), lo: int = 100, hi: int | None = None,
+                band=(0.05, 0.1), seed: int = 0) -> DataFrame:
+    """Bisection per (p, run) for a coreset size with eps = ratio - 1 in ``band``.
 
-    Each round evaluates the current k of every run together (one sample, fit
-    and evaluation job per round). Returns run, p, k, eps, beta_l2, beta_inf.
+    ``p`` is one value or a list. Each round evaluates the current k of every open run of a
+    p together (one sample, fit and evaluation per round) and halves its interval, so the
+    rounds end by themselves; every (p, run) gets exactly one row: the first size in the
+    band, else the last one tried (k and the rest null if ``lo > hi`` from the start).
+    Returns run, p, k, eps, beta_l2, beta_inf.
     """
-    df = design.df.persist()
     n, d = design.n, design.d
-    hi = n if hi is None else hi
-    beta_opt = P.fit(df, p, d, check=False).beta
-    f_opt = P.negative_log_likelihood(df, beta_opt, p)
-    scored = score_design(design, "leverage", p, True, seed).persist()
-    state = {int(r): [lo, hi, None] for r in runs}
-    result = {}
-    for _ in range(max_rounds):
-        active = {r: (a + b) // 2 for r, (a, b, _) in state.items() if r not in result}
-        if not active:
-            break
-        ks = sorted(set(active.values()))
-        ranked = SM.multi_sample(scored, ks, list(active), "score", seed, stream="search").persist()
-        stacked = SM.expand_configs(ranked, ks, "p").filter(
-            F.struct("run", "size").isin([F.struct(F.lit(r), F.lit(k)) for r, k in active.items()]))
-        fits = P.fit_groups(stacked, ["run", "size"], p, d).persist()
-        rat = P.approximation_ratio(df, fits.select("run", "size", "beta"), ["run", "size"], beta_opt, p, d,
-                                    f_opt=f_opt)
-        dist = P.beta_distances(fits.filter(F.col("beta").isNotNull()), beta_opt, ["run", "size"])
-        for r in rat.join(dist, ["run", "size"], "left").collect():
-            run, k, eps = r["run"], r["size"], (r["ratio"] - 1.0) if r["ratio"] is not None else None
-            a, b, _ = state[run]
-            if eps is not None and band[0] <= eps <= band[1]:
-                result[run] = (k, eps, r["beta_l2"], r["beta_inf"])
-            elif eps is None or eps > band[1]:
-                state[run] = [k + 1, b, None]
-            else:
-                state[run] = [a, k - 1, None]
-            if state[run][0] > state[run][1] and run not in result:
-                result[run] = (k, eps, r["beta_l2"], r["beta_inf"])
-    rows = [(int(r), float(p), int(v[0]), v[1], v[2], v[3]) for r, v in result.items()]
-    return df.sparkSession.createDataFrame(rows, "run INT, p DOUBLE, k INT, eps DOUBLE, beta_l2 DOUBLE, beta_inf DOUBLE")
+    df, own = _kept(design.df)
+    rows = []
+    for pv in ([p] if isinstance(p, (int, float)) else list(p)):
+        beta_opt = P.fit(df, pv, d, check=False).beta
+        f_opt = P.negative_log_likelihood(df, beta_opt, pv)
+        scored = score_design(design, "leverage", pv, True, seed).persist()
+        open_, last = {int(r): (lo, n if hi is None else hi) for r in runs}, {int(r): (None,) * 4 for r in runs}
+        open_ = {r: v for r, v in open_.items() if v[0] <= v[1]}
+        while open_:
+            at = {r: (a + b) // 2 for r, (a, b) in open_.items()}
+            ks = sorted(set(at.values()))
+            ranked = SM.multi_sample(scored, ks, list(at), "score", seed, stream="search").persist()
+            wanted = F.create_map(*[F.lit(v) for r, k in at.items() for v in (r, k)])[F.col("run")]
+            stacked = (ranked.withColumn("size", wanted).filter(F.col("rank") <= F.col("size"))
+                       .withColumn("w", F.lit(1.0) / (F.col("p") * F.col("size"))).drop("p"))
+            fits = P.fit_groups(stacked, ["run", "size"], pv, d, max_group_rows=TASK_FIT_LIMIT,
+                                known_max_rows=ks[-1]).persist()
+            rat = P.approximation_ratio(df, fits.select("run", "size", "beta"), ["run", "size"], beta_opt, pv, d,
+                                        f_opt=f_opt)
+            dist = P.beta_distances(fits.filter(F.col("beta").isNotNull()), beta_opt, ["run", "size"])
+            for r in rat.join(dist, ["run", "size"], "left").collect():
+                run, k, eps = r["run"], r["size"], (r["ratio"] - 1.0) if r["ratio"] is not None else None
+                a, b = open_.pop(run)
+                last[run] = (k, eps, r["beta_l2"], r["beta_inf"])
+                if eps is not None and band[0] <= eps <= band[1]:
+                    continue
+                a, b = (k + 1, b) if eps is None or eps > band[1] else (a, k - 1)
+                if a <= b:
+                    open_[run] = (a, b)
+            ranked.unpersist()
+            fits.unpersist()
+        scored.unpersist()
+        rows += [(r, float(pv), *v) for r, v in last.items()]
+    if own:
+        df.unpersist()
+    return design.df.sparkSession.createDataFrame(rows, "run INT, p DOUBLE, k INT, eps DOUBLE, beta_l2 DOUBLE, beta_inf DOUBLE")
+
+
+def _kept(df: DataFrame):
+    """(df cached, whether this call cached it)."""
+    own = not (df.storageLevel.useMemory or df.storageLevel.useDisk)
+    return (df.persist() if own else df), own
 
 
 def run_methods(design, p: float = 2.0, sizes=(500,), runs=(1, 2, 3), seed: int = 0) -> DataFrame:

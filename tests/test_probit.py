@@ -79,26 +79,50 @@ def test_sgd_epoch_improves(spark, iris):
     X = (X - X.mean(0)) / X.std(0)
     y = np.where(lab == 1, 1.0, -1.0)
     df = from_arrays(spark, X, y)
-    b = P.sgd_epoch(df, 2.0, 4, seed=0, partitions=2)
+    b = P.sgd_epoch(df, 2.0, 4, seed=0, shards=2)
     f0 = P.negative_log_likelihood(df, np.zeros(4), 2.0)
     assert P.negative_log_likelihood(df, b, 2.0) < f0
 
 
-def test_probit_sgd_losses_improve(iris):
+def test_sgd_epoch_depends_on_shards_only(spark, iris):
     X, lab = iris
-    X = (X - X.mean(0)) / X.std(0)   # the stand-in table needs scaling for the default rate
     y = np.where(lab == 1, 1.0, -1.0)
-    rng = np.random.default_rng(1234)
-    sgd = P.ProbitSGD()
-    with pytest.raises(AttributeError):
-        sgd.get_params()
-    losses = []
-    for ep in range(50):
-        for i in rng.permutation(150):
-            sgd.new_sample(X[i], y[i])
-        if ep in (0, 9, 49):
-            losses.append(P.np_evaluate(X, y, np.ones(150), sgd.get_params(), 2.0)[0])
-    assert losses[1] < losses[0] and losses[2] < losses[1]
+    df = from_arrays(spark, (X - X.mean(0)) / X.std(0), y)
+    a = P.sgd_epoch(df.repartition(2), 2.0, 4, shards=6)
+    b = P.sgd_epoch(df.repartition(7), 2.0, 4, shards=6)
+    np.testing.assert_allclose(a, b, rtol=1e-12)
+    assert np.abs(a - P.sgd_epoch(df, 2.0, 4, shards=3)).max() > 1e-6
+
+
+def test_limits_change_no_result(spark, iris):
+    """Task limit and config blocks patched small: the same fits and losses."""
+    from pyspark.sql import functions as F
+
+    X, lab = iris
+    y = np.where(lab == 1, 1.0, -1.0)
+    df = from_arrays(spark, X, y).withColumn("g", (F.col("id") % 3).cast("int"))
+    a = {r["g"]: r["beta"] for r in P.fit_groups(df, ["g"], 2.0, 4).collect()}
+    b = {r["g"]: r["beta"] for r in P.fit_groups(df, ["g"], 2.0, 4, max_group_rows=10).collect()}
+    c = {r["g"]: r["beta"] for r in P.fit_lockstep(df, ["g"], 2.0, 4, block_configs=1).collect()}
+    for k in a:
+        np.testing.assert_allclose(a[k], b[k], rtol=1e-5)
+        np.testing.assert_allclose(a[k], c[k], rtol=1e-5)
+    betas = spark.createDataFrame([(k, list(v)) for k, v in a.items()], "g INT, beta ARRAY<DOUBLE>")
+    one = {r["g"]: r["loss"] for r in P.losses_for_betas(df, betas, ["g"], 2.0, 4).collect()}
+    two = {r["g"]: r["loss"] for r in P.losses_for_betas(df, betas, ["g"], 2.0, 4, block_configs=2).collect()}
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-9 for k in one)
+
+
+def test_sizes_above_the_sample_give_null(spark, iris):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    X, lab = iris
+    df = from_arrays(spark, X, np.where(lab == 1, 1.0, -1.0)).withColumn("g", F.lit(0))
+    df = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("id")))
+    for limit in (1000, 10):
+        got = {r["size"]: r["beta"] for r in P.fit_groups(df, ["g"], 2.0, 4, sizes=[120, 500], max_group_rows=limit).collect()}
+        assert got[120] is not None and got[500] is None
 
 
 def test_fit_groups_and_lockstep_agree(spark, iris):

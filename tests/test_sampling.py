@@ -90,15 +90,38 @@ def _sequential_reservoir(df, k, weight, key, seed):
     """Brute force: the sequential Chao scan over each key's (ord, id) order."""
     src = df.withColumn("_w", F.col(weight).cast("double")) \
         .withColumn("_u1", R.uniform("id", seed, "res1")).withColumn("_u2", R.uniform("id", seed, "res2"))
-    pdf = src.toPandas()
-    kern = SM._chao_kernel(k, 1, seed, False, 0.0, None)
+    pdf = src.toPandas().sort_values(["ord", "id"], kind="mergesort")
     out = set()
-    groups = pdf.groupby(key) if key else [(0, pdf)]
-    for _, g in groups:
-        out |= {(row[key] if key else 0, row["id"]) for _, row in kern(g).iterrows()}
+    for g, rows in (pdf.groupby(key) if key else [(0, pdf)]):
+        held, total = {}, 0.0
+        for i, (_, r) in enumerate(rows.iterrows()):
+            total += r["_w"]
+            if i < k or (total > 0 and r["_u1"] < k * r["_w"] / total):
+                held[i if i < k else int(r["_u2"] * k) % k] = r["id"]
+        out |= {(g, i) for i in held.values()}
     return out
 
 
+def test_negative_weights_are_an_error(spark):
+    df = spark.range(10).withColumn("p", F.when(F.col("id") == 3, -1.0).otherwise(1.0))
+    with pytest.raises(ValueError):
+        SM.weighted_sample(df, 2, "p")
+    with pytest.raises(ValueError):
+        SM.multi_sample(df, [2], [1], "p")
+
+
+def test_multi_sample_one_pass_equals_histogram(spark, monkeypatch):
+    df = spark.range(3000).withColumn("p", (F.col("id") % 5 + 1).cast("double"))
+    key = lambda d: sorted((r["run"], r["rank"], r["id"]) for r in d.collect())
+    a = key(SM.multi_sample(df, [20, 60], [1, 2, 3], "p"))
+    monkeypatch.setattr(SM, "OVERSAMPLE", 1e9)  # the table then counts as small: every row is a candidate
+    assert key(SM.multi_sample(df, [20, 60], [1, 2, 3], "p")) == a
+    one = spark.range(400).withColumn("p", F.when(F.col("id") == 7, F.lit(1e9)).otherwise(F.lit(1.0)))
+    b = key(SM.multi_sample(one, [30], [1, 2], "p"))
+    monkeypatch.setattr(SM, "OVERSAMPLE", 3.0)
+    assert key(SM.multi_sample(one, [30], [1, 2], "p")) == b
+
+
 @pytest.mark.parametrize("block_rows", [None, 7, 40])
 def test_parallel_reservoir_equals_sequential(spark, block_rows):
     rng = np.random.default_rng(5)
