@@ -40,27 +40,45 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", os.environ.get("CORELEV_DRIVER_MEMORY", "16g"))
+    builder = builder.config("spark.driver.memory", os.environ.get("CORELEV_DRIVER_MEMORY", "4g"))
     builder = builder.config("spark.driver.extraJavaOptions", _JVM_FLAGS)
     builder = builder.config("spark.executor.extraJavaOptions", _JVM_FLAGS)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, setting a local one only if unset."""
+    """Return the session's checkpoint folder; a temporary one is set only where it is unset and the master is local."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if not current:
         current = spark.conf.get("spark.checkpoint.dir", None)
         if not current:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             current = tempfile.mkdtemp(prefix="corelev-ckpt-", dir="/tmp")
         sc.setCheckpointDir(current)
     return current
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so tasks import it from any working directory."""
+    import shutil
+    import tempfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_corelev_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    zipped = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="corelev-code-"), "corelev"), "zip",
+                                 os.path.dirname(here), os.path.basename(here))
+    sc.addPyFile(zipped)
+    sc._corelev_shipped = True
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the session's (shared) checkpoint folder."""
     import uuid
@@ -78,4 +96,5 @@ def configure(spark: SparkSession) -> SparkSession:
         except Exception:  # static conf on a running session
             pass
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
