@@ -100,12 +100,12 @@ def _block_parts(docs: DataFrame, buckets: int, width: int) -> DataFrame:
             many, times = tok[first[count > _HOT]], count[count > _HOT]
             tok, own = tok[~hot], own[~hot]
             at, at_many = (tok >> np.uint64(40)) % np.uint64(buckets), (many >> np.uint64(40)) % np.uint64(buckets)
-            o, om = np.argsort(at, kind="stable"), np.argsort(at_many, kind="stable")
+            o, om = np.lexsort((own, at)), np.argsort(at_many, kind="stable")
             edge, edge_m = np.searchsorted(at[o], np.arange(buckets + 1)), np.searchsorted(at_many[om], np.arange(buckets + 1))
             for k in range(buckets):
                 i, j = o[edge[k]: edge[k + 1]], om[edge_m[k]: edge_m[k + 1]]
                 if len(i) or len(j):
-                    yield _row(k, block, None, None, _short(tok[i]), own[i].tobytes(), _short(many[j]), times[j].astype(np.uint16).tobytes())
+                    yield _row(k, block, None, None, _short(tok[i]), np.diff(own[i], prepend=np.uint16(0)).tobytes(), _short(many[j]), times[j].astype(np.uint16).tobytes())
 
     return docs.mapInArrow(run, _PARTS)
 
@@ -116,7 +116,7 @@ def _shared(parts: DataFrame) -> DataFrame:
     def count(bucket, rows):
         blocks = np.array([r["block"] for r in rows], np.int64)
         cold, hot = [_long(r["x0"]) for r in rows], [_long(r["x2"]) for r in rows]
-        doc = [np.frombuffer(r["x1"], np.uint16) for r in rows]
+        doc = [np.cumsum(np.frombuffer(r["x1"], np.uint16), dtype=np.uint16) for r in rows]
         times = [np.frombuffer(r["x3"], np.uint16) for r in rows]
         at = np.repeat(np.tile(np.arange(len(rows)), 2), [len(x) for x in cold + hot])
         tok = np.concatenate(cold + hot)
@@ -232,70 +232,66 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _links(post: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Components (node, comp) of the sets in the prefix lists.
 
-    In each round some sets of each list lead (1, then 4, 16, ...; in the order of their hashes) and
-    are held against the list's other sets that aren't in their component yet; so when a list is
+    In each round some sets of each list lead (1, then 2, 4, ...; those first whose lists hold most)
+    and are held against the list's other sets that aren't in their component yet; so when a list is
     through, each two of its sets are linked through others or have been compared. Skipped are
       * blocks of sets whose size can't fit (lists are keyed by shingle and size block),
       * entries whose positions in the two sets leave too little room for the overlap,
-      * pairs whose answer follows from an earlier leader ``p`` similar to one of the two: with
-        o(p, y) known and |x \\ p| shingles of x outside p, o(x, y) lies between
-        o(p, y) - |p \\ x| and o(p, y) + |x \\ p|.
-    The others are compared on their whole sets.
+      * pairs whose answer follows from those of a set that both have been compared with: with the
+        overlaps o(p, x) and o(p, y) known, o(x, y) is at least o(p, x) + o(p, y) - |p| and at most
+        min(o(p, x), o(p, y)) + min(|x| - o(p, x), |y| - o(p, y)).
+    The others are compared on their whole sets. A set's ``p`` is the leader of its first round that
+    it shares most with, so all near copies of a text have the same one.
     """
     t, u = percent, 100 + percent
     size_block = F.floor(F.log(F.col("n")) / math.log(100 / percent)).cast("int")
-    post = written(post.withColumn("s", size_block), "lists")
+    lists = post.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    heavy = post.join(lists, "key").groupBy("node").agg(F.sum("c").alias("wt"))
+    post = written(post.withColumn("s", size_block).join(heavy, "node"), "lists")
     comps = written(post.select("node", F.col("node").alias("comp")).distinct(), "comp")
-    answers = anchor = None
+    known = written(comps.select("node", F.lit(None).cast("long").alias("p"), F.lit(None).cast("long").alias("pn"), F.lit(None).cast("long").alias("po")).limit(0), "known")
     done, lead = 0, 1
     while True:
-        cur = post.join(comps, "node")
+        cur = post.join(comps, "node").join(known, "node", "left")
         live = cur.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).where((F.col("lo") != F.col("hi")) & (F.col("c") > done + 1))
         cur = written(cur.join(live.select("key", "c"), "key"), "live")
-        most = cur.agg(F.max("c")).first()[0]
-        if most is None:
+        if not cur.limit(1).count():
             return comps
-        order = Window.partitionBy("key").orderBy("node")
+        order = Window.partitionBy("key").orderBy(F.desc("wt"), "node")
         front = cur.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= done + lead).where(F.col("rn") > done)
-        front = front.select("key", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("pp"), F.col("comp").alias("pc"),
-                             F.explode(F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1)).alias("s"))
-        room = 2 + F.least("pp", "pos") + F.least(F.col("pn") - F.col("pp"), F.col("n") - F.col("pos"))
-        pairs = (cur.join(front, ["key", "s"])
-                 .where((F.col("comp") != F.col("pc")) & (100 * F.least("n", "pn") >= t * F.greatest("n", "pn")) & (u * room >= t * (F.col("n") + F.col("pn"))))
-                 .select(F.when(F.col("node") < F.col("p"), F.struct(F.col("node").alias("a"), F.col("p").alias("b"), F.col("n").alias("na"), F.col("pn").alias("nb")))
-                         .otherwise(F.struct(F.col("p").alias("a"), F.col("node").alias("b"), F.col("pn").alias("na"), F.col("n").alias("nb"))).alias("x"))
-                 .select("x.*").distinct())
-        sure = None
-        if answers is not None:
-            low, high = [], []
-            for x, y in (("a", "b"), ("b", "a")):
-                pairs = (pairs.join(anchor.select(F.col("node").alias(x), F.col("p").alias(f"p{x}"), F.col("pn").alias(f"n{x}p"), F.col("ov").alias(f"o{x}")), x, "left")
-                         .join(answers.select(F.col("x").alias(f"p{x}"), F.col("y").alias(y), F.col("ov").alias(f"k{x}")), [f"p{x}", y], "left"))
-                low.append(F.col(f"k{x}") - (F.col(f"n{x}p") - F.col(f"o{x}")))
-                high.append(F.col(f"k{x}") + (F.col(f"n{x}") - F.col(f"o{x}")))
-            need = t * (F.col("na") + F.col("nb"))
-            big = 1 << 40
-            pairs = pairs.withColumn("lo", F.greatest(*[F.coalesce(c, F.lit(-1)) for c in low])).withColumn("hi", F.least(*[F.coalesce(c, F.lit(big)) for c in high]))
-            pairs = written(pairs.where(u * F.col("hi") >= need).select("a", "b", "na", "nb", (u * F.col("lo") >= need).alias("sure")), "pairs")
-            sure = pairs.where("sure").select("a", "b")
-            pairs = pairs.where("not sure").select("a", "b", "na", "nb")
-        found = written(_verified(pairs, sets), "overlaps")
-        hit = u * F.col("ov") >= t * (F.col("na") + F.col("nb"))
-        edges = found.where(hit).select("a", "b")
-        edges = edges.unionByName(sure) if sure is not None else edges
-        two = (found.select(F.col("a").alias("x"), F.col("b").alias("y"), "na", "nb", "ov")
-               .unionByName(found.select(F.col("b").alias("x"), F.col("a").alias("y"), F.col("nb").alias("na"), F.col("na").alias("nb"), "ov")))
-        answers = two.select("x", "y", "ov", "na", "nb") if answers is None else written(answers.unionByName(two), "answers")
-        near = F.struct((F.col("ov") / (F.col("na") + F.col("nb") - F.col("ov"))).alias("j"), F.col("y").alias("p"), F.col("nb").alias("pn"), F.col("ov").alias("ov"))
-        anchor = written(answers.groupBy(F.col("x").alias("node")).agg(F.max(near).alias("m")).where(100 * F.col("m.j") >= t).select("node", "m.p", "m.pn", "m.ov"), "anchor")
+        side = ["node", "n", "pos", "comp", "p", "pn", "po"]
+        front = front.select("key", *[F.col(c).alias(f"l_{c}") for c in side], F.explode(F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1)).alias("s"))
+        room = 2 + F.least("l_pos", "pos") + F.least(F.col("l_n") - F.col("l_pos"), F.col("n") - F.col("pos"))
+        need = t * (F.col("n") + F.col("l_n"))
+        shared = F.coalesce(F.col("p") == F.col("l_p"), F.lit(False))
+        most = F.least("po", "l_po") + F.least(F.col("n") - F.col("po"), F.col("l_n") - F.col("l_po"))
+        sure = shared & (u * (F.col("po") + F.col("l_po") - F.col("pn")) >= need)
+        fit = ((F.col("comp") != F.col("l_comp")) & (100 * F.least("n", "l_n") >= t * F.greatest("n", "l_n")) & (u * room >= need)
+               & (~shared | (u * most >= need)))
+        swap = F.col("node") < F.col("l_node")
+        pairs = (cur.join(front, ["key", "s"]).where(fit)
+                 .select(F.when(swap, F.col("node")).otherwise(F.col("l_node")).alias("a"), F.when(swap, F.col("l_node")).otherwise(F.col("node")).alias("b"),
+                         F.when(swap, F.col("n")).otherwise(F.col("l_n")).alias("na"), F.when(swap, F.col("l_n")).otherwise(F.col("n")).alias("nb"), sure.alias("sure"))
+                 .distinct())
+        pairs = written(pairs, "pairs")
+        found = written(_verified(pairs.where("not sure").select("a", "b", "na", "nb"), sets), "overlaps")
+        edges = found.where(u * F.col("ov") >= t * (F.col("na") + F.col("nb"))).select("a", "b").unionByName(pairs.where("sure").select("a", "b"))
+        leads = front.select(F.col("l_node").alias("p")).distinct()
+        two = (found.select(F.col("a").alias("node"), F.col("b").alias("p"), F.col("nb").alias("pn"), F.col("ov").alias("po"))
+               .unionByName(found.select(F.col("b").alias("node"), F.col("a").alias("p"), F.col("na").alias("pn"), F.col("ov").alias("po")))
+               .join(leads, "p", "left_semi").join(known, "node", "left_anti"))
+        own = found.select(F.col("a").alias("node"), F.col("na").alias("pn")).unionByName(found.select(F.col("b").alias("node"), F.col("nb").alias("pn"))).distinct()
+        own = own.join(leads.withColumnRenamed("p", "node"), "node", "left_semi").join(known, "node", "left_anti").select("node", F.col("node").alias("p"), "pn", F.col("pn").alias("po"))
+        best = two.unionByName(own).groupBy("node").agg(F.max(F.struct("po", "p", "pn")).alias("m")).select("node", "m.p", "m.pn", "m.po")
+        known = written(known.unionByName(best), "known")
         merged = (edges.join(comps.toDF("a", "ca"), "a").join(comps.toDF("b", "cb"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
         merged = written(merged, "edges")
         if merged.limit(1).count():
             comps = written(comps.join(connected(merged).toDF("comp", "root"), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "comp")
-        done, lead = done + lead, lead * 4
+        done, lead = done + lead, lead * 2
 
 
-def set_components(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 12 << 20) -> DataFrame:
+def set_components(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 12 << 20, small: int = 400_000) -> DataFrame:
     """One row a document: doc_id, text_key, n_shingles, component_id (least id reachable by links), component, representative.
 
     Documents with equal sets are one node; two nodes link when 100 * overlap >= percent * union.
@@ -307,6 +303,8 @@ def set_components(docs: DataFrame, percent: int = 75, width: int = 5, id_col: s
 
     Shingle counts are gathered by bucket (``bucket_bytes`` of text each), so the number of buckets
     grows with the input; a shingle that very many documents hold is counted in its block first.
+    Up to ``small`` documents that share a prefix shingle with another set (24 bytes each) are
+    broadcast to fetch their texts; more are joined by a shuffle.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"), F.col(f"`{text_col}`").alias("t"))
@@ -331,6 +329,9 @@ def set_components(docs: DataFrame, percent: int = 75, width: int = 5, id_col: s
     wanted = post.select("node").distinct()
     first = (of.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_key")).alias("m"))
              .select("node", F.col("m.doc_id").alias("_id"), F.col("m.text_key").alias("_key")))
+    first = written(first, "first")
+    if first.count() <= small:
+        first = F.broadcast(first)
     texts = (src.join(first, F.col("i").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_key"))).select("node", "t"))
 
     def tokens(batches):

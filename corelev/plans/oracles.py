@@ -160,3 +160,73 @@ def cholesky_inverse_ctes(prefix: str, gram: str, d: int) -> tuple[str, str]:
 def q_of_x_sql(d: int, inv: str) -> list:
     """q_k = (L^-1 x)_k as SQL terms over x0..x{d-1}."""
     return ["(" + " + ".join(f"{inv}.li{k}_{j} * x{j}" for j in range(k + 1)) + ")" for k in range(d)]
+
+
+def _loss_stages(prefix: str, src: str, p: float | None, d: int, group) -> str:
+    """CTE ``{prefix}g``: the rows of ``src`` (with b0..b{d-1}) with g, gp, h at margin z = -y x.b (p None: logistic)."""
+    dot = " + ".join(f"x{j} * b{j}" for j in range(d))
+    z = f"{prefix}z AS (SELECT *, -y * ({dot}) AS z FROM {src})"
+    if p is None:
+        sig = "(1.0 / (1.0 + exp(-z)))"
+        return f"{z},\n{prefix}g AS MATERIALIZED (SELECT *, ln(1.0 + exp(z)) AS g, {sig} AS gp, {sig} * (1.0 - {sig}) AS h FROM {prefix}z)"
+    lc = PN.sql_ln_cdf_neg("z", "s", p, "duckdb")
+    g, gp = PN.sql_from_lcdf("z", "s", "lc", p, "duckdb")
+    return (f"{z},\n{prefix}s AS (SELECT *, {PN.sql_s('z', p, 'duckdb')} AS s FROM {prefix}z),\n"
+            f"{prefix}l AS MATERIALIZED (SELECT *, {lc} AS lc FROM {prefix}s),\n"
+            f"{prefix}p AS (SELECT *, {g} AS g, {gp} AS gp FROM {prefix}l),\n"
+            f"{prefix}g AS MATERIALIZED (SELECT *, {PN.sql_hess('z', 'gp', p, 'duckdb')} AS h FROM {prefix}p)")
+
+
+def newton_ctes(name: str, src: str, d: int, p: float | None, steps: int, weight: str = "1.0", group=()) -> str:
+    """CTE ``name`` (group columns, b0..b{d-1}): ``steps`` Newton steps from 0 on sum weight * g(-y x.b), per group."""
+    keys = list(group)
+    ks = "".join(f"{k}, " for k in keys)
+    by = f" GROUP BY {', '.join(keys)}" if keys else ""
+    bs = ", ".join(f"b{j}" for j in range(d))
+    out = [f"{name}0 AS MATERIALIZED (SELECT DISTINCT {ks}{', '.join(f'CAST(0.0 AS DOUBLE) AS b{j}' for j in range(d))} FROM {src})"]
+    for t in range(steps):
+        n = f"{name}{t}"
+        join = f"JOIN {n} USING ({', '.join(keys)})" if keys else f"CROSS JOIN {n}"
+        out.append(f"{n}r AS (SELECT * FROM {src} {join})")
+        out.append(_loss_stages(n, f"{n}r", p, d, keys))
+        sums = [f"sum({weight} * h * x{i} * x{j}) AS a{i}_{j}" for i in range(d) for j in range(d)]
+        sums += [f"sum(-({weight}) * gp * y * x{i}) AS a{i}_{d}" for i in range(d)]
+        sums += [f"any_value(b{j}) AS b{j}" for j in range(d)]
+        out.append(f"{n}e0 AS MATERIALIZED (SELECT {ks}{', '.join(sums)} FROM {n}g{by})")
+        for k in range(d):
+            cells = [(f"a{k}_{c} / a{k}_{k}" if i == k else f"a{i}_{c} - a{i}_{k} * a{k}_{c} / a{k}_{k}") + f" AS a{i}_{c}"
+                     for i in range(d) for c in range(k, d + 1)]
+            rest = [f"a{i}_{c}" for i in range(d) for c in range(k)]
+            out.append(f"{n}e{k + 1} AS MATERIALIZED (SELECT {ks}{', '.join(cells + rest)}, {bs} FROM {n}e{k})")
+        moved = ", ".join(f"b{j} - a{j}_{d} AS b{j}" for j in range(d))
+        out.append(f"{name}{t + 1} AS MATERIALIZED (SELECT {ks}{moved} FROM {n}e{d})")
+    out.append(f"{name} AS MATERIALIZED (SELECT * FROM {name}{steps})")
+    return ",\n".join(out)
+
+
+def loss_of_ctes(name: str, design: str, betas: str, d: int, p: float, group=()) -> str:
+    """CTE ``name`` (group columns, f): sum g(-y x.b) over the whole design for every row of ``betas``."""
+    keys = list(group)
+    ks = "".join(f"{k}, " for k in keys)
+    by = f" GROUP BY {', '.join(keys)}" if keys else ""
+    return (f"{name}r AS (SELECT * FROM {design} CROSS JOIN {betas}),\n{_loss_stages(name, f'{name}r', p, d, keys)},\n"
+            f"{name} AS MATERIALIZED (SELECT {ks}sum(g) AS f FROM {name}g{by})")
+
+
+def sweep_sql(scored: str, design: str, d: int, p: float, tag: str, sizes, runs, weighted: bool, steps: int = 9) -> str:
+    """Ratios (run, size, ratio) of race samples by ``score`` of ``scored`` (a WITH body that ends in CTE ``scored``)."""
+    u_run = u("id", stream_sql=f"'{tag}:' || CAST(run AS VARCHAR)")
+    xs = ", ".join(f"x{j}" for j in range(d))
+    w = "1.0 / (p * size)" if weighted else "1.0"
+    runs_ = ", ".join(f"({r})" for r in runs)
+    sizes_ = ", ".join(f"({s})" for s in sizes)
+    return (f"{scored},\nruns AS (SELECT CAST(r AS INTEGER) AS run FROM (VALUES {runs_}) v(r)),\n"
+            f"sizes AS (SELECT CAST(s AS INTEGER) AS size FROM (VALUES {sizes_}) v(s)),\n"
+            "tot AS (SELECT sum(score) AS t FROM scored),\n"
+            f"ranked AS MATERIALIZED (SELECT run, y, {xs}, score / t AS p, row_number() OVER (PARTITION BY run ORDER BY -ln({u_run}) / score, id) AS rk "
+            f"FROM scored, runs, tot WHERE score > 0 QUALIFY rk <= {max(sizes)}),\n"
+            f"core AS MATERIALIZED (SELECT run, size, y, {xs}, {w} AS wt FROM ranked, sizes WHERE rk <= size),\n"
+            + newton_ctes("nb", "core", d, p, steps, "wt", ["run", "size"]) + ",\n"
+            + newton_ctes("nf", design, d, p, steps) + ",\n"
+            + loss_of_ctes("lb", design, "nb", d, p, ["run", "size"]) + ",\n" + loss_of_ctes("lf", design, "nf", d, p) + "\n"
+            "SELECT run, size, round(lb.f / lf.f, 6) AS ratio FROM lb, lf")

@@ -373,7 +373,7 @@ def q_fast_leverage_l4(spark, sf):
         "id", F.round(F.col("score") * des.n, 6).alias("score_n"))
 
 
-def _sql_sketch_scores(root: bool, sample_k: int | None = None):
+def _sql_sketch_scores(root: bool, sample_k: int | None = None, raw: bool = False):
     from ..operators.scores import JL_DIM
 
     s = 25
@@ -388,14 +388,19 @@ def _sql_sketch_scores(root: bool, sample_k: int | None = None):
     sq = " + ".join(f"power({c}, 2)" for c in cols)
     val = f"(sqrt({sq}) + 1.0 / n) * sqrt(n)" if root else f"({sq}) * n"
     name = "score_rn" if root else "score_n"
+    if raw:
+        tail = f",\nraw AS (SELECT l4.*, {f'sqrt({sq}) + 1.0 / n' if root else sq} AS score FROM l4, {fin})"
+    elif sample_k is None:
+        tail = f"SELECT id, round({val}, 6) AS {name} FROM l4, {fin}"
+    else:
+        tail = (f", sc2 AS (SELECT id, sqrt({sq}) + 1.0 / n AS score FROM l4, {fin}),\n"
+                "prob AS (SELECT id, score, score / sum(score) OVER () AS p FROM sc2)\n"
+                f"SELECT id, round(1.0 / (p * {sample_k}), 6) AS w FROM prob "
+                f"ORDER BY -ln({O.u('id', 0, 'logit')}) / score, id LIMIT {sample_k}")
     return (f"WITH {O.l4_cte()},\nr AS (SELECT x0, x1, x2, x3, x4, "
             f"CAST(floor({O.u('id', 0, 'cs:f')} * {float(s)!r}) AS BIGINT) AS bucket, {fac} AS fac FROM l4),\n"
             f"sk AS (SELECT bucket, {sums} FROM r GROUP BY bucket),\nsg AS (SELECT {gcols} FROM sk),\n{ch}\n"
-            + (f"SELECT id, round({val}, 6) AS {name} FROM l4, {fin}" if sample_k is None else
-               f", sc2 AS (SELECT id, sqrt({sq}) + 1.0 / n AS score FROM l4, {fin}),\n"
-               "prob AS (SELECT id, score, score / sum(score) OVER () AS p FROM sc2)\n"
-               f"SELECT id, round(1.0 / (p * {sample_k}), 6) AS w FROM prob "
-               f"ORDER BY -ln({O.u('id', 0, 'logit')}) / score, id LIMIT {sample_k}"))
+            + tail)
 
 
 def sql_fast_leverage_l4():
@@ -619,7 +624,7 @@ def q_boundary_lines_l2(spark, sf):
     betas = spark.createDataFrame(rows, "method STRING, beta ARRAY<DOUBLE>")
     lines = PP.boundary_lines(betas, float(rng["lo"]), float(rng["hi"]), steps=50)
     return PP.filter_values(lines, "method", ["p1", "p2"]).select(
-        "method", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+        "method", F.round("x", 6).alias("x"), F.round("y", 3).alias("y"))
 
 
 def q_pnormal_grid(spark, sf):
@@ -665,12 +670,53 @@ def q_fit_l4(spark, sf):
     return spark.createDataFrame(rows, "j INT, beta DOUBLE").withColumn("beta", F.round("beta", 4))
 
 
+def sql_fit_l4():
+    rows = " UNION ALL ".join(f"SELECT {j} AS j, round(b{j}, 4) AS beta FROM nf" for j in range(5))
+    return f"WITH {O.l4_cte()},\n{O.newton_ctes('nf', 'l4', 5, 2.0, 8)}\n{rows}"
+
+
+def sql_beta_store_o1():
+    rows = " UNION ALL ".join(f"SELECT 'orders' AS dataset, CAST(2.0 AS DOUBLE) AS p, {j} AS j, round(b{j}, 6) AS beta FROM nf" for j in range(2))
+    return f"WITH {O.o1_cte()},\n{O.newton_ctes('nf', 'o1', 2, 2.0, 8)}\n{rows}"
+
+
+def sql_boundary_lines_l2():
+    cte = O.design_cte("l2", "lineitem", O.L4_ID, "l_returnflag = 'R'", [("l_quantity", True), ("l_discount", True)])
+    line = "round(x, 6) AS x, round(-b0 / b1 * x - b2 / b1, 3) AS y"
+    return (f"WITH {cte},\n{O.newton_ctes('na', 'l2', 3, 1.0, 9)},\n{O.newton_ctes('nc', 'l2', 3, 2.0, 8)},\n"
+            "e AS (SELECT min(x0) AS lo, max(x0) AS hi FROM l2),\n"
+            "xs AS (SELECT lo + (hi - lo) * r.i / 49.0 AS x FROM e, range(0, 50) AS r(i))\n"
+            f"SELECT 'p1' AS method, {line} FROM xs, na UNION ALL SELECT 'p2' AS method, {line} FROM xs, nc")
+
+
+def sql_logistic_baseline_l4():
+    n = lambda t: f"sqrt({' + '.join(f'{t}.b{j} * {t}.b{j}' for j in range(5))})"
+    rows = " UNION ALL ".join(f"SELECT {j} AS j, round(nl.b{j} / {n('nl')}, 3) AS logistic, round(np.b{j} / {n('np')}, 3) AS probit_p1 FROM nl, np"
+                              for j in range(5))
+    return f"WITH {O.l4_cte()},\n{O.newton_ctes('nl', 'l4', 5, None, 9)},\n{O.newton_ctes('np', 'l4', 5, 1.0, 9)}\n{rows}"
+
+
 def q_coreset_ratio_l4(spark, sf):
     """D3 + E8 + E13: leverage coreset k = 500, p = 1 fit, ratio on the full data."""
     from .coreset import coreset_ratio
 
     des = T.lineitem_design(spark, sf)
-    return coreset_ratio(des, K_SAMPLE, p=1.0).select("method", "p", "size", "n", "d")
+    return coreset_ratio(des, K_SAMPLE, p=1.0).select(
+        "method", "p", "size", "n", "d", F.round("ratio", 6).alias("ratio"), *[F.round(F.col("beta")[j], 4).alias(f"beta_{j}") for j in range(5)])
+
+
+def sql_coreset_ratio_l4():
+    ch, fin = O.cholesky_inverse_ctes("lc", "lg", 5)
+    score = " + ".join(f"abs({t})" for t in O.q_of_x_sql(5, fin))
+    up = O.round_up_sql("(score + 1.0 / n)")
+    return (f"WITH {O.l4_cte()},\n{O.gram_cte('lg', 'l4', 5)},\n{ch},\nlev AS (SELECT l4.*, {score} AS score FROM l4, {fin}),\n"
+            f"up AS (SELECT * REPLACE ({up} AS score) FROM lev),\ntot AS (SELECT sum(score) AS t FROM up),\n"
+            f"core AS MATERIALIZED (SELECT y, x0, x1, x2, x3, x4, 1.0 / (score / t * {K_SAMPLE}) AS wt FROM up, tot "
+            f"ORDER BY -ln({O.u('id', 0, 'lev')}) / score, id LIMIT {K_SAMPLE}),\n"
+            f"{O.newton_ctes('nb', 'core', 5, 1.0, 10, 'wt')},\n{O.newton_ctes('nf', 'l4', 5, 1.0, 9)},\n"
+            f"{O.loss_of_ctes('lb', 'l4', 'nb', 5, 1.0)},\n{O.loss_of_ctes('lf', 'l4', 'nf', 5, 1.0)}\n"
+            f"SELECT 'leverage' AS method, CAST(1.0 AS DOUBLE) AS p, {K_SAMPLE} AS size, (SELECT count(*) FROM l4) AS n, 5 AS d, "
+            "round(lb.f / lf.f, 6) AS ratio, " + ", ".join(f"round(b{j}, 4) AS beta_{j}" for j in range(5)) + " FROM lb, lf, nb")
 
 
 # ---------------------------------------------------------------- more designs
@@ -695,6 +741,13 @@ def q_leverage_customer(spark, sf):
     return S.leverage_scores(des.df, d=des.d).select("id", F.round("score", 8).alias("score"))
 
 
+def sql_leverage_customer():
+    # the intercept is the sum of the segment columns: without it the span is the same and the Gram has full rank
+    feats = [("c_nationkey", True)] + [(f"CASE WHEN c_mktsegment = '{g}' THEN 1.0 ELSE 0.0 END", False) for g in T.MKT_SEGMENTS]
+    cte = O.design_cte("cu", "customer", "c_custkey", "c_acctbal > 0", feats, intercept=False)
+    return f"WITH {cte},\n{O.leverage_cte('lev', 'cu', 6)}\nSELECT id, round(score, 8) AS score FROM lev"
+
+
 # ---------------------------------------------------------------- streaming
 
 def _ev_stream(spark, sf):
@@ -832,10 +885,10 @@ def q_logistic_baseline_l4(spark, sf):
     des = T.lineitem_design(spark, sf).cache()
     data = des.df.select(array_to_vector("x").alias("features"),
                          F.when(F.col("y") == 1, 1.0).otherwise(0.0).alias("label"))
-    lr = LogisticRegression(regParam=0.0, fitIntercept=False, standardization=False, maxIter=100).fit(data)
+    lr = LogisticRegression(regParam=0.0, fitIntercept=False, standardization=False, maxIter=200, tol=1e-12).fit(data)
     a = np.asarray(lr.coefficients.toArray())
     b = P.fit(des.df, 1.0, des.d, check=False).beta
-    rows = [(j, float(a[j] / np.linalg.norm(a)), float(b[j] / np.linalg.norm(b))) for j in range(des.d)]
+    rows = [(j, round(float(a[j] / np.linalg.norm(a)), 3), round(float(b[j] / np.linalg.norm(b)), 3)) for j in range(des.d)]
     return spark.createDataFrame(rows, "j INT, logistic DOUBLE, probit_p1 DOUBLE")
 
 
@@ -918,6 +971,15 @@ def q_bayes_leverage_l4(spark, sf):
     return _bayes(spark, sf, "leverage").drop("reduction_time_s", "total_time_s")
 
 
+def q_bayes_online_l4(spark, sf):
+    """H10 + F3: online-leverage coresets -> Gibbs posterior draws per (run, size)."""
+    from .sweep import bayes_sweep
+
+    des = T.lineitem_design(spark, sf)
+    out = bayes_sweep(des, "leverage", sizes=[200], runs=[1, 2], num_samples=100, burn_in=50, online=True)
+    return out.drop("reduction_time_s", "total_time_s")
+
+
 def q_posterior_distances_l4(spark, sf):
     """Posterior-mean distance, covariance spectral norm and polynomial MMD
     of each (run, size) posterior against the posterior of the largest coreset."""
@@ -1135,12 +1197,37 @@ def _sweep(spark, sf, method, p=2.0, design="l4", **kw):
 
 def q_sweep_uniform_l4(spark, sf):
     """H1-H3: uniform sweep (sizes 200, 400 x runs 1-3), p = 2."""
-    return _sweep(spark, sf, "uniform").select("run", "size", "ratio")
+    return _sweep(spark, sf, "uniform").select("run", "size", F.round("ratio", 6).alias("ratio"))
+
+
+def sql_sweep_uniform_l4():
+    scored = f"WITH {O.l4_cte()},\nscored AS (SELECT *, 1.0 AS score FROM l4)"
+    return O.sweep_sql(scored, "l4", 5, 2.0, "sweep:uniform", [200, 400], [1, 2, 3], weighted=False)
+
+
+def q_sweep_grid_l4(spark, sf):
+    """H1 + H3: a uniform sweep over a config grid table (sizes 150 and 300, two runs), p = 1."""
+    from .sweep import config_grid, sweep
+
+    des = T.lineitem_design(spark, sf)
+    return sweep(des, "uniform", p=1.0, seed=0, grid=config_grid(spark, 150, 300, 150, 2)).select(
+        "run", "size", F.round("ratio", 6).alias("ratio"))
+
+
+def sql_sweep_grid_l4():
+    scored = f"WITH {O.l4_cte()},\nscored AS (SELECT *, 1.0 AS score FROM l4)"
+    return O.sweep_sql(scored, "l4", 5, 1.0, "sweep:uniform", [150, 300], [1, 2], weighted=False, steps=10)
 
 
 def q_sweep_leverage_l4(spark, sf):
     """H6: leverage sweep (fast sketch scores, augmented, rounded), p = 2."""
-    return _sweep(spark, sf, "leverage").select("run", "size", "ratio")
+    return _sweep(spark, sf, "leverage").select("run", "size", F.round("ratio", 6).alias("ratio"))
+
+
+def sql_sweep_leverage_l4():
+    body = _sql_sketch_scores(False, raw=True)
+    scored = f"{body},\nscored AS (SELECT * REPLACE ({O.round_up_sql('(score + 1.0 / n)')} AS score) FROM raw)"
+    return O.sweep_sql(scored, "l4", 5, 2.0, "sweep:leverage", [200, 400], [1, 2, 3], weighted=True)
 
 
 def q_sweep_leverage_online_l4(spark, sf):
@@ -1150,12 +1237,24 @@ def q_sweep_leverage_online_l4(spark, sf):
 
 def q_sweep_lewis_o1(spark, sf):
     """H4: Lewis sweep (fast), p = 1, on orders."""
-    return _sweep(spark, sf, "lewis", p=1.0, design="o1").select("run", "size", "ratio")
+    return _sweep(spark, sf, "lewis", p=1.0, design="o1").select("run", "size", F.round("ratio", 6).alias("ratio"))
+
+
+def sql_sweep_lewis_o1():
+    body = _sql_lewis_sketched(True)
+    body = body[:body.rindex("\nSELECT")]
+    scored = f"{body},\nscored AS (SELECT o1.*, w20.w + 1.0 / o1.n AS score FROM o1 JOIN w20 USING (id))"
+    return O.sweep_sql(scored, "o1", 2, 1.0, "sweep:lewis", [200, 400], [1, 2, 3], weighted=True, steps=10)
 
 
 def q_sweep_logit_l4(spark, sf):
     """H7: root-leverage sweep, p = 1."""
-    return _sweep(spark, sf, "logit", p=1.0).select("run", "size", "ratio")
+    return _sweep(spark, sf, "logit", p=1.0).select("run", "size", F.round("ratio", 6).alias("ratio"))
+
+
+def sql_sweep_logit_l4():
+    scored = f"{_sql_sketch_scores(True, raw=True)},\nscored AS (SELECT * FROM raw)"
+    return O.sweep_sql(scored, "l4", 5, 1.0, "sweep:logit", [200, 400], [1, 2, 3], weighted=True, steps=10)
 
 
 def q_sweep_sgd_l4(spark, sf):
@@ -1167,7 +1266,7 @@ def q_sweep_sgd_l4(spark, sf):
 
 
 def q_sweep_summary_l4(spark, sf):
-    """H11 + G1/G3/G6/G9-G11: three-method sweep, per (method, size) summary sorted by time."""
+    """H11 + G1/G6/G11: three-method sweep, per (method, size) summary sorted by time."""
     from ..operators import summary as G
     from .sweep import run_methods
 
@@ -1219,6 +1318,23 @@ def sql_files_orders():
             "SELECT run, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM a GROUP BY run")
 
 
+def q_libsvm_orders(spark, sf):
+    """A5: the orders design written as svmlight text (zeros left out) and read back; rows and sums per label."""
+    from ..session import scratch_path
+    from ..sources import files as FS
+
+    des = T.orders_design(spark, sf)
+    path = scratch_path(spark, "svm")
+    FS.write_libsvm(des.df.select("y", "x"), path)
+    back = FS.read_libsvm(spark, path, num_features=des.d)
+    return back.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"),
+                                 F.round(F.sum(F.col("x")[0]), 6).alias("s0"), F.round(F.sum(F.col("x")[1]), 6).alias("s1"))
+
+
+def sql_libsvm_orders():
+    return (f"WITH {O.o1_cte()}\nSELECT y, count(*) AS n, count(*) AS ids, round(sum(x0), 6) AS s0, round(sum(x1), 6) AS s1 FROM o1 GROUP BY y")
+
+
 def q_beta_store_o1(spark, sf):
     """Full-data beta_opt of the orders design (p = 2) stored as (dataset, p, j, beta) rows
     in a parquet folder and read back for that dataset and p."""

@@ -44,9 +44,29 @@ def test_libsvm_source(spark, tmp_path):
     p = tmp_path / "data.svm"
     p.write_text("1 1:0.5 3:2.0\n-1 2:1.5\n1 1:1.0 2:1.0 3:1.0\n")
     df = FL.read_libsvm(spark, str(p), num_features=3)
-    rows = sorted(df.collect(), key=lambda r: r["id"])
-    assert [r["y"] for r in rows] == [1, -1, 1]
-    np.testing.assert_allclose(rows[0]["x"], [0.5, 0.0, 2.0])
+    rows = {tuple(r["x"]): (r["y"], r["id"]) for r in df.collect()}
+    assert {k: v[0] for k, v in rows.items()} == {(0.5, 0.0, 2.0): 1, (0.0, 1.5, 0.0): -1, (1.0, 1.0, 1.0): 1}
+    FL.write_libsvm(df, str(tmp_path / "back"))
+    again = {tuple(r["x"]): (r["y"], r["id"]) for r in FL.read_libsvm(spark, str(tmp_path / "back"), num_features=3).collect()}
+    assert again == rows  # ids come from the rows, not from the file's split
+
+
+def test_lineitem_ids_are_unique(spark):
+    from corelev.sources import tables as T
+
+    for sf in ("sf0.001", "sf0.01"):
+        li = T.table(spark, f"/root/testdata/{sf}", "lineitem")
+        assert li.select(T.lineitem_id().alias("id")).distinct().count() == li.count()
+        des = T.lineitem_design(spark, f"/root/testdata/{sf}")
+        assert des.df.select("id").distinct().count() == des.n
+
+
+def test_only_missing_paths_count_as_empty(spark, tmp_path):
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.parquet").write_text("not parquet")
+    assert FL.max_run(spark, str(tmp_path / "none")) == 0
+    with pytest.raises(Exception):
+        FL.max_run(spark, str(tmp_path / "bad"))
 
 
 def test_example_2d_and_recipes(spark):

@@ -34,7 +34,7 @@ def test_stream_countsketch_equals_batch(spark):
 
 def test_stream_reservoir_and_sgd(spark, tmp_path):
     rows = ST.events_vectors(ST.event_stream(spark, SF)).withColumn("wt", F.lit(1.0))
-    res = ST.run_to_table(ST.reservoir_stream(rows, 3, "wt"), "t3", mode="update").collect()
+    res = ST.run_to_table(ST.reservoir_stream(rows, 3, "wt"), "t3", mode="update", keys=["key", "slot"]).collect()
     per = {}
     for r in res:
         per.setdefault(r["key"], set()).add(r["id"])
@@ -43,3 +43,69 @@ def test_stream_reservoir_and_sgd(spark, tmp_path):
     b = sgd.run(ST.events_vectors(ST.event_stream(spark, SF)))
     assert np.all(np.isfinite(b))
     assert spark.read.parquet(str(tmp_path / "sgd")).count() >= 1
+
+
+def _batches(spark, tmp_path, files):
+    """One parquet file a batch: rows (event_id, user_id, event_type, value, ts)."""
+    import os
+    import time
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k, rows in enumerate(files):
+        df = spark.createDataFrame(rows, "event_id BIGINT, user_id BIGINT, event_type STRING, value DOUBLE, ts STRING")
+        df.withColumn("ts", F.col("ts").cast("timestamp")).toPandas().to_parquet(folder / f"events_{k}.parquet", coerce_timestamps="us")
+        os.utime(folder / f"events_{k}.parquet", (time.time() - 100 + k, time.time() - 100 + k))
+    return str(folder)
+
+
+def _three(spark, tmp_path):
+    days = ["2024-02-01", "2024-03-01", "2024-03-02"]
+    files = [[(100 * b + i, i % 2, "error" if i % 3 else "view", 0.0 if i % 4 == 0 else float(i), f"{d} 0{i}:00:00") for i in range(8)]
+             for b, d in enumerate(days)]
+    return files
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    files = _three(spark, tmp_path)
+    files[2].append((999, 0, "view", 5.0, "2024-01-15 00:00:00"))
+    rows = ST.events_vectors(ST.event_stream(spark, _batches(spark, tmp_path, files), max_files=1))
+    got = {r["id"] for r in ST.run_to_table(ST.online_leverage_stream(rows, 2), "late").collect()}
+    assert got == {r[0] for f in files for r in f} - {999}
+    res = ST.run_to_table(ST.reservoir_stream(rows.withColumn("wt", F.lit(1.0)), 50, "wt"), "late2", mode="update", keys=["key", "slot"])
+    assert {r["id"] for r in res.collect()} == got
+
+
+def test_stream_reservoir_over_three_batches_equals_batch(spark, tmp_path):
+    from corelev.operators import sampling as SM
+
+    files = _three(spark, tmp_path)
+    rows = ST.events_vectors(ST.event_stream(spark, _batches(spark, tmp_path, files), max_files=1)).withColumn("wt", F.col("x")[0])
+    out = ST.run_to_table(ST.reservoir_stream(rows, 3, "wt", columns=("id", "y", "wt")), "s2b", mode="update", keys=["key", "slot"])
+    got = out.collect()
+    assert len(got) == 6 and {c: t for c, t in out.dtypes}["wt"] == "double"  # 2 keys x 3 slots
+    batch = spark.createDataFrame([(r[0], r[0], r[1], r[3]) for f in files for r in f], "id BIGINT, ord BIGINT, key BIGINT, wt DOUBLE")
+    want = {(r["key"], r["id"]) for r in SM.reservoir_sample(batch, 3, weight="wt", key="key").collect()}
+    assert {(r["key"], r["id"]) for r in got} == want
+
+
+def test_sgd_restart_and_replay(spark, tmp_path):
+    files = _three(spark, tmp_path)
+    folder, state = _batches(spark, tmp_path, files), str(tmp_path / "state")
+    rows = lambda: ST.events_vectors(ST.event_stream(spark, folder, max_files=1))
+    first = ST.StreamingSGD(2, state_path=state)
+    beta = first.run(rows())
+    assert first.t == 3
+    again = ST.StreamingSGD(2, state_path=state)
+    np.testing.assert_allclose(again.run(rows()), beta)  # no new data: nothing applied again
+    assert again.t == 3 and spark.read.parquet(state).count() == 3
+    again.process(spark.createDataFrame([([1.0, 1.0], 1, 1.0)], "x ARRAY<DOUBLE>, y INT, w DOUBLE"), 2)  # a replayed batch
+    np.testing.assert_allclose(again.beta, beta)
+
+
+def test_table_restart_takes_only_new_files(spark, tmp_path):
+    files = _three(spark, tmp_path)
+    folder, path = _batches(spark, tmp_path, files[:2]), str(tmp_path / "out")
+    rows = lambda: ST.events_vectors(ST.event_stream(spark, folder, max_files=1))
+    assert ST.run_to_table(ST.online_leverage_stream(rows(), 2), "r", path=path).count() == 16
+    assert ST.run_to_table(ST.online_leverage_stream(rows(), 2), "r", path=path).count() == 16

@@ -93,3 +93,26 @@ def test_summaries_large_group_path(spark, monkeypatch):
             assert sel[k][c] == pytest.approx(exact[k][c], rel=1e-12, abs=1e-12)
         for c in five[k]:
             assert five_sel[k][c] == pytest.approx(five[k][c], rel=1e-12, abs=1e-12)
+
+
+def test_size_search_returns_every_run(spark, iris):
+    des = _iris_design(spark, iris)
+    rows = SW.size_search(des, [1.0, 2.0], runs=[1, 2], lo=10, hi=140).collect()
+    assert sorted((r["p"], r["run"]) for r in rows) == [(1.0, 1), (1.0, 2), (2.0, 1), (2.0, 2)]
+    assert all(10 <= r["k"] <= 140 for r in rows)
+    none = SW.size_search(des, 2.0, runs=[1], lo=20, hi=10).collect()
+    assert [(r["run"], r["k"]) for r in none] == [(1, None)]
+
+
+def test_size_search_same_result_beyond_the_task_limit(spark, iris, monkeypatch):
+    des = _iris_design(spark, iris)
+    a = SW.size_search(des, 2.0, runs=[1], lo=60, hi=140).collect()[0]
+    monkeypatch.setattr(SW, "TASK_FIT_LIMIT", 5)
+    b = SW.size_search(des, 2.0, runs=[1], lo=60, hi=140).collect()[0]
+    assert a["k"] == b["k"] and abs(a["eps"] - b["eps"]) < 1e-6
+
+
+def test_sweep_by_grid(spark, iris):
+    des = _iris_design(spark, iris)
+    got = SW.sweep(des, "uniform", grid=SW.config_grid(spark, 50, 100, 50, 2)).collect()
+    assert sorted((r["run"], r["size"]) for r in got) == [(1, 50), (1, 100), (2, 50), (2, 100)]
