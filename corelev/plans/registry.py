@@ -828,6 +828,20 @@ def q_reservoir_ev(spark, sf):
     return SM.reservoir_sample(sc, 5, weight="score", key="user_id", d=des.d).select("user_id", "id", "y")
 
 
+def sql_reservoir_ev():
+    body = sql_online_leverage_ev()
+    body = body[:body.rindex("\nSELECT")]
+    score = "greatest(0.0, least(1.0, CASE WHEN det > 1e-9 * (c * s2 + c) THEN num / det ELSE 1.0 / c END))"
+    return (f"{body},\nsc AS (SELECT id, {score} AS w FROM t),\n"
+            "r AS (SELECT e.user_id, sc.id, ev.y, w, row_number() OVER o - 1 AS r, sum(w) OVER o AS sw,\n"
+            f"  {O.u('sc.id', 0, 'res1')} AS u1, {O.u('sc.id', 0, 'res2')} AS u2\n"
+            "  FROM sc JOIN ev ON ev.id = sc.id JOIN events e ON e.event_id = sc.id\n"
+            "  WINDOW o AS (PARTITION BY e.user_id ORDER BY sc.id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),\n"
+            "wr AS (SELECT *, CASE WHEN r < 5 THEN r ELSE CAST(floor(u2 * 5) AS BIGINT) % 5 END AS slot\n"
+            "  FROM r WHERE r < 5 OR (sw > 0 AND u1 < 5 * w / sw))\n"
+            "SELECT user_id, id, y FROM (SELECT *, row_number() OVER (PARTITION BY user_id, slot ORDER BY id DESC) AS q FROM wr) WHERE q = 1")
+
+
 def q_reservoir_value_ev(spark, sf):
     """Chao weighted reservoir per user (k = 5) in (ts, event_id) order, weight = value."""
     ev = T.table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("ord"),
@@ -878,15 +892,16 @@ def q_sgd_epoch_l4(spark, sf):
 
 
 def q_logistic_baseline_l4(spark, sf):
-    """Unpenalised logistic regression without intercept term vs p = 1 probit, normalised coefficients."""
+    """Unpenalised logistic regression on the design's columns vs p = 1 probit, normalised coefficients."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
     des = T.lineitem_design(spark, sf).cache()
-    data = des.df.select(array_to_vector("x").alias("features"),
+    # MLlib sets the coefficient of a constant column to 0, so the design's last column is its intercept instead
+    data = des.df.select(array_to_vector(F.slice("x", 1, des.d - 1)).alias("features"),
                          F.when(F.col("y") == 1, 1.0).otherwise(0.0).alias("label"))
-    lr = LogisticRegression(regParam=0.0, fitIntercept=False, standardization=False, maxIter=200, tol=1e-12).fit(data)
-    a = np.asarray(lr.coefficients.toArray())
+    lr = LogisticRegression(regParam=0.0, fitIntercept=True, standardization=False, maxIter=200, tol=1e-12).fit(data)
+    a = np.append(lr.coefficients.toArray(), lr.intercept)
     b = P.fit(des.df, 1.0, des.d, check=False).beta
     rows = [(j, round(float(a[j] / np.linalg.norm(a)), 3), round(float(b[j] / np.linalg.norm(b)), 3)) for j in range(des.d)]
     return spark.createDataFrame(rows, "j INT, logistic DOUBLE, probit_p1 DOUBLE")
