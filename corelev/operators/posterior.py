@@ -162,7 +162,9 @@ def posterior_draws(df: DataFrame, group_cols, d: int, prior_mean=None, prior_co
     """F3 fan-out: one chain per (group, chain) inside one task each.
 
     Rows: group cols, [size], chain, draw, beta ARRAY<DOUBLE>. With ``sizes`` the group holds
-    ranked coreset rows and one posterior is drawn per size on ``rank <= size``.
+    ranked coreset rows and one posterior is drawn per size on ``rank <= size``; a size above
+    the group's rows gives one row with a null draw and beta. A chain needs its group's rows in
+    one task: ``max_group_rows`` states how many that may be.
     """
     import pandas as pd
 
@@ -186,7 +188,9 @@ def posterior_draws(df: DataFrame, group_cols, d: int, prior_mean=None, prior_co
         gseed = zlib.crc32(":".join(str(v) for v in key.values()).encode()) % (2 ** 31)
         frames = []
         for s in (size_list or [None]):
-            if s is not None and s > len(y):
+            if s is not None and s > len(y):  # the group is smaller than this size: one row without a draw
+                frames.append(pd.DataFrame({**{c: [key[c]] for c in gcols}, "size": [np.int32(s)], "chain": [np.int32(ch)],
+                                            "draw": pd.array([None], dtype="Int32"), "beta": [None]}))
                 continue
             m = len(y) if s is None else s
             draws = gibbs_chain(X[:m], y[:m], prior_mean, prior_cov, num_samples, burn_in,

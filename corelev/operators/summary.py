@@ -36,8 +36,8 @@ def select_quantile(df: DataFrame, group_cols, value, q: float, out: str = "_q",
     (value, count) pairs inside it, so ties collapse (about 2 margin n / accuracy
     pairs per group). A running count over the pairs picks both order statistics.
     Groups whose bracket missed (not expected) are redone with a wider margin; the
-    last margin (None) brackets [min, max]. One row per group is broadcast, and
-    only up to MAX_BRACKET_GROUPS groups.
+    last margin (None) brackets [min, max]. One row per group is broadcast up to
+    MAX_BRACKET_GROUPS groups, and joined by a shuffle beyond.
     """
     g = list(group_cols)
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
@@ -45,9 +45,6 @@ def select_quantile(df: DataFrame, group_cols, value, q: float, out: str = "_q",
     if q <= 0.0 or q >= 1.0:
         agg = F.min("_v") if q <= 0.0 else F.max("_v")
         return base.groupBy(*g).agg(agg.alias(out))
-    ngroups = base.select(*g).distinct().count()
-    if ngroups > MAX_BRACKET_GROUPS:
-        raise ValueError(f"{ngroups} groups: too many brackets to broadcast")
     done = None
     for m in margins:
         if m is None:
@@ -61,7 +58,7 @@ def select_quantile(df: DataFrame, group_cols, value, q: float, out: str = "_q",
         nst = st.count()
         if nst == 0:
             break
-        j = todo.join(F.broadcast(st), g)
+        j = todo.join(F.broadcast(st) if nst <= MAX_BRACKET_GROUPS else st, g)
         below = F.col("_v") < F.col("_lo")
         inside = (~below) & (F.col("_v") <= F.col("_hi"))
         pairs = (j.filter(below | inside)
@@ -160,7 +157,8 @@ def draws_per_second(df: DataFrame, burn_in: int, draws: int, run: str = "run")
     per_run = df.groupBy(run).agg(F.percentile(F.col("total_time_s") - F.col("reduction_time_s"), 0.5)
                                   .alias("_t"))
     per_run = per_run.withColumn("draws_per_s", F.lit(float(burn_in + draws)) / F.col("_t"))
-    return per_run.agg(F.percentile("draws_per_s", 0.5).alias("median_draws_per_s"))
+    one = quantile_stats(per_run.withColumn("_all", F.lit(0)), ["_all"], [("median_draws_per_s", "draws_per_s", 0.5)])
+    return one.select("median_draws_per_s")
 
 
 def smallest_size_in_band(df: DataFrame, lo: float = 0.05, hi: float = 0.1, group: str = "p",
