@@ -1037,6 +1037,26 @@ def q_bayes_summary_l4(spark, sf):
     return summ.join(med, "size").withColumn("_k", F.lit(0)).join(rate.withColumn("_k", F.lit(0)), "_k").drop("_k")
 
 
+def q_kernels_ev(spark, sf):
+    """Gaussian and polynomial kernel between each user's consecutive events (value, minute)."""
+    from pyspark.sql import Window
+
+    from ..operators import distance as D
+
+    ev = T.table(spark, sf, "events").select("event_id", "user_id", _ev_vec().alias("x"))
+    before = F.lag("x").over(Window.partitionBy("user_id").orderBy("event_id"))
+    both = ev.withColumn("b", before).where(F.col("b").isNotNull())
+    return both.select("event_id", F.round(D.gaussian_kernel(F.col("x"), F.col("b")), 8).alias("gaussian"),
+                       F.round(D.polynomial_kernel(F.col("x"), F.col("b")), 8).alias("polynomial"))
+
+
+def sql_kernels_ev():
+    return ("WITH e AS (SELECT event_id, value / 100.0 AS a, minute(ts) / 60.0 AS m, lag(value / 100.0) OVER w AS pa, lag(minute(ts) / 60.0) OVER w AS pm\n"
+            "FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))\n"
+            "SELECT event_id, round(exp(-0.5 * (power(a - pa, 2) + power(m - pm, 2))), 8) AS gaussian,\n"
+            "round(power(1 + a * pa + m * pm, 2), 8) AS polynomial FROM e WHERE pa IS NOT NULL")
+
+
 def q_mmd_poly_ev(spark, sf):
     """polynomial-kernel MMD between click and view event vectors (exact, via moments)."""
     from ..operators import distance as D
@@ -1167,6 +1187,23 @@ def sql_summary_lineitem():
             "round((q75 - median_ratio) * 0.7413 + median_ratio, 8) AS band_hi FROM s JOIN mad ON s.size = mad.size")
 
 
+def q_result_sizes(spark, sf):
+    """Result tables with different columns put together by name; their distinct sizes with row counts."""
+    from ..operators import summary as G
+
+    li = T.table(spark, sf, "lineitem").select(F.col("l_linenumber").cast("long").alias("size"), F.col("l_discount").alias("ratio"))
+    od = T.table(spark, sf, "orders").select(F.substring("o_orderpriority", 1, 1).cast("long").alias("size"), F.lit("orders").alias("method"))
+    both = G.union_all([li, od])
+    sizes = G.distinct_values(both, "size")
+    return sizes.join(both.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.count("ratio").alias("n_ratio"), F.count("method").alias("n_method")), "size")
+
+
+def sql_result_sizes():
+    return ("WITH b AS (SELECT CAST(l_linenumber AS BIGINT) AS size, l_discount AS ratio, NULL AS method FROM lineitem UNION ALL\n"
+            "SELECT CAST(substr(o_orderpriority, 1, 1) AS BIGINT), NULL, 'orders' FROM orders)\n"
+            "SELECT size, count(*) AS n, count(ratio) AS n_ratio, count(method) AS n_method FROM b GROUP BY size")
+
+
 def q_five_number_orders(spark, sf):
     """Box summary (min, q25, median, q75, max) of total price per order status."""
     from ..operators import summary as G
@@ -1234,6 +1271,21 @@ def sql_sweep_grid_l4():
     return O.sweep_sql(scored, "l4", 5, 1.0, "sweep:uniform", [150, 300], [1, 2], weighted=False, steps=10)
 
 
+def abs_price_score(design):
+    """A sampler hook: rows far from the mean price are drawn more often."""
+    return design.df.withColumn("score", F.abs(F.col("x")[0]) + F.lit(1.0))
+
+
+def q_sweep_hook_o1(spark, sf):
+    """G12 + H2: a sweep with a user's score function on orders, p = 2."""
+    return _sweep(spark, sf, abs_price_score, design="o1").select("run", "size", F.round("ratio", 6).alias("ratio"))
+
+
+def sql_sweep_hook_o1():
+    scored = f"WITH {O.o1_cte()},\nscored AS (SELECT *, abs(x0) + 1.0 AS score FROM o1)"
+    return O.sweep_sql(scored, "o1", 2, 2.0, "sweep:abs_price_score", [200, 400], [1, 2, 3], weighted=True)
+
+
 def q_sweep_leverage_l4(spark, sf):
     """H6: leverage sweep (fast sketch scores, augmented, rounded), p = 2."""
     return _sweep(spark, sf, "leverage").select("run", "size", F.round("ratio", 6).alias("ratio"))
