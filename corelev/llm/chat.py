@@ -155,3 +155,16 @@ def op6_chat_formatting(spark, sf_dir: str) -> DataFrame:
                                 "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     return read_back(format_turns(turns))
+
+
+_ESCAPED = "replace(replace(replace(replace({}, '\\', '\\\\'), '<', '\\<'), '[', '\\['), ']', '\\]')"
+ORACLE = f"""
+WITH t AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL
+  SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')) v(conv_id, turn, role, text)),
+c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM t)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum({len(OPEN) + len(MID) + len(CLOSE)} + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")}))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""

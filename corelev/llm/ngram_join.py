@@ -154,7 +154,7 @@ def _shared(parts: DataFrame) -> DataFrame:
 
 
 def _postings(shared: DataFrame, percent: int) -> DataFrame:
-    """Prefix lists: key, node (set), n (its size), pos (the shingle's rank in it: rarest first, shingles of one set before all others)."""
+    """Prefix lists: key, node (set), n (its size), m (its shingles that several sets hold), pos (the shingle's rank in it: rarest first, shingles of one set before all others)."""
 
     def one(rows):
         meta = next(r for r in rows if r["bucket"] < 0)
@@ -182,7 +182,7 @@ def _postings(shared: DataFrame, percent: int) -> DataFrame:
         rank = np.arange(len(doc)) - np.repeat(np.cumsum(shared_n) - shared_n, shared_n) + np.repeat(np.maximum(n - shared_n, 0), shared_n)
         keep = rank < (n - -(-percent * n // 100) + 1)[doc]
         d = doc[keep]
-        return pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(nodes[d]), pa.array(n[d]), pa.array(rank[keep])], ["key", "node", "n", "pos"])
+        return pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(nodes[d]), pa.array(n[d]), pa.array(shared_n[d]), pa.array(rank[keep])], ["key", "node", "n", "m", "pos"])
 
     def run(batches):
         block, rows = None, []
@@ -196,7 +196,7 @@ def _postings(shared: DataFrame, percent: int) -> DataFrame:
         if rows:
             yield one(rows)
 
-    return shared.mapInArrow(run, "key long, node long, n long, pos long").dropDuplicates(["key", "node"])
+    return shared.mapInArrow(run, "key long, node long, n long, m long, pos long").dropDuplicates(["key", "node"])
 
 
 def connected(links: DataFrame, name: str = "cc") -> DataFrame:
@@ -213,8 +213,11 @@ def connected(links: DataFrame, name: str = "cc") -> DataFrame:
             return lab
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b, na, nb) with their overlap."""
+def _verified(pairs: DataFrame, sets: DataFrame, small: int = 400_000) -> DataFrame:
+    """Pairs (a, b, na, nb) with their overlap. Only sets that stand in a pair are moved: up to ``small`` names of
+    them are broadcast to find these, more are joined."""
+    names = written(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().toDF("node"), "names")
+    sets = sets.join(F.broadcast(names) if names.count() <= small else names, "node", "left_semi").select("node", "tokens")
     both = (pairs.join(sets.toDF("a", "_ta"), "a").join(sets.toDF("b", "_tb"), "b").select("a", "b", "na", "nb", "_ta", "_tb"))
 
     def run(batches):
@@ -232,14 +235,15 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _links(post: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Components (node, comp) of the sets in the prefix lists.
 
-    In each round some sets of each list lead (1, then 2, 4, ...; those first whose lists hold most)
+    In each round some sets of each list lead (1, then 4, 16, ...; those first whose lists hold most)
     and are held against the list's other sets that aren't in their component yet; so when a list is
     through, each two of its sets are linked through others or have been compared. Skipped are
       * blocks of sets whose size can't fit (lists are keyed by shingle and size block),
       * entries whose positions in the two sets leave too little room for the overlap,
       * pairs whose answer follows from those of a set that both have been compared with: with the
         overlaps o(p, x) and o(p, y) known, o(x, y) is at least o(p, x) + o(p, y) - |p| and at most
-        min(o(p, x), o(p, y)) + min(|x| - o(p, x), |y| - o(p, y)).
+        min(o(p, x), o(p, y)) + min(m(x) - o(p, x), m(y) - o(p, y)), where m counts a set's shingles
+        that other sets hold too.
     The others are compared on their whole sets. A set's ``p`` is the leader of its first round that
     it shares most with, so all near copies of a text have the same one.
     """
@@ -259,12 +263,12 @@ def _links(post: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             return comps
         order = Window.partitionBy("key").orderBy(F.desc("wt"), "node")
         front = cur.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= done + lead).where(F.col("rn") > done)
-        side = ["node", "n", "pos", "comp", "p", "pn", "po"]
+        side = ["node", "n", "m", "pos", "comp", "p", "pn", "po"]
         front = front.select("key", *[F.col(c).alias(f"l_{c}") for c in side], F.explode(F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1)).alias("s"))
         room = 2 + F.least("l_pos", "pos") + F.least(F.col("l_n") - F.col("l_pos"), F.col("n") - F.col("pos"))
         need = t * (F.col("n") + F.col("l_n"))
         shared = F.coalesce(F.col("p") == F.col("l_p"), F.lit(False))
-        most = F.least("po", "l_po") + F.least(F.col("n") - F.col("po"), F.col("l_n") - F.col("l_po"))
+        most = F.least("po", "l_po") + F.greatest(F.lit(0), F.least(F.col("m") - F.col("po"), F.col("l_m") - F.col("l_po")))
         sure = shared & (u * (F.col("po") + F.col("l_po") - F.col("pn")) >= need)
         fit = ((F.col("comp") != F.col("l_comp")) & (100 * F.least("n", "l_n") >= t * F.greatest("n", "l_n")) & (u * room >= need)
                & (~shared | (u * most >= need)))
@@ -288,7 +292,7 @@ def _links(post: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         merged = written(merged, "edges")
         if merged.limit(1).count():
             comps = written(comps.join(connected(merged).toDF("comp", "root"), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "comp")
-        done, lead = done + lead, lead * 2
+        done, lead = done + lead, lead * 4
 
 
 def set_components(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 12 << 20, small: int = 400_000) -> DataFrame:
@@ -355,3 +359,18 @@ def set_components(docs: DataFrame, percent: int = 75, width: int = 5, id_col: s
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:
     """All ``documents``: shingle set sizes and components of links at 0.75."""
     return set_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
+n AS (SELECT doc_id, len(sh) AS n FROM s),
+e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
+l2 AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c AS (SELECT doc_id AS d, doc_id AS root FROM n UNION SELECT c.d, l2.b FROM c JOIN l2 ON c.root = l2.a)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(c.root) AS component_id FROM n JOIN c ON c.d = n.doc_id GROUP BY ALL
+"""

@@ -16,5 +16,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_ngram_join": ngram_join.ORACLE,
+    "op5_decontamination": decontam.ORACLE,
+    "op6_chat_formatting": chat.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }
