@@ -129,11 +129,11 @@ def _shared(parts: DataFrame) -> DataFrame:
         keep = np.flatnonzero(df > 1)
         keep = keep[np.argsort(at[keep], kind="stable")]
         edge = np.searchsorted(at[keep], np.arange(len(rows) + 1))
-        key = (np.uint64(bucket) << np.uint64(40)) | tok.astype(np.uint64)
+        level = np.minimum(df, 255).astype(np.uint8)  # orders the shingles; ties go by key
         for r in range(len(rows)):
             i = keep[edge[r]: edge[r + 1]]
             if len(i):
-                yield _row(bucket, int(blocks[r]), None, None, key[i].tobytes(), doc[i].tobytes(), df[i].astype(np.int64).tobytes(), b"")
+                yield _row(bucket, int(blocks[r]), None, None, _short(tok[i]), doc[i].tobytes(), level[i].tobytes(), b"")
 
     def run(batches):
         bucket, rows = None, []
@@ -160,9 +160,9 @@ def _postings(shared: DataFrame, percent: int) -> DataFrame:
         meta = next(r for r in rows if r["bucket"] < 0)
         nodes, n = np.frombuffer(meta["x0"], np.int64), np.frombuffer(meta["x1"], np.int32).astype(np.int64)
         got = [r for r in rows if r["bucket"] >= 0]
-        key = np.concatenate([np.frombuffer(r["x0"], np.uint64) for r in got]) if got else np.zeros(0, np.uint64)
+        key = np.concatenate([_long(r["x0"]) | np.uint64(r["bucket"] << 40) for r in got]) if got else np.zeros(0, np.uint64)
         doc = np.concatenate([np.frombuffer(r["x1"], np.uint16) for r in got]) if got else np.zeros(0, np.uint16)
-        df = np.concatenate([np.frombuffer(r["x2"], np.int64) for r in got]) if got else np.zeros(0, np.int64)
+        df = np.concatenate([np.frombuffer(r["x2"], np.uint8) for r in got]) if got else np.zeros(0, np.uint8)
         hot_tok, hot_doc = np.frombuffer(meta["x2"], np.uint64), np.frombuffer(meta["x3"], np.uint16)
         if len(hot_tok):  # spread the block's hot shingles over its documents
             spread = np.flatnonzero(doc == _NONE)
@@ -200,17 +200,31 @@ def _postings(shared: DataFrame, percent: int) -> DataFrame:
 
 
 def connected(links: DataFrame, name: str = "cc") -> DataFrame:
-    """(node, root): the least node that links (a, b) reach, for nodes with links. Minimum label with pointer jumps, each round written."""
-    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), name)
-    lab = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")), name)
-    while True:
-        near = (both.join(lab.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("_near")))
-        step = lab.join(near, "node").select("node", F.col("root").alias("_was"), F.least("root", "_near").alias("_now"))
-        jump = lab.select(F.col("node").alias("_now"), F.col("root").alias("_far"))
-        new = written(step.join(jump, "_now", "left").select("node", "_was", F.least("_now", F.coalesce("_far", "_now")).alias("root")), name)
-        lab = new.select("node", "root")
-        if not new.where("root <> _was").limit(1).count():
-            return lab
+    """(node, root): the least node that links (a, b) reach, for nodes with links.
+
+    Each round every node points to its least neighbour, pointers are followed twice, and the links
+    are drawn anew between what they point to; links within one are done. So each round's links are
+    at most the last one's, and usually far fewer. Rounds are written.
+    """
+    edges = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), name)
+    lab = None
+    while edges.limit(1).count():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        to = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to"))
+        to = written(to, name)
+        for _ in range(2):
+            to = to.join(to.select(F.col("node").alias("to"), F.col("to").alias("far")), "to", "left").select("node", F.coalesce("far", "to").alias("to"))
+        to = written(to, name)
+        if lab is None:
+            lab = to.select("node", F.col("to").alias("root"))
+        else:
+            lab = lab.join(to.toDF("root", "far"), "root", "left").select("node", F.coalesce("far", "root").alias("root"))
+        lab = written(lab, name)
+        x = edges.join(to.toDF("a", "ta"), "a").join(to.toDF("b", "tb"), "b").where("ta <> tb")
+        edges = written(x.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), name)
+    if lab is None:
+        return links.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
+    return lab
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, small: int = 400_000) -> DataFrame:
@@ -239,7 +253,8 @@ def _links(post: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     and are held against the list's other sets that aren't in their component yet; so when a list is
     through, each two of its sets are linked through others or have been compared. Skipped are
       * blocks of sets whose size can't fit (lists are keyed by shingle and size block),
-      * entries whose positions in the two sets leave too little room for the overlap,
+      * entries whose positions in the two sets leave too little room for the overlap, and sets with
+        too few shingles that other sets hold,
       * pairs whose answer follows from those of a set that both have been compared with: with the
         overlaps o(p, x) and o(p, y) known, o(x, y) is at least o(p, x) + o(p, y) - |p| and at most
         min(o(p, x), o(p, y)) + min(m(x) - o(p, x), m(y) - o(p, y)), where m counts a set's shingles
@@ -270,7 +285,7 @@ def _links(post: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         shared = F.coalesce(F.col("p") == F.col("l_p"), F.lit(False))
         most = F.least("po", "l_po") + F.greatest(F.lit(0), F.least(F.col("m") - F.col("po"), F.col("l_m") - F.col("l_po")))
         sure = shared & (u * (F.col("po") + F.col("l_po") - F.col("pn")) >= need)
-        fit = ((F.col("comp") != F.col("l_comp")) & (100 * F.least("n", "l_n") >= t * F.greatest("n", "l_n")) & (u * room >= need)
+        fit = ((F.col("comp") != F.col("l_comp")) & (100 * F.least("n", "l_n") >= t * F.greatest("n", "l_n")) & (u * room >= need) & (u * F.least("m", "l_m") >= need)
                & (~shared | (u * most >= need)))
         swap = F.col("node") < F.col("l_node")
         pairs = (cur.join(front, ["key", "s"]).where(fit)

@@ -79,3 +79,21 @@ def test_chains_and_a_large_group(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(J.set_components(docs)) == brute(rows)
     assert got(J.set_components(docs, percent=90)) == brute(rows, 90)
+
+
+def test_connected_components(spark):
+    r = random.Random(3)
+    links = [(i, i + 1) for i in range(0, 60)] + [(200, 150), (150, 300), (7, 400), (500, 500)] + [(r.randrange(600, 900), r.randrange(600, 900)) for _ in range(120)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = {x["node"]: x["root"] for x in J.connected(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {n: find(n) for n in root if any(n in (a, b) and a != b for a, b in links)}
