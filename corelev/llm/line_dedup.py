@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corelev.llm.common import table, written
+
 BLANKS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -44,6 +46,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     lines = (rows.select("_id", "_row", F.posexplode("_lines").alias("_pos", "_line"))
              .where(F.length(key) >= min_chars)
              .select("_id", "_row", "_pos", F.unhex(F.md5(key)).alias("_key")))
+    lines = written(lines, "line_keys")  # read twice; the keys cost more than the table
     often = (lines.select("_key", "_id").distinct().groupBy("_key")
              .agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_last"))
              .where(F.col("_n") >= min_docs).select("_key", "_last"))
@@ -77,7 +80,5 @@ FROM f GROUP BY doc_id
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Line de-duplication over all ``documents``: line counts and the digest of the kept text."""
-    from corelev.llm.common import table
-
     out = line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
