@@ -87,37 +87,100 @@ class Pieces:
     """
 
     SAFE = re.compile(r"(?<=\S) (?=\S)")
-    DOUBT = re.compile(r"\s |\s\Z| \s|\A ")
+    WHOLE = re.compile(r"'|\s\s")
+    UNITS = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+|\s+")
 
-    def __init__(self, tokenizer: str, width: int, most: int = 300_000):
+    def __init__(self, tokenizer: str, width: int, most: int = 900_000):
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(public_tokenizers.path(tokenizer))
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.kind, self.most = f"<u{width}", most
+        self.kind, self.width, self.most = f"<u{width}", width, most
         self.heads, self.tails = {}, {}  # without and with the space before
+        self.line = self.tok.encode("\n", add_special_tokens=False).ids
 
-    def _learn(self, known: dict, words: set, before: str):
-        new = [w for w in words if w not in known]
+    def _ids(self, texts: list[str]) -> list[bytes]:
         many = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
-        for w, e in zip(new, many([before + w for w in new], add_special_tokens=False)):
-            known[w] = np.asarray(e.ids, self.kind).tobytes()
+        return [np.asarray(e.ids, self.kind).tobytes() for e in many(texts, add_special_tokens=False)]
+
+    def _units(self, known: dict, units, before: str):
+        """Encode units (no blanks in them) many to a string, a line end after each: that is a token of its own
+        there and in no unit, so the ids are cut at it."""
+        new = [u for u in units if u not in known]
+        if len(self.line) != 1:
+            known.update(zip(new, self._ids([before + u for u in new])))
+            return
+        many = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
+        for a in range(0, len(new), 16_384):
+            part = new[a: a + 16_384]
+            got = many(["".join(f"{before}{u}\n" for u in part[i: i + 64]) for i in range(0, len(part), 64)], add_special_tokens=False)
+            ids = np.array([x for e in got for x in e.ids], self.kind)
+            ends = np.flatnonzero(ids == self.line[0])
+            assert len(ends) == len(part)
+            data, at = ids.tobytes(), (ends * self.width).tolist()
+            known.update((u, data[i:j]) for u, i, j in zip(part, [0, *(e + self.width for e in at)], at))
+
+    def _learn(self, new: set):
+        """Ids of pieces after a space. A piece falls into runs of letters and digits, of other marks, and single
+        blanks, which the pre-tokenizer parts too (but for apostrophes and runs of blanks, which stay whole)."""
+        parts, first, later, whole = {}, set(), set(), []
+        for w in new:
+            if w.isalnum():
+                first.add(w)
+                continue
+            if self.WHOLE.search(w):
+                whole.append(w)
+                continue
+            u = self.UNITS.findall(w)
+            first.add(u[0])
+            later.update(u[1:])
+            parts[w] = u
+        blanks = {u for u in later if u.isspace()}  # few: one character each
+        self._units(self.tails, first, " ")
+        self._units(self.heads, later - blanks, "")
+        odd = [u for u in blanks if u not in self.heads]
+        self.heads.update(zip(odd, self._ids(odd)))
+        self.tails.update(zip(whole, self._ids([" " + w for w in whole])))
+        tails, heads = self.tails, self.heads
+        for w, u in parts.items():
+            tails[w] = tails[u[0]] + b"".join([heads[x] for x in u[1:]])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        for known in (self.heads, self.tails):
-            if len(known) > self.most:
-                known.clear()
-        cut = [self.SAFE.split(t) if self.DOUBT.search(t) else t.split(" ") for t in texts]
-        self._learn(self.heads, {c[0] for c in cut}, "")
+        cut = [t.split(" ") for t in texts]
         words: set = set()
         for c in cut:
             words.update(c[1:])
-        self._learn(self.tails, words, " ")
+        new = words.difference(self.tails)
+        odd = {w for w in new if w.strip() != w or not w}
+        first = [c[0] for c in cut]
+        redo = [i for i, c in enumerate(cut) if not first[i] or first[i][-1].isspace() or odd and not odd.isdisjoint(c[1:])]
+        for i in redo:  # blanks beside a space: cut only where that is safe
+            cut[i] = self.SAFE.split(texts[i])
+        if redo:
+            words = {w for c in cut for w in c[1:]}
+            new = words.difference(self.tails)
+        if len(self.tails) > self.most:
+            self.tails = {w: self.tails[w] for w in words if w in self.tails}
+        if len(self.heads) > self.most // 4:
+            self.heads.clear()
+        self._learn(new)
+        heads_new = list({c[0] for c in cut}.difference(self.heads))
+        self.heads.update(zip(heads_new, self._ids(heads_new)))
         get = self.tails.__getitem__
         return [self.heads[c[0]] + b"".join(map(get, c[1:])) for c in cut]
 
 
+_CODERS: dict = {}
+
+
+def coder(tokenizer: str, width: int) -> Pieces:
+    """This process's encoder: what it has learned serves the tasks that follow."""
+    if (tokenizer, width) not in _CODERS:
+        _CODERS[tokenizer, width] = Pieces(tokenizer, width)
+    return _CODERS[tokenizer, width]
+
+
 FILE = ("shard int, block int, first_id long, last_id long, n_docs long, n_tokens long, payload binary, ids array<long>, repeats binary, "
         "levels array<binary>, prints binary, offsets binary, lengths binary")
 
@@ -162,11 +225,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
 
-        coder, end = Pieces(tokenizer, width), np.array([end_id], f"<u{width}").tobytes()
+        code, end = coder(tokenizer, width), np.array([end_id], f"<u{width}").tobytes()
         part, block, last, times = TaskContext.get().partitionId(), 0, object(), 0
         ids, repeats, out, n = [], [], [], 0
         for b in sliced(batches, 500, 4 << 20):
-            for i, coded in zip(b.column(0).to_pylist(), coder.encode([x.decode() for x in utf8(b.column(1))])):
+            for i, coded in zip(b.column(0).to_pylist(), code.encode([x.decode() for x in utf8(b.column(1))])):
                 times = times + 1 if i == last else 0
                 last = i
                 ids.append(i)
