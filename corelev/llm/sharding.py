@@ -14,8 +14,8 @@ def equal_text_links(rows: DataFrame) -> DataFrame:
     return (rows.join(hub, "_text_key").where("_rid <> _hub").select(F.col("_rid").alias("a"), F.col("_hub").alias("b")))
 
 
-def propagate(nodes: DataFrame, links: DataFrame, shards: int, rounds: int = 7, slack: float = 0.02) -> DataFrame:
-    """Labels (_rid, _shard) after ``rounds`` of balanced label propagation.
+def propagate(nodes: DataFrame, links: DataFrame, shards: int, max_rounds: int = 400, slack: float = 0.02) -> DataFrame:
+    """Labels (_rid, _shard) of balanced label propagation, run until no node gains by a move.
 
     ``nodes``: _rid, _start (first shard). ``links``: a, b (undirected). Each round joins the links
     with the labels, counts every node's links into each shard, and lets a node move to the shard
@@ -23,11 +23,14 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, rounds: int = 7,
     round) may move in a round, so that two ends of a link don't swap for ever. Per (from, to) pair
     the opposite flow plus ``slack`` of a shard's fair size is the quota; where more want to move, a
     hash decides, with a threshold that makes the expected number the quota. No group is collected.
+    A quota admits one node at least, so whoever gains by a move gets it in some round: with star
+    links every group ends whole. ``max_rounds`` only stops links on which labels go in circles:
+    RuntimeError if nodes still want to move then.
     """
     labels = written(nodes.select("_rid", F.col("_start").alias("_shard")), "shard0")
     total = labels.count()
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    for r in range(rounds):
+    for r in range(max_rounds + 1):
         near = (both.join(labels.withColumnRenamed("_rid", "b").withColumnRenamed("_shard", "to"), "b")
                 .groupBy("a", "to").agg(F.count(F.lit(1)).alias("n")))
         best = near.groupBy("a").agg(F.max(F.struct("n", -F.col("to"))).alias("m"), F.map_from_entries(
@@ -35,9 +38,15 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, rounds: int = 7,
         want = (labels.join(best, F.col("_rid") == F.col("a"))
                 .select("_rid", F.col("_shard").alias("frm"), (-F.col("m.col2")).alias("to"),
                         (F.col("m.n") - F.coalesce(F.expr("by[_shard]"), F.lit(0))).alias("gain"))
-                .where((F.col("gain") > 0) & (F.pmod(F.xxhash64("_rid", F.lit(r)), F.lit(2)) == 0)))
+                .where("gain > 0").withColumn("now", F.pmod(F.xxhash64("_rid", F.lit(r)), F.lit(2)) == 0))
         want = written(want, f"want{r}")
-        flow = {(x["frm"], x["to"]): x["c"] for x in want.groupBy("frm", "to").agg(F.count(F.lit(1)).alias("c")).collect()}
+        asked = want.groupBy("frm", "to").agg(F.count(F.lit(1)).alias("all"), F.count_if("now").alias("c")).collect()
+        if not asked:
+            return labels
+        if r == max_rounds:
+            raise RuntimeError(f"{sum(x['all'] for x in asked)} nodes still want to move after {max_rounds} rounds")
+        want = want.where("now")
+        flow = {(x["frm"], x["to"]): x["c"] for x in asked if x["c"]}
         if not flow:
             continue
         room = max(1.0, slack * total / shards)
@@ -46,16 +55,16 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, rounds: int = 7,
         dice = F.pmod(F.xxhash64("_rid", F.lit(-1 - r)), F.lit(1_000_003)) / 1_000_003.0
         move = want.where(dice < quota[F.concat_ws(">", "frm", "to")]).select("_rid", F.col("to").alias("_to"))
         labels = written(labels.join(move, "_rid", "left").select("_rid", F.coalesce("_to", "_shard").alias("_shard")), f"shard{r + 1}")
-    return labels
 
 
-def shard(docs: DataFrame, shards: int = 8, rounds: int = 7, id_col: str = "doc_id", text_col: str = "text",
+def shard(docs: DataFrame, shards: int = 8, max_rounds: int = 400, id_col: str = "doc_id", text_col: str = "text",
           links: DataFrame | None = None) -> DataFrame:
     """Put every row of ``docs`` into a shard, law ``rows``: sizes at most one row apart, few cut links.
 
     Links join equal texts (null counts as a text of its own) or come as ``links`` (a, b: ids).
     After ``propagate`` the rows are ordered by (label, group, id, text checksum) and cut into even
-    ranges, which moves only what is over a shard's quota and splits at most one group a border.
+    ranges, which moves only what is over a shard's quota and splits at most one group a border:
+    all other groups of equal texts are whole.
 
     Returns the id column, size (UTF-8 bytes plus 1, null 1), text_crc32, law, shard, slot (gapless
     from 0 in each shard), grown_shard (null under this law). Null ids are allowed and sort first;
@@ -74,7 +83,7 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = 7, id_col: str = "doc_
         links = (links.join(ids.toDF("a", "_a"), "a").join(ids.toDF("b", "_b"), "b")
                  .select(F.col("_a").alias("a"), F.col("_b").alias("b")))
     start = F.pmod(F.xxhash64("_rid"), F.lit(shards)).cast("int")
-    labels = propagate(rows.select("_rid", start.alias("_start")), links, shards, rounds)
+    labels = propagate(rows.select("_rid", start.alias("_start")), links, shards, max_rounds)
     placed = rows.join(labels, "_rid")
     order = ["_shard", "_text_key", F.col("_id").asc_nulls_first(), "_rid"]
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))

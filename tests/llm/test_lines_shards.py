@@ -76,3 +76,16 @@ def test_shards_own_links(spark):
     at = {r["doc_id"]: r["shard"] for r in rows}
     same = sum(at[i] == at[i - i % 10] for i in at if i % 10)
     assert same > 0.45 * 360  # 0.25 by chance
+
+
+def test_equal_texts_stay_together(spark):
+    """Every group of equal texts is whole, but the one at each of the seven borders."""
+    sizes = [2] * 300 + [5] * 100 + [20] * 40 + [200] * 10
+    rows = [(f"text {g}",) for g, k in enumerate(sizes) for _ in range(k)] + [(f"own {i}",) for i in range(2000)]
+    docs = spark.createDataFrame([(i, *t) for i, t in enumerate(rows)], "doc_id long, text string")
+    out = S.shard(docs).collect()
+    check_law(out, len(rows))
+    at = collections.defaultdict(set)
+    for r in out:
+        at[rows[r["doc_id"]]].add(r["shard"])
+    assert sum(len(v) > 1 for v in at.values()) <= 7
