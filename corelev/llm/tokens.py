@@ -95,7 +95,9 @@ class Pieces:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(public_tokenizers.path(tokenizer))
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tok.encode_special_tokens = True  # cutting needs their strings to be ordinary text
+        self.plain = Tokenizer.from_file(public_tokenizers.path(tokenizer))
+        self.special = [t.content for t in self.plain.get_added_tokens_decoder().values()]
         self.kind, self.width, self.most = f"<u{width}", width, most
         self.heads, self.tails = {}, {}  # without and with the space before
         self.line = self.tok.encode("\n", add_special_tokens=False).ids
@@ -170,6 +172,14 @@ class Pieces:
         get = self.tails.__getitem__
         return [self.heads[c[0]] + b"".join(map(get, c[1:])) for c in cut]
 
+    def encode_with_special(self, texts: list[str]) -> list[bytes]:
+        """The ids that the unchanged tokenizer gives: its special strings in a text become their ids."""
+        odd = {i for i, t in enumerate(texts) if any(x in t for x in self.special)}
+        out = self.encode(["" if i in odd else t for i, t in enumerate(texts)])
+        for i in odd:  # few: whole
+            out[i] = np.asarray(self.plain.encode(texts[i], add_special_tokens=False).ids, self.kind).tobytes()
+        return out
+
 
 _CODERS: dict = {}
 
@@ -229,7 +239,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
         part, block, last, times = TaskContext.get().partitionId(), 0, object(), 0
         ids, repeats, out, n = [], [], [], 0
         for b in sliced(batches, 500, 4 << 20):
-            for i, coded in zip(b.column(0).to_pylist(), code.encode([x.decode() for x in utf8(b.column(1))])):
+            for i, coded in zip(b.column(0).to_pylist(), code.encode_with_special([x.decode() for x in utf8(b.column(1))])):
                 times = times + 1 if i == last else 0
                 last = i
                 ids.append(i)

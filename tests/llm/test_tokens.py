@@ -61,3 +61,14 @@ def test_perfect_hash(keys):
     k = np.array(sorted(keys), np.uint64)
     h = T.PerfectHash.load(T.PerfectHash.build(k).dump())
     assert sorted(h.slots(k).tolist()) == list(range(len(k)))
+
+
+def test_special_strings_get_their_ids(spark, tmp_path):
+    """The files hold the ids of an unchanged tokenizer, also where a text holds its special strings."""
+    plain = Tokenizer.from_file(public_tokenizers.path(T.TOKENIZER))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "no such string", "x<|endoftext|><|endoftext|> y z", "<|endoftext"]
+    path = str(tmp_path / "s")
+    width = T.write_tokens(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), path)
+    for i, t in enumerate(texts):
+        assert T.lookup(spark, path, width, i).tolist() == plain.encode(t, add_special_tokens=False).ids + [T.END_ID]
+    assert 50256 in T.lookup(spark, path, width, 0)
