@@ -160,7 +160,7 @@ def search(index: DataFrame, part: list, width: int, within: int | None = None)
         w, off, size, items = sent.value
         for b in batches:
             for row in b.to_pylist():
-                x = Block(row, width)
+                x = Block(row, _gap(width, within))
                 place = x.find(known.value)[w] if len(w) else np.zeros((0, width), int)
                 step = np.zeros(int(x.first[-1] + x.n[-1]) + 1, np.int32)
                 at: dict = {}
@@ -188,6 +188,11 @@ def search(index: DataFrame, part: list, width: int, within: int | None = None)
     return index.mapInArrow(look, "row long, doc_id long, text_key long, n_words long, hits array<struct<s:long,e:long>>, items array<string>")
 
 
+def _gap(width: int, within: int | None) -> int:
+    """Positions between documents: no window or neighbourhood reaches from one into the next."""
+    return max(width, within or 0)
+
+
 def _union(runs: list, items: list):
     """Joined runs and distinct items of a document's results from several parts."""
     out: list = []
@@ -209,7 +214,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, within
     of their own. Items with a null id count as the id ''; items without words match nothing; repeated
     item ids count once. Empty tables give no rows (documents) or no hits (benchmark). Other columns are not read.
     """
-    index = written(build_index(docs, id_col, text_col, gap=width), "postings")
+    index = written(build_index(docs, id_col, text_col, gap=_gap(width, within)), "postings")
     rows = ((x[0], x[1]) for x in benchmark.select(F.col(f"`{item_col}`"), F.col(f"`{item_text}`")).toLocalIterator())
     found = [search(index, p, width, within) for p in parts_of(rows, width, part_windows)] or [search(index, [], width)]
     if len(found) == 1:

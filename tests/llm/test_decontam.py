@@ -59,3 +59,11 @@ def test_proximity(spark):
     items = spark.createDataFrame([(9, "alpha beta gamma")], "item_id long, text string")
     got = {r["doc_id"]: r["items"] for r in D.contamination(docs, items, within=5).collect()}
     assert got == {1: ["9"], 2: [], 3: []}
+
+
+def test_proximity_stays_in_its_document(spark):
+    """Words of the next document are no neighbours, however wide the neighbourhood."""
+    docs = spark.createDataFrame([(1, "x alpha"), (2, "beta y"), (3, "alpha " + "x " * 20 + "beta")], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(9, "alpha beta")], "item_id long, text string")
+    got = {r["doc_id"]: r["items"] for r in D.contamination(docs, items, within=30).collect()}
+    assert got == {1: [], 2: [], 3: ["9"]}
