@@ -407,16 +407,22 @@ def sgd_partition_kernel(p: float, d: int, eta0: float = 0.1, power_t: float = 0
     return part
 
 
+def sgd_shards(rows: int, rows_a_shard: int = 1_000_000) -> int:
+    return max(8, -(-rows // rows_a_shard))
+
+
 def sgd_epoch(df: DataFrame, p: float = 2.0, d: int | None = None, seed: int = 0, eta0: float = 0.1,
-              power_t: float = 0.5, shards: int = 8) -> np.ndarray:
+              power_t: float = 0.5, shards: int | None = None) -> np.ndarray:
     """One random-order epoch over ``shards`` shards; their parameters averaged by row count.
 
     Random order = hash of (id, seed); a row's shard is its hash times ``shards``, and each
     shard is read in hash order by one task. The result depends on ``shards``, not on cores
-    or partitions: more shards are more parallel and average shorter runs.
+    or partitions: more shards are more parallel and average shorter runs. By default there is
+    one a million rows, at least 8 (``sgd_shards``).
     """
     from ..functions import random as R
 
+    shards = sgd_shards(df.count()) if shards is None else shards
     d = array_width(df) if d is None else d
     keyed = df.select("x", F.col("y").cast("double").alias("y"), R.uniform("id", seed, "sgd").alias("_o"))
     keyed = keyed.withColumn("_s", F.floor(F.col("_o") * shards))

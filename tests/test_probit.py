@@ -84,6 +84,15 @@ def test_sgd_epoch_improves(spark, iris):
     assert P.negative_log_likelihood(df, b, 2.0) < f0
 
 
+def test_sgd_shards_grow_with_the_rows(spark, iris, monkeypatch):
+    assert [P.sgd_shards(n) for n in (0, 8_000_000, 8_000_001, 200_000_000)] == [8, 8, 9, 200]
+    X, lab = iris
+    df = from_arrays(spark, (X - X.mean(0)) / X.std(0), np.where(lab == 1, 1.0, -1.0))
+    np.testing.assert_allclose(P.sgd_epoch(df, 2.0, 4), P.sgd_epoch(df, 2.0, 4, shards=8), rtol=1e-12)
+    monkeypatch.setattr(P, "sgd_shards", lambda n: n // 10)
+    np.testing.assert_allclose(P.sgd_epoch(df, 2.0, 4), P.sgd_epoch(df, 2.0, 4, shards=15), rtol=1e-12)
+
+
 def test_sgd_epoch_depends_on_shards_only(spark, iris):
     X, lab = iris
     y = np.where(lab == 1, 1.0, -1.0)
