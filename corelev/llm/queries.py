@@ -1,6 +1,6 @@
 """The queries of this package for the driver: one for each operator, and the SQL where it can express them."""
 
-from corelev.llm import ann, chat, decontam, line_dedup, lm, ngram_join, packing, sharding, tokens, toxicity
+from corelev.llm import ann, chat, decontam, line_dedup, lm, merkle, ngram_join, packing, sharding, tokens, toxicity
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_sharding": sharding.op9_sharding,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_merkle": merkle.op11_merkle,
 }
 
 ORACLES = {
@@ -20,4 +21,5 @@ ORACLES = {
     "op5_decontamination": decontam.ORACLE,
     "op6_chat_formatting": chat.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op11_merkle": merkle.ORACLE,
 }
