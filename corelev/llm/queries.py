@@ -1,6 +1,6 @@
 """The queries of this package for the driver: one for each operator, and the SQL where it can express them."""
 
-from corelev.llm import ann, chat, decontam, line_dedup, lm, merkle, ngram_join, packing, sharding, tokens, toxicity, variants
+from corelev.llm import ann, chat, decontam, langid, line_dedup, lm, merkle, ngram_join, packing, sharding, tokens, toxicity, variants
 
 QUERIES = {
     "op1_ann": ann.op1_ann,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_sharding": sharding.op9_sharding,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_merkle": merkle.op11_merkle,
+    "op12_langid": langid.op12_langid,
     "op13_variants": variants.op13_variants,
 }
 
