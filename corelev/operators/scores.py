@@ -6,16 +6,14 @@ the driver only factors d x d / (sketch size) x d matrices.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import random as R
 from .linalg import basis_from_gram, basis_from_r, tsqr, with_bound_norm, with_row_norm
-from .moments import NATIVE_MAX_D, _batch_matrix, array_width, gram
+from .moments import NATIVE_MAX_D, array_width, gram
+from .online import online_leverage_scores  # noqa: F401  C9-C11
 
 JL_DIM = 20
 
@@ -187,110 +185,6 @@ def lewis_weights(df: DataFrame, T: int = 20, fast: bool = False, d: int | None
     return with_row_norm(df, M, out, p=2.0, power=False).withColumn(out, F.col(out) + F.lit(1.0 / n))
 
 
-# -- online (ordered) leverage -------------------------------------------------
-
-def _online_scores(Ms: np.ndarray, X: np.ndarray, method: str) -> np.ndarray:
-    """x_i^T M_i^+ x_i for a stack of prefix Grams."""
-    scale = np.maximum(np.abs(Ms).max(axis=(1, 2)), 1e-300)
-    Mn = Ms / scale[:, None, None]
-    lam, V = np.linalg.eigh(Mn)
-    tol = 1e-10 * np.maximum(lam.max(axis=1, keepdims=True), 1e-300)
-    inv = np.where(lam > tol, 1.0 / np.where(lam > tol, lam, 1.0), 0.0)
-    proj = np.einsum("nij,ni->nj", V, X)
-    tau = np.einsum("nj,nj,nj->n", proj, proj, inv) / scale
-    if method == "pinv":
-        return np.clip(tau, 0.0, 1.0)
-    return np.minimum(tau, 1.0)
-
-
-def _prefix_grams(grams: DataFrame, d: int):
-    """(block numbers, exclusive prefix Grams, packed upper triangles): blocks x d(d+1)/2 doubles, streamed in
-    block order; one numpy array, so 100,000 blocks of d = 64 are 1.7 GB and of d = 5 are 12 MB."""
-    iu = np.triu_indices(d)
-    blocks, rows, acc = [], [], np.zeros(len(iu[0]))
-    for r in grams.orderBy("block").toLocalIterator():
-        blocks.append(r["block"])
-        rows.append(acc.copy())
-        acc = acc + np.asarray(r["g"]).reshape(d, d)[iu]
-    return np.array(blocks, np.int64), np.array(rows).reshape(len(blocks), len(iu[0]))
-
-
-def _prefix_of(prefix, block: int, d: int) -> np.ndarray:
-    G = np.zeros((d, d))
-    G[np.triu_indices(d)] = prefix[1][np.searchsorted(prefix[0], block)]
-    return G + np.triu(G, 1).T
-
-
-def online_leverage_scores(df: DataFrame, d: int | None = None, method: str = "pinv",
-                           block_rows: int | None = None, out: str = "score",
-                           n: int | None = None) -> DataFrame:
-    """tau_i = x_i^T (sum_{j<=i} x_j x_j^T)^+ x_i in the order of (``ord``, ``id``).
-
-    Two passes instead of n sequential steps. The rows are range-partitioned on
-    (ord, id) - ties in ``ord`` are split by id, so no block exceeds its share -
-    and each partition is one block. Pass 1: one Gram per partition (Arrow,
-    streaming); the exclusive prefix over the B blocks (one a 200,000 rows, or
-    ``block_rows``) is packed to B x d(d+1)/2 numbers. Pass 2: every partition streams its sorted rows through
-    cumulative sums starting from its prefix and appends the score to the rows
-    it passes through (no join back); memory is one Arrow batch.
-    """
-    if method not in ("pinv", "solve"):
-        raise ValueError(f"online leverage by pinv or solve, not {method}")
-    d = array_width(df) if d is None else d
-    n = _n(df, n)
-    spark = df.sparkSession
-    nblocks = max(1, int(math.ceil(n / (block_rows or 200_000))))
-    blocked = (df.repartitionByRange(nblocks, "ord", "id").sortWithinPartitions("ord", "id")
-               .withColumn("_blk", F.spark_partition_id()))
-    from pyspark import StorageLevel
-
-    blocked = blocked.persist(StorageLevel.MEMORY_AND_DISK)
-
-    def gram_part(batches):
-        G = np.zeros((d, d))
-        blk = None
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            X = _batch_matrix(b, "x", d)
-            G += X.T @ X
-            blk = int(b.column(b.schema.get_field_index("_blk"))[0].as_py())
-        if blk is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([blk], pa.int32()),
-                                              pa.array([G.ravel().tolist()], pa.list_(pa.float64()))],
-                                             names=["block", "g"])
-
-    grams = blocked.select("x", "_blk").mapInArrow(gram_part, "block INT, g ARRAY<DOUBLE>")
-    bprefix = spark.sparkContext.broadcast(_prefix_grams(grams, d))
-    src = blocked.drop("_blk").withColumn("_blk", F.spark_partition_id())
-    keep = [c for c in df.columns]
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    out_schema = StructType([df.schema[c] for c in keep] + [StructField(out, DoubleType())])
-
-    def score_part(batches):
-        P = None
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            if P is None:
-                blk = int(b.column(b.schema.get_field_index("_blk"))[0].as_py())
-                P = _prefix_of(bprefix.value, blk, d)
-            X = _batch_matrix(b, "x", d)
-            res = np.empty(len(X))
-            chunk = max(1, min(4096, int(2_000_000 // max(1, d * d))))
-            for s0 in range(0, len(X), chunk):
-                Xc = X[s0:s0 + chunk]
-                Ms = P[None, :, :] + np.cumsum(np.einsum("ni,nj->nij", Xc, Xc), axis=0)
-                P = Ms[-1]
-                res[s0:s0 + len(Xc)] = _online_scores(Ms, Xc, method)
-            cols = [b.column(b.schema.get_field_index(c)) for c in keep] + [pa.array(res, pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(
-                [b.schema.field(b.schema.get_field_index(c)) for c in keep] + [pa.field(out, pa.float64())]))
-
-    return src.mapInArrow(score_part, out_schema)
-
-
 # -- score post-processing (C13, C14, C19-C21) ------------------------------------
 
 def augment(score: Column, n: int) -> Column:
