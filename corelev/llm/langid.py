@@ -137,13 +137,15 @@ def _cosines(w, slot, starts, centroids_t) -> np.ndarray:
 def sample(docs: DataFrame, lang: str, text: str, id_col: str, per_language: int) -> DataFrame:
     """(lang, id, text): at most ``per_language`` labelled texts of each language, those of the least hash of their id.
 
-    A count by language gives the share whose hashes are looked at, so few rows more than needed are sorted.
+    Counts by language (one row each on the driver; the model holds far more of each) give the share of a frequent
+    language's hashes that are looked at, so few rows more than needed are sorted, whatever a language's size.
     """
     rows = docs.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(
         F.col(f"`{lang}`").alias("lang"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    share = rows.groupBy("lang").agg((1.5 * per_language / F.count(F.lit(1))).alias("share"))
+    counts = [(r["lang"], 1.5 * per_language / r["count"]) for r in rows.groupBy("lang").count().collect()]
+    share = docs.sparkSession.createDataFrame(counts, "lang string, share double")
     u = F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(1 << 53))
-    near = rows.withColumn("u", u).join(share, "lang").where(F.col("u") <= F.col("share"))
+    near = rows.withColumn("u", u).join(F.broadcast(share), "lang").where(F.col("u") <= F.col("share"))
     first = Window.partitionBy("lang").orderBy("u", "id", "text")
     return near.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= per_language).select("lang", "id", "text")
 
