@@ -118,7 +118,7 @@ def main():
     timed("chao_reservoir_per_user_k5", lambda: SM.reservoir_sample(evt, 5, "value", key="user_id").count())
     timed("chao_reservoir_global_k500", lambda: SM.reservoir_sample(evt, 500, "value").count())
     timed("online_ridge_reservoir_per_user_k5",
-          lambda: SM.online_ridge_sample(ev.df, 5, c=1.0 / ev.n, key="user_id", d=ev.d).count())
+          lambda: SM.online_ridge_sample(ev.df, 5, "user_id", c=1.0 / ev.n, d=ev.d).count())
 
     rows = ST.events_vectors(ST.event_stream(spark, sf_dir))
     timed("stream_online_leverage_per_user", lambda: ST.run_to_table(ST.online_leverage_stream(rows, 2), "b1").count())

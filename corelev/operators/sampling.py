@@ -510,51 +510,64 @@ def _segments(keys, w):
     return kv[starts], counts, sums
 
 
-def online_ridge_sample(df: DataFrame, k: int, c: float | None = None, lam: float = 1e-6,
-                        key: str | None = None, seed: int = 0, d: int | None = None) -> DataFrame:
-    """Reservoir with weight min(x^T A^-1 x, 1) + c; accepted rows enter A; w = 1.
+def ridge_accepts(A: np.ndarray, total: float, seen: int, X: np.ndarray, u1: np.ndarray, u2: np.ndarray, k: int, extra: float):
+    """One run of rows through the ridge reservoir: ([(row, slot)] accepted in order, A, weight sum, rows seen).
+
+    A changes only with an accepted row, so all rows up to the next accepted one are weighed at once against the
+    same inverse; the look-ahead doubles while nothing is accepted (about k (1 + ln(n / k)) rows of n are).
+    """
+    taken, i, look = [], 0, 16
+    inv = np.linalg.inv(A)
+    while i < len(X):
+        e = min(len(X), i + look) if seen >= k else i + 1
+        Z = X[i:e]
+        weight = np.minimum(np.einsum("ni,ni->n", Z @ inv, Z), 1.0) + extra
+        upto = np.cumsum(np.r_[total, weight])[1:]
+        hits = np.flatnonzero((upto > 0) & (u1[i:e] * upto < k * weight)) if seen >= k else [0]
+        if len(hits) == 0:
+            total, seen, i, look = float(upto[-1]), seen + e - i, e, min(2 * look, 8192)
+            continue
+        h = int(hits[0])
+        taken.append((i + h, seen if seen < k else int(u2[i + h] * k) % k))
+        total, seen = float(upto[h]), seen + h + 1
+        A = A + np.outer(X[i + h], X[i + h])
+        inv = np.linalg.inv(A)
+        i, look = i + h + 1, 16
+    return taken, A, total, seen
+
+
+def online_ridge_sample(df: DataFrame, k: int, key: str, c: float | None = None, lam: float = 1e-6,
+                        seed: int = 0, d: int | None = None) -> DataFrame:
+    """D7, one reservoir per ``key``: weight min(x^T A^-1 x, 1) + c; accepted rows enter A; w = 1.
 
     Each acceptance changes the matrix that the next score uses, so a key's rows are read in
-    (ord, id) order by one task. Rows are hash-partitioned by key and sorted; a task streams
-    its Arrow batches and keeps the current key's state only (k slots, the weight sum, A and
-    its inverse, renewed when a row is accepted), so memory doesn't grow with the group.
+    (ord, id) order by one task; use ``race`` samplers for one sample of a whole table. Rows are hash-partitioned
+    by key and sorted; a task streams its Arrow batches and keeps the current key's state only (k slots, the
+    weight sum and A), so memory doesn't grow with the group.
     """
     import pandas as pd
 
     from .moments import array_width
 
     d = array_width(df) if d is None else d
-    gcol = key if key else "_g"
-    src = df if key else df.withColumn("_g", F.lit(0))
-    src = src.withColumn("_u1", R.uniform("id", seed, "res1")).withColumn("_u2", R.uniform("id", seed, "res2"))
-    cols = [c_ for c_ in src.columns if c_ not in ("_u1", "_u2")]
-    parted = src.repartition(gcol).sortWithinPartitions(gcol, "ord", "id")
+    src = df.withColumn("_u1", R.uniform("id", seed, "res1")).withColumn("_u2", R.uniform("id", seed, "res2"))
+    cols = list(df.columns)
+    parted = src.repartition(key).sortWithinPartitions(key, "ord", "id")
     extra = 0.0 if c is None else c
 
     def run(batches):
-        group, state = None, None
+        group, state, held = None, None, {}
         for pdf in batches:
-            for g, rows in pdf.groupby((pdf[gcol] != pdf[gcol].shift()).cumsum(), sort=False):
-                if state is None or rows[gcol].iat[0] != group:
+            for _, rows in pdf.groupby((pdf[key] != pdf[key].shift()).cumsum(), sort=False):
+                if state is None or rows[key].iat[0] != group:
                     if state is not None:
-                        yield pd.DataFrame(list(state["held"].values()), columns=cols)
-                    group, state = rows[gcol].iat[0], {"held": {}, "sum": 0.0, "A": lam * np.eye(d), "inv": np.eye(d) / lam, "seen": 0}
+                        yield pd.DataFrame(list(held.values()), columns=cols)
+                    group, state, held = rows[key].iat[0], (lam * np.eye(d), 0.0, 0), {}
                 X = np.stack(rows["x"].to_numpy()).astype(float).reshape(-1, d)
-                for x, u1, u2, rec in zip(X, rows["_u1"], rows["_u2"], rows[cols].itertuples(index=False, name=None)):
-                    ax = state["inv"] @ x
-                    weight = min(float(x @ ax), 1.0) + extra
-                    state["sum"] += weight
-                    slot = state["seen"]
-                    state["seen"] += 1
-                    if slot >= k:
-                        if not (state["sum"] > 0 and u1 * state["sum"] < k * weight):
-                            continue
-                        slot = int(u2 * k) % k
-                    state["held"][slot] = rec
-                    state["A"] = state["A"] + np.outer(x, x)
-                    state["inv"] = np.linalg.inv(state["A"])
+                taken, *state = ridge_accepts(*state, X, rows["_u1"].to_numpy(), rows["_u2"].to_numpy(), k, extra)
+                kept = rows[cols].iloc[[i for i, _ in taken]].itertuples(index=False, name=None)
+                held.update(zip((s for _, s in taken), kept))
         if state is not None:
-            yield pd.DataFrame(list(state["held"].values()), columns=cols)
+            yield pd.DataFrame(list(held.values()), columns=cols)
 
-    out = parted.mapInPandas(run, src.select(*cols).schema).withColumn("w", F.lit(1.0))
-    return out if key else out.drop("_g")
+    return parted.mapInPandas(run, df.schema).withColumn("w", F.lit(1.0))

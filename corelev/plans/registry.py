@@ -879,7 +879,7 @@ def sql_keyed_sample_ev():
 def q_online_ridge_ev(spark, sf):
     """Online ridge-leverage reservoir per user (k = 5, c = 1/n), weights 1."""
     des = T.events_design(spark, sf, key=True)
-    return SM.online_ridge_sample(des.df, 5, c=1.0 / des.n, key="user_id", d=des.d).select("user_id", "id", "y", "w")
+    return SM.online_ridge_sample(des.df, 5, "user_id", c=1.0 / des.n, d=des.d).select("user_id", "id", "y", "w")
 
 
 # ---------------------------------------------------------------- models and baselines

@@ -1,18 +1,19 @@
 """Structured Streaming forms of the one-pass algorithms.
 
 S1  online leverage per key: state = (prefix Gram, count); rows of a key inside a
-    micro-batch are scored in (ord, id) order, vectorised by cumulative sums.
-S2  Chao weighted reservoir per key: state = k slots with the rows' columns, the sum of
-    weights and the rows seen.
+    micro-batch are scored in (ord, id) order, by the batch operator's chunks.
+S2  reservoirs per key: state = k slots with the rows' columns, the sum of weights and the
+    rows seen (Chao); the ridge form also keeps the d x d matrix of accepted rows, which its
+    next weights use.
 S3  probit SGD: one gradient aggregate per micro-batch (``foreachBatch``); beta, step and
     batch number go to a parquet table after every batch, beside a checkpoint of the
     same name, so a restarted query goes on with the next batch and a replayed batch
     isn't applied again.
 S4  CountSketch: a plain streaming ``groupBy(bucket).agg(sum)`` (linear, mergeable).
 
-S1 and S2 run under an event-time timeout, so rows older than the watermark are dropped
-before they reach the state; with ``idle`` a key's state ends when the watermark is that
-far past its last row. Results are written by batch into a table of files (``run_to_table``).
+S1 and S2 are stateful processors on the RocksDB store (``keyed``). With a watermark, rows older than it
+are dropped before they reach the state, and with ``idle_ms`` an event-time timer ends a key's state when the
+watermark is that far past its last row. Results are written by batch into a table of files (``run_to_table``).
 """
 
 from __future__ import annotations
@@ -24,11 +25,12 @@ import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import random as R
-from ..operators.scores import _online_scores
+from . import keyed as K
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _ckpt(spark: SparkSession, name: str) -> str:
@@ -65,99 +67,52 @@ def _watermark(rows: DataFrame):
     return None
 
 
-def _timeout(rows: DataFrame):
-    return GroupStateTimeout.EventTimeTimeout if _watermark(rows) else GroupStateTimeout.NoTimeout
-
-
-def _keep_until(state, idle_ms: int | None):
-    """Let the state end ``idle_ms`` after the watermark of this batch (None: never)."""
-    if idle_ms is not None:
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + idle_ms)
+def _keyed(rows: DataFrame, make, schema: str, mode: str, idle_ms: int | None) -> DataFrame:
+    """``rows`` by key through a processor; with a watermark late rows are dropped, and ``idle_ms`` ends idle keys."""
+    time_col = _watermark(rows)
+    if idle_ms is not None and not time_col:
+        raise ValueError("idle needs a watermark")
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return rows.groupBy("key").transformWithStateInPandas(
+        make(idle_ms=idle_ms, time_col=time_col), schema, mode, "EventTime" if time_col else "None")
 
 
 # -- S1 ----------------------------------------------------------------------
 
 def online_leverage_stream(rows: DataFrame, d: int, method: str = "pinv", idle_ms: int | None = None) -> DataFrame:
     """Per-key online leverage; output (key, id, score) rows in append mode."""
-    import pandas as pd
-
-    def fn(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        if state.exists:
-            G, cnt = state.get
-            P = np.asarray(G, dtype=float).reshape(d, d)
-        else:
-            P, cnt = np.zeros((d, d)), 0
-        parts = list(pdfs)
-        if not parts:
-            return
-        pdf = pd.concat(parts, ignore_index=True).sort_values(["ord", "id"], kind="mergesort")
-        X = np.stack(pdf["x"].to_numpy()).astype(float).reshape(-1, d)
-        score = np.empty(len(X))
-        step = max(1, 2_000_000 // (d * d))
-        for a in range(0, len(X), step):  # the prefix Grams of a piece at a time
-            Xa = X[a:a + step]
-            Ms = P[None] + np.cumsum(np.einsum("ni,nj->nij", Xa, Xa), axis=0)
-            score[a:a + step] = _online_scores(Ms, Xa, method)
-            P = Ms[-1]
-        state.update((P.ravel().tolist(), int(cnt + len(X))))
-        _keep_until(state, idle_ms)
-        yield pd.DataFrame({"key": np.full(len(X), key[0]), "id": pdf["id"].to_numpy(), "score": score})
-
-    key_t = dict((f.name, f.dataType.simpleString()) for f in rows.schema.fields)
-    out_schema = f"key {key_t['key']}, id {key_t['id']}, score DOUBLE"
-    return rows.groupBy("key").applyInPandasWithState(
-        fn, out_schema, "gram ARRAY<DOUBLE>, cnt BIGINT", "append", _timeout(rows))
+    t = dict((f.name, f.dataType.simpleString()) for f in rows.schema.fields)
+    time_col = _watermark(rows)
+    src = rows.select("key", "ord", "id", "x", *([time_col] if time_col else []))
+    return _keyed(src, lambda **kw: K.OnlineLeverage(d, method, **kw), f"key {t['key']}, id {t['id']}, score DOUBLE", "append", idle_ms)
 
 
 # -- S2 ----------------------------------------------------------------------
 
+def _reservoir(rows: DataFrame, make, used, seed: int, columns, idle_ms) -> DataFrame:
+    """Emits the whole reservoir (key, slot, ``columns``) of every updated key, in update mode: of each (key, slot)
+    the last batch's row holds (``run_to_table`` with ``keys``). Only what the processor reads travels to it."""
+    t = dict((f.name, f.dataType.simpleString()) for f in rows.schema.fields)
+    time_col = _watermark(rows)
+    src = rows.select("key", "ord", "id", R.uniform("id", seed, "res1").alias("u1"), R.uniform("id", seed, "res2").alias("u2"), used,
+                      F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("held"), *([time_col] if time_col else []))
+    out = _keyed(src, make, f"key {t['key']}, slot INT, held STRING", "update", idle_ms)
+    parsed = F.from_json("held", ", ".join(f"`{c}` {t[c]}" for c in columns))
+    return out.select("key", "slot", parsed.alias("held")).select("key", "slot", "held.*")
+
+
 def reservoir_stream(rows: DataFrame, k: int, weight: str, seed: int = 0, columns=("id", "y"),
                      idle_ms: int | None = None) -> DataFrame:
-    """Chao reservoir per key; emits the whole reservoir (key, slot, ``columns``) of every updated key.
+    """Chao reservoir per key. Decisions are those of the batch operator: from a row's position in its key, the
+    weight sum up to it and its hash uniforms."""
+    used = F.col(weight).cast("double").alias("weight")
+    return _reservoir(rows, lambda **kw: K.ChaoReservoir(k, **kw), used, seed, columns, idle_ms)
 
-    In update mode: of each (key, slot) the last batch's row holds (``run_to_table`` with
-    ``keys``). Decisions are those of the batch operator: from a row's position in its key, the
-    weight sum up to it and its hash uniforms; a slot keeps its last writer.
-    """
-    import pandas as pd
 
-    held = F.to_json(F.struct(*columns))
-    src = (rows.withColumn("_u1", R.uniform("id", seed, "res1")).withColumn("_u2", R.uniform("id", seed, "res2"))
-           .withColumn("_w", F.col(weight).cast("double")).withColumn("_row", held))
-
-    def fn(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        slots, before, seen = state.get if state.exists else ([], 0.0, 0)
-        slots = list(slots)
-        parts = list(pdfs)
-        if parts:
-            pdf = pd.concat(parts, ignore_index=True).sort_values(["ord", "id"], kind="mergesort")
-            w = pdf["_w"].to_numpy(float)
-            upto = before + np.cumsum(w)
-            at = seen + np.arange(len(w))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                chosen = (upto > 0) & (pdf["_u1"].to_numpy() < k * w / np.where(upto > 0, upto, 1.0))
-            slot = np.where(at < k, at, (pdf["_u2"].to_numpy() * k).astype(np.int64) % k)
-            slots += [None] * (min(k, seen + len(w)) - len(slots))
-            writers = np.flatnonzero((at < k) | chosen)
-            for s, row in zip(slot[writers].tolist(), pdf["_row"].to_numpy()[writers].tolist()):
-                slots[s] = row
-            before, seen = float(upto[-1]), int(seen + len(w))
-        state.update((slots, float(before), int(seen)))
-        _keep_until(state, idle_ms)
-        yield pd.DataFrame({"key": [key[0]] * len(slots), "slot": range(len(slots)), "_row": slots})
-
-    kt = dict((f.name, f.dataType.simpleString()) for f in rows.schema.fields)
-    out = src.groupBy("key").applyInPandasWithState(
-        fn, f"key {kt['key']}, slot INT, _row STRING",
-        "slots ARRAY<STRING>, before DOUBLE, seen BIGINT", "update", _timeout(rows))
-    parsed = F.from_json("_row", ", ".join(f"`{c}` {kt[c]}" for c in columns))
-    return out.select("key", "slot", parsed.alias("_r")).select("key", "slot", "_r.*")
+def ridge_reservoir_stream(rows: DataFrame, k: int, d: int, c: float = 0.0, lam: float = 1e-6, seed: int = 0,
+                           columns=("id", "y"), idle_ms: int | None = None) -> DataFrame:
+    """S2, adaptive: ridge-leverage reservoir per key, the batch operator D7's rule carried over batches and restarts."""
+    return _reservoir(rows, lambda **kw: K.RidgeReservoir(k, d, c, lam, **kw), F.col("x"), seed, columns, idle_ms)
 
 
 # -- S4 ----------------------------------------------------------------------

@@ -109,3 +109,97 @@ def test_table_restart_takes_only_new_files(spark, tmp_path):
     rows = lambda: ST.events_vectors(ST.event_stream(spark, folder, max_files=1))
     assert ST.run_to_table(ST.online_leverage_stream(rows(), 2), "r", path=path).count() == 16
     assert ST.run_to_table(ST.online_leverage_stream(rows(), 2), "r", path=path).count() == 16
+
+
+def _by_key(pdf):
+    return {k: rows for k, rows in pdf.groupby("key")}
+
+
+def test_ridge_stream_over_batches_and_restart_equals_batch(spark, tmp_path):
+    """Three batches with a restart between them give the batch operator's (D7) reservoir and slots."""
+    import shutil
+
+    from corelev.operators import sampling as SM
+
+    rnd = np.random.default_rng(8)
+    days = ["2024-02-01", "2024-03-01", "2024-03-02"]
+    files = [[(100 * b + i, int(rnd.integers(3)), "view", float(rnd.normal()), f"{d} 00:00:{i:02d}") for i in range(40)] for b, d in enumerate(days)]
+    folder = _batches(spark, tmp_path, files)
+    held_back = tmp_path / "later"
+    held_back.mkdir()
+    shutil.move(f"{folder}/events_2.parquet", held_back)
+    path = str(tmp_path / "table")
+
+    def run():
+        rows = ST.events_vectors(ST.event_stream(spark, folder, max_files=1))
+        return ST.run_to_table(ST.ridge_reservoir_stream(rows, 4, 2, c=0.05), "ridge", mode="update", keys=["key", "slot"], path=path)
+
+    run()
+    shutil.move(str(held_back / "events_2.parquet"), folder)
+    got = {(r["key"], r["id"]) for r in run().collect()}
+    static = ST.events_vectors(spark.read.parquet(folder), watermark=None)
+    want = {(r["key"], r["id"]) for r in SM.online_ridge_sample(static, 4, "key", c=0.05, d=2).collect()}
+    assert got == want and len(want) == 12
+
+
+def test_hot_key_is_merged_from_spilled_runs(spark, tmp_path, monkeypatch):
+    """Rows of a key beyond what is sorted in memory come in order from spilled runs, merged in several levels."""
+    from corelev.streaming import keyed as K
+
+    class State(dict):
+        def updateValue(self, k, v):
+            self[k] = v
+
+        def getValue(self, k):
+            return self[k]
+
+        def removeKey(self, k):
+            del self[k]
+
+    monkeypatch.setattr(K, "HOLD", 50)
+    monkeypatch.setattr(K, "PART", 7)
+    monkeypatch.setattr(K, "RUNS", 3)
+    import pandas as pd
+
+    rnd = np.random.default_rng(0)
+    pdf = pd.DataFrame({"ord": rnd.integers(0, 40, 2000), "id": rnd.permutation(2000)})
+    pdf["x"] = [[float(i), 1.0] for i in pdf["id"]]
+    state, most = State(), 0
+    frames = [pdf.iloc[a:a + 20] for a in range(0, 2000, 20)]
+    got = []
+    for f in K.SortedRows(state).ordered(iter(frames)):
+        got.append(f)
+        most = max(most, len(f))
+    out = pd.concat(got)
+    want = pdf.sort_values(["ord", "id"])
+    assert out["id"].tolist() == want["id"].tolist() and not state and most < 200
+    assert [list(v) for v in out["x"]] == [list(v) for v in want["x"]]
+
+
+def test_hot_key_stream_spills(spark, tmp_path):
+    """One key with 150,000 rows in one batch: more than HOLD, through the state store, as the batch operator scores them."""
+    from corelev.operators import online as O
+
+    n = 150_000
+    src = spark.range(n).select(F.col("id"), ((F.col("id") * 7919) % 150_001).alias("ord"), F.lit(1).alias("key"),
+                                F.array(F.sin("id"), F.lit(1.0)).alias("x"))
+    src.repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(src.schema).parquet(str(tmp_path / "in"))
+    out = ST.run_to_table(ST.online_leverage_stream(stream, 2), "hot")
+    want = O.online_leverage_scores(src, d=2, n=n).select("id", F.col("score").alias("want"))
+    far = out.join(want, "id").agg(F.count("*").alias("n"), F.max(F.abs(F.col("score") - F.col("want"))).alias("far")).first()
+    assert far["n"] == n and far["far"] < 1e-9
+
+
+def test_idle_keys_end(spark, tmp_path):
+    """A key idle for longer than ``idle_ms`` behind the watermark starts anew."""
+    files = [[(i, 0, "view", float(i), f"2024-02-01 0{i}:00:00") for i in range(4)],
+             [(10 + i, 1, "view", float(i), f"2024-03-0{i + 1} 00:00:00") for i in range(4)],
+             [(20 + i, 1, "view", float(i), f"2024-03-0{i + 1} 01:00:00") for i in range(3, 5)],
+             [(30 + i, 0, "view", float(i), f"2024-04-01 0{i}:00:00") for i in range(4)]]
+    rows = ST.events_vectors(ST.event_stream(spark, _batches(spark, tmp_path, files), max_files=1))
+    day = 24 * 3600 * 1000
+    got = {r["id"]: r["score"] for r in ST.run_to_table(ST.online_leverage_stream(rows, 2, idle_ms=day), "idle").collect()}
+    assert got[30] == 1.0  # the first row of a new state
+    kept = {r["id"]: r["score"] for r in ST.run_to_table(ST.online_leverage_stream(rows, 2), "kept").collect()}
+    assert kept[30] < 1.0
