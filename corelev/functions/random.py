@@ -64,3 +64,44 @@ def normal(id_col, seed: int = 0, stream="n") -> Column:
     u1 = uniform(id_col, seed, F.concat(st, F.lit("#1")))
     u2 = uniform(id_col, seed, F.concat(st, F.lit("#2")))
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
+
+
+# -- counters: many uniforms from one hash ---------------------------------------
+#
+# base = int(hex15(md5(id ':' stream ':' seed))); the t-th uniform of a base is the 64-bit finaliser of
+# splitmix64 over base + t * GOLDEN, its upper 53 bits scaled into (0, 1).
+
+# fixed values: splitmix64's increment and multipliers
+GOLDEN = 0x9E3779B97F4A7C15
+MIX = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB))
+
+
+def counter_base(id_text: str, stream: str, seed: int) -> int:
+    import hashlib
+
+    return int(hashlib.md5(f"{id_text}:{stream}:{int(seed)}".encode()).hexdigest()[:15], 16)
+
+
+def np_counter_uniform(base, step: int):
+    """The ``step``-th uniform of every base (numpy)."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        z = np.asarray(base, dtype=np.uint64) + np.uint64(step) * np.uint64(GOLDEN)
+        for shift, factor in MIX:
+            z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+        z = z ^ (z >> np.uint64(31))
+    return ((z >> np.uint64(11)).astype(float) + 0.5) / 2.0 ** 53
+
+
+def counter_base_sql(id_sql: str, stream_sql: str, seed: int) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws(':', CAST({id_sql} AS VARCHAR), {stream_sql}, '{int(seed)}')), 1, 15) AS UBIGINT)"
+
+
+def counter_uniform_sql(base_sql: str, step_sql: str) -> str:
+    """The same uniform as DuckDB SQL: 64-bit products by way of 128 bits."""
+    wrap = f"{1 << 64}::UHUGEINT"
+    z = f"[(CAST({base_sql} AS UHUGEINT) + CAST({step_sql} AS UHUGEINT) * {GOLDEN}::UHUGEINT) % {wrap}]"
+    for shift, factor in MIX:
+        z = f"list_transform({z}, lambda z: (xor(z, z // {1 << shift}::UHUGEINT) * {factor}::UHUGEINT) % {wrap})"
+    return f"list_transform({z}, lambda z: (CAST(xor(z, z // {1 << 31}::UHUGEINT) // 2048::UHUGEINT AS DOUBLE) + 0.5) / 9007199254740992.0)[1]"

@@ -9,7 +9,6 @@ draw is a pure function of (id, step, seed) - no rejection loop.
 from __future__ import annotations
 
 import math
-import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -130,89 +129,199 @@ def augmentation_step(df: DataFrame, beta, d: int, step: int = 0, seed: int = 0,
     return z, b
 
 
+class Chain:
+    """F3's law for one group: prior, precision A = C C^T with C^-1, and its normals, a function of (stream, seed, step).
+
+    beta = A^-1 (P0 m0 + b) + C^-T e, with b = X^T (f z) of this step and e standard normal: C^-T e has covariance A^-1.
+    """
+
+    def __init__(self, gram_f: np.ndarray, prior_mean, prior_cov, stream: str, seed: int):
+        self.d = len(gram_f)
+        P0 = np.linalg.inv(prior_cov)
+        A = P0 + gram_f
+        self.Ci = np.linalg.inv(np.linalg.cholesky(0.5 * (A + A.T)))
+        self.pm = P0 @ np.asarray(prior_mean, dtype=float)
+        self.base = np.array([[R.counter_base(f"e{j}#{h}", stream, seed) for j in range(self.d)] for h in (1, 2)], np.uint64)
+
+    def step(self, t: int, b: np.ndarray) -> np.ndarray:
+        u1, u2 = R.np_counter_uniform(self.base, t)
+        e = np.sqrt(-2.0 * np.log(u1)) * np.cos(2.0 * math.pi * u2)
+        return self.Ci.T @ (self.Ci @ (self.pm + b) + e)
+
+
+def latent_bases(ids, stream: str, seed: int) -> np.ndarray:
+    return np.array([R.counter_base(i, stream, seed) for i in ids], np.uint64)
+
+
 def gibbs_chain(X, y, prior_mean, prior_cov, num_samples, burn_in=100, probabilities=None,
-                seed=0, chain=0):
-    """F3 for one coreset in numpy (bounded k): draws after burn-in (num_samples x d)."""
+                seed=0, stream="gibbs:0", ids=None):
+    """F3 for one coreset in numpy (bounded k): draws after burn-in (num_samples x d).
+
+    A row's uniforms are a function of its id, ``stream``, ``seed`` and the step (``ids``: its position if not given).
+    """
     X = np.asarray(X, dtype=float)
     y = np.asarray(y, dtype=float)
     n, d = X.shape
     prob = np.full(n, 1.0 / n) if probabilities is None else np.asarray(probabilities, dtype=float)
     fsq = 1.0 / (prob * n)
-    P0 = np.linalg.inv(prior_cov)
-    B = np.linalg.inv(P0 + X.T @ (X * fsq[:, None]))
-    L = np.linalg.cholesky(0.5 * (B + B.T))
-    rng = np.random.default_rng([int(seed), int(chain), 104729])
-    beta = np.zeros(d)
-    pm = P0 @ np.asarray(prior_mean, dtype=float)
-    out = np.empty((num_samples, d))
-    for it in range(num_samples + burn_in):
-        u = rng.random(n)
-        u = np.where(u <= 0, np.finfo(float).tiny, u)
-        lat = np_truncated_normal(X @ beta, y, u)
-        mean = B @ (pm + X.T @ (lat * fsq))
-        beta = mean + L @ rng.standard_normal(d)
-        if it >= burn_in:
-            out[it - burn_in] = beta
+    chain = Chain(X.T @ (X * fsq[:, None]), prior_mean, prior_cov, stream, seed)
+    base = latent_bases(range(n) if ids is None else ids, stream, seed)
+    beta, out = np.zeros(d), np.empty((num_samples, d))
+    for t in range(num_samples + burn_in):
+        z = np_truncated_normal(X @ beta, y, R.np_counter_uniform(base, t))
+        beta = chain.step(t, X.T @ (z * fsq))
+        if t >= burn_in:
+            out[t - burn_in] = beta
     return out
 
 
+BLOCKS = 256        # blocks of rows whose sums are added in their order, however many tasks hold them
+SEGMENT = 250       # steps of a barrier stage, after which its draws are written
+
+
+def gibbs_barrier(rows: DataFrame, d: int, prior_mean, prior_cov, num_samples: int, burn_in: int, stream: str,
+                  seed: int, n: int, prob_col: str | None = None, tasks: int | None = None) -> DataFrame:
+    """F3 for a group of any size: (draw, beta). ``rows``: (id, x, y[, p]); ``n``: their number.
+
+    The rows are dealt to ``tasks`` barrier tasks by block and stay there as arrays. In each step a task draws its
+    rows' latent variables and sums X^T (f z) by block; the tasks exchange these d-vectors, add all blocks in order
+    and compute the same next beta. So draws don't depend on the number of tasks. A stage takes ``SEGMENT`` steps and
+    its draws are written, so a lost executor costs at most that; the next stage goes on from the last beta.
+    """
+    from functools import reduce
+
+    from pyspark import StorageLevel
+
+    from ..session import scratch_path
+
+    spark = rows.sparkSession
+    tasks = min(BLOCKS, tasks or spark.sparkContext.defaultParallelism)
+    p = F.col(prob_col).cast("double") if prob_col else F.lit(1.0 / n)
+    rows = rows.select(F.col("id").cast("string").alias("id"), "x", F.col("y").cast("double").alias("y"), (1.0 / (p * F.lit(float(n)))).alias("f"))
+    gram_f = gram(rows, d, weight="f")
+    chain = Chain(gram_f, prior_mean, prior_cov, stream, seed)
+    block = F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int")
+    dealt = (rows.withColumn("block", block).repartition(tasks, F.col("block") % tasks)
+             .sortWithinPartitions("block", "id").persist(StorageLevel.MEMORY_AND_DISK))
+    dealt.count()
+
+    def stage(first: int, last: int, beta0):
+        def run(batches):
+            import base64
+            import json
+
+            import pyarrow as pa
+            from pyspark import BarrierTaskContext
+
+            from .moments import _batch_matrix
+
+            ctx = BarrierTaskContext.get()
+            parts = [(_batch_matrix(b, "x", d), b.column("y").to_numpy(), b.column("f").to_numpy(), b.column("block").to_numpy(),
+                      latent_bases(b.column("id").to_pylist(), stream, seed)) for b in batches if b.num_rows]
+            X, y, f, blk, base = (np.concatenate(v) for v in zip(*parts)) if parts else (np.zeros((0, d)), *([np.zeros(0)] * 3), np.zeros(0, np.uint64))
+            blocks, starts = np.unique(blk, return_index=True)
+            beta, drawn = np.asarray(beta0, float), []
+            for t in range(first, last):
+                sums = np.zeros((0, d))
+                if len(y):
+                    z = np_truncated_normal(X @ beta, y, R.np_counter_uniform(base, t))
+                    sums = np.add.reduceat(X * (z * f)[:, None], starts, axis=0)
+                said = json.dumps([blocks.astype(int).tolist(), base64.b64encode(sums.tobytes()).decode()])
+                table = np.zeros((BLOCKS, d))
+                for at, data in map(json.loads, ctx.allGather(said)):
+                    table[at] = np.frombuffer(base64.b64decode(data)).reshape(-1, d)
+                beta = chain.step(t, table.sum(axis=0))
+                drawn.append((t, beta))
+            if ctx.partitionId() == 0:
+                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in drawn], pa.int32()), pa.array([v.tolist() for _, v in drawn], pa.list_(pa.float64()))],
+                                                 names=["step", "beta"])
+
+        path = scratch_path(spark, "gibbs")
+        dealt.mapInArrow(run, "step int, beta array<double>", barrier=True).write.parquet(path)
+        return spark.read.schema("step int, beta array<double>").parquet(path)
+
+    beta, done, total = np.zeros(d), [], num_samples + burn_in
+    for first in range(0, total, SEGMENT):
+        last = min(total, first + SEGMENT)
+        done.append(stage(first, last, beta))
+        beta = np.asarray(done[-1].where(F.col("step") == last - 1).first()["beta"])
+    dealt.unpersist()
+    return reduce(DataFrame.unionByName, done).where(F.col("step") >= burn_in).select((F.col("step") - burn_in).alias("draw"), "beta")
+
+
 def posterior_draws(df: DataFrame, group_cols, d: int, prior_mean=None, prior_cov=None,
                     num_samples: int = 1000, num_chains: int = 1, burn_in: int = 100, seed: int = 0,
-                    prob_col: str | None = None, sizes=None, max_group_rows: int = 2_000_000) -> DataFrame:
-    """F3 fan-out: one chain per (group, chain) inside one task each.
-
-    Rows: group cols, [size], chain, draw, beta ARRAY<DOUBLE>. With ``sizes`` the group holds
-    ranked coreset rows and one posterior is drawn per size on ``rank <= size``; a size above
-    the group's rows gives one row with a null draw and beta. A chain needs its group's rows in
-    one task: ``max_group_rows`` states how many that may be.
+                    prob_col: str | None = None, sizes=None, task_rows: int = 500_000) -> DataFrame:
+    """chains per group. Rows: group cols, [size], chain, draw, beta ARRAY<DOUBLE>.
+
+    With ``sizes`` the group holds ranked coreset rows and one posterior is drawn per size on ``rank <= size``; a size
+    above the group's rows gives one row with a null draw and beta. Groups (or sizes) of up to ``task_rows`` rows are
+    chains inside one task each; each larger one is a job of barrier tasks (``gibbs_barrier``). Both give the same
+    draws up to the order in which rows are summed: the randomness of a chain is a function of the row's id and of
+    '<group values>:<size>:<chain>'.
     """
     import pandas as pd
 
     prior_mean = np.zeros(d) if prior_mean is None else np.asarray(prior_mean, dtype=float)
     prior_cov = 10.0 * np.eye(d) if prior_cov is None else np.asarray(prior_cov, dtype=float)
     gcols = list(group_cols)
-    mx = df.groupBy(*gcols).count().agg(F.max("count")).collect()[0][0]
-    if mx is not None and mx > max_group_rows:
-        raise ValueError(f"a coreset group holds {mx} rows; too large for one chain task")
-    size_list = sorted(int(s) for s in sizes) if sizes is not None else None
-    chains = df.withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(num_chains - 1))))
-
-    def kernel(pdf: "pd.DataFrame") -> "pd.DataFrame":
-        key = {c: pdf[c].iloc[0] for c in gcols}
-        ch = int(pdf["chain"].iloc[0])
-        if size_list is not None:
-            pdf = pdf.sort_values("rank", kind="mergesort")
+    size_list = sorted(int(s) for s in sizes) if sizes is not None else [None]
+    sel = gcols + ["id", "x", "y"] + ([prob_col] if prob_col else []) + (["rank"] if sizes is not None else [])
+    rows = df.select(*sel)
+    few = [s for s in size_list if s is None or s <= task_rows]
+    large = [s for s in size_list if s is not None and s > task_rows]
+    counts = rows.groupBy(*gcols).count()
+    groups = counts.collect() if large else counts.where(F.col("count") > task_rows).collect() if None in few else []
+    name = lambda key, s, ch: "gibbs:" + ":".join(map(str, [*key, "all" if s is None else s, ch]))
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join(f"{c} {types[c]}" for c in gcols) + (", size INT" if sizes is not None else "") + ", chain INT, draw INT, beta ARRAY<DOUBLE>"
+
+    def kernel(pdf):
+        key, ch = [pdf[c].iloc[0] for c in gcols], int(pdf["chain"].iloc[0])
+        pdf = pdf.sort_values(["rank", "id"] if sizes is not None else ["id"], kind="mergesort")
         X = np.stack(pdf["x"].to_numpy()).astype(float).reshape(-1, d)
-        y = pdf["y"].to_numpy().astype(float)
+        y, ids = pdf["y"].to_numpy().astype(float), pdf["id"].astype(str).tolist()
         pr = pdf[prob_col].to_numpy().astype(float) if prob_col else None
-        gseed = zlib.crc32(":".join(str(v) for v in key.values()).encode()) % (2 ** 31)
         frames = []
-        for s in (size_list or [None]):
-            if s is not None and s > len(y):  # the group is smaller than this size: one row without a draw
-                frames.append(pd.DataFrame({**{c: [key[c]] for c in gcols}, "size": [np.int32(s)], "chain": [np.int32(ch)],
-                                            "draw": pd.array([None], dtype="Int32"), "beta": [None]}))
-                continue
+        for s in few:
             m = len(y) if s is None else s
-            draws = gibbs_chain(X[:m], y[:m], prior_mean, prior_cov, num_samples, burn_in,
-                                None if pr is None else pr[:m], seed + gseed + m, ch)
-            fr = pd.DataFrame({"draw": np.arange(num_samples, dtype=np.int32),
-                               "beta": list(draws)})
-            for c in gcols:
-                fr[c] = key[c]
+            if m > len(y):  # the group is smaller than this size: one row without a draw
+                got = pd.DataFrame({"draw": pd.array([None], dtype="Int32"), "beta": [None]})
+            else:
+                draws = gibbs_chain(X[:m], y[:m], prior_mean, prior_cov, num_samples, burn_in,
+                                    None if pr is None else pr[:m], seed, name(key, s, ch), ids[:m])
+                got = pd.DataFrame({"draw": np.arange(num_samples, dtype=np.int32), "beta": list(draws)})
+            for c, v in zip(gcols, key):
+                got[c] = v
             if s is not None:
-                fr["size"] = np.int32(s)
-            fr["chain"] = np.int32(ch)
-            frames.append(fr)
+                got["size"] = np.int32(s)
+            got["chain"] = np.int32(ch)
+            frames.append(got)
         return pd.concat(frames, ignore_index=True) if frames else pd.DataFrame(
-            columns=gcols + (["size"] if size_list else []) + ["chain", "draw", "beta"])
-
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join(f"{c} {types[c]}" for c in gcols)
-    if size_list is not None:
-        schema += ", size INT"
-    schema += ", chain INT, draw INT, beta ARRAY<DOUBLE>"
-    sel = gcols + ["chain", "x", "y"] + ([prob_col] if prob_col else []) + (["rank"] if size_list else [])
-    return chains.select(*sel).groupBy(*gcols, "chain").applyInPandas(kernel, schema)
+            columns=gcols + (["size"] if sizes is not None else []) + ["chain", "draw", "beta"])
+
+    small = rows.where(F.col("rank") <= F.lit(few[-1] if few else 0)) if large else rows
+    if sizes is None and groups:  # the large groups leave the tasks
+        keys = df.sparkSession.createDataFrame([tuple(r[c] for c in gcols) for r in groups], ", ".join(f"`{c}` {types[c]}" for c in gcols))
+        small = rows.join(F.broadcast(keys), gcols, "left_anti")
+    chains = small.withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(num_chains - 1))))
+    out = chains.groupBy(*gcols, "chain").applyInPandas(kernel, schema)
+    for r in groups:
+        key = [r[c] for c in gcols]
+        own = rows
+        for c, v in zip(gcols, key):
+            own = own.where(F.col(c).eqNullSafe(F.lit(v)))
+        for s in large or [None]:
+            for ch in range(num_chains):
+                m = r["count"] if s is None else s
+                if m > r["count"]:
+                    part = df.sparkSession.range(1).select(F.lit(None).cast("int").alias("draw"), F.lit(None).cast("array<double>").alias("beta"))
+                else:
+                    part = gibbs_barrier(own if s is None else own.where(F.col("rank") <= s), d, prior_mean, prior_cov, num_samples, burn_in,
+                                         name(key, s, ch), seed, m, prob_col)
+                part = part.withColumns({c: F.lit(v).cast(types[c]) for c, v in zip(gcols, key)} | {"chain": F.lit(ch)})
+                out = out.unionByName(part.withColumn("size", F.lit(s)) if s is not None else part)
+    return out
 
 
 def draws_wide(draws: DataFrame, d: int) -> DataFrame:

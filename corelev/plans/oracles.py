@@ -45,9 +45,9 @@ L4_ID = "concat_ws(':', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHA
         "CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR))"
 
 
-def l4_cte(name="l4") -> str:
+def l4_cte(name="l4", ordered=False) -> str:
     feats = [("l_quantity", True), ("l_extendedprice", True), ("l_discount", True), ("l_tax", True)]
-    return design_cte(name, "lineitem", L4_ID, "l_returnflag = 'R'", feats)
+    return design_cte(name, "lineitem", L4_ID, "l_returnflag = 'R'", feats, order_sql="l_orderkey * 8 + l_linenumber" if ordered else None)
 
 
 def o1_cte(name="o1") -> str:

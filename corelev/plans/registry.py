@@ -805,6 +805,35 @@ def sql_reservoir_stream_ev():
             "  row_number() OVER (PARTITION BY key, slot ORDER BY id DESC) AS q FROM wr) WHERE q = 1")
 
 
+def q_ridge_stream_ev(spark, sf):
+    """S2, adaptive: per-user ridge-leverage reservoir (k = 5, c = 0.01) over the events stream."""
+    ST, rows = _ev_stream(spark, sf)
+    return ST.run_to_table(ST.ridge_reservoir_stream(rows, 5, 2, c=0.01), "s2r", mode="update", keys=["key", "slot"])
+
+
+def _ridge_replay(rows_sql: str, c: str, k: int = 5, lam: str = "1e-6") -> str:
+    """CTEs replaying the ridge reservoir row by row: ``rows_sql`` gives (key, id, y, v) with x = (v, 1)."""
+    weight = "least((v * v * s.d - 2 * v * s.b + s.a) / (s.a * s.d - s.b * s.b), 1)"
+    return (f"WITH RECURSIVE src AS ({rows_sql}),\n"
+            "r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY id) AS rn,\n"
+            f"  {O.u('id', 0, 'res1')} AS u1, {O.u('id', 0, 'res2')} AS u2 FROM src),\n"
+            f"s(key, rn, a, b, d, total, id, y, slot) AS (SELECT DISTINCT key, 0::BIGINT, {lam}::DOUBLE, 0::DOUBLE, {lam}::DOUBLE, 0::DOUBLE,\n"
+            "  NULL::BIGINT, NULL::INTEGER, NULL::BIGINT FROM r UNION ALL\n"
+            "  SELECT key, rn, CASE WHEN take THEN a + v * v ELSE a END, CASE WHEN take THEN b + v ELSE b END, CASE WHEN take THEN d + 1 ELSE d END,\n"
+            f"    total, id, y, CASE WHEN NOT take THEN NULL WHEN rn <= {k} THEN rn - 1 ELSE CAST(floor(u2 * {k}) AS BIGINT) % {k} END\n"
+            f"  FROM (SELECT q.*, rn <= {k} OR (total > 0 AND u1 * total < {k} * w) AS take FROM (\n"
+            f"    SELECT s.key, r.rn, s.a, s.b, s.d, s.total + {weight} + {c} AS total, {weight} + {c} AS w, r.id, r.y, r.v, r.u1, r.u2\n"
+            "    FROM s JOIN r ON r.key = s.key AND r.rn = s.rn + 1) q)),\n"
+            "held AS (SELECT key, slot, id, y FROM (SELECT *, row_number() OVER (PARTITION BY key, slot ORDER BY rn DESC) AS q\n"
+            "  FROM s WHERE slot IS NOT NULL) WHERE q = 1)\n")
+
+
+def sql_ridge_stream_ev():
+    rows = ("SELECT user_id AS key, event_id AS id, CASE WHEN event_type = 'error' THEN 1 ELSE -1 END AS y, "
+            "CAST(value AS DOUBLE) AS v FROM events")
+    return _ridge_replay(rows, "0.01") + "SELECT key, CAST(slot AS INTEGER) AS slot, id, y FROM held"
+
+
 def q_sgd_stream_ev(spark, sf):
     """S3: streaming mini-batch probit SGD (foreachBatch); final beta as rows."""
     ST, rows = _ev_stream(spark, sf)
@@ -882,6 +911,13 @@ def q_online_ridge_ev(spark, sf):
     return SM.online_ridge_sample(des.df, 5, "user_id", c=1.0 / des.n, d=des.d).select("user_id", "id", "y", "w")
 
 
+def sql_online_ridge_ev():
+    body = _ridge_replay("SELECT e.user_id AS key, ev.id, ev.y, ev.x0 AS v FROM ev JOIN events e ON e.event_id = ev.id",
+                         "(SELECT 1.0 / count(*) FROM events)")
+    body = body.replace("WITH RECURSIVE ", f"WITH RECURSIVE {O.ev_cte()},\n", 1)
+    return body + "SELECT key AS user_id, id, y, 1.0 AS w FROM held"
+
+
 # ---------------------------------------------------------------- models and baselines
 
 def q_sgd_epoch_l4(spark, sf):
@@ -969,30 +1005,145 @@ def sql_augmentation_step_l4():
     return _sql_trunc(parts)
 
 
-def _bayes(spark, sf, method):
+def _bayes(spark, sf, method, sizes=(200, 400), num_samples=200, online=False):
     from .sweep import bayes_sweep
 
-    des = T.lineitem_design(spark, sf)
-    return bayes_sweep(des, method, sizes=[200, 400], runs=[1, 2], num_samples=200, burn_in=50)
+    out = bayes_sweep(T.lineitem_design(spark, sf), method, sizes=list(sizes), runs=[1, 2], num_samples=num_samples, burn_in=50, online=online)
+    return out.drop("reduction_time_s", "total_time_s")
+
+
+def _rounded_draws(draws):
+    return draws.select("run", "size", "chain", "draw", *[F.round(f"beta_{j}", 6).alias(f"beta_{j}") for j in range(5)])
 
 
 def q_bayes_uniform_l4(spark, sf):
     """H9/H10 + F3: uniform coresets -> Gibbs posterior draws per (run, size)."""
-    return _bayes(spark, sf, "uniform").drop("reduction_time_s", "total_time_s")
+    return _rounded_draws(_bayes(spark, sf, "uniform"))
 
 
 def q_bayes_leverage_l4(spark, sf):
     """H10 + F3: leverage coresets -> Gibbs posterior draws per (run, size)."""
-    return _bayes(spark, sf, "leverage").drop("reduction_time_s", "total_time_s")
+    return _rounded_draws(_bayes(spark, sf, "leverage"))
 
 
 def q_bayes_online_l4(spark, sf):
     """H10 + F3: online-leverage coresets -> Gibbs posterior draws per (run, size)."""
-    from .sweep import bayes_sweep
+    return _rounded_draws(_bayes(spark, sf, "leverage", sizes=(200,), num_samples=100, online=True))
+
+
+def q_bayes_barrier_l4(spark, sf):
+    """F3 over all line items: one chain whose rows stay in barrier tasks (10 draws after 10 steps)."""
+    from ..operators.posterior import gibbs_barrier
 
     des = T.lineitem_design(spark, sf)
-    out = bayes_sweep(des, "leverage", sizes=[200], runs=[1, 2], num_samples=100, burn_in=50, online=True)
-    return out.drop("reduction_time_s", "total_time_s")
+    out = gibbs_barrier(des.df, des.d, np.zeros(des.d), 10.0 * np.eye(des.d), 10, 10, "gibbs:whole", 0, des.n)
+    return out.select("draw", *[F.round(F.col("beta")[j], 6).alias(f"beta_{j}") for j in range(des.d)])
+
+
+def _gibbs_ctes(src: str, d: int, steps: int, stream: str, group=()) -> str:
+    """CTEs replaying the chain of every group: ``chain`` (group columns, step from 0, b0..b{d-1}).
+
+    ``src``: a table with id, y, x0.., f and the group columns; ``stream``: SQL text of the chain's stream.
+    """
+    from ..functions import random as R
+
+    ks = "".join(f"{k}, " for k in group)
+    on = " AND ".join(f"q.{k} = c.{k}" for k in group) or "true"
+    xs = ", ".join(f"x{j}" for j in range(d))
+    bs = ", ".join(f"b{j}" for j in range(d))
+    cells = ", ".join(f"sum(f * x{i} * x{j}){' + 0.1' if i == j else ''} AS g{i}_{j}" for i in range(d) for j in range(d))
+    by = f" GROUP BY {', '.join(group)}" if group else ""
+    chol, last = O.cholesky_inverse_ctes("gc", "gg", d)
+    noise = []
+    for j in range(d):
+        u1, u2 = (R.counter_uniform_sql(f"n{h}_{j}", "step") for h in (1, 2))
+        noise.append(f"sqrt(-2.0 * ln({u1})) * cos(2.0 * pi() * {u2}) AS e{j}")
+    bases = ", ".join(f"{R.counter_base_sql(f"'e{j}#{h}'", stream, 0)} AS n{h}_{j}" for j in range(d) for h in (1, 2))
+    li = ", ".join(f"li{i}_{j}" for i in range(d) for j in range(i + 1))
+    inner = (f"SELECT q.*, c.step + 1 AS step, {', '.join(f'c.b{j}' for j in range(d))}, "
+             f"{' + '.join(f'q.x{j} * c.b{j}' for j in range(d))} AS m FROM chain c JOIN rows_ q ON {on} WHERE c.step < {steps - 1}")
+    inner = f"SELECT *, {R.counter_uniform_sql('base', 'step')} AS u FROM ({inner})"
+    seen = set()
+    for name, sql in _trunc_stages_sql("duckdb"):
+        inner = f"SELECT * REPLACE ({sql} AS {name}) FROM ({inner})" if name in seen else f"SELECT *, {sql} AS {name} FROM ({inner})"
+        seen.add(name)
+    sums = ", ".join(f"sum(f * z * x{j}) AS r{j}" for j in range(d))
+    group_by = ", ".join([*group, "step"])
+    summed = f"SELECT {ks}step, {sums} FROM ({inner}) GROUP BY {group_by}"
+    v = [f"({' + '.join(f'li{i}_{j} * r{j}' for j in range(i + 1))} + e{i})" for i in range(d)]
+    beta = ", ".join(f"{' + '.join(f'li{i}_{j} * v{i}' for i in range(j, d))} AS b{j}" for j in range(d))
+    join_p = f"USING ({', '.join(group)})" if group else "ON true"
+    return (f"gg AS (SELECT {ks}{cells} FROM {src}{by}),\n{chol},\n"
+            f"par AS MATERIALIZED (SELECT {ks}{li}, {bases} FROM {last}),\n"
+            f"noise AS MATERIALIZED (SELECT {ks}step, {', '.join(noise)} FROM par, (SELECT range AS step FROM range({steps}))),\n"
+            f"rows_ AS MATERIALIZED (SELECT {ks}y AS yd, f, {xs}, {R.counter_base_sql('id', stream, 0)} AS base FROM (SELECT {ks}id, CAST(y AS DOUBLE) AS y, f, {xs} FROM {src})),\n"
+            f"chain({ks}step, {bs}) AS (SELECT DISTINCT {ks}-1::BIGINT, {', '.join('0.0::DOUBLE' for _ in range(d))} FROM rows_ UNION ALL\n"
+            f"  SELECT {ks}step, {beta} FROM (SELECT {ks}step, {li}, {', '.join(f'{e} AS v{i}' for i, e in enumerate(v))}\n"
+            f"    FROM ({summed}) JOIN par {join_p} JOIN noise USING ({group_by}))),\n"
+            f"draws AS MATERIALIZED (SELECT * FROM chain WHERE step >= 0)")
+
+
+def _sql_online_scores(src: str, d: int) -> str:
+    """CTE ``onl``: the rows of ``src`` with their online leverage ``score`` in (ord, id) order: prefix Grams by window
+    sums, G t = x by elimination. The first d rows (independent here) each bring a new direction: score 1."""
+    xs = ", ".join(f"x{j}" for j in range(d))
+    sums = ", ".join(f"sum(x{min(i, j)} * x{max(i, j)}) OVER w AS a{i}_{j}" for i in range(d) for j in range(d))
+    out = [f"onl_w AS (SELECT *, row_number() OVER w AS rn_, {sums}, {', '.join(f'x{i} AS a{i}_{d}' for i in range(d))} FROM {src} "
+           "WINDOW w AS (ORDER BY ord, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"]
+    out.append(f"onl_e0 AS MATERIALIZED (SELECT * FROM onl_w WHERE rn_ > {d})")
+    for k in range(d):
+        cells = [(f"a{k}_{c} / a{k}_{k}" if i == k else f"a{i}_{c} - a{i}_{k} * a{k}_{c} / a{k}_{k}") + f" AS a{i}_{c}" for i in range(d) for c in range(k, d + 1)]
+        out.append(f"onl_e{k + 1} AS MATERIALIZED (SELECT * REPLACE ({', '.join(cells)}) FROM onl_e{k})")
+    dot = " + ".join(f"x{j} * a{j}_{d}" for j in range(d))
+    out.append(f"onl AS MATERIALIZED (SELECT id, y, n, {xs}, greatest(0.0, least(1.0, {dot})) AS score FROM onl_e{d} "
+               f"UNION ALL SELECT id, y, n, {xs}, 1.0 FROM onl_w WHERE rn_ <= {d})")
+    return ",\n".join(out)
+
+
+def _sql_scored(online: bool) -> str:
+    """WITH RECURSIVE body ending in ``scored``: line items with augmented, rounded leverage (sketched or online)."""
+    up = O.round_up_sql("(score + 1.0 / n)")
+    if online:
+        return f"WITH RECURSIVE {O.l4_cte(ordered=True)},\n{_sql_online_scores('l4', 5)},\nscored AS (SELECT * REPLACE ({up} AS score) FROM onl)"
+    return _sql_sketch_scores(False, raw=True).replace("WITH ", "WITH RECURSIVE ", 1) + f",\nscored AS (SELECT * REPLACE ({up} AS score) FROM raw)"
+
+
+def _sql_bayes(method: str, sizes=(200, 400), num_samples=200, burn_in=50, online=False) -> str:
+    """WITH body ending in ``beta_draws`` (run, size, chain, draw, beta_0..beta_4): race samples, then their chains."""
+    if method == "uniform":
+        scored = f"WITH RECURSIVE {O.l4_cte()},\nscored AS (SELECT *, 1.0 AS score FROM l4)"
+    else:
+        scored = _sql_scored(online)
+    u_run = O.u("id", stream_sql=f"'bayes:{method}:' || CAST(run AS VARCHAR)")
+    xs = ", ".join(f"x{j}" for j in range(5))
+    sizes_ = ", ".join(f"({s})" for s in sizes)
+    return (f"{scored},\nruns AS (SELECT unnest([1, 2])::INTEGER AS run), sizes AS (SELECT s::INTEGER AS size FROM (VALUES {sizes_}) v(s)),\n"
+            "tot AS (SELECT sum(score) AS t FROM scored),\n"
+            f"ranked AS MATERIALIZED (SELECT run, id, y, {xs}, score / t AS p, row_number() OVER (PARTITION BY run ORDER BY -ln({u_run}) / score, id) AS rk\n"
+            f"  FROM scored, runs, tot WHERE score > 0 QUALIFY rk <= {max(sizes)}),\n"
+            f"core AS MATERIALIZED (SELECT run, size, id, y, {xs}, 1.0 / (p * size) AS f FROM ranked, sizes WHERE rk <= size),\n"
+            + _gibbs_ctes("core", 5, num_samples + burn_in, "'gibbs:' || run || ':' || size || ':0'", ["run", "size"])
+            + f",\nbeta_draws AS MATERIALIZED (SELECT run, size, 0 AS chain, (step - {burn_in})::INTEGER AS draw, {', '.join(f'b{j} AS beta_{j}' for j in range(5))} FROM draws WHERE step >= {burn_in})\n")
+
+
+_ROUNDED = "SELECT run, size, chain, draw, " + ", ".join(f"round(beta_{j}, 6) AS beta_{j}" for j in range(5)) + " FROM beta_draws"
+
+
+def sql_bayes_uniform_l4():
+    return _sql_bayes("uniform") + _ROUNDED
+
+
+def sql_bayes_leverage_l4():
+    return _sql_bayes("leverage") + _ROUNDED
+
+
+def sql_bayes_online_l4():
+    return _sql_bayes("leverage", (200,), 100, online=True) + _ROUNDED
+
+
+def sql_bayes_barrier_l4():
+    return (f"WITH RECURSIVE {O.l4_cte()},\nrows0 AS (SELECT *, 1.0 AS f FROM l4),\n" + _gibbs_ctes("rows0", 5, 20, "'gibbs:whole'")
+            + "\nSELECT (step - 10)::INTEGER AS draw, " + ", ".join(f"round(b{j}, 6) AS beta_{j}" for j in range(5)) + " FROM draws WHERE step >= 10")
 
 
 def q_posterior_distances_l4(spark, sf):
@@ -1299,7 +1450,11 @@ def sql_sweep_leverage_l4():
 
 def q_sweep_leverage_online_l4(spark, sf):
     """H6 + C22 (online scores computed once and reused for every config), p = 2."""
-    return _sweep(spark, sf, "leverage", online=True).select("run", "size", "ratio")
+    return _sweep(spark, sf, "leverage", online=True).select("run", "size", F.round("ratio", 6).alias("ratio"))
+
+
+def sql_sweep_leverage_online_l4():
+    return O.sweep_sql(_sql_scored(True), "l4", 5, 2.0, "sweep:leverage", [200, 400], [1, 2, 3], weighted=True)
 
 
 def q_sweep_lewis_o1(spark, sf):

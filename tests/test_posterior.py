@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corelev.functions import random as R
@@ -81,3 +82,42 @@ def test_truncated_normal_interval_bounds():
     hl = PO.np_truncated_normal(np.full(50, 0.7), np.ones(50), u[:50])
     iv = PO.np_truncated_normal_interval(0.0, np.inf, 0.7, 1.0, u[:50])
     np.testing.assert_allclose(hl, iv, rtol=1e-9, atol=1e-12)
+
+
+def _two_class(n, d, seed):
+    r = np.random.default_rng(seed)
+    X = r.normal(size=(n, d))
+    return X, np.where(X @ np.arange(1, d + 1) + r.normal(size=n) > 0, 1.0, -1.0)
+
+
+def test_barrier_chain_equals_chain_in_one_task(spark):
+    """Rows spread over 1 or 4 barrier tasks, over several stages: the same draws, and those of the plain chain."""
+    X, y = _two_class(300, 3, 5)
+    df = from_arrays(spark, X, y).repartition(3)
+    args = (3, np.zeros(3), 10.0 * np.eye(3), 8, 2, "gibbs:x", 7, 300)
+    old, PO.SEGMENT = PO.SEGMENT, 6
+    try:
+        got = [[r["beta"] for r in PO.gibbs_barrier(df, *args, tasks=t).orderBy("draw").collect()] for t in (1, 4)]
+    finally:
+        PO.SEGMENT = old
+    assert got[0] == got[1] and len(got[0]) == 8
+    want = PO.gibbs_chain(X, y, np.zeros(3), 10.0 * np.eye(3), 8, 2, seed=7, stream="gibbs:x", ids=[r["id"] for r in df.select("id").orderBy("id").collect()])
+    np.testing.assert_allclose(got[0], want, atol=1e-9)
+
+
+def test_large_groups_and_sizes_go_to_barrier_tasks(spark):
+    """Groups and sizes above ``task_rows`` give the draws that small ones give; too large a size gives a null row."""
+    X, y = _two_class(120, 2, 1)
+    df = from_arrays(spark, X, y).withColumn("run", (F.col("id") % 3 == 0).cast("int")).withColumn("rank", F.row_number().over(Window.partitionBy("run").orderBy("id")))
+    kw = dict(num_samples=2, num_chains=2, burn_in=1, seed=3)
+
+    def draws(out, cols):
+        return {tuple(r[c] for c in cols): r["beta"] for r in out.collect()}
+
+    cols = ["run", "chain", "draw"]
+    a, b = (draws(PO.posterior_draws(df, ["run"], 2, task_rows=t, **kw), cols) for t in (1000, 50))
+    assert a.keys() == b.keys() and len(a) == 8 and all(np.allclose(a[k], b[k], atol=1e-9) for k in a)
+    cols = ["run", "size", "chain", "draw"]
+    a, b = (draws(PO.posterior_draws(df, ["run"], 2, task_rows=t, sizes=[20, 40, 60], **kw), cols) for t in (1000, 30))
+    assert a.keys() == b.keys() and (1, 60, 0, None) in a
+    assert all((a[k] is None and b[k] is None) or np.allclose(a[k], b[k], atol=1e-9) for k in a)
