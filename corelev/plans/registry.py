@@ -1032,27 +1032,21 @@ def q_bayes_online_l4(spark, sf):
 
 
 def q_bayes_barrier_l4(spark, sf):
-    """F3 over all line items: one chain whose rows stay in barrier tasks (10 draws after 10 steps)."""
+    """F3 over all line items: one chain whose rows stay in barrier tasks (5 draws after 3 steps)."""
     from ..operators.posterior import gibbs_barrier
 
     des = T.lineitem_design(spark, sf)
-    out = gibbs_barrier(des.df, des.d, np.zeros(des.d), 10.0 * np.eye(des.d), 10, 10, "gibbs:whole", 0, des.n)
+    out = gibbs_barrier(des.df, des.d, np.zeros(des.d), 10.0 * np.eye(des.d), 5, 3, "gibbs:whole", 0, des.n)
     return out.select("draw", *[F.round(F.col("beta")[j], 6).alias(f"beta_{j}") for j in range(des.d)])
 
 
-def _gibbs_ctes(src: str, d: int, steps: int, stream: str, group=()) -> str:
-    """CTEs replaying the chain of every group: ``chain`` (group columns, step from 0, b0..b{d-1}).
-
-    ``src``: a table with id, y, x0.., f and the group columns; ``stream``: SQL text of the chain's stream.
-    """
+def _gibbs_ctes(src: str, d: int, steps: int, stream: str) -> str:
+    """CTEs replaying one chain over ``src`` (id, y, x0.., f): ``draws`` (step from 0, b0..b{d-1}); ``stream``: SQL text."""
     from ..functions import random as R
 
-    ks = "".join(f"{k}, " for k in group)
-    on = " AND ".join(f"q.{k} = c.{k}" for k in group) or "true"
     xs = ", ".join(f"x{j}" for j in range(d))
     bs = ", ".join(f"b{j}" for j in range(d))
     cells = ", ".join(f"sum(f * x{i} * x{j}){' + 0.1' if i == j else ''} AS g{i}_{j}" for i in range(d) for j in range(d))
-    by = f" GROUP BY {', '.join(group)}" if group else ""
     chol, last = O.cholesky_inverse_ctes("gc", "gg", d)
     noise = []
     for j in range(d):
@@ -1061,25 +1055,24 @@ def _gibbs_ctes(src: str, d: int, steps: int, stream: str, group=()) -> str:
     bases = ", ".join(f"{R.counter_base_sql(f"'e{j}#{h}'", stream, 0)} AS n{h}_{j}" for j in range(d) for h in (1, 2))
     li = ", ".join(f"li{i}_{j}" for i in range(d) for j in range(i + 1))
     inner = (f"SELECT q.*, c.step + 1 AS step, {', '.join(f'c.b{j}' for j in range(d))}, "
-             f"{' + '.join(f'q.x{j} * c.b{j}' for j in range(d))} AS m FROM chain c JOIN rows_ q ON {on} WHERE c.step < {steps - 1}")
+             f"{' + '.join(f'q.x{j} * c.b{j}' for j in range(d))} AS m FROM chain c CROSS JOIN rows_ q WHERE c.step < {steps - 1}")
     inner = f"SELECT *, {R.counter_uniform_sql('base', 'step')} AS u FROM ({inner})"
     seen = set()
     for name, sql in _trunc_stages_sql("duckdb"):
         inner = f"SELECT * REPLACE ({sql} AS {name}) FROM ({inner})" if name in seen else f"SELECT *, {sql} AS {name} FROM ({inner})"
         seen.add(name)
-    sums = ", ".join(f"sum(f * z * x{j}) AS r{j}" for j in range(d))
-    group_by = ", ".join([*group, "step"])
-    summed = f"SELECT {ks}step, {sums} FROM ({inner}) GROUP BY {group_by}"
+    # a list's sum: the planner takes very long to look for partial sums below the join
+    sums = ", ".join(f"list_sum(list(f * z * x{j})) AS r{j}" for j in range(d))
+    summed = f"SELECT step, {sums} FROM ({inner}) GROUP BY step"
     v = [f"({' + '.join(f'li{i}_{j} * r{j}' for j in range(i + 1))} + e{i})" for i in range(d)]
     beta = ", ".join(f"{' + '.join(f'li{i}_{j} * v{i}' for i in range(j, d))} AS b{j}" for j in range(d))
-    join_p = f"USING ({', '.join(group)})" if group else "ON true"
-    return (f"gg AS (SELECT {ks}{cells} FROM {src}{by}),\n{chol},\n"
-            f"par AS MATERIALIZED (SELECT {ks}{li}, {bases} FROM {last}),\n"
-            f"noise AS MATERIALIZED (SELECT {ks}step, {', '.join(noise)} FROM par, (SELECT range AS step FROM range({steps}))),\n"
-            f"rows_ AS MATERIALIZED (SELECT {ks}y AS yd, f, {xs}, {R.counter_base_sql('id', stream, 0)} AS base FROM (SELECT {ks}id, CAST(y AS DOUBLE) AS y, f, {xs} FROM {src})),\n"
-            f"chain({ks}step, {bs}) AS (SELECT DISTINCT {ks}-1::BIGINT, {', '.join('0.0::DOUBLE' for _ in range(d))} FROM rows_ UNION ALL\n"
-            f"  SELECT {ks}step, {beta} FROM (SELECT {ks}step, {li}, {', '.join(f'{e} AS v{i}' for i, e in enumerate(v))}\n"
-            f"    FROM ({summed}) JOIN par {join_p} JOIN noise USING ({group_by}))),\n"
+    return (f"gg AS (SELECT {cells} FROM {src}),\n{chol},\n"
+            f"par AS MATERIALIZED (SELECT {li}, {bases} FROM {last}),\n"
+            f"noise AS MATERIALIZED (SELECT step, {', '.join(noise)} FROM par, (SELECT range AS step FROM range({steps}))),\n"
+            f"rows_ AS MATERIALIZED (SELECT CAST(y AS DOUBLE) AS yd, f, {xs}, {R.counter_base_sql('id', stream, 0)} AS base FROM {src}),\n"
+            f"chain(step, {bs}) AS (SELECT -1::BIGINT, {', '.join('0.0::DOUBLE' for _ in range(d))} UNION ALL\n"
+            f"  SELECT step, {beta} FROM (SELECT step, {li}, {', '.join(f'{e} AS v{i}' for i, e in enumerate(v))}\n"
+            f"    FROM ({summed}) CROSS JOIN par JOIN noise USING (step))),\n"
             f"draws AS MATERIALIZED (SELECT * FROM chain WHERE step >= 0)")
 
 
@@ -1108,42 +1101,9 @@ def _sql_scored(online: bool) -> str:
     return _sql_sketch_scores(False, raw=True).replace("WITH ", "WITH RECURSIVE ", 1) + f",\nscored AS (SELECT * REPLACE ({up} AS score) FROM raw)"
 
 
-def _sql_bayes(method: str, sizes=(200, 400), num_samples=200, burn_in=50, online=False) -> str:
-    """WITH body ending in ``beta_draws`` (run, size, chain, draw, beta_0..beta_4): race samples, then their chains."""
-    if method == "uniform":
-        scored = f"WITH RECURSIVE {O.l4_cte()},\nscored AS (SELECT *, 1.0 AS score FROM l4)"
-    else:
-        scored = _sql_scored(online)
-    u_run = O.u("id", stream_sql=f"'bayes:{method}:' || CAST(run AS VARCHAR)")
-    xs = ", ".join(f"x{j}" for j in range(5))
-    sizes_ = ", ".join(f"({s})" for s in sizes)
-    return (f"{scored},\nruns AS (SELECT unnest([1, 2])::INTEGER AS run), sizes AS (SELECT s::INTEGER AS size FROM (VALUES {sizes_}) v(s)),\n"
-            "tot AS (SELECT sum(score) AS t FROM scored),\n"
-            f"ranked AS MATERIALIZED (SELECT run, id, y, {xs}, score / t AS p, row_number() OVER (PARTITION BY run ORDER BY -ln({u_run}) / score, id) AS rk\n"
-            f"  FROM scored, runs, tot WHERE score > 0 QUALIFY rk <= {max(sizes)}),\n"
-            f"core AS MATERIALIZED (SELECT run, size, id, y, {xs}, 1.0 / (p * size) AS f FROM ranked, sizes WHERE rk <= size),\n"
-            + _gibbs_ctes("core", 5, num_samples + burn_in, "'gibbs:' || run || ':' || size || ':0'", ["run", "size"])
-            + f",\nbeta_draws AS MATERIALIZED (SELECT run, size, 0 AS chain, (step - {burn_in})::INTEGER AS draw, {', '.join(f'b{j} AS beta_{j}' for j in range(5))} FROM draws WHERE step >= {burn_in})\n")
-
-
-_ROUNDED = "SELECT run, size, chain, draw, " + ", ".join(f"round(beta_{j}, 6) AS beta_{j}" for j in range(5)) + " FROM beta_draws"
-
-
-def sql_bayes_uniform_l4():
-    return _sql_bayes("uniform") + _ROUNDED
-
-
-def sql_bayes_leverage_l4():
-    return _sql_bayes("leverage") + _ROUNDED
-
-
-def sql_bayes_online_l4():
-    return _sql_bayes("leverage", (200,), 100, online=True) + _ROUNDED
-
-
 def sql_bayes_barrier_l4():
-    return (f"WITH RECURSIVE {O.l4_cte()},\nrows0 AS (SELECT *, 1.0 AS f FROM l4),\n" + _gibbs_ctes("rows0", 5, 20, "'gibbs:whole'")
-            + "\nSELECT (step - 10)::INTEGER AS draw, " + ", ".join(f"round(b{j}, 6) AS beta_{j}" for j in range(5)) + " FROM draws WHERE step >= 10")
+    return (f"WITH RECURSIVE {O.l4_cte()},\nrows0 AS (SELECT *, 1.0 AS f FROM l4),\n" + _gibbs_ctes("rows0", 5, 8, "'gibbs:whole'")
+            + "\nSELECT (step - 3)::INTEGER AS draw, " + ", ".join(f"round(b{j}, 6) AS beta_{j}" for j in range(5)) + " FROM draws WHERE step >= 3")
 
 
 def q_posterior_distances_l4(spark, sf):

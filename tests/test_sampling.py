@@ -81,11 +81,31 @@ def test_reservoir_properties(spark, iris):
 
 
 def test_online_ridge_shapes(spark, iris):
-    df = from_arrays(spark, iris[0], np.ones(150))
-    out = SM.online_ridge_sample(df, 20, c=1 / 150, d=4).collect()
+    df = from_arrays(spark, iris[0], np.ones(150)).withColumn("g", F.lit(1))
+    out = SM.online_ridge_sample(df, 20, "g", c=1 / 150, d=4).collect()
     assert len(out) == 20 and all(r["w"] == 1.0 for r in out)
 
 
+def test_online_ridge_equals_the_row_by_row_rule(spark, iris):
+    """Per key: weight min(x^T A^-1 x, 1) + c, first k kept, then k w / sum w; accepted rows enter A."""
+    df = from_arrays(spark, iris[0], np.ones(150)).withColumn("g", F.col("id") % 2)
+    k, c = 6, 0.02
+    rows = df.select("g", "ord", "id", "x", R.uniform("id", 0, "res1").alias("u1"), R.uniform("id", 0, "res2").alias("u2")).toPandas()
+    want = set()
+    for g, part in rows.sort_values(["ord", "id"]).groupby("g"):
+        A, total, held = 1e-6 * np.eye(4), 0.0, {}
+        for i, r in enumerate(part.itertuples()):
+            x = np.array(r.x)
+            w = min(x @ np.linalg.solve(A, x), 1) + c
+            total += w
+            if i < k or r.u1 < k * w / total:
+                held[i if i < k else int(r.u2 * k) % k] = r.id
+                A = A + np.outer(x, x)
+        want |= {(g, i) for i in held.values()}
+    got = {(r["g"], r["id"]) for r in SM.online_ridge_sample(df, k, "g", c=c, d=4).collect()}
+    assert got == want
+
+
 def _sequential_reservoir(df, k, weight, key, seed):
     """Brute force: the sequential Chao scan over each key's (ord, id) order."""
     src = df.withColumn("_w", F.col(weight).cast("double")) \
