@@ -27,7 +27,7 @@ class WordHash(dict):
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
-    def tidy(self, most: int = 400_000):
+    def tidy(self, most: int = 100_000):
         if len(self) > most:
             self.clear()
 

@@ -39,7 +39,7 @@ class Known(dict):
 
     def of(self, text: bytes) -> tuple[list[int], int]:
         """Numbers of the text's features, and its count of distinct words."""
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         ws, out = words(text), set()
         for w in ws:
