@@ -1517,6 +1517,68 @@ def sql_libsvm_orders():
     return (f"WITH {O.o1_cte()}\nSELECT y, count(*) AS n, count(*) AS ids, round(sum(x0), 6) AS s0, round(sum(x1), 6) AS s1 FROM o1 GROUP BY y")
 
 
+def q_libsvm_sparse_l4(spark, sf):
+    """A5 kept sparse: line items as svmlight text and back; cells and Gram from the non-zeros."""
+    from ..operators import sparse as SP
+    from ..session import scratch_path
+    from ..sources import files as FS
+
+    des = T.lineitem_design(spark, sf)
+    path = scratch_path(spark, "svm")
+    FS.write_libsvm(des.df.select("y", "x"), path)
+    back = FS.read_libsvm_sparse(spark, path)
+    cells = back.select("y", F.explode(F.arrays_zip("idx", "val")).alias("c"))
+    sums = cells.groupBy("y", F.col("c.idx").alias("j")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c.val"), 6).alias("s"))
+    G = SP.gram(back, des.d)
+    diag = spark.createDataFrame([(j, round(float(G[j, j]) / des.n, 6), round(float(G[j, 0]) / des.n, 6)) for j in range(des.d)], "j INT, g DOUBLE, g0 DOUBLE")
+    return sums.join(diag, "j")
+
+
+def sql_libsvm_sparse_l4():
+    cells = " UNION ALL ".join(f"SELECT y, {j} AS j, x{j} AS v FROM l4 WHERE x{j} <> 0" for j in range(5))
+    g = " UNION ALL ".join(f"SELECT {j} AS j, round(sum(x{j} * x{j}) / count(*), 6) AS g, round(sum(x{j} * x0) / count(*), 6) AS g0 FROM l4" for j in range(5))
+    return (f"WITH {O.l4_cte()},\nc AS ({cells}), g AS ({g})\n"
+            "SELECT c.j, y, count(*) AS n, round(sum(v), 6) AS s, any_value(g) AS g, any_value(g0) AS g0 FROM c JOIN g ON c.j = g.j GROUP BY c.j, y")
+
+
+def q_sparse_leverage_l4(spark, sf):
+    """C7 on non-zeros: leverage scores of sparse line items."""
+    from ..operators import sparse as SP
+
+    des = T.lineitem_design(spark, sf)
+    return SP.leverage_scores(SP.sparse_rows(des.df), des.d).select("id", F.round("score", 8).alias("score"))
+
+
+def sql_sparse_leverage_l4():
+    return f"WITH {O.l4_cte()},\n{O.leverage_cte('lev', 'l4', 5)}\nSELECT id, round(score, 8) AS score FROM lev"
+
+
+def q_sparse_countsketch_l4(spark, sf):
+    """C2 on non-zeros, the same cells as the dense sketch."""
+    from ..operators import sparse as SP
+
+    des = T.lineitem_design(spark, sf)
+    s = S.sketch_size(des.n, des.d, 2.0)
+    return SP.countsketch(SP.sparse_rows(des.df), s, seed=0).select("bucket", "j", F.round("value", 6).alias("value"))
+
+
+def sql_sparse_countsketch_l4():
+    return sql_countsketch_l4()
+
+
+def q_fit_lbfgs_l4(spark, sf):
+    """E8/E9 by limited-memory quasi-Newton steps on sparse rows: the optimum of fit_l4."""
+    from ..operators import sparse as SP
+
+    des = T.lineitem_design(spark, sf)
+    r = SP.fit(SP.sparse_rows(des.df), 2.0, des.d)
+    return spark.createDataFrame([(j, float(b)) for j, b in enumerate(r.beta)], "j INT, beta DOUBLE").withColumn("beta", F.round("beta", 4))
+
+
+def sql_fit_lbfgs_l4():
+    return sql_fit_l4()
+
+
 def q_beta_store_o1(spark, sf):
     """Full-data beta_opt of the orders design (p = 2) stored as (dataset, p, j, beta) rows
     in a parquet folder and read back for that dataset and p."""

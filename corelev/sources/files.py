@@ -51,6 +51,20 @@ def read_libsvm(spark: SparkSession, path: str, num_features: int | None = None,
     return rows.select(F.xxhash64("_h", F.row_number().over(same)).alias("id"), "y", "w", "x")
 
 
+def read_libsvm_sparse(spark: SparkSession, path: str) -> DataFrame:
+    """A5 kept sparse: svmlight text -> (id, y, w, idx, val), places from 0, as in ``operators.sparse``; native
+    expressions on each line, whatever the number of columns. Comments (#) and ``qid`` are left out, blank lines too."""
+    line = F.split(F.trim(F.substring_index("value", "#", 1)), r"\s+")
+    rows = spark.read.text(path).select(line.alias("t")).where(F.get("t", F.lit(0)) != "")
+    pairs = F.filter(F.slice("t", F.lit(2), F.size("t")), lambda t: t.contains(":") & ~t.startswith("qid:"))
+    rows = rows.select(F.when(F.get("t", F.lit(0)).cast("double") > 0, 1).otherwise(-1).alias("y"), F.lit(1.0).alias("w"),
+                       F.transform(pairs, lambda t: F.substring_index(t, ":", 1).cast("int") - 1).alias("idx"),
+                       F.transform(pairs, lambda t: F.substring_index(t, ":", -1).cast("double")).alias("val"))
+    rows = rows.withColumn("_h", F.xxhash64("y", "idx", "val"))
+    same = Window.partitionBy("_h").orderBy("_h")  # equal rows are numbered
+    return rows.select(F.xxhash64("_h", F.row_number().over(same)).alias("id"), "y", "w", "idx", "val")
+
+
 def write_libsvm(df: DataFrame, path: str) -> None:
     """(y, x) rows as svmlight text: the label, then ``index:value`` (from 1) of every non-zero entry."""
     pairs = F.filter(F.transform("x", lambda v, i: F.when(v != 0, F.concat((i + 1).cast("string"), F.lit(":"), v.cast("string")))),
