@@ -1456,8 +1456,18 @@ def q_sweep_summary_l4(spark, sf):
     res = run_methods(des, 2.0, sizes=[200, 400], runs=[1, 2, 3]).persist()
     summ = G.sweep_summary(res, ["method", "size"], "ratio", "total_time_s")
     inv = G.run_inventory(res.withColumn("p", F.lit(2.0)).withColumn("dataset", F.lit("lineitem")))
-    return G.sort_by(summ.join(inv.select("method", "max_run"), "method"), "median_total_time_s") \
-        .select("method", "size", "median_ratio", "q25", "q75", "mad", "std", "max_run")
+    out = G.sort_by(summ.join(inv.select("method", "max_run"), "method"), "median_total_time_s")
+    return out.select("method", "size", "max_run", *[F.round(c, 6).alias(c) for c in ("median_ratio", "q25", "q75", "mad", "std")])
+
+
+def sql_sweep_summary_l4():
+    each = {"uniform": sql_sweep_uniform_l4(), "leverage": sql_sweep_leverage_l4(), "leverage_online": sql_sweep_leverage_online_l4()}
+    runs = " UNION ALL ".join(f"SELECT '{m}' AS method, * FROM ({q.replace('round(lb.f / lf.f, 6) AS ratio', 'lb.f / lf.f AS ratio')})" for m, q in each.items())
+    return (f"WITH res AS MATERIALIZED ({runs}),\n"
+            "med AS (SELECT method, size, median(ratio) AS med FROM res GROUP BY method, size)\n"
+            "SELECT method, size, max(run) AS max_run, round(any_value(med), 6) AS median_ratio, round(quantile_cont(ratio, 0.25), 6) AS q25,\n"
+            "  round(quantile_cont(ratio, 0.75), 6) AS q75, round(median(abs(ratio - med)), 6) AS mad, round(stddev_samp(ratio), 6) AS std\n"
+            "FROM res JOIN med USING (method, size) GROUP BY method, size")
 
 
 def q_size_search_l4(spark, sf):

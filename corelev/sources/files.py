@@ -122,14 +122,77 @@ def max_run(spark: SparkSession, path: str, fmt: str = "parquet") -> int:
     return int(v or 0)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, Path class) of ``path``."""
+    jvm = spark.sparkContext._jvm
+    cls = jvm.org.apache.hadoop.fs.Path
+    return cls(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), cls
+
+
+def _create_new(fs, at) -> bool:
+    """Make an empty file; False if it is there already. One of several writers succeeds: local and mounted files by an
+    exclusive open, others by the store's own create without overwriting (atomic on HDFS)."""
+    import os
+
+    from py4j.protocol import Py4JJavaError
+
+    uri = at.toUri()
+    if (uri.getScheme() or fs.getUri().getScheme()) == "file":
+        try:
+            os.close(os.open(uri.getPath(), os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+        except FileExistsError:
+            return False
+        return True
+    try:
+        fs.create(at, False).close()
+    except Py4JJavaError:
+        if fs.exists(at):
+            return False
+        raise
+    return True
+
+
+def claim_runs(spark: SparkSession, path: str, runs, fmt: str = "parquet") -> int:
+    """The offset m under which all run numbers m + r are this writer's alone.
+
+    A run number is claimed by an empty file of its name in ``path/_claims``. The offset starts from the largest run
+    written or claimed; if another writer takes one of the numbers meanwhile, the next try starts above its claims,
+    and the numbers claimed in vain stay unused.
+    """
+    fs, cls = _hadoop(spark, path)
+    folder = cls(f"{path}/_claims")
+    fs.mkdirs(folder)
+    while True:
+        taken = [int(s.getPath().getName()) for s in fs.listStatus(folder) if s.getPath().getName().isdigit()]
+        m = max([max_run(spark, path, fmt), *taken])
+        if all(_create_new(fs, cls(folder, str(m + r))) for r in sorted(runs)):
+            return m
+
+
 def append_with_run_offset(df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
-    """Run += max(existing run), then append (partitioned by run; parquet or csv with header)."""
-    m = max_run(df.sparkSession, path, fmt)
+    """Run += largest run so far, then append (one folder a run; parquet or csv with header).
+
+    Safe with several writers: the run numbers are claimed first (``claim_runs``), the rows written to a folder of
+    their own, and each finished run folder renamed into place, where nobody else's can be.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    runs = [r["run"] for r in df.select(F.col("run").cast("int").alias("run")).distinct().collect()]
+    m = claim_runs(spark, path, runs, fmt) if runs else max_run(spark, path, fmt)
     out = df.withColumn("run", (F.col("run") + F.lit(m)).cast("int"))
-    w = out.write.mode("append").partitionBy("run")
+    if not runs:
+        return out
+    staging = f"{path}/_staging-{uuid.uuid4().hex[:12]}"
+    w = out.write.partitionBy("run")
     if fmt == "csv":
         w = w.option("header", "true")
-    w.format(fmt).save(path)
+    w.format(fmt).save(staging)
+    fs, cls = _hadoop(spark, path)
+    for r in sorted(runs):
+        if not fs.rename(cls(f"{staging}/run={m + r}"), cls(f"{path}/run={m + r}")):
+            raise OSError(f"run {m + r} could not be moved into {path}")
+    fs.delete(cls(staging), True)
     return out
 
 

@@ -124,3 +124,30 @@ def test_small_summaries(spark):
     r = G.draws_per_second(df, 100, 1000).first()["median_draws_per_s"]
     assert r > 0
     assert [x["k"] for x in G.distinct_values(df, "k").orderBy("k").collect()] == [10, 20]
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_concurrent_appends_get_different_runs(spark, tmp_path, fmt):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "runs")
+
+    def append(k):
+        return FL.append_with_run_offset(spark.createDataFrame([(1, k), (2, k)], "run INT, writer INT"), path, fmt).select("run").collect()
+
+    with ThreadPoolExecutor(4) as pool:
+        claimed = [r["run"] for got in pool.map(append, range(6)) for r in got]
+    assert len(set(claimed)) == 12
+    back = spark.read.option("header", "true").format(fmt).load(path)
+    assert sorted(r["run"] for r in back.collect()) == sorted(claimed)
+    assert back.groupBy("writer").count().where("count = 2").count() == 6
+    assert FL.max_run(spark, path, fmt) == max(claimed)
+
+
+def test_claim_taken_meanwhile(spark, tmp_path):
+    """A number that another writer has claimed but not yet written is passed over."""
+    path = str(tmp_path / "runs")
+    FL.append_with_run_offset(spark.createDataFrame([(1, "a")], "run INT, v STRING"), path)
+    assert FL.claim_runs(spark, path, [1, 2]) == 1
+    out = FL.append_with_run_offset(spark.createDataFrame([(1, "b")], "run INT, v STRING"), path)
+    assert out.first()["run"] == 4
