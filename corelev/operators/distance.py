@@ -58,33 +58,29 @@ def grouped_moments(df: DataFrame, group_cols, d: int, col: str = "x") -> DataFr
         s2 = [F.col(f"b{min(i, j)}_{max(i, j)}") for i in range(d) for j in range(d)]
         return t.select(*g, "cnt", F.array(*[F.col(f"a{i}") for i in range(d)]).alias("s1"),
                         F.array(*s2).alias("s2"))
-    # large d: each Arrow batch adds X^T X per group with numpy; partials are
-    # summed by (group, position) on the executors and packed back per group
-    import pandas as pd
+    # large d: each Arrow batch gives X^T X per group with numpy, at most 32 MB of sums at a time; partials are
 
     key_types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
+    width = 1 + d + d * d
+    most = max(1, 4_000_000 // width)  # groups whose sums are held at once
+
     def part(it):
-        acc = {}
         for pdf in it:
             if pdf.empty:
                 continue
             X = np.stack(pdf[col].to_numpy()).astype(float).reshape(-1, d)
-            keys = pdf[g].astype(object).apply(tuple, axis=1) if g else pd.Series([()] * len(pdf))
-            codes, uniq = pd.factorize(keys)
-            for gi, kv in enumerate(uniq):
-                Xg = X[codes == gi]
-                a = acc.setdefault(kv, [0, np.zeros(d), np.zeros((d, d))])
-                a[0] += len(Xg)
-                a[1] += Xg.sum(0)
-                a[2] += Xg.T @ Xg
-        rows = []
-        for kv, (c, s1, s2) in acc.items():
-            vals = np.concatenate([[float(c)], s1, s2.ravel()])
-            rows.append(pd.DataFrame({**{gc: [kv[i]] * len(vals) for i, gc in enumerate(g)},
-                                      "k": np.arange(len(vals), dtype=np.int32), "v": vals}))
-        yield pd.concat(rows, ignore_index=True) if rows else pd.DataFrame(
-            {**{gc: [] for gc in g}, "k": np.array([], dtype=np.int32), "v": np.array([], dtype=float)})
+            code = pdf.groupby(g, dropna=False, sort=False).ngroup().to_numpy() if g else np.zeros(len(pdf), int)
+            order = np.argsort(code, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(code[order]) > 0])
+            ends = np.r_[first[1:], len(order)]
+            for a in range(0, len(first), most):
+                sums = []
+                for s, e in zip(first[a:a + most], ends[a:a + most]):
+                    Xg = X[order[s:e]]
+                    sums.append(np.concatenate([[float(e - s)], Xg.sum(0), (Xg.T @ Xg).ravel()]))
+                keys = pdf[g].iloc[np.repeat(order[first[a:a + most]], width)].reset_index(drop=True)
+                yield keys.assign(k=np.tile(np.arange(width, dtype=np.int32), len(sums)), v=np.concatenate(sums))
 
     schema = ", ".join([f"{c} {key_types[c]}" for c in g] + ["k INT", "v DOUBLE"])
     long = df.select(*g, col).mapInPandas(part, schema).groupBy(*g, "k").agg(F.sum("v").alias("v"))
