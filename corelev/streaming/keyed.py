@@ -61,7 +61,11 @@ class SortedRows:
 
     @staticmethod
     def _sorted(frames):
-        return pd.concat(frames, ignore_index=True).sort_values(ORDER, kind="mergesort", ignore_index=True)
+        rows = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+        o, i = rows["ord"].to_numpy(), rows["id"].to_numpy()
+        if bool(((o[1:] > o[:-1]) | ((o[1:] == o[:-1]) & (i[1:] >= i[:-1]))).all()):
+            return rows
+        return rows.sort_values(ORDER, kind="mergesort", ignore_index=True)
 
     def _write(self, frames) -> None:
         run, part, rest = self.next, 0, None
@@ -168,7 +172,7 @@ class OnlineLeverage(KeyedProcessor):
         from corelev.operators.online import prefix_scores
 
         d = self.d
-        g, n = self.gram.get() if self.gram.exists() else (np.zeros(d * d), 0)
+        g, n = self.gram.get() or (np.zeros(d * d), 0)
         P = np.asarray(g, dtype=float).reshape(d, d)
         for f in frames:
             X = np.stack(f["x"].to_numpy()).astype(float).reshape(-1, d)
@@ -209,14 +213,14 @@ class ChaoReservoir(KeyedProcessor):
         return zip(rows.tolist(), slot[rows].tolist())
 
     def load(self) -> None:
-        self.total, self.seen = self.sums.get() if self.sums.exists() else (0.0, 0)
+        self.total, self.seen = self.sums.get() or (0.0, 0)
 
     def store(self) -> None:
         self.sums.update((float(self.total), int(self.seen)))
 
     def update(self, key, frames):
         self.load()
-        slots = [r[0] for r in self.slots.get()] if self.slots.exists() else []
+        slots = [r[0] for r in self.slots.get()] if self.seen else []
         for f in frames:
             text = f["held"].to_numpy()
             for i, s in self.writers(f):
@@ -249,7 +253,8 @@ class RidgeReservoir(ChaoReservoir):
 
     def load(self) -> None:
         super().load()
-        self.A = np.asarray(self.matrix.get()[0], dtype=float).reshape(self.d, self.d) if self.matrix.exists() else self.lam * np.eye(self.d)
+        held = self.matrix.get()
+        self.A = np.asarray(held[0], dtype=float).reshape(self.d, self.d) if held else self.lam * np.eye(self.d)
 
     def store(self) -> None:
         super().store()

@@ -22,6 +22,7 @@ import os
 import uuid
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,9 @@ from pyspark.sql.types import LongType, StructField, StructType
 from ..functions import random as R
 from . import keyed as K
 
+# Spark sets a processor up in a Python process of its own on the driver, which has no path to this package
+cloudpickle.register_pickle_by_value(K)
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
