@@ -64,7 +64,7 @@ def tag(df: DataFrame, **cols) -> DataFrame:
 
 
 def principal_axes(df: DataFrame, d: int, k: int = 2):
-    """D9 helper: top-k eigenvectors of the centred covariance (from one moments pass)."""
+    """D9 helper: top-k eigenvectors of the centred covariance (from one moments pass), each with its largest entry positive."""
     from .moments import gram
 
     G, s = gram(df, d, vector=F.lit(1.0))
@@ -72,8 +72,8 @@ def principal_axes(df: DataFrame, d: int, k: int = 2):
     mu = s / n
     cov = G / n - np.outer(mu, mu)
     lam, V = np.linalg.eigh(0.5 * (cov + cov.T))
-    order = np.argsort(lam)[::-1][:k]
-    return mu, V[:, order]
+    V = V[:, np.argsort(lam)[::-1][:k]]
+    return mu, V * np.sign(V[np.argmax(np.abs(V), axis=0), np.arange(V.shape[1])])
 
 
 def project_2d(df: DataFrame, mu, V, label: str) -> DataFrame:

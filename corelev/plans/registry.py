@@ -951,7 +951,41 @@ def q_pca_samples_l4(spark, sf):
     mu, V = PP.principal_axes(des.df, des.d, 2)
     uni = SM.uniform_sample(des.df, K_SAMPLE, seed=0, n=des.n)
     lev, _ = SM.leverage_coreset(des.df, K_SAMPLE, n=des.n, d=des.d)
-    return PP.project_2d(uni, mu, V, "uniform").unionByName(PP.project_2d(lev, mu, V, "leverage"))
+    both = PP.project_2d(uni, mu, V, "uniform").unionByName(PP.project_2d(lev, mu, V, "leverage"))
+    return both.select("id", F.round("pc1", 6).alias("pc1"), F.round("pc2", 6).alias("pc2"), "sample")
+
+
+def _axis_ctes(name: str, cov: str, d: int, squarings: int = 30) -> str:
+    """CTE ``name`` (v0.., lam): the leading eigenvector of ``cov`` (c{i}_{j}), its largest entry positive: the matrix is
+    squared and scaled to trace 1 again and again until only v v^T is left, whose column of the largest diagonal cell is taken."""
+    pairs = [(i, j) for i in range(d) for j in range(d)]
+    trace = " + ".join(f"c{i}_{i}" for i in range(d))
+    out = [f"{name}0 AS MATERIALIZED (SELECT {', '.join(f'c{i}_{j} / ({trace}) AS c{i}_{j}' for i, j in pairs)} FROM {cov})"]
+    for t in range(squarings):
+        cells = ", ".join(f"{' + '.join(f'c{i}_{k} * c{k}_{j}' for k in range(d))} AS c{i}_{j}" for i, j in pairs)
+        out.append(f"{name}s{t} AS MATERIALIZED (SELECT {cells} FROM {name}{t})")
+        out.append(f"{name}{t + 1} AS MATERIALIZED (SELECT {', '.join(f'c{i}_{j} / ({trace}) AS c{i}_{j}' for i, j in pairs)} FROM {name}s{t})")
+    top = "greatest(" + ", ".join(f"c{i}_{i}" for i in range(d)) + ")"
+    column = lambda i: "CASE " + " ".join(f"WHEN c{j}_{j} = {top} THEN c{i}_{j}" for j in range(d)) + " END"
+    out.append(f"{name}v AS MATERIALIZED (SELECT {', '.join(f'({column(i)}) / sqrt({top}) AS v{i}' for i in range(d))} FROM {name}{squarings})")
+    lam = " + ".join(f"v{i} * v{j} * c{i}_{j}" for i, j in pairs)
+    out.append(f"{name} AS MATERIALIZED (SELECT {name}v.*, {lam} AS lam FROM {name}v, {cov})")
+    return ",\n".join(out)
+
+
+def sql_pca_samples_l4():
+    d = 4
+    pairs = [(i, j) for i in range(d) for j in range(d)]
+    mus = ", ".join(f"avg(x{j}) AS m{j}" for j in range(d))
+    cov = ", ".join(f"sum(x{i} * x{j}) / count(*) - avg(x{i}) * avg(x{j}) AS c{i}_{j}" for i, j in pairs)
+    rest = ", ".join(f"c{i}_{j} - lam * v{i} * v{j} AS c{i}_{j}" for i, j in pairs)
+    pcs = ", ".join(f"round({' + '.join(f'(x{j} - m{j}) * {a}.v{j}' for j in range(d))}, 6) AS {n}" for a, n in (("ax", "pc1"), ("ay", "pc2")))
+    uni = f"SELECT *, 'uniform' AS sample FROM (SELECT id, x0, x1, x2, x3 FROM l4 ORDER BY -ln({O.u('id', 0, 'uniform')}) / (1.0 / n), id LIMIT {K_SAMPLE})"
+    lev = (f"SELECT *, 'leverage' AS sample FROM (SELECT id, x0, x1, x2, x3 FROM (SELECT *, {O.round_up_sql('(score + 1.0 / n)')} AS r FROM lev) "
+           f"ORDER BY -ln({O.u('id', 0, 'lev')}) / r, id LIMIT {K_SAMPLE})")
+    return (f"WITH {O.l4_cte()},\n{O.leverage_cte('lev', 'l4', d)},\nmu AS (SELECT {mus} FROM l4),\ncv AS MATERIALIZED (SELECT {cov} FROM l4),\n"
+            f"{_axis_ctes('ax', 'cv', d)},\ncw AS MATERIALIZED (SELECT {rest} FROM cv, ax),\n{_axis_ctes('ay', 'cw', d)},\n"
+            f"both_ AS ({uni} UNION ALL {lev})\nSELECT id, {pcs}, sample FROM both_, mu, ax, ay")
 
 
 # ---------------------------------------------------------------- posterior
