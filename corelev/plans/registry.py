@@ -1292,6 +1292,25 @@ def q_cov_spectral_emb(spark, sf):
         "label", F.round("matrix_norm", 6).alias("matrix_norm"))
 
 
+def sql_cov_spectral_emb(squarings: int = 26):
+    # M = (cov - cov_all)^2 has the squared norm as its largest eigenvalue: with A = M^(2^t) scaled to trace 1,
+    # tr(M A) tends to it, whether it is a single one or not
+    out = ["e AS MATERIALIZED (SELECT vec_id, label, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)",
+           "pr AS MATERIALIZED (SELECT a.label, a.i, b.i AS j, sum(a.v * b.v) AS s FROM e a JOIN e b USING (vec_id) GROUP BY a.label, a.i, b.i)",
+           "mu AS MATERIALIZED (SELECT label, i, sum(v) AS s, count(*) AS n FROM e GROUP BY label, i)",
+           "mu0 AS MATERIALIZED (SELECT i, sum(s) AS s, sum(n) AS n FROM mu GROUP BY i)",
+           "c0 AS MATERIALIZED (SELECT i, j, (p.s - a.s * b.s / a.n) / (a.n - 1) AS c FROM (SELECT i, j, sum(s) AS s FROM pr GROUP BY i, j) p "
+           "JOIN mu0 a USING (i) JOIN (SELECT i AS j, s FROM mu0) b USING (j))",
+           "dm AS MATERIALIZED (SELECT label, i, j, (p.s - a.s * b.s / a.n) / (a.n - 1) - c0.c AS v FROM pr p "
+           "JOIN mu a USING (label, i) JOIN (SELECT label, i AS j, s FROM mu) b USING (label, j) JOIN c0 USING (i, j))"]
+    times = "SELECT a.label, a.i, b.j, sum(a.v * b.v) AS v FROM {0} a JOIN {0} b ON a.label = b.label AND a.j = b.i GROUP BY a.label, a.i, b.j"
+    scaled = "SELECT label, i, j, v / sum(CASE WHEN i = j THEN v END) OVER (PARTITION BY label) AS v FROM ({0})"
+    out += [f"m AS MATERIALIZED ({times.format('dm')})", f"a0 AS MATERIALIZED ({scaled.format('SELECT * FROM m')})"]
+    out += [f"a{t + 1} AS MATERIALIZED ({scaled.format(times.format(f'a{t}'))})" for t in range(squarings)]
+    return ("WITH " + ",\n".join(out) + f"\nSELECT m.label, round(sqrt(sum(m.v * a.v)), 6) AS matrix_norm FROM m JOIN a{squarings} a "
+            "ON m.label = a.label AND m.i = a.j AND m.j = a.i GROUP BY m.label")
+
+
 def q_coef_stats_emb(spark, sf):
     """mean and population variance of coordinate 0 per label (long form)."""
     from ..operators import distance as D
