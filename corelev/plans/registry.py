@@ -1042,8 +1042,7 @@ def sql_augmentation_step_l4():
 def _bayes(spark, sf, method, sizes=(200, 400), num_samples=200, online=False):
     from .sweep import bayes_sweep
 
-    out = bayes_sweep(T.lineitem_design(spark, sf), method, sizes=list(sizes), runs=[1, 2], num_samples=num_samples, burn_in=50, online=online)
-    return out.drop("reduction_time_s", "total_time_s")
+    return bayes_sweep(T.lineitem_design(spark, sf), method, sizes=list(sizes), runs=[1, 2], num_samples=num_samples, burn_in=50, online=online)
 
 
 def _rounded_draws(draws):
