@@ -121,3 +121,17 @@ def test_large_groups_and_sizes_go_to_barrier_tasks(spark):
     a, b = (draws(PO.posterior_draws(df, ["run"], 2, task_rows=t, sizes=[20, 40, 60], **kw), cols) for t in (1000, 30))
     assert a.keys() == b.keys() and (1, 60, 0, None) in a
     assert all((a[k] is None and b[k] is None) or np.allclose(a[k], b[k], atol=1e-9) for k in a)
+
+
+def test_barrier_chain_reads_its_rows_in_chunks(spark, monkeypatch):
+    """Rows in memory are bounded: no read is larger than CHUNK, and the draws stay those of the plain chain."""
+    monkeypatch.setattr(PO, "CHUNK", 7)
+    assert PO._reads([3, 3, 3, 16, 1]) == [([0, 1], [0, 3], 6), ([2], [0], 3), ([3], [0], 7), ([3], [0], 7), ([3, 4], [0, 2], 3)]
+    monkeypatch.setattr(PO, "BLOCKS", 9)
+    X, y = _two_class(300, 3, 5)
+    df = from_arrays(spark, X, y).repartition(3)
+    args = (3, np.zeros(3), 10.0 * np.eye(3), 3, 1, "gibbs:x", 7, 300)
+    got = [[r["beta"] for r in PO.gibbs_barrier(df, *args, tasks=t).orderBy("draw").collect()] for t in (1, 4)]
+    np.testing.assert_allclose(got[0], got[1], atol=1e-12)
+    want = PO.gibbs_chain(X, y, np.zeros(3), 10.0 * np.eye(3), 3, 1, seed=7, stream="gibbs:x", ids=[r["id"] for r in df.select("id").orderBy("id").collect()])
+    np.testing.assert_allclose(got[0], want, atol=1e-9)
