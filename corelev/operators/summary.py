@@ -3,8 +3,8 @@
 All quantiles are exact (linear interpolation between order statistics, the numpy /
 pandas default). Spark's ``percentile`` holds a group's values in one task, so it is
 used only when the largest group is bounded (sweep tables have ``runs`` rows per
-size); above that ``select_quantile`` finds the same order statistics in two passes
-without gathering any group. Nulls are ignored everywhere (pandas ``median``
+size); above that ``select_quantiles`` finds the same order statistics by counting
+values in ever narrower buckets. Nulls are ignored everywhere (pandas ``median``
 semantics).
 """
 
@@ -14,11 +14,10 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-EXACT_GROUP_LIMIT = 5_000_000
-APPROX_ACCURACY = 1_000_000
-
-
+EXACT_GROUP_LIMIT = 200_000
+BUCKETS = 4096
 MAX_BRACKET_GROUPS = 100_000
+LOCAL_BRACKETS = 10_000     # order statistics whose brackets may pass through the driver
 
 
 def _exact_ok(df: DataFrame, group_cols) -> bool:
@@ -26,80 +25,97 @@ def _exact_ok(df: DataFrame, group_cols) -> bool:
     return mx is None or mx <= EXACT_GROUP_LIMIT
 
 
-def select_quantile(df: DataFrame, group_cols, value, q: float, out: str = "_q",
-                    margins=(4.0, 64.0, None)) -> DataFrame:
-    """Exact q-quantile of ``value`` per group without holding a group in one task.
+def _same(left: DataFrame, right: DataFrame, cols, how: str = "inner") -> DataFrame:
+    """Equi-join that also matches null keys; the key columns of ``left`` stay."""
+    r = right.select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(cols)], *[c for c in right.columns if c not in cols])
+    on = [left[c].eqNullSafe(r[f"_r{i}"]) for i, c in enumerate(cols)]
+    return left.join(r, on, how).drop(*[f"_r{i}" for i in range(len(cols))])
+
 
-    Pass 1 (mergeable sketches): n and approximate quantiles at q -/+ margin/accuracy
-    per group - a bracket that holds the order statistics floor(q(n-1)) and
-    ceil(q(n-1)). Pass 2, over the rows inside a bracket only: the count below it and
-    (value, count) pairs inside it, so ties collapse (about 2 margin n / accuracy
-    pairs per group). A running count over the pairs picks both order statistics.
-    Groups whose bracket missed (not expected) are redone with a wider margin; the
-    last margin (None) brackets [min, max]. One row per group is broadcast up to
-    MAX_BRACKET_GROUPS groups, and joined by a shuffle beyond.
+def select_quantiles(df: DataFrame, group_cols, specs) -> DataFrame:
+    """Exact quantiles ``specs`` = [(alias, column name or Column, q)] per group, without holding a group in one task.
+
+    Each order statistic sought is a rank in a bracket [lo, hi] of values. A pass counts the rows inside the brackets by
+    bucket (count, least and largest value): first by sign and power of two, then in ``BUCKETS`` equal parts of each
+    bracket. The bucket that holds the rank is the next bracket, until it holds one value. So a task holds counts of
+    buckets only, never values or sketches, and five or six passes do for any doubles. Brackets are broadcast while they
+    come from at most MAX_BRACKET_GROUPS groups.
     """
-    g = list(group_cols)
-    v = (F.col(value) if isinstance(value, str) else value).cast("double")
-    base = df.select(*g, v.alias("_v")).filter(F.col("_v").isNotNull())
-    if q <= 0.0 or q >= 1.0:
-        agg = F.min("_v") if q <= 0.0 else F.max("_v")
-        return base.groupBy(*g).agg(agg.alias(out))
-    done = None
-    for m in margins:
-        if m is None:
-            lo_hi = [F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
-        else:
-            dq = m / APPROX_ACCURACY
-            b = F.percentile_approx("_v", [max(0.0, q - dq), min(1.0, q + dq)], APPROX_ACCURACY)
-            lo_hi = [b[0].alias("_lo"), b[1].alias("_hi")]
-        todo = base if done is None else base.join(done.select(*g), g, "left_anti")
-        st = todo.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"), *lo_hi).persist(StorageLevel.MEMORY_AND_DISK)
-        nst = st.count()
-        if nst == 0:
+    spark, g = df.sparkSession, list(group_cols)
+    of = [c if isinstance(c, str) else f"#{i}" for i, (_, c, _) in enumerate(specs)]  # a named column is read once
+    values = {m: F.col(c) if isinstance(c, str) else c for m, (_, c, _) in zip(of, specs)}
+    names = list(values)
+    # + 0.0: one zero
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), (c.cast("double") + F.lit(0.0)).alias("_v")) for i, c in enumerate(values.values())]))
+    base = df.select(*g, cells.alias("_e")).select(*g, "_e._c", "_e._v").filter(F.col("_v").isNotNull())
+    at = [*g, "_c"]
+    counted = [F.count(F.lit(1)).alias("_k"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx")]
+    v = F.col("_v")
+    few = df.select(*g).distinct().count()
+    local, held = 2 * few * len(specs) <= LOCAL_BRACKETS, []
+
+    def kept(t):
+        if local:  # a plan without earlier passes
+            return spark.createDataFrame(t.collect(), t.schema).coalesce(1)
+        held.append(t.persist(StorageLevel.MEMORY_AND_DISK))
+        return held[-1]
+
+    power = F.floor(F.least(F.log2(F.abs(v)), F.lit(2000.0))) + 2000  # an infinity has no log to round
+    key = F.when(F.isnan(v), 5000).when(v == 0, 0).when(v > 0, power).otherwise(-power).cast("int")
+    running = Window.partitionBy(*at).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranges = base.groupBy(*at, key.alias("_b")).agg(*counted).withColumns(
+        {"_end": F.sum("_k").over(running), "_n": F.sum("_k").over(Window.partitionBy(*at))})
+    wanted = F.array(*[F.struct(F.lit(i).alias("s"), F.lit(names.index(m)).alias("c"), F.lit(float(min(max(q, 0.0), 1.0))).alias("q"))
+                       for i, (m, (_, _, q)) in enumerate(zip(of, specs))])
+    pos = F.col("_t.q") * (F.col("_n") - 1)
+    ends = F.explode(F.array(*[F.struct(F.lit(up).alias("up"), r.alias("r")) for up, r in ((0, F.floor(pos)), (1, F.ceil(pos)))]))
+    j = (ranges.withColumn("_t", F.explode(wanted)).filter(F.col("_t.c") == F.col("_c"))
+         .withColumns({"_frac": pos - F.floor(pos), "_o": ends})
+         .select(*at, F.col("_t.s").alias("_s"), "_frac", F.col("_o.up").alias("_up"), F.col("_o.r").alias("_r"),
+                 (F.col("_end") - F.col("_k")).alias("_from"), "_end", "_mn", "_mx"))
+    found, single = None, F.col("_lo") == F.col("_hi")
+    while True:
+        state = kept(j.filter((F.col("_from") <= F.col("_r")) & (F.col("_r") < F.col("_end")))
+                     .select(*at, "_s", "_frac", "_up", "_r", F.col("_mn").alias("_lo"), F.col("_mx").alias("_hi"), F.col("_from").alias("_below")))
+        done = state.filter(single).select(*g, "_s", "_frac", "_up", "_lo")
+        found = done if found is None else found.unionByName(done)
+        todo = state.filter(~single)
+        if todo.isEmpty():
             break
-        j = todo.join(F.broadcast(st) if nst <= MAX_BRACKET_GROUPS else st, g)
-        below = F.col("_v") < F.col("_lo")
-        inside = (~below) & (F.col("_v") <= F.col("_hi"))
-        pairs = (j.filter(below | inside)
-                 .groupBy(*g, "_n", F.when(inside, F.col("_v")).alias("_k"))
-                 .agg(F.count(F.lit(1)).alias("_c")))
-        nbelow = pairs.filter(F.col("_k").isNull()).select(*g, F.col("_c").alias("_below"))
-        inner = pairs.filter(F.col("_k").isNotNull()).join(nbelow, g, "left") \
-            .withColumn("_below", F.coalesce("_below", F.lit(0)))
-        w = Window.partitionBy(*g).orderBy("_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        pos = F.lit(q) * (F.col("_n") - 1)
-        t = (inner.withColumn("_cum", F.col("_below") + F.sum("_c").over(w))
-             .withColumn("_rlo", F.floor(pos)).withColumn("_rhi", F.ceil(pos))
-             .withColumn("_frac", pos - F.floor(pos)))
-
-        def hit(r):
-            return (F.col("_cum") - F.col("_c") <= F.col(r)) & (F.col(r) < F.col("_cum"))
-
-        vlo = t.filter(hit("_rlo")).select(*g, F.col("_k").alias("_vlo"), "_frac")
-        vhi = t.filter(hit("_rhi")).select(*g, F.col("_k").alias("_vhi"))
-        res = vlo.join(vhi, g).select(
-            *g, (F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))).alias(out)) \
-            .persist(StorageLevel.MEMORY_AND_DISK)
-        nres = res.count()
-        done = res if done is None else done.unionByName(res)
-        if nres == nst:
-            break
-    return done
+        brackets = todo.select(*at, "_lo", "_hi", "_below").distinct()
+        inside = _same(base, F.broadcast(brackets) if few <= MAX_BRACKET_GROUPS else brackets, at).filter((v >= F.col("_lo")) & (v <= F.col("_hi")))
+        part = F.floor((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.lit(float(BUCKETS)))
+        running = Window.partitionBy(*at, "_lo").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ranges = (inside.groupBy(*at, "_lo", "_below", F.least(part, F.lit(BUCKETS - 1)).cast("int").alias("_b")).agg(*counted)
+                  .withColumn("_end", F.col("_below") + F.sum("_k").over(running))
+                  .select(*at, "_lo", (F.col("_end") - F.col("_k")).alias("_from"), "_end", "_mn", "_mx"))
+        j = _same(todo.drop("_hi", "_below"), ranges, [*at, "_lo"])
+    ends = found.groupBy(*g, "_s").agg(F.max(F.when(F.col("_up") == 0, F.col("_lo"))).alias("_a"), F.max(F.when(F.col("_up") == 1, F.col("_lo"))).alias("_z"), F.max("_frac").alias("_frac"))
+    value = F.when(F.col("_a") == F.col("_z"), F.col("_a")).otherwise(F.col("_a") + F.col("_frac") * (F.col("_z") - F.col("_a")))
+    out = kept(ends.groupBy(*g).agg(*[F.max(F.when(F.col("_s") == i, value)).alias(a) for i, (a, _, _) in enumerate(specs)]))
+    if not local:
+        out.count()  # one row a group is kept, the brackets are let go
+        for t in held[:-1]:
+            t.unpersist()
+    return out
+
+
+def select_quantile(df: DataFrame, group_cols, value, q: float, out: str = "_q") -> DataFrame:
+    """Exact q-quantile of ``value`` per group (``select_quantiles``)."""
+    return select_quantiles(df, group_cols, [(out, value, q)])
 
 
 def quantile_stats(df: DataFrame, group_cols, specs, extra=()) -> DataFrame:
     """Per group: exact quantiles ``specs`` = [(alias, column name or Column, q)] plus
     ``extra`` aggregate Columns. One aggregate when the largest group is bounded,
-    else ``select_quantile`` per spec joined on the group keys."""
+    else ``select_quantiles`` joined on the group keys."""
     g = list(group_cols)
     if _exact_ok(df, g):
         cols = [F.percentile(F.col(c) if isinstance(c, str) else c, q).alias(a) for a, c, q in specs]
         return df.groupBy(*g).agg(*cols, *extra)
     out = df.groupBy(*g).agg(*extra) if extra else df.select(*g).distinct()
-    for a, c, q in specs:
-        out = out.join(select_quantile(df, g, c, q, a), g, "left")
-    return out
+    out = _same(out, select_quantiles(df, g, specs), g, "left")
+    return out.select(*g, *[a for a, _, _ in specs], *[c for c in out.columns if c not in g and c not in {a for a, _, _ in specs}])
 
 
 def sweep_summary(df: DataFrame, group_cols=("size",), value: str = "ratio",

@@ -116,3 +116,24 @@ def test_sweep_by_grid(spark, iris):
     des = _iris_design(spark, iris)
     got = SW.sweep(des, "uniform", grid=SW.config_grid(spark, 50, 100, 50, 2)).collect()
     assert sorted((r["run"], r["size"]) for r in got) == [(1, 50), (1, 100), (2, 50), (2, 100)]
+
+
+def test_quantiles_of_large_groups_hold_no_sketch(spark, monkeypatch):
+    """Ties, infinities, huge and tiny values and a null key; the plan counts buckets instead of merging sketches."""
+    monkeypatch.setattr(G, "EXACT_GROUP_LIMIT", 0)
+    monkeypatch.setattr(F, "percentile_approx", None)
+    rng = np.random.default_rng(5)
+    vals = {1: np.r_[rng.normal(size=400) * 10.0 ** rng.integers(-300, 300, 400), 0.0, -0.0], 2: rng.integers(0, 3, 301) / 100.0,
+            None: np.nextafter(1.0, 2.0) + rng.integers(0, 9, 200) * 2.0 ** -52, 4: np.array([7.5])}
+    rows = [(k, float(v)) for k, vs in vals.items() for v in vs] + [(5, None), (1, None), (6, np.inf), (6, 1.0), (6, -np.inf)]
+    df = spark.createDataFrame(rows, "g INT, v DOUBLE").repartition(3)
+    specs = [(f"q{i}", "v", q) for i, q in enumerate((0.0, 0.013, 0.5, 0.75, 1.0))] + [("a", F.abs("v"), 0.25)]
+    for limit in (10_000, 0):
+        monkeypatch.setattr(G, "LOCAL_BRACKETS", limit)
+        got = {r["g"]: r for r in G.quantile_stats(df, ["g"], specs, [F.count("v").alias("n")]).collect()}
+        assert set(got) == {1, 2, None, 4, 5, 6} and got[5]["q2"] is None and got[1]["n"] == 402
+        assert [got[6][c] for c in ("q0", "q2", "q4")] == [-np.inf, 1.0, np.inf]
+        for k, vs in vals.items():
+            for i, q in enumerate((0.0, 0.013, 0.5, 0.75, 1.0)):
+                assert got[k][f"q{i}"] == pytest.approx(np.quantile(np.sort(vs), q), rel=1e-12)
+            assert got[k]["a"] == pytest.approx(np.quantile(np.abs(vs), 0.25), rel=1e-12)
