@@ -70,25 +70,29 @@ def _native_eval(df, beta, p, d, tail, want_hess=True):
 
 def _arrow_eval(df, beta, p, d, tail, want_hess=True):
     b = np.asarray(beta, dtype=float)
-    sel = df.select("x", F.col("y").cast("double").alias("y"), F.col("w").cast("double").alias("w"))
+    flat = d <= NATIVE_MAX_D  # few entries travel as columns of their own
+    x = [F.col("x")[k].cast("double").alias(f"x{k}") for k in range(d)] if flat else [F.col("x")]
+    sel = df.select(F.col("y").cast("double").alias("y"), F.col("w").cast("double").alias("w"), *x)
 
     def part(batches):
         f, n = 0.0, 0
         g = np.zeros(d)
         H = np.zeros((d, d))
         for batch in batches:
+            n += batch.num_rows
+            if flat and any(c.null_count for c in batch.columns):
+                batch = batch.drop_null()  # a sum skips rows with a null, the count doesn't
             if batch.num_rows == 0:
                 continue
-            X = _batch_matrix(batch, "x", d)
-            y = batch.column(1).to_numpy(zero_copy_only=False)
-            w = batch.column(2).to_numpy(zero_copy_only=False)
+            cols = [c.to_numpy(zero_copy_only=False) for c in (batch.columns if flat else batch.columns[:2])]
+            y, w = cols[:2]
+            X = np.stack(cols[2:], axis=1) if flat else _batch_matrix(batch, "x", d)
             z = -y * (X @ b)
-            gv, gpv, hv = PN.np_loss_grad_hess(z, p, tail)
+            gv, gpv, hv = PN.np_loss_grad_hess(z, p, tail, want_hess)
             f += float(np.sum(w * gv))
             g += X.T @ (-w * gpv * y)
             if want_hess:
                 H += X.T @ (X * (w * hv)[:, None])
-            n += len(y)
         vals = [f, float(n)] + g.tolist() + H[np.triu_indices(d)].tolist()
         yield pa.RecordBatch.from_arrays([pa.array([vals], type=pa.list_(pa.float64()))], names=["v"])
 
@@ -109,7 +113,9 @@ def evaluate(df: DataFrame, beta, p: float, d: int | None = None, tail: str = "e
     d = len(beta) if d is None else d
     if len(beta) != d:
         raise ValueError(f"beta has {len(beta)} entries, the design has {d} columns")
-    if d <= NATIVE_MAX_D:
+    # p = 1 has a short closed form; the series and the continued fraction of other p make generated
+    # methods too long for the JVM's compiler, so numpy takes them, each row its own branch
+    if p == 1 and d <= NATIVE_MAX_D:
         return _native_eval(df, beta, p, d, tail, want_hess)
     return _arrow_eval(df, beta, p, d, tail, want_hess)
 

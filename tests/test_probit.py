@@ -51,6 +51,24 @@ def test_arrow_path_equals_native(spark, iris):
     np.testing.assert_allclose(a[2], c[2], rtol=1e-10)
 
 
+def test_short_rows_of_any_p_are_evaluated_in_arrow_tasks(spark, iris, monkeypatch):
+    """The generated code of p other than 1 is too long for the JVM's compiler; rows with nulls count as in the SQL sums."""
+    from pyspark.sql import functions as F
+
+    X, lab = iris
+    df = from_arrays(spark, X, np.where(lab == 1, 1.0, -1.0))
+    odd = df.limit(3).withColumn("x", F.array(*[F.col("x")[k] if k else F.lit(None).cast("double") for k in range(4)]))
+    df = df.unionByName(odd).unionByName(df.limit(2).withColumn("y", F.lit(None).cast("int")))
+    b = np.array([0.2, -0.1, 0.3, -0.2])
+    want = P._native_eval(df, b, 2.0, 4, "exact")
+    monkeypatch.setattr(P, "_native_eval", None)
+    got = P.evaluate(df, b, 2.0, 4)
+    np.testing.assert_allclose(want[0], got[0], rtol=1e-12)
+    np.testing.assert_allclose(want[1], got[1], rtol=1e-10)
+    np.testing.assert_allclose(want[2], got[2], rtol=1e-10)
+    assert want[3] == got[3] == 155
+
+
 def test_outliers_converge(spark):
     df = from_arrays(spark, [[1000, 1], [900, 1]], [1, -1])
     with warnings.catch_warnings():
