@@ -63,3 +63,18 @@ def test_bad_inputs(spark):
     df = from_arrays(spark, [[1, 2], [3, 4]], [1, -1])
     with pytest.raises(ValueError):
         P.evaluate(df, [1.0, 2.0, 3.0], 2.0, d=2)
+
+
+def test_cheap_rounding_is_the_rounding_of_sql(spark):
+    from pyspark.sql import functions as F
+
+    from corelev.session import configure
+    from corelev.sources.design import rounded
+
+    odd = "array(double('nan'), double('inf'), double('-inf'), -0.0D, -1e-9D, null, 1e300D, 0.5e-6D, -2.5e-6D, 1234567.1234565D)"
+    df = spark.sql(f"SELECT explode({odd}) v").unionByName(spark.range(-5000, 5000).select(((F.col("id") * 10 + 5) / 1e7).alias("v")))
+    df = df.unionByName(spark.range(5000).select(((F.rand(3) - 0.5) * F.pow(F.lit(10.0), (F.col("id") % 14 - 4).cast("double"))).alias("v")))
+    r = df.select(rounded(F.col("v"), 6).alias("a"), F.round("v", 6).alias("b"))
+    assert r.where("not (a <=> b) or cast(a as string) <> cast(b as string)").count() == 0
+    configure(spark)  # wide plans must not stay with the JVM's interpreter
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
