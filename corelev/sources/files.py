@@ -6,6 +6,8 @@ run, and appends never rewrite existing files.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -51,15 +53,63 @@ def read_libsvm(spark: SparkSession, path: str, num_features: int | None = None,
     return rows.select(F.xxhash64("_h", F.row_number().over(same)).alias("id"), "y", "w", "x")
 
 
+def _number(t: str) -> float:
+    """A double as SQL's cast reads it: blanks around it, Java's d and f suffixes, NaN and infinities; else an error."""
+    m = re.fullmatch(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?[dDfF]?|[+-]?(?:inf|infinity)|nan", t.strip(), re.I | re.A)
+    if m is None:
+        raise ValueError(f"not a number in svmlight text: {t!r}")
+    return float(t.strip().rstrip("dDfF") if t.strip()[-1:] in "dDfF" and t.strip()[-2:-1] in "0123456789." else t.strip())
+
+
+def _place(t: str) -> int:
+    if re.fullmatch(r"[+-]?\d+", t.strip(), re.A) is None or not -2**31 <= int(t) < 2**31:
+        raise ValueError(f"not a place in svmlight text: {t!r}")
+    return int(t)
+
+
+def _parsed(lines):
+    """(y, idx, val) of an Arrow array of svmlight lines; numbers that Arrow doesn't read go one by one."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def cast(text, kind, one):
+        try:
+            return pc.cast(text, kind)
+        except pa.ArrowInvalid:
+            return pa.array([one(t) for t in text.to_pylist()], kind)
+
+    v = lines.cast(pa.large_string())
+    if pc.any(pc.match_substring(v, "#")).as_py():
+        v = pc.replace_substring_regex(v, r"(?s)#.*", "")
+    v = pc.utf8_trim(v, " ")
+    v = v.filter(pc.invert(pc.match_substring_regex(v, r"^(?:[\t\n\x0b\f\r]|$)")))
+    if pc.any(pc.match_substring_regex(v, r"[\t\n\x0b\f\r]")).as_py():
+        v = pc.replace_substring_regex(v, r"[\t\n\x0b\f\r]", " ")
+    words = pc.split_pattern(v, " ")
+    at, flat = words.offsets.to_numpy() - words.offsets[0].as_py(), words.flatten()
+    pair = pc.and_not(pc.match_substring(flat, ":"), pc.starts_with(flat, "qid:")).to_numpy(zero_copy_only=False)
+    pair[at[:-1]] = False  # the label
+    y = np.where(~(cast(flat.take(pa.array(at[:-1])), pa.float64(), _number).to_numpy() <= 0), 1, -1)  # NaN is above all numbers
+    ends = np.r_[0, np.cumsum(pair)][at].astype(np.int32)
+    both = pc.split_pattern(flat.filter(pa.array(pair)), ":")
+    cut, parts = both.offsets.to_numpy() - both.offsets[0].as_py(), both.flatten()
+    idx = cast(parts.take(pa.array(cut[:-1])), pa.int32(), _place).to_numpy() - np.int32(1)
+    val = cast(parts.take(pa.array(cut[1:] - 1)), pa.float64(), _number)
+    return pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(idx, pa.int32())), pa.ListArray.from_arrays(ends, val)],
+                                      names=["y", "idx", "val"])
+
+
 def read_libsvm_sparse(spark: SparkSession, path: str) -> DataFrame:
-    """A5 kept sparse: svmlight text -> (id, y, w, idx, val), places from 0, as in ``operators.sparse``; native
-    expressions on each line, whatever the number of columns. Comments (#) and ``qid`` are left out, blank lines too."""
-    line = F.split(F.trim(F.substring_index("value", "#", 1)), r"\s+")
-    rows = spark.read.text(path).select(line.alias("t")).where(F.get("t", F.lit(0)) != "")
-    pairs = F.filter(F.slice("t", F.lit(2), F.size("t")), lambda t: t.contains(":") & ~t.startswith("qid:"))
-    rows = rows.select(F.when(F.get("t", F.lit(0)).cast("double") > 0, 1).otherwise(-1).alias("y"), F.lit(1.0).alias("w"),
-                       F.transform(pairs, lambda t: F.substring_index(t, ":", 1).cast("int") - 1).alias("idx"),
-                       F.transform(pairs, lambda t: F.substring_index(t, ":", -1).cast("double")).alias("val"))
+    """A5 kept sparse: svmlight text -> (id, y, w, idx, val), places from 0, as in ``operators.sparse``; Arrow's
+    string kernels on batches of lines, whatever the number of columns. Comments (#) and ``qid`` are left out, blank
+    lines and those that begin with a blank other than a space too."""
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                yield _parsed(b.column(0))
+
+    rows = spark.read.text(path).mapInArrow(run, "y int, idx array<int>, val array<double>").withColumn("w", F.lit(1.0))
     rows = rows.withColumn("_h", F.xxhash64("y", "idx", "val"))
     same = Window.partitionBy("_h").orderBy("_h")  # equal rows are numbered
     return rows.select(F.xxhash64("_h", F.row_number().over(same)).alias("id"), "y", "w", "idx", "val")
@@ -67,8 +117,7 @@ def read_libsvm_sparse(spark: SparkSession, path: str) -> DataFrame:
 
 def write_libsvm(df: DataFrame, path: str) -> None:
     """(y, x) rows as svmlight text: the label, then ``index:value`` (from 1) of every non-zero entry."""
-    pairs = F.filter(F.transform("x", lambda v, i: F.when(v != 0, F.concat((i + 1).cast("string"), F.lit(":"), v.cast("string")))),
-                     lambda v: v.isNotNull())
+    pairs = F.transform("x", lambda v, i: F.when(v != 0, F.concat((i + 1).cast("string"), F.lit(":"), v.cast("string"))))  # nulls aren't joined
     df.select(F.concat_ws(" ", F.col("y").cast("string"), F.array_join(pairs, " ")).alias("value")).write.text(path)
 
 

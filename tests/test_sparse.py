@@ -84,3 +84,22 @@ def test_wide_libsvm_file_stays_sparse(spark, tmp_path):
 def test_empty(spark):
     none = spark.createDataFrame([], "id long, y int, w double, idx array<int>, val array<double>")
     assert SP.width(none) == 0 and SP.loss_gradient(none, np.zeros(3))[2] == 0 and SP.leverage_scores(none, 3).count() == 0
+
+
+def test_sparse_text_parsed_in_arrow(spark, tmp_path):
+    """Lines go through Arrow's kernels, not through lambdas and a regular expression a row; odd lines as SQL's casts read them."""
+    text = ["1 1:2.5 3:-1e-05 # c 4:5", "", "  -1\t2:3  7:1 ", "\t1 1:2", "# x", "0 qid:3 1:2d +3:Infinity", "NaN", "2.0 5:1:4"]
+    (tmp_path / "o.svm").write_text("\n".join(text) + "\n")
+    df = FS.read_libsvm_sparse(spark, str(tmp_path / "o.svm"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "lambda" not in plan
+    assert sorted((x["y"], x["w"], tuple(x["idx"]), tuple(x["val"])) for x in df.collect()) == sorted(
+        [(1, 1.0, (0, 2), (2.5, -1e-05)), (-1, 1.0, (1, 6), (3.0, 1.0)), (-1, 1.0, (0, 2), (2.0, np.inf)), (1, 1.0, (), ()), (1, 1.0, (4,), (4.0,))])
+
+
+@pytest.mark.parametrize("bad", ["1 :2", "1 1:", "x 1:2", "1 1.5:2", "1 3000000000:2"])
+def test_sparse_text_wrong_numbers(bad):
+    import pyarrow as pa
+
+    with pytest.raises(ValueError):
+        FS._parsed(pa.array([bad]))
