@@ -302,14 +302,18 @@ def multi_sample(df: DataFrame, sizes, runs, weight: str = "p", seed: int = 0, s
 
 
 def _run_candidates(pos: DataFrame, kmax: int, runs, weight: str, seed: int, stream: str, cut: float):
-    """Rows (run, _key) with race key <= cut, hashed once: a row's keys of all runs are one array, filtered before it
-    is exploded. None if a run has fewer than kmax (weight concentrated on few rows)."""
+    """Rows (run, _key) with race key <= cut. Most rows have none and end in compiled filters (a lambda's argument is
+    left to Spark's interpreter); the keys of the others are hashed again and exploded. None if a run has fewer than kmax
+    (weight concentrated on few rows)."""
+    from functools import reduce
+    from operator import or_
+
     from pyspark import StorageLevel
 
-    keys = F.array(*[F.struct(F.lit(r).alias("run"), race_key(F.col(weight), seed, F.lit(f"{stream}:{r}")).alias("_key"))
-                     for r in runs])
-    few = pos.withColumn("_rk", F.explode(F.filter(keys, lambda k: k["_key"] <= F.lit(cut))))
-    few = few.select(*pos.columns, "_rk.run", "_rk._key").persist(StorageLevel.MEMORY_AND_DISK)
+    keys = [(r, race_key(F.col(weight), seed, F.lit(f"{stream}:{r}"))) for r in runs]
+    near = pos.where(reduce(or_, [k <= F.lit(cut) for _, k in keys]))
+    few = near.withColumn("_rk", F.explode(F.array(*[F.struct(F.lit(r).alias("run"), k.alias("_key")) for r, k in keys])))
+    few = few.select(*pos.columns, "_rk.run", "_rk._key").where(F.col("_key") <= F.lit(cut)).persist(StorageLevel.MEMORY_AND_DISK)
     got = {r["run"]: r["count"] for r in few.groupBy("run").count().collect()}
     if all(got.get(r, 0) >= kmax for r in runs):
         return few

@@ -206,3 +206,17 @@ def test_small_k_fallback_concentrated_weights(spark):
     keys = spread.select("id", (R.exponential("id", 2, "race") / F.col("p")).alias("k")).collect()
     brute = sorted(r["id"] for r in sorted(keys, key=lambda r: (r["k"], r["id"]))[:50])
     assert _ids(SM.weighted_sample(spread.repartition(5), 50, "p", seed=2)) == brute
+
+
+def test_run_candidates_in_compiled_filters(spark):
+    """Candidates are all (row, run) with a key up to the cut, and their plan has no lambda."""
+    df = from_arrays(spark, np.random.default_rng(2).normal(size=(300, 2)), np.ones(300)).withColumn("p", F.col("id") % 7 + 1.0)
+    few = SM._run_candidates(df, 3, [1, 2, 5], "p", 4, "s", 0.05)
+    assert "lambda" not in few._jdf.queryExecution().logical().toString()
+    want = []
+    for r in (1, 2, 5):
+        key = SM.race_key(F.col("p"), 4, F.lit(f"s:{r}"))
+        want += [(x["id"], r, x["k"]) for x in df.select("id", key.alias("k")).collect() if x["k"] <= 0.05]
+    assert sorted((x["id"], x["run"], x["_key"]) for x in few.collect()) == sorted(want)
+    assert few.columns == [*df.columns, "run", "_key"]
+    assert SM._run_candidates(df, 300, [1], "p", 4, "s", 0.05) is None
