@@ -118,18 +118,19 @@ def _shared(parts: DataFrame) -> DataFrame:
         cold, hot = [_long(r["x0"]) for r in rows], [_long(r["x2"]) for r in rows]
         doc = [np.cumsum(np.frombuffer(r["x1"], np.uint16), dtype=np.uint16) for r in rows]
         times = [np.frombuffer(r["x3"], np.uint16) for r in rows]
-        at = np.repeat(np.tile(np.arange(len(rows)), 2), [len(x) for x in cold + hot])
+        at = np.repeat(np.tile(np.arange(len(rows), dtype=np.int32), 2), [len(x) for x in cold + hot])
         tok = np.concatenate(cold + hot)
         doc = np.concatenate(doc + [np.full(len(h), _NONE, np.uint16) for h in hot])
-        weight = np.concatenate([np.ones(len(x), np.int64) for x in cold] + [t.astype(np.int64) for t in times])
+        weight = np.concatenate([np.ones(len(x), np.uint16) for x in cold] + times)
         o = np.argsort(tok, kind="stable")
         tok, at, doc = tok[o], at[o], doc[o]
         first = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
-        df = np.repeat(np.add.reduceat(weight[o], first), np.diff(np.append(first, len(tok))))
-        keep = np.flatnonzero(df > 1)
+        level = np.minimum(np.add.reduceat(weight[o], first, dtype=np.int64), 255).astype(np.uint8)  # orders the shingles; ties go by key
+        level = np.repeat(level, np.diff(np.append(first, len(tok))))
+        del cold, hot, weight, o
+        keep = np.flatnonzero(level > 1)
         keep = keep[np.argsort(at[keep], kind="stable")]
         edge = np.searchsorted(at[keep], np.arange(len(rows) + 1))
-        level = np.minimum(df, 255).astype(np.uint8)  # orders the shingles; ties go by key
         for r in range(len(rows)):
             i = keep[edge[r]: edge[r + 1]]
             if len(i):
@@ -196,7 +197,18 @@ def _postings(shared: DataFrame, percent: int) -> DataFrame:
         if rows:
             yield one(rows)
 
-    return shared.mapInArrow(run, "key long, node long, n long, m long, pos long").dropDuplicates(["key", "node"])
+    post = shared.mapInArrow(run, "key long, node long, n long, m long, pos long")
+    return post.groupBy("key", "node").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.min("pos").alias("pos"))
+
+
+def _useful(post: DataFrame, percent: int) -> DataFrame:
+    """The lists of several sets, without the entries too late in their set for any size in the list.
+
+    Two sets that link meet in the first shingle they share, and none of what either holds before it
+    counts for the overlap: so it is enough that a pair finds each other there.
+    """
+    lists = post.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("n").alias("least")).where("lo <> hi").select("key", "least")
+    return post.join(lists, "key").where((100 + percent) * (F.col("n") - F.col("pos")) >= percent * (F.col("n") + F.col("least"))).drop("least")
 
 
 def connected(links: DataFrame, name: str = "cc") -> DataFrame:
@@ -251,10 +263,13 @@ def _links(post: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     In each round some sets of each list lead (1, then 4, 16, ...; those first whose lists hold most)
     and are held against the list's other sets that aren't in their component yet; so when a list is
-    through, each two of its sets are linked through others or have been compared. Skipped are
+    through, each two of its sets are linked through others or have been compared. Before, each set
+    is held against one of the first leaders only, that of most of its lists: a large group of near copies
+    becomes one component by about one comparison a set. Lists that are through, or within one
+    component, stay so and are not read again. Skipped are
       * blocks of sets whose size can't fit (lists are keyed by shingle and size block),
-      * entries whose positions in the two sets leave too little room for the overlap, and sets with
-        too few shingles that other sets hold,
+      * entries whose positions in the two sets leave too little room behind them for the overlap
+        (``_useful``), and sets with too few shingles that other sets hold,
       * pairs whose answer follows from those of a set that both have been compared with: with the
         overlaps o(p, x) and o(p, y) known, o(x, y) is at least o(p, x) + o(p, y) - |p| and at most
         min(o(p, x), o(p, y)) + min(m(x) - o(p, x), m(y) - o(p, y)), where m counts a set's shingles
@@ -264,23 +279,24 @@ def _links(post: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     t, u = percent, 100 + percent
     size_block = F.floor(F.log(F.col("n")) / math.log(100 / percent)).cast("int")
-    lists = post.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    lists = post.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     heavy = post.join(lists, "key").groupBy("node").agg(F.sum("c").alias("wt"))
-    post = written(post.withColumn("s", size_block).join(heavy, "node"), "lists")
+    post = written(post.join(lists.select("key"), "key").withColumn("s", size_block).join(heavy, "node"), "lists")
     comps = written(post.select("node", F.col("node").alias("comp")).distinct(), "comp")
     known = written(comps.select("node", F.lit(None).cast("long").alias("p"), F.lit(None).cast("long").alias("pn"), F.lit(None).cast("long").alias("po")).limit(0), "known")
-    done, lead = 0, 1
+    done, lead, one = 0, 1, True
     while True:
         cur = post.join(comps, "node").join(known, "node", "left")
         live = cur.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).where((F.col("lo") != F.col("hi")) & (F.col("c") > done + 1))
         cur = written(cur.join(live.select("key", "c"), "key"), "live")
         if not cur.limit(1).count():
             return comps
+        post = cur.select(*post.columns)
         order = Window.partitionBy("key").orderBy(F.desc("wt"), "node")
         front = cur.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= done + lead).where(F.col("rn") > done)
         side = ["node", "n", "m", "pos", "comp", "p", "pn", "po"]
         front = front.select("key", *[F.col(c).alias(f"l_{c}") for c in side], F.explode(F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1)).alias("s"))
-        room = 2 + F.least("l_pos", "pos") + F.least(F.col("l_n") - F.col("l_pos"), F.col("n") - F.col("pos"))
+        room = F.least(F.col("l_n") - F.col("l_pos"), F.col("n") - F.col("pos"))
         need = t * (F.col("n") + F.col("l_n"))
         shared = F.coalesce(F.col("p") == F.col("l_p"), F.lit(False))
         most = F.least("po", "l_po") + F.greatest(F.lit(0), F.least(F.col("m") - F.col("po"), F.col("l_m") - F.col("l_po")))
@@ -288,9 +304,12 @@ def _links(post: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         fit = ((F.col("comp") != F.col("l_comp")) & (100 * F.least("n", "l_n") >= t * F.greatest("n", "l_n")) & (u * room >= need) & (u * F.least("m", "l_m") >= need)
                & (~shared | (u * most >= need)))
         swap = F.col("node") < F.col("l_node")
-        pairs = (cur.join(front, ["key", "s"]).where(fit)
-                 .select(F.when(swap, F.col("node")).otherwise(F.col("l_node")).alias("a"), F.when(swap, F.col("l_node")).otherwise(F.col("node")).alias("b"),
-                         F.when(swap, F.col("n")).otherwise(F.col("l_n")).alias("na"), F.when(swap, F.col("l_n")).otherwise(F.col("n")).alias("nb"), sure.alias("sure"))
+        met = cur.join(front, ["key", "s"]).where(fit)
+        if one:
+            met = (met.groupBy("node", "l_node", "n", "l_n", sure.alias("sure")).count()
+                   .groupBy("node").agg(F.max(F.struct("count", "l_node", "n", "l_n", "sure")).alias("x")).select("node", "x.*"))
+        pairs = (met.select(F.when(swap, F.col("node")).otherwise(F.col("l_node")).alias("a"), F.when(swap, F.col("l_node")).otherwise(F.col("node")).alias("b"),
+                         F.when(swap, F.col("n")).otherwise(F.col("l_n")).alias("na"), F.when(swap, F.col("l_n")).otherwise(F.col("n")).alias("nb"), (F.col("sure") if one else sure).alias("sure"))
                  .distinct())
         pairs = written(pairs, "pairs")
         found = written(_verified(pairs.where("not sure").select("a", "b", "na", "nb"), sets), "overlaps")
@@ -307,7 +326,10 @@ def _links(post: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         merged = written(merged, "edges")
         if merged.limit(1).count():
             comps = written(comps.join(connected(merged).toDF("comp", "root"), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "comp")
-        done, lead = done + lead, lead * 4
+        if one:
+            one = False  # the same leaders again, now all of them
+        else:
+            done, lead = done + lead, lead * 4
 
 
 def set_components(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 12 << 20, small: int = 400_000) -> DataFrame:
@@ -343,8 +365,7 @@ def set_components(docs: DataFrame, percent: int = 75, width: int = 5, id_col: s
     of = written(shared.where("bucket < 0").select("ids", "keys", "x0", "x1").mapInArrow(members, "doc_id long, text_key long, node long, n_shingles long"), "members")
     post = _postings(shared.repartition(parts, "block").sortWithinPartitions("block"), percent)
     post = written(post, "post")
-    several = post.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    post = written(post.join(several, "key"), "post2")
+    post = written(_useful(post, percent), "post2")
     wanted = post.select("node").distinct()
     first = (of.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_key")).alias("m"))
              .select("node", F.col("m.doc_id").alias("_id"), F.col("m.text_key").alias("_key")))
