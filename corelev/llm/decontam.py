@@ -39,19 +39,25 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def blocks(batches):
         hashes = WordHash()
-        for b in sliced(batches, block_docs):
-            lists = [words(x) for x in utf8(b.column(2))]
-            n = np.fromiter(map(len, lists), np.int64, len(lists))
-            first = np.concatenate([[0], np.cumsum(n + gap)[:-1]])
-            ids = np.fromiter((hashes[w] for ws in lists for w in ws), np.uint64, int(n.sum()))
+        for b in sliced(batches, block_docs, 8 << 20):
+            ids = []
+            for x in utf8(b.column(2)):  # one document's words at a time: as objects they take some ten times their bytes
+                ws = words(x)
+                ids.append(np.fromiter(map(hashes.__getitem__, ws), np.uint64, len(ws)))
             hashes.tidy()
-            at = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            first = np.concatenate([[0], np.cumsum(n + gap)[:-1]])
+            ids = np.concatenate(ids)
+            at = np.arange(len(ids), dtype=np.int32)
+            at += np.repeat((first - np.cumsum(n) + n).astype(np.int32), n)
             order = np.argsort(ids, kind="stable")
-            terms, starts = np.unique(ids[order], return_index=True)
+            ids = ids[order]
+            starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
+            terms = ids[starts]
             yield pa.RecordBatch.from_arrays([
                 pa.array([b.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([b.column(1).to_pylist()], pa.list_(pa.int64())),
                 pa.array([b.column(3).to_pylist()], pa.list_(pa.int64())), pa.array([n.tobytes()]), pa.array([terms.tobytes()]), pa.array([np.append(starts, len(ids)).astype(np.int32).tobytes()]),
-                pa.array([at[order].astype(np.int32).tobytes()])], ["doc_ids", "rows", "keys", "n_words", "terms", "starts", "positions"])
+                pa.array([at[order].tobytes()])], ["doc_ids", "rows", "keys", "n_words", "terms", "starts", "positions"])
 
     return src.mapInArrow(blocks, INDEX)
 
@@ -159,8 +165,8 @@ def search(index: DataFrame, part: list, width: int, within: int | None = None)
     def look(batches):
         w, off, size, items = sent.value
         for b in batches:
-            for row in b.to_pylist():
-                x = Block(row, _gap(width, within))
+            for r in range(b.num_rows):  # a block at a time: they are large
+                x = Block(b.slice(r, 1).to_pylist()[0], _gap(width, within))
                 place = x.find(known.value)[w] if len(w) else np.zeros((0, width), int)
                 step = np.zeros(int(x.first[-1] + x.n[-1]) + 1, np.int32)
                 at: dict = {}
