@@ -1,5 +1,8 @@
 import hashlib
 import re
+import tracemalloc
+
+import pyarrow as pa
 
 from corelev.llm import decontam as D
 from corelev.llm.common import table
@@ -67,3 +70,23 @@ def test_proximity_stays_in_its_document(spark):
     items = spark.createDataFrame([(9, "alpha beta")], "item_id long, text string")
     got = {r["doc_id"]: r["items"] for r in D.contamination(docs, items, within=30).collect()}
     assert got == {1: [], 2: [], 3: ["9"]}
+
+
+def test_index_building_is_lean(spark):
+    """A block's words are never all there as objects, and a block is of some 8 MB of text: the peak stays near the size of the text."""
+
+    class Docs:
+        select = lambda self, *_: self
+        mapInArrow = lambda self, task, _: task
+
+    n, texts = 1200, [" ".join(f"word{(i * 37 + k) % 5000}" for k in range(1200)) for i in range(1200)]
+    one = pa.array(range(n), pa.int64())
+    batch = pa.RecordBatch.from_arrays([one, one, pa.array(texts), one], ["i", "r", "t", "h"])
+    size = sum(map(len, texts))
+    task = D.build_index(Docs())
+    tracemalloc.start()
+    out = list(task([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(len(b.column(0)[0]) for b in out) == n and len(out) > 1
+    assert peak < 4 * size, peak / size

@@ -97,3 +97,27 @@ def test_connected_components(spark):
         root[y] = x
     got = {x["node"]: x["root"] for x in J.connected(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {n: find(n) for n in root if any(n in (a, b) and a != b for a, b in links)}
+
+
+def test_few_comparisons(spark, monkeypatch):
+    """Near copies take about one comparison a set, texts of passages that many others hold too few more; components stay exact."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    base, passages = [word() for _ in range(150)], [[word() for _ in range(25)] for _ in range(40)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(r.randrange(1, 3)):
+            w[r.randrange(len(w))] = word()
+        rows.append((i, " ".join(w)))
+    for i in range(150):
+        rows.append((1000 + i, " ".join(x for k in r.sample(range(40), 8) for x in passages[k])))
+    compared, before = [], J._verified
+
+    def counted(pairs, *args):
+        compared.append(pairs.count())
+        return before(pairs, *args)
+
+    monkeypatch.setattr(J, "_verified", counted)
+    assert got(J.set_components(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    assert sum(compared) <= 3000, compared
